@@ -6,16 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import decontaminate, line_dedup, simhash_dedup, substring_dedup, url_filter
+from wayline.llm import (
+    decontaminate,
+    html_extract,
+    line_dedup,
+    pii,
+    quality_classifier,
+    quality_rules,
+    sentencepiece_codec,
+    simhash_dedup,
+    substring_dedup,
+    url_filter,
+)
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": pii.query,
+        "op2_quality_classifier": quality_classifier.query,
         "op3_simhash_vptree": simhash_dedup.query,
+        "op4_sentencepiece": sentencepiece_codec.query,
+        "op5_html_extraction": html_extract.query,
+        "op6_quality_rules": quality_rules.query,
         "op7_decontamination": decontaminate.query,
         "op8_substring_dedup": substring_dedup.query,
         "op9_url_filters": url_filter.query,
         "op10_line_dedup": line_dedup.query,
+        "pipeline": _pipeline,
     }
 
 
