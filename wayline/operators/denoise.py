@@ -57,7 +57,7 @@ def denoise_chunks(rows: DataFrame, keys: Sequence[str], k: int, predictor: Pred
 def denoise_breadth_first(rows: DataFrame, keys: Sequence[str], k: int, q1: int, q2: int, predictor: Predictor, dt: float) -> DataFrame:
     """All chunks of a trajectory move one level at a time; a chunk's head is the tail that its forerunner has just reached.
 
-    Rows (keys, p, e, n) of points in, (keys, p, e, n) out, as many. A trajectory is one task's work; the last
+    Rows (keys, p, e, n) of points in, (keys, p, e, n) out, as many; the predictor sees metres from a chunk's first point. A trajectory is one task's work; the last
     chunk is kept to its real end.
     """
     m, s = steps_of(dt), k - q1 - q2
@@ -78,7 +78,7 @@ def denoise_breadth_first(rows: DataFrame, keys: Sequence[str], k: int, q1: int,
                 chunk = x[at[i]][None]
                 if tail is not None:
                     chunk[0, : q1 + q2] = tail
-                chunk = chunk - predictor(chunk, t) / m
+                chunk = chunk - predictor(chunk - chunk[:, :1], t) / m
                 tail = chunk[0, k - q1 - q2 :].copy()
                 stop = k - q2 if i < chunks - 1 else n - i * s + q1
                 own = np.arange(q1, stop)
