@@ -28,8 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_if_needed(df: DataFrame, wanted: bool) -> DataFrame:
-    return cut(df) if wanted else df
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def fits_broadcast(df: DataFrame, max_rows: int) -> bool:

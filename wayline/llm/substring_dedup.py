@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm.common import read
+from wayline.llm.common import free_name, read
 
 #: Separators of the two kinds of unit.
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
@@ -71,13 +71,15 @@ def removed_spans(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORD
 
 
 def dedup_passages(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated units cut out of ``text`` and their original spans in ``removed_spans``."""
+    """``docs`` with repeated units cut out of ``text`` and their original spans in ``removed_spans`` (an existing column of that name is replaced)."""
     sep = SEPARATORS[unit]
-    gone = repeated_units(docs, unit, min_words).groupBy("doc_id").agg(F.collect_set("unit_no").alias("_gone"))
+    docs = docs.drop("removed_spans")
+    name = free_name(docs, "gone")
+    gone = repeated_units(docs, unit, min_words).groupBy("doc_id").agg(F.collect_set("unit_no").alias(name))
     spans = removed_spans(docs, unit, min_words).select("doc_id", F.col("spans").alias("removed_spans")).dropDuplicates(["doc_id"])
-    kept = F.array_join(F.filter(F.split("text", sep), lambda u, i: ~F.array_contains("_gone", i)), sep)
-    out = docs.drop("removed_spans").join(gone, "doc_id", "left").join(spans, "doc_id", "left")
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).drop("_gone")
+    kept = F.array_join(F.filter(F.split("text", sep), lambda u, i: ~F.array_contains(name, i)), sep)
+    out = docs.join(gone, "doc_id", "left").join(spans, "doc_id", "left")
+    return out.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(kept)).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
