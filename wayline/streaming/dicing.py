@@ -49,8 +49,11 @@ def dice_stream(points: DataFrame, k: int, q: int) -> DataFrame:
     return rows.groupBy("shard", "agent").applyInPandasWithState(_step(k, q), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_once(spark: SparkSession, events: DataFrame, k: int, q: int, parts: int = 4) -> DataFrame:
-    """Events dealt into ``parts`` files by time, streamed one file a trigger, and the chunks that came out."""
+def run_once(spark: SparkSession, events: DataFrame, k: int, q: int, parts: int = 4, files_per_trigger: int = 1) -> DataFrame:
+    """Events written as ``parts`` arrivals by time, streamed file by file, and the chunks that came out.
+
+    Files are taken in the order they were written; within an arrival a user's events share a file.
+    """
     source, sink, checkpoint = (scratch(spark, f"stream-{x}") for x in ("in", "out", "state"))
     low, high = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
     if low is None:
@@ -58,8 +61,8 @@ def run_once(spark: SparkSession, events: DataFrame, k: int, q: int, parts: int
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     for part in range(parts):  # one batch of arrivals after the other
         a, b = low + (high + 1 - low) * part // parts, low + (high + 1 - low) * (part + 1) // parts
-        events.where((us >= a) & (us < b)).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        events.where((us >= a) & (us < b)).repartition("user_id").write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
     chunks = dice_stream(valid_fixes(points_from_events(stream)), k, q)
     chunks.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(sink).awaitTermination()
     return spark.read.schema(OUTPUT).parquet(sink).select("shard", "agent", "row_start", "row_end")
