@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wayline.llm.common import cut, fits_broadcast, read
 
-#: Fixed masks over ten tokens, six of them hashed; 1 is hashed, 0 ignored.
+#: Fixed masks over ten tokens, seven of them hashed; 1 is hashed, 0 ignored.
 MASKS = ("1101101011", "1011011101")
 #: An overlap counts if some window of WINDOW aligned tokens (or the whole shorter item) has a share
 #: MIN_SHARE of equal ones.
