@@ -1,19 +1,19 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-Texts are cut into chunks that no piece crosses (before each blank that follows something else), and every
-chunk is encoded once per worker. The new chunks of a batch are laid end to end and their suffixes sorted;
-binary search gives each piece's range of occurrences; the occurrences are the edges of a lattice, sorted by
-the place where they end, and relaxed in that order. For a merge-based (BPE) model the relaxation keeps, at
-each place, the one piece that ends there in the encoding of the prefix: a piece follows another exactly if
-no merge would have crossed the seam between them, which is read from the two pieces' merge trees.
-Chunks of very many characters, with characters outside the vocabulary, with runs of blanks, or with pieces
-whose merge tree is not ordered by rank are merged pair by pair instead; both ways give the same ids.
+Texts are cut where two neighbouring characters stand together in no piece, so that no merge can cross the
+cut, and every such chunk is encoded once per worker. The new chunks of a batch are laid end to end and
+their suffixes sorted; binary search gives each piece's range of occurrences; the occurrences are the edges
+of a lattice, sorted by the place where they end, and relaxed in that order. For a merge-based (BPE) model
+the relaxation keeps, at each place, the one piece that ends there in the encoding of the prefix: a piece
+follows another exactly if no merge would have crossed the seam between them, which is read from the two
+pieces' merge trees. Chunks of very many characters, of runs of blanks, of a character outside the
+vocabulary, or with pieces whose merge tree is not ordered by rank are merged pair by pair instead; both
+ways give the same ids.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,15 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayline.llm.common import read
+from wayline.llm.common import free_name, read
 from wayline.llm.vectext import blocks
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Longest chunk that takes the lattice, chunks kept per worker, characters of one suffix array.
-MAX_CHUNK, MAX_KEPT, BATCH_CHARS = 64, 600_000, 400_000
-_CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+MAX_CHUNK, MAX_KEPT, BATCH_CHARS = 64, 200_000, 250_000
 _BITS, _PER_KEY = 12, 5
+#: Characters of texts that are encoded at once.
+BLOCK = 500_000
 
 
 def load_pieces(path: str = MODEL_PATH) -> list[tuple[str, float, int]]:
@@ -86,7 +87,7 @@ class Codec:
         self._hash_pairs(pairs)
         self._prepare_search()
         self.kept: dict[str, int] = {}
-        self.flat, self.offset = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.flat, self.offset, self.hits = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     # merging pair by pair
 
@@ -197,6 +198,12 @@ class Codec:
             raise ValueError("more single characters than a suffix key has room for")
         self.symbol = np.zeros(0x110000, np.uint16)
         self.symbol[singles] = np.arange(1, len(singles) + 1)
+        self.n_symbols = len(singles) + 1
+        self.together = np.zeros(self.n_symbols * self.n_symbols, bool)
+        for p in self.id_of:
+            c = self.symbol[[ord(x) for x in p]].astype(np.int64)
+            known = (c[:-1] > 0) & (c[1:] > 0)
+            self.together[(c[:-1] * self.n_symbols + c[1:])[known]] = True
         use = [(p, i) for p, i in self.id_of.items() if self.usable[i] and not p.startswith(BLANK * 2)]
         self.size = np.array([len(p) for p in self.pieces], np.int64)
         self.search_ids = np.array([i for _, i in use], np.int64)
@@ -231,6 +238,22 @@ class Codec:
 
         return bound(self.low, False), bound(self.high, True)
 
+    def _suffixes(self, key: np.ndarray) -> np.ndarray:
+        """The suffix array to the length of the longest piece, by doubling from keys of the first characters."""
+        reach = _PER_KEY
+        while True:
+            order = np.argsort(key)
+            if reach >= self.n_keys * _PER_KEY:
+                return order
+            steps = np.concatenate(([False], key[order][1:] != key[order][:-1]))
+            rank = np.empty(len(key), np.int64)
+            rank[order] = np.cumsum(steps) + 1
+            if rank[order[-1]] == len(key):
+                return order
+            after = np.concatenate((rank[reach:], np.zeros(min(reach, len(rank)), np.int64)))
+            key = (rank << 31) | after
+            reach *= 2
+
     def _lattice(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks of known characters, laid end to end, and how many each has (0: must be merged)."""
         text = "\0".join(chunks) + "\0"
@@ -242,7 +265,7 @@ class Codec:
         for k in range(_PER_KEY):
             key |= padded[k : k + len(key)] << (_BITS * (_PER_KEY - 1 - k))
         keys = [key[k * _PER_KEY : k * _PER_KEY + len(sym)] for k in range(self.n_keys)]
-        order = np.lexsort(keys[::-1])  # the suffix array, to the length of the longest piece
+        order = self._suffixes(keys[0])
         first, last = self._ranges([k[order] for k in keys])
         count = last - first
         total = int(count.sum())
@@ -288,10 +311,10 @@ class Codec:
 
     def _learn(self, fresh: list[str]) -> None:
         """Encode chunks that are not kept yet."""
-        known = re.compile(f"(?!{BLANK}{BLANK})[\\s\\S]{{1,{MAX_CHUNK}}}")
         easy, hard = [], []
-        for c in fresh:
-            (easy if known.fullmatch(c) and all(map(self.id_of.__contains__, c)) else hard).append(c)
+        for c in fresh:  # a chunk of several characters has none outside the vocabulary
+            plain = len(c) <= MAX_CHUNK and (len(c) > 1 or c in self.id_of) and not c.startswith(BLANK * 2)
+            (easy if plain else hard).append(c)
         flats, sizes, names = [], [], []
         at = 0
         while at < len(easy):
@@ -314,21 +337,51 @@ class Codec:
         self.flat = np.concatenate([self.flat, *flats])
         self.offset = np.concatenate([self.offset, self.offset[-1] + np.cumsum(np.concatenate(sizes))]) if sizes else self.offset
 
+    def _forget(self) -> None:
+        """Keep the chunks met most often, half of MAX_KEPT at most, and none met only once."""
+        often = np.flatnonzero(self.hits > 1)
+        if len(often) > MAX_KEPT // 2:
+            often = np.sort(often[np.argsort(-self.hits[often], kind="stable")[: MAX_KEPT // 2]])
+        names = list(self.kept)
+        self.kept = {names[i]: k for k, i in enumerate(often.tolist())}
+        first, n = self.offset[often], self.offset[often + 1] - self.offset[often]
+        ends = np.cumsum(n)
+        self.flat = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n - first, n)]
+        self.offset, self.hits = np.concatenate(([0], ends)), self.hits[often] // 2
+
+    def _chunks(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Chunks of all texts one after the other, and how many each text has."""
+        full = "".join(BLANK + t.replace(" ", BLANK) if t else "" for t in texts)
+        if not full:
+            return [], np.zeros(len(texts), np.int64)
+        size = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        sym = self.symbol[np.frombuffer(full.encode("utf-32-le"), "<u4")].astype(np.int64)
+        cut = np.ones(len(full) + 1, bool)
+        cut[1:-1] = ~self.together[sym[:-1] * self.n_symbols + sym[1:]]
+        ends = np.cumsum(size)
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        number = np.searchsorted(at, ends)
+        places = at.tolist()
+        return [full[i:j] for i, j in zip(places, places[1:], strict=False)], np.diff(number, prepend=0)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the model's own encoder gives them; an empty text has none."""
-        chunks = [_CHUNK.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         if len(self.kept) > MAX_KEPT:
-            self.kept, self.flat, self.offset = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
-        fresh = list({c: None for own in chunks for c in own if c not in self.kept})
-        if fresh:
-            self._learn(fresh)
-        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        index = np.fromiter((i for own in chunks for i in map(self.kept.__getitem__, own)), np.int64, int(size.sum()))
-        first, n = self.offset[index], self.offset[index + 1] - self.offset[index]
+            self._forget()
+        chunks, size = self._chunks(texts)
+        index = list(map(self.kept.get, chunks))
+        if None in index:
+            self._learn(list(dict.fromkeys(c for c, i in zip(chunks, index, strict=True) if i is None)))
+            index = list(map(self.kept.__getitem__, chunks))
+        at = np.array(index, np.int64)
+        seen = np.bincount(at, minlength=len(self.kept))
+        seen[: len(self.hits)] += self.hits
+        self.hits = seen
+        first, n = self.offset[at], self.offset[at + 1] - self.offset[at]
         ends = np.cumsum(n)
         ids = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n - first, n)]
-        cuts = np.concatenate(([0], ends))[np.cumsum(size)]
-        return np.split(ids, cuts[:-1]) if len(texts) else []
+        return np.split(ids, np.concatenate(([0], ends))[np.cumsum(size)][:-1]) if len(texts) else []
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; the blank put before a text is taken off."""
@@ -350,43 +403,47 @@ def _in_worker(pieces) -> Callable[[], Codec]:
 _CODECS: dict = {}
 
 
-def codec_columns(spark: SparkSession, path: str = MODEL_PATH):
-    """Two pandas UDFs: text to array<int>, and array<int> to text. Null texts encode to no ids, null ids decode to an empty text."""
+def _column(spark: SparkSession, path: str, kind: T.DataType, one: Callable[[Codec, pd.Series], pd.Series | pd.DataFrame]):
     get = _in_worker(spark.sparkContext.broadcast(load_pieces(path)))
 
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = get()
-        for texts in batches:
-            yield pd.Series([ids for _, part in blocks(texts.tolist()) for ids in codec.encode(part)], dtype=object)
+        for b in batches:
+            yield one(codec, b)
 
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = get()
-        for rows in batches:
-            yield pd.Series([codec.decode(np.asarray(x, np.int32)) if x is not None else "" for x in rows], dtype=object)
-
-    scalar_iter = F.PandasUDFType.SCALAR_ITER
-    return F.pandas_udf(encode, T.ArrayType(T.IntegerType()), scalar_iter), F.pandas_udf(decode, T.StringType(), scalar_iter)
+    return F.pandas_udf(run, kind, F.PandasUDFType.SCALAR_ITER)
 
 
-def encode(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL_PATH, verify: bool = False) -> DataFrame:
     """``docs`` with ``ids`` and ``n_tokens`` (existing columns of these names are replaced).
 
+    ``verify`` adds ``round_trip``: whether the ids, decoded in the same task, give the text again.
     Null and empty texts have no ids; other nulls, repeated rows and extra columns pass through; an empty
     table gives an empty result.
     """
-    to_ids, _ = codec_columns(docs.sparkSession, path)
-    return docs.withColumn("ids", to_ids(F.col("text"))).withColumn("n_tokens", F.size("ids").cast("long"))
+    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
+
+    def one(codec: Codec, texts: pd.Series) -> pd.DataFrame:
+        ids, same = [], []
+        for _, part in blocks(texts.tolist(), BLOCK):
+            new = codec.encode(part)
+            ids += new
+            same += [codec.decode(x) == t for x, t in zip(new, part, strict=True)] if verify else [None] * len(part)
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "round_trip": pd.Series(same, dtype=object)})
+
+    name = free_name(docs, "encoded")
+    out = docs.withColumn(name, _column(docs.sparkSession, path, kind, one)(F.col("text")))
+    new = {"ids": F.col(name)["ids"], "n_tokens": F.size(F.col(name)["ids"]).cast("long")}
+    return out.withColumns({**new, "round_trip": F.col(name)["round_trip"]} if verify else new).drop(name)
 
 
 def decode(encoded: DataFrame, path: str = MODEL_PATH) -> DataFrame:
-    """``encoded`` with ``decoded``, the text of ``ids``."""
-    _, to_text = codec_columns(encoded.sparkSession, path)
-    return encoded.withColumn("decoded", to_text(F.col("ids")))
+    """``encoded`` with ``decoded``, the text of ``ids``; null ids give an empty text."""
+    one = lambda codec, rows: pd.Series([codec.decode(np.asarray(x, np.int32)) if x is not None else "" for x in rows], dtype=object)
+    return encoded.withColumn("decoded", _column(encoded.sparkSession, path, T.StringType(), one)(F.col("ids")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: number of ids, a digest of them, and whether they decode to the text."""
-    both = decode(encode(read(spark, sf_dir, "documents").select("doc_id", "text")))
-    return both.select(
-        "doc_id", "n_tokens", F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")
-    )
+    both = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), verify=True)
+    return both.select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_hash"), "round_trip")
