@@ -11,13 +11,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from wayline.llm.common import cut, fits_broadcast, read
+from wayline.llm.common import cut, fits_broadcast, free_name, read
 
 #: Edits between two lines that count as the same, and the fewest characters of a line that takes part.
 TAU, MIN_CHARS = 2, 40
 #: Lines whose text is fetched for verification: up to so many ids (16 MB) are broadcast, else joined.
 MAX_BROADCAST_IDS = 1_000_000
+# Characters whose counts are compared before two lines are paired.
+LETTERS = "abcdefghijklmnopqrstuvwxyz .,0123456789"
 
 
 def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
@@ -29,29 +32,38 @@ def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
     return start.cast("int"), (short + (F.lit(i) >= n_short).cast("int")).cast("int")
 
 
-def index_keys(line: Column, n: Column, tau: int = TAU) -> Column:
-    """Keys a line of ``n`` characters is found under."""
-    keys = []
-    for i in range(tau + 1):
-        start, size = _segment(n, i, tau)
-        keys.append(F.xxhash64(n, F.lit(i), line.substr(start, size)))
-    return F.array(*keys)
+def wide(line: Column) -> Column:
+    """The line at four bytes a character: a substring of it is a copy, where UTF-8 has to be scanned."""
+    return F.encode(line, "UTF-32")
+
+
+def _key(chars: Column, length: Column, i: int, start: Column, size: Column) -> Column:
+    return F.xxhash64(length, F.lit(i), chars.substr(start * 4 - 3, size * 4))
+
+
+def shortest(tau: int) -> int:
+    """Characters from which every segment is longer than the moves that are tried."""
+    return (tau + 1) * (tau + 1) + tau
 
 
-def probe_keys(line: Column, n: Column, tau: int = TAU) -> Column:
-    """Keys under which every line of the same length or up to ``tau`` less, within ``tau`` edits, can be found."""
+def index_keys(chars: Column, n: Column, tau: int = TAU) -> Column:
+    """Keys a line of ``n`` characters, given as ``wide``, is found under."""
+    return F.array(*[_key(chars, n, i, *_segment(n, i, tau)) for i in range(tau + 1)])
+
+
+def probe_keys(chars: Column, n: Column, tau: int = TAU) -> Column:
+    """Keys under which every line of the same length or up to ``tau`` less, within ``tau`` edits, can be found.
+
+    Lines of ``shortest(tau)`` characters or more: none of the places falls outside the line.
+    """
     keys = []
     for less in range(tau + 1):
         length = n - F.lit(less)
         for i in range(tau + 1):
             start, size = _segment(length, i, tau)
-            low = max(-i, less - (tau - i))
-            high = min(i, less + (tau - i))
-            for move in range(low, high + 1):
-                at = start + F.lit(move)
-                inside = (at >= 1) & (at + size - 1 <= n) & (length > 0)
-                keys.append(F.when(inside, F.xxhash64(length, F.lit(i), line.substr(at, size))))
-    return F.array_compact(F.array(*keys))
+            for move in range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1):
+                keys.append(_key(chars, length, i, start + F.lit(move), size))
+    return F.array(*keys)
 
 
 def _let(value: Column, body) -> Column:
@@ -59,16 +71,17 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _trimmed(pair: Column, rounds: int) -> Column:
-    """Struct (a, b) without common ends, found by halving; equal ends never change an edit distance."""
+def _trimmed(pair: Column, level: int, levels: int) -> Column:
+    """Struct (a, b, m) without common ends: pieces of m / 2, m / 4, ... characters go from either end where they are
+    equal, which never changes an edit distance and leaves m / 2^levels equal characters at most; m is the shorter length."""
 
     def once(p: Column) -> Column:
-        half = F.floor(F.least(F.char_length(p["a"]), F.char_length(p["b"])) / 2).cast("int")
-        same = p["a"].substr(F.lit(1), half) == p["b"].substr(F.lit(1), half)
-        rest = [F.reverse(F.when(same, p[c].substr(half + 1, F.char_length(p[c]))).otherwise(p[c])).alias(c) for c in "ab"]
-        return F.struct(*rest)  # turned round, so that rounds take the two ends by turns
+        size = F.shiftright(p["m"], (level + 1) // 2)
+        same = p["a"].substr(F.lit(1), size) == p["b"].substr(F.lit(1), size)
+        rest = [F.reverse(F.when(same, p[c].substr(size + 1, F.char_length(p[c]))).otherwise(p[c])).alias(c) for c in "ab"]
+        return F.struct(*rest, p["m"].alias("m"))  # turned round, so that steps take the two ends by turns
 
-    return _let(pair, once if rounds == 1 else lambda p: _trimmed(once(p), rounds - 1)) if rounds else pair
+    return _let(pair, once if level == 2 * levels else lambda p: _trimmed(once(p), level + 1, levels))
 
 
 def _banded(p: Column, tau: int) -> Column:
@@ -108,15 +121,15 @@ def _chars(s: Column) -> Column:
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ""))
 
 
-def within(a: Column, b: Column, tau: int = TAU, trim_rounds: int = 6) -> Column:
+def within(a: Column, b: Column, tau: int = TAU, trim_levels: int = 7) -> Column:
     """True if ``a`` and ``b`` are within ``tau`` edits.
 
     Bit-parallel over the band: mask e holds a bit for each of the 2 tau + 1 diagonals whose cell is
     reachable with e edits after a character of ``a``; a step is a handful of shifts and ands.
     """
-    pair = F.struct(a.alias("a"), b.alias("b"))
+    pair = F.struct(a.alias("a"), b.alias("b"), F.least(F.char_length(a), F.char_length(b)).alias("m"))
     chars = lambda p: F.struct(_chars(p["a"]).alias("a"), _chars(p["b"]).alias("b"))
-    return _let(_trimmed(pair, trim_rounds), lambda p: _let(chars(p), lambda q: _banded(q, tau)))
+    return _let(_trimmed(pair, 1, trim_levels), lambda p: _let(chars(p), lambda q: _banded(q, tau)))
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -131,26 +144,39 @@ def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     within ``tau`` edits stands earlier, kept itself or not. Lines under ``min_chars`` characters never
     take part, nor do rows with a null doc_id.
     """
+    if min_chars < shortest(tau):
+        raise ValueError(f"lines of under {shortest(tau)} characters are too short for {tau} edits")
     rows = line_rows(docs.where("doc_id is not null")).where(F.char_length("line") >= min_chars)
-    keyed = rows.select(F.xxhash64("line").alias("id"), "doc_id", "line_no", "line", F.char_length("line").alias("n"))
-    first = F.struct("doc_id", "line_no")
+    # one number that sorts like (doc_id, line_no): hash aggregation can hold it, a struct it could not
+    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + F.col("line_no")
+    keyed = rows.select(F.xxhash64("line").alias("id"), place.alias("place"), "doc_id", "line_no", "line")
+    chars = wide(F.col("line"))
+    wider = keyed.select("id", "place", chars.alias("chars")).withColumn("n", (F.octet_length("chars") / 4).cast("int"))
     distinct = cut(
-        keyed.groupBy("id").agg(
-            F.min(first).alias("first"), F.count("*").alias("times"),
-            F.first(index_keys(F.col("line"), F.col("n"), tau)).alias("own"),
-            F.first(probe_keys(F.col("line"), F.col("n"), tau)).alias("probes"),
+        wider.groupBy("id").agg(
+            F.min("place").alias("first"), F.count("*").alias("times"),
+            F.first(index_keys(F.col("chars"), F.col("n"), tau)).alias("own"), F.first(probe_keys(F.col("chars"), F.col("n"), tau)).alias("probes"),
         )
     )
-    found = distinct.select(F.explode("own").alias("key"), F.col("id").alias("x"))
-    asked = distinct.select(F.explode(F.array_distinct("probes")).alias("key"), F.col("id").alias("y"))
-    pairs = cut(
-        asked.join(found, "key").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    )
-    ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
-    few = fits_broadcast(ids, MAX_BROADCAST_IDS)
-    wanted = keyed.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    texts = cut(wanted.groupBy("id").agg(F.first("line").alias("line"), F.min(first).alias("first")))
-    sides = pairs
+    either = distinct.select("id", F.posexplode(F.concat("own", "probes")).alias("at", "key")).select("id", "key", (F.col("at") <= tau).alias("own"))
+    # keys of one line only, nearly all of them, go before anything is paired
+    met = Window.partitionBy("key")
+    shared = either.withColumn("low", F.min("id").over(met)).withColumn("high", F.max("id").over(met)).where("low <> high")
+    shared = cut(shared.select("id", "key", "own"))
+    ids = cut(shared.select("id").distinct())
+    wanted = keyed.join(F.broadcast(ids) if fits_broadcast(ids, MAX_BROADCAST_IDS) else ids, "id", "left_semi")
+    texts = wanted.groupBy("id").agg(F.first("line").alias("line"), F.min("place").alias("first"))
+    counts = F.array(*[(F.char_length("line") - F.char_length(F.translate("line", c, ""))).cast("int") for c in LETTERS])
+    texts = cut(texts.withColumn("letters", counts).withColumn("n", F.char_length("line")))
+    # A substitution moves two counts by one, an insertion or deletion one: lines of one key are only paired where
+    # their counts allow for tau edits, and lines of one length only one way round.
+    bags = shared.join(texts.select("id", "letters", "n"), "id")
+    found = bags.where("own").select("key", F.col("id").alias("x"), F.col("letters").alias("lx"), F.col("n").alias("nx"))
+    asked = bags.where("not own").select("key", F.col("id").alias("y"), F.col("letters").alias("ly"), F.col("n").alias("ny"))
+    apart = sum((F.abs(F.col("lx")[i] - F.col("ly")[i]) for i in range(len(LETTERS))), F.lit(0))
+    once = (F.col("ny") > F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") > F.col("x")))
+    pairs = asked.join(found, (asked["key"] == found["key"]) & once & (apart <= 2 * tau - F.col("ny") + F.col("nx")))
+    sides = cut(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
     for side in ("x", "y"):
         sides = sides.join(texts.select(F.col("id").alias(side), F.col("line").alias(f"l{side}"), F.col("first").alias(f"f{side}")), side)
     close = sides.where(within(F.col("lx"), F.col("ly"), tau))
@@ -159,8 +185,7 @@ def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
         distinct.select("id", "first", "times").join(late, "id", "left")
         .where("late or times > 1").select("id", "first", F.coalesce("late", F.lit(False)).alias("late"))
     )
-    places = keyed.select("id", "doc_id", "line_no")
-    return places.join(bad, "id").where(F.col("late") | (F.struct("doc_id", "line_no") > F.col("first"))).select("doc_id", "line_no")
+    return keyed.select("id", "place", "doc_id", "line_no").join(bad, "id").where(F.col("late") | (F.col("place") > F.col("first"))).select("doc_id", "line_no")
 
 
 def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -169,12 +194,14 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     A document that had text and loses all of its lines goes. Null and empty texts stay as they are, as do
     documents without a repeated line; repeated rows are equal lines of one doc_id and are treated alike.
     """
-    gone = removed_lines(docs, tau, min_chars).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i))
-    out = docs.join(gone, "doc_id", "left").where(F.col("_gone").isNull() | (F.size(kept) > 0))
-    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    name = free_name(docs, "gone")
+    cut_lines = F.col(name)
+    gone = removed_lines(docs, tau, min_chars).groupBy("doc_id").agg(F.collect_set("line_no").alias(name))
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(cut_lines, i))
+    out = docs.join(gone, "doc_id", "left").where(cut_lines.isNull() | (F.size(kept) > 0))
+    out = out.withColumn("text", F.when(cut_lines.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(cut_lines.isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return out.select(*docs.columns)
 
 
