@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayline.llm.common import cut, fits_broadcast, read
 
@@ -126,8 +127,12 @@ def disclosures(docs: DataFrame, scanned: DataFrame, n_docs: int) -> DataFrame:
     near = scanned.where(F.size("context") > 0).select("doc_id", "text_key", F.explode("context").alias("c"))
     near = near.select("doc_id", "text_key", "c.entity", "c.term").distinct()
     together = near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_DOCS)
-    together = cut(together)
     entities = near.select("doc_id", "text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # A word near any entity in n_low documents is in n_low at least. Beyond n_both * (N / n_entity)^(1 - GENERALISE)
+    # documents its share falls below GENERALISE: such words, the common ones, need no counting over the corpus.
+    lows = near.select("doc_id", "text_key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_low"))
+    most = F.col("n_both") * F.pow(F.lit(float(n_docs)) / F.col("n_entity"), 1 - GENERALISE) * (1 + 1e-9)
+    together = cut(together.join(entities, "entity").join(lows, "term").where(F.col("n_low") <= most).drop("n_low"))
     terms = together.select("term").distinct()
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
     spread = _keyed(docs).select(F.explode_outer(words).alias("term"))
@@ -135,7 +140,7 @@ def disclosures(docs: DataFrame, scanned: DataFrame, n_docs: int) -> DataFrame:
         counted = spread.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     else:
         counted = spread.groupBy("term").agg(F.count("*").alias("n_term"))
-    bonds = together.join(entities, "entity").join(counted, "term", "left")
+    bonds = together.join(counted, "term", "left")
     n_term = F.greatest("n_both", F.coalesce("n_term", F.lit(0)))
     own = -F.log2(F.col("n_entity") / F.lit(float(n_docs)))
     mutual = F.log2(F.col("n_both") * F.lit(float(n_docs)) / (n_term * F.col("n_entity")))
@@ -185,12 +190,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
             out.append("".join([*parts, text[at:]]))
         return pd.Series(out)
 
-    from pyspark.sql import types as T
-
     found = find(docs).where(F.size("found") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "found").dropDuplicates(["_id", "_key"])
-    on = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_key"))
+    on = docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["_key"])
     joined = docs.join(found, on, "left")
-    return joined.withColumn("text", F.pandas_udf(rewrite, T.StringType())("text", "found")).select(*docs.columns)
+    text = F.pandas_udf(rewrite, T.StringType())(docs["text"], found["found"])
+    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
