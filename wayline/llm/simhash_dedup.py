@@ -33,7 +33,7 @@ RADIUS = 2
 #: Nodes a shard should hold; the number of shards grows with the nodes.
 SHARD_NODES = 20_000
 #: Bound of the sample that fixes the vantage points, and the fewest sample points of a shard.
-SAMPLE_NODES, SAMPLE_PER_SHARD = 65_536, 16
+SAMPLE_NODES, SAMPLE_PER_SHARD = 262_144, 16
 LEAF = 256
 
 
@@ -64,33 +64,33 @@ def _distance(x: np.ndarray, v: np.uint64) -> np.ndarray:
     return np.bitwise_count(x ^ v).astype(np.int64)
 
 
-def build_tree(sample: np.ndarray, depth: int, seed: int = SEED) -> list[tuple[int, int]]:
-    """Vantage points and ball radii of a complete binary tree in heap order; a radius is the median distance."""
+def build_tree(sample: np.ndarray, depth: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Vantage points and ball radii of a complete binary tree in heap order; a radius is the median distance.
+
+    Where the sample has run out, a node takes its vantage point and radius from the whole of it.
+    """
     rng = np.random.default_rng(seed)
-    nodes: list[tuple[int, int]] = []
+    vantage, radius = np.zeros(2**depth - 1, np.uint64), np.zeros(2**depth - 1, np.int64)
     parts = [sample]
-    for _ in range(depth):
+    for level in range(depth):
         deeper = []
-        for part in parts:
-            pool = part if len(part) else sample
-            v = pool[rng.integers(len(pool))]
-            d = _distance(pool, v)
-            mu = int(np.median(d))
-            nodes.append((int(v), mu))
-            inside = d <= mu
-            deeper += [pool[inside], pool[~inside]]
+        for at, part in enumerate(parts, 2**level - 1):
+            pool = part if len(part) else sample[rng.integers(len(sample), size=64)]
+            vantage[at] = pool[rng.integers(len(pool))]
+            d = _distance(pool, vantage[at])
+            radius[at] = int(np.median(d))
+            deeper += [part[_distance(part, vantage[at]) <= radius[at]], part[_distance(part, vantage[at]) > radius[at]]]
         parts = deeper
-    return nodes
+    return vantage, radius
 
 
-def route(x: np.ndarray, tree: list[tuple[int, int]], depth: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def route(x: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shard, index into ``x`` and whether it is the home shard, for every visit that the bounds demand."""
     shard, at, home = np.zeros(len(x), np.int64), np.arange(len(x)), np.ones(len(x), bool)
-    first = 0
     for level in range(depth):
-        v = np.array([n[0] for n in tree[first : first + 2**level]], np.uint64)[shard]
-        mu = np.array([n[1] for n in tree[first : first + 2**level]], np.int64)[shard]
-        d = np.bitwise_count(x[at] ^ v).astype(np.int64)
+        node = shard + 2**level - 1
+        d = np.bitwise_count(x[at] ^ tree[0][node]).astype(np.int64)
+        mu = tree[1][node]
         inside = d <= mu
         # a home goes to its own side; from inside it also asks across, which covers pairs that straddle
         into = np.where(home, inside, d <= mu + radius)
@@ -100,7 +100,6 @@ def route(x: np.ndarray, tree: list[tuple[int, int]], depth: int, radius: int) -
             np.concatenate((home[into], (home & ~inside)[out])),
             np.concatenate((at[into], at[out])),
         )
-        first += 2**level
     return shard, at, home
 
 
@@ -170,15 +169,17 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, shard_nodes: int = SHARD_
     n = nodes.count()
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / shard_nodes))))
     wanted = min(SAMPLE_NODES, max(4096, SAMPLE_PER_SHARD * 2**depth))
-    tree: list[tuple[int, int]] = []
+    tree = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     if depth:
         rows = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(wanted).collect()
         tree = build_tree(np.array([r[0] for r in rows], np.int64).view(np.uint64), depth)
 
+    held = nodes.sparkSession.sparkContext.broadcast(tree)
+
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = b["fp"].to_numpy(np.int64)
-            shard, at, home = route(x.view(np.uint64), tree, depth, radius)
+            shard, at, home = route(x.view(np.uint64), held.value, depth, radius)
             yield pd.DataFrame({"shard": shard, "fp": x[at], "home": home})
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
