@@ -24,7 +24,8 @@ BUCKETS, DIM, NONZERO, WINDOW = 1 << 13, 48, 4, 2
 #: Bound of the labelled rows that are learned from; taken by a hash of doc_id.
 MAX_LABELLED = 12_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 60, 128, 2e-3, 1e-4, 42
-_CHARS = 500_000
+#: Code points pooled at once: a few tens of MB of vectors.
+_CHARS = 200_000
 
 
 def token_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

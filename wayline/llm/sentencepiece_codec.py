@@ -403,13 +403,14 @@ def _in_worker(pieces) -> Callable[[], Codec]:
 _CODECS: dict = {}
 
 
-def _column(spark: SparkSession, path: str, kind: T.DataType, one: Callable[[Codec, pd.Series], pd.Series | pd.DataFrame]):
+def _column(spark: SparkSession, path: str, kind: T.DataType, one: Callable[[Codec, pd.Series], Iterator[pd.Series | pd.DataFrame]]):
+    """A pandas UDF over batches; what it gives back comes in smaller parts, so that a batch's result is never held whole."""
     get = _in_worker(spark.sparkContext.broadcast(load_pieces(path)))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = get()
         for b in batches:
-            yield one(codec, b)
+            yield from one(codec, b)
 
     return F.pandas_udf(run, kind, F.PandasUDFType.SCALAR_ITER)
 
@@ -423,13 +424,11 @@ def encode(docs: DataFrame, path: str = MODEL_PATH, verify: bool = False) -> Dat
     """
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
 
-    def one(codec: Codec, texts: pd.Series) -> pd.DataFrame:
-        ids, same = [], []
+    def one(codec: Codec, texts: pd.Series) -> Iterator[pd.DataFrame]:
         for _, part in blocks(texts.tolist(), BLOCK):
-            new = codec.encode(part)
-            ids += new
-            same += [codec.decode(x) == t for x, t in zip(new, part, strict=True)] if verify else [None] * len(part)
-        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "round_trip": pd.Series(same, dtype=object)})
+            ids = codec.encode(part)
+            same = [codec.decode(x) == t for x, t in zip(ids, part, strict=True)] if verify else [None] * len(part)
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "round_trip": pd.Series(same, dtype=object)})
 
     name = free_name(docs, "encoded")
     out = docs.withColumn(name, _column(docs.sparkSession, path, kind, one)(F.col("text")))
@@ -439,7 +438,11 @@ def encode(docs: DataFrame, path: str = MODEL_PATH, verify: bool = False) -> Dat
 
 def decode(encoded: DataFrame, path: str = MODEL_PATH) -> DataFrame:
     """``encoded`` with ``decoded``, the text of ``ids``; null ids give an empty text."""
-    one = lambda codec, rows: pd.Series([codec.decode(np.asarray(x, np.int32)) if x is not None else "" for x in rows], dtype=object)
+
+    def one(codec: Codec, rows: pd.Series) -> Iterator[pd.Series]:
+        for at in range(0, len(rows), 500):
+            yield pd.Series([codec.decode(np.asarray(x, np.int32)) if x is not None else "" for x in rows.iloc[at : at + 500]], dtype=object)
+
     return encoded.withColumn("decoded", _column(encoded.sparkSession, path, T.StringType(), one)(F.col("ids")))
 
 
