@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayline.llm.common import cut, fits_broadcast, read
+from wayline.llm.common import cut, read
 
 #: Kinds in the order that breaks ties of start: the base patterns, then the two of the method.
 KINDS = ("email", "ip", "card", "phone", "general", "remove")
@@ -28,8 +28,6 @@ GENERALISE, REMOVE = 0.5, 0.8
 MIN_DOCS = 3
 #: Context of an entity: so many words on either side, within so many characters.
 WINDOW_WORDS, WINDOW_CHARS = 8, 400
-#: Candidate words that are broadcast to count their documents; beyond, counts are joined by shuffle.
-MAX_BROADCAST_TERMS = 500_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: A digit run that does not match from its first digit does not match from a later one either.
@@ -127,20 +125,13 @@ def disclosures(docs: DataFrame, scanned: DataFrame, n_docs: int) -> DataFrame:
     near = scanned.where(F.size("context") > 0).select("doc_id", "text_key", F.explode("context").alias("c"))
     near = near.select("doc_id", "text_key", "c.entity", "c.term").distinct()
     together = near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_DOCS)
+    together = together.withColumn("term_key", F.xxhash64("term"))
     entities = near.select("doc_id", "text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # A word near any entity in n_low documents is in n_low at least. Beyond n_both * (N / n_entity)^(1 - GENERALISE)
-    # documents its share falls below GENERALISE: such words, the common ones, need no counting over the corpus.
-    lows = near.select("doc_id", "text_key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_low"))
-    most = F.col("n_both") * F.pow(F.lit(float(n_docs)) / F.col("n_entity"), 1 - GENERALISE) * (1 + 1e-9)
-    together = cut(together.join(entities, "entity").join(lows, "term").where(F.col("n_low") <= most).drop("n_low"))
-    terms = together.select("term").distinct()
+    # Words are counted before they meet the candidates: a row for each word and task, whatever the candidates are.
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    spread = _keyed(docs).select(F.explode_outer(words).alias("term"))
-    if fits_broadcast(terms, MAX_BROADCAST_TERMS):
-        counted = spread.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    else:
-        counted = spread.groupBy("term").agg(F.count("*").alias("n_term"))
-    bonds = together.join(counted, "term", "left")
+    spread = _keyed(docs).select(F.explode_outer(words).alias("term")).select(F.xxhash64("term").alias("term_key"))
+    counted = spread.groupBy("term_key").agg(F.count("*").alias("n_term"))
+    bonds = together.join(entities, "entity").join(counted, "term_key", "left")
     n_term = F.greatest("n_both", F.coalesce("n_term", F.lit(0)))
     own = -F.log2(F.col("n_entity") / F.lit(float(n_docs)))
     mutual = F.log2(F.col("n_both") * F.lit(float(n_docs)) / (n_term * F.col("n_entity")))
