@@ -170,6 +170,50 @@ def test_vantage_point_shards_lose_no_link(spark, shard_nodes):
     assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
 
 
+def plain_kept(texts, at_least=0.8):
+    """Smallest index of each group over all pairs of five-word shingle sets."""
+    sets = []
+    for text in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if min(len(a), len(b)) < at_least * max(len(a), len(b)):
+                continue
+            if (a or b) and 5 * len(a & b) < 4 * len(a | b) or label[i] == label[j]:
+                continue
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = [new if x == old else x for x in label]
+    return sorted(set(label))
+
+
+def test_similar_groups_equal_all_pairs(spark):
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(500)}" for _ in range(rng.randint(3, 120))] for _ in range(25)]
+    texts = []
+    for words in base:
+        for _ in range(6):
+            new = list(words)
+            for _ in range(rng.randint(0, 4)):
+                new[rng.randrange(len(new))] = f"x{rng.randrange(500)}"
+            texts.append(" ".join(new))
+    rng.shuffle(texts)
+    texts += [None, "", " \n"]
+    kept = sorted(r.doc_id for r in simhash_dedup.keep_one(docs(spark, texts)).collect())
+    assert kept == plain_kept(texts) and 25 < len(kept) < len(texts) - 20
+
+
+def test_near_dedup_stage_equals_all_pairs(spark):
+    import corpus_pipeline
+
+    rows = common.read(spark, DATA, "documents")
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    ids = sorted(texts)
+    want = [ids[i] for i in plain_kept([texts[i] for i in ids])]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, rows, DATA).collect()) == want
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5), (None, 3), (2, 1)]
     found = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

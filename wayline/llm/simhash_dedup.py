@@ -11,6 +11,10 @@
 
 A distance between unrelated 64-bit fingerprints is near 32 with deviation 4, so a ball's boundary at
 radius 2 overlaps about two fifths of the queries: work grows as about n^1.5, memory of a task does not.
+
+``keep_one`` has no such radius: it links documents whose five-word shingles have a Jaccard similarity of 0.8.
+Their fingerprints lie about ten bits apart, where a vantage point would rule next to nothing out, so its
+candidates come from bands of minimum hashes and are verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.window import Window
 
 from wayline.llm.common import connected_components, cut, read
 
@@ -35,6 +40,16 @@ SHARD_NODES = 20_000
 #: Bound of the sample that fixes the vantage points, and the fewest sample points of a shard.
 SAMPLE_NODES, SAMPLE_PER_SHARD = 262_144, 16
 LEAF = 256
+#: The pipeline's stage: words of a shingle, and the Jaccard similarity (in percent) from which documents are linked.
+STAGE_WORDS, STAGE_PERCENT = 5, 80
+#: Minimum hashes of the stage: at a similarity of 0.8 all bands differ with (1 - 0.8^4)^20, 2 in 100,000 pairs.
+BANDS, BAND_ROWS = 20, 4
+MIX = np.uint64(0x9E3779B97F4A7C15)
+_RNG = np.random.default_rng(SEED)
+PERMUTATIONS = (
+    _RNG.integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64),
+    _RNG.integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1),
+)
 
 
 def fingerprint(text: str | None, words_per_shingle: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -212,13 +227,118 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_nodes: int = SH
     )
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest doc_id; rows with a null doc_id stay.
+def shingles(text: str | None, words_per_shingle: int = STAGE_WORDS, seed: int = SEED) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of one text; shorter texts are one shingle, texts without a word none."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    w = np.fromiter((digest(x, seed) for x in words), np.uint64, len(words))
+    k = min(words_per_shingle, len(words))
+    h = np.full(len(words) - k + 1, k, np.uint64)
+    for i in range(k):  # a polynomial of the word hashes, stirred at every step
+        h = (h ^ w[i : len(words) - k + 1 + i]) * MIX
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """BANDS keys of a shingle set, each of BAND_ROWS minimum hashes; two sets share a key with 1 - (1 - J^rows)^bands."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 4096):
+        block = h[at : at + 4096]
+        for i, (x, m) in enumerate(zip(*PERMUTATIONS, strict=True)):
+            least[i] = min(least[i], ((block ^ x) * m).min())
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        keys = (keys ^ row) * MIX
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def _node(h: np.ndarray) -> int:
+    return int(np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED)], np.uint64).view(np.int64)[0])
+
+
+def _banded(texts: pd.Series) -> pd.DataFrame:
+    sets = [shingles(t) for t in texts]
+    return pd.DataFrame({"node": [_node(h) for h in sets], "bands": [band_keys(h) if len(h) else [] for h in sets]})
+
+
+def similar_groups(sets: list[np.ndarray], percent: int = STAGE_PERCENT) -> np.ndarray:
+    """Label of each set's group over all pairs with a Jaccard similarity of ``percent`` or more, worked out exactly.
+
+    A breadth-first walk: sets already reached are never compared with each other again.
+    """
+    sizes = np.array([len(h) for h in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(owner) else np.zeros(0, np.int64)
+    own = np.split(code, np.cumsum(sizes)[:-1])
+    n_codes = int(code.max()) + 1 if len(code) else 0
+    label = np.full(len(sets), -1)
+    order = np.argsort(code, kind="stable")
+    post, post_code = owner[order], code[order]
+    left = held = len(sets)
+    starts = np.searchsorted(post_code, np.arange(n_codes + 1))
+    for first in range(len(sets)):
+        if label[first] >= 0:
+            continue
+        label[first] = first
+        left -= 1
+        queue = [first]
+        while queue and left:
+            if 2 * left < held:  # postings of what is reached go
+                keep = label[post] < 0
+                post, post_code, held = post[keep], post_code[keep], left
+                starts = np.searchsorted(post_code, np.arange(n_codes + 1))
+            at = queue.pop()
+            s, n = starts[own[at]], starts[own[at] + 1] - starts[own[at]]
+            index = np.repeat(s - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            common = np.bincount(post[index], minlength=len(sets))
+            near = (label < 0) & (common > 0) & (100 * common >= percent * (sizes + sizes[at] - common))
+            found = np.flatnonzero(near)
+            label[found] = first
+            left -= len(found)
+            queue += found.tolist()
+    return label
+
+
+def _solve_similar(pdf: pd.DataFrame) -> pd.DataFrame:
+    sets = [shingles(t) for t in pdf["text"]]
+    label = similar_groups(sets)
+    return pd.DataFrame({"doc_id": pdf["doc_id"], "group": pdf["doc_id"].to_numpy()[label]})
+
+
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, component_id) of documents that are not the smallest doc_id of their group.
+
+    Documents are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Equal sets
+    collapse first; documents that share a band, chained, are candidates and meet in one task, which works out
+    every similarity between them exactly. Rows with a null doc_id take no part; texts without a word are equal.
+    """
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    banded = pandas_udf(_banded, "node long, bands array<long>")(F.col("text"))
+    prints = cut(rows.select("doc_id", banded.alias("p")).select("doc_id", "p.node", "p.bands"))
+    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands")))
+    met = Window.partitionBy("key")
+    keys = nodes.select("least_id", F.explode("bands").alias("key"))
+    edges = keys.withColumn("low", F.min("least_id").over(met)).where("low < least_id").select(F.col("least_id").alias("a"), F.col("low").alias("b"))
+    chained = connected_components(edges)
+    chained = cut(chained.unionByName(chained.select(F.col("root").alias("node"), "root").distinct()))
+    candidates = rows.join(chained.withColumnRenamed("node", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
+    solved = candidates.groupBy("root").applyInPandas(_solve_similar, "doc_id long, group long")
+    smallest = cut(solved).withColumn("component_id", F.min("doc_id").over(Window.partitionBy("group"))).select(F.col("doc_id").alias("least_id"), "component_id")
+    to_least = prints.select("doc_id", "node").join(nodes.select("node", "least_id"), "node").join(smallest, "least_id", "left")
+    found = to_least.select("doc_id", F.coalesce("component_id", "least_id").alias("component_id"))
+    return found.where("doc_id <> component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group of similar documents: the one with the smallest doc_id; rows with a null doc_id stay.
 
     Repeated rows of one doc_id are one document and collapse to a single row.
     """
-    found = near_duplicates(docs, radius)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = similar_documents(docs).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
