@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one; those that lose every line go."""
-    return line_dedup.dedup_lines(docs)
+    return line_dedup.dedup_lines(docs, line_dedup.TAU, line_dedup.NEAR_CHARS, line_dedup.EQUAL_CHARS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

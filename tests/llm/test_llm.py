@@ -432,6 +432,17 @@ def test_removed_lines_equal_all_pairs(spark):
     assert found == plain_removed(list(enumerate(texts)), 2, 20) and len(found) > 20
 
 
+def test_short_lines_go_in_query_and_stage(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = ["own first line of this text\nReleased under the MIT License.\nOK\n\nend a", "Released under the MIT License!\nsome own words stand here\nOK\n\nno", "OK\nOk\nReleased under the MIT License."]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {0: "", 1: "0,2", 2: "0,2"}
+    assert {r.doc_id: r.removed_lines for r in line_dedup.query(spark, str(tmp_path)).collect()} == want
+    done = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs(spark, texts), str(tmp_path)).collect()}
+    assert done == {0: texts[0], 1: "some own words stand here\n\nno", 2: "Ok"}
+
+
 def test_lines_of_odd_rows(spark, odd, none):
     done = {r.doc_id: r for r in line_dedup.dedup_lines(odd).collect()}
     assert {i: r.text for i, r in done.items()} == {**dict(enumerate(ODD)), None: "null id"}

@@ -17,6 +17,9 @@ from wayline.llm.common import cut, fits_broadcast, free_name, read
 
 #: Edits between two lines that count as the same, and the fewest characters of a line that takes part.
 TAU, MIN_CHARS = 2, 40
+#: The query and the pipeline's stage: the fewest characters of a line that is compared with its near ones (``shortest``
+#: of the edits) and of one that goes where an equal one stands earlier.
+NEAR_CHARS, EQUAL_CHARS = 11, 1
 #: Lines whose text is fetched for verification: up to so many ids (16 MB) are broadcast, else joined.
 MAX_BROADCAST_IDS = 1_000_000
 # Characters whose counts are compared before two lines are paired.
@@ -137,18 +140,38 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
 
 
-def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def _place() -> Column:
+    """One number that sorts like (doc_id, line_no): hash aggregation can hold it, a struct it could not."""
+    return F.col("doc_id").cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + F.col("line_no")
+
+
+def _equal_lines(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, line_no) of lines that equal an earlier one of ``rows``, grouped by hash."""
+    keyed = rows.select(F.xxhash64("line").alias("id"), _place().alias("place"), "doc_id", "line_no")
+    first = keyed.groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1")
+    return keyed.join(first, "id").where("place > first").select("doc_id", "line_no")
+
+
+def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:
     """Rows (doc_id, line_no) of lines that repeat an earlier one within ``tau`` edits.
 
     Earlier means a smaller (doc_id, line_no); a line goes if any line of another place that is equal or
-    within ``tau`` edits stands earlier, kept itself or not. Lines under ``min_chars`` characters never
-    take part, nor do rows with a null doc_id.
+    within ``tau`` edits stands earlier, kept itself or not. Lines under ``min_chars`` characters only go
+    where they have ``equal_chars`` or more (none have where it is None) and an equal one stands earlier.
+    Rows with a null doc_id never take part.
     """
     if min_chars < shortest(tau):
         raise ValueError(f"lines of under {shortest(tau)} characters are too short for {tau} edits")
-    rows = line_rows(docs.where("doc_id is not null")).where(F.char_length("line") >= min_chars)
-    # one number that sorts like (doc_id, line_no): hash aggregation can hold it, a struct it could not
-    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + F.col("line_no")
+    every = line_rows(docs.where("doc_id is not null"))
+    near = _near_lines(every.where(F.char_length("line") >= min_chars), tau)
+    if equal_chars is None or equal_chars >= min_chars:
+        return near
+    short = every.where((F.char_length("line") >= equal_chars) & (F.char_length("line") < min_chars))
+    return near.unionByName(_equal_lines(short))
+
+
+def _near_lines(rows: DataFrame, tau: int) -> DataFrame:
+    place = _place()
     keyed = rows.select(F.xxhash64("line").alias("id"), place.alias("place"), "doc_id", "line_no", "line")
     chars = wide(F.col("line"))
     wider = keyed.select("id", "place", chars.alias("chars")).withColumn("n", (F.octet_length("chars") / 4).cast("int"))
@@ -188,7 +211,7 @@ def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     return keyed.select("id", "place", "doc_id", "line_no").join(bad, "id").where(F.col("late") | (F.col("place") > F.col("first"))).select("doc_id", "line_no")
 
 
-def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:
     """``docs`` with repeated lines cut out of ``text`` (and ``n_chars`` set anew where it exists).
 
     A document that had text and loses all of its lines goes. Null and empty texts stay as they are, as do
@@ -196,7 +219,7 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     """
     name = free_name(docs, "gone")
     cut_lines = F.col(name)
-    gone = removed_lines(docs, tau, min_chars).groupBy("doc_id").agg(F.collect_set("line_no").alias(name))
+    gone = removed_lines(docs, tau, min_chars, equal_chars).groupBy("doc_id").agg(F.collect_set("line_no").alias(name))
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(cut_lines, i))
     out = docs.join(gone, "doc_id", "left").where(cut_lines.isNull() | (F.size(kept) > 0))
     out = out.withColumn("text", F.when(cut_lines.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
@@ -208,7 +231,7 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many go, and their numbers."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
+    gone = removed_lines(docs, TAU, NEAR_CHARS, EQUAL_CHARS).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
     lines = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
     return lines.join(gone, "doc_id", "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
