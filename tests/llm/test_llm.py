@@ -344,16 +344,59 @@ def test_substitutions_do_not_hide_a_benchmark_item(spark):
 # 8 passages
 
 
-def test_repeated_passages_keep_the_earliest(spark, odd, none):
+def test_repeated_lines_keep_the_earliest(spark, odd, none):
     line = "this passage has  more than eight words in it, really"
-    texts = [f"own start of the text\n{line}\nown end", f"{line.upper()}\n{line}\n{line}", "short line\nshort line", None, "", f"é😀\n{line.replace('  ', ' ')}"]
+    texts = [f"own start of the text\n{line}\nown end", f"{line.upper()}\n {line}\t\n{line}", "short line\nshort  line", None, "", f"é😀\n{line.replace('  ', ' ')}"]
     rows = {r.doc_id: r for r in substring_dedup.removed_spans(docs(spark, texts)).collect()}
     cut = {i: [texts[i][s.start : s.stop] for s in rows[i].spans] for i in rows}
-    assert cut == {0: [], 1: texts[1].split("\n"), 2: [], 3: [], 4: [], 5: [texts[5].split("\n")[1]]}
-    assert rows[1].n_units == 3 and rows[1].removed_chars == 3 * len(line)
+    assert cut == {0: [], 1: [texts[1]], 2: ["short  line"], 3: [], 4: [], 5: [texts[5].split("\n")[1]]}
+    assert rows[1].n_units == 3 and rows[1].removed_chars == len(texts[1]) and rows[1].passage_words == 30
     done = {r.doc_id: r for r in substring_dedup.dedup_passages(docs(spark, texts)).collect()}
     assert done[0].text == texts[0] and done[1].text == "" and done[5].text == "é😀" and done[3].text is None and len(done[5].removed_spans) == 1
     assert substring_dedup.removed_spans(odd).count() == odd.count() and substring_dedup.removed_spans(none).count() == 0
+    assert substring_dedup.dedup_passages(odd).count() == odd.count() and set(substring_dedup.dedup_passages(none).columns) == {*none.columns, "removed_spans"}
+
+
+def plain_gone(texts):
+    """(text, word) of every word in a line or 50-word run that stands earlier, by dictionaries alone."""
+    first, out, split = {}, set(), {}
+    for i, t in enumerate(texts):
+        words, at = [], 0
+        for line in (t or "").split("\n"):
+            own = [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", line)]
+            if own and first.setdefault(tuple(own), (i, at)) != (i, at):
+                out |= {(i, at + k) for k in range(len(own))}
+            words, at = words + own, at + len(own)
+        split[i] = words
+    runs = {}
+    for i, words in split.items():
+        for k in range(len(words) - 49):
+            d, p = runs.setdefault(tuple(words[k : k + 50]), (i, k))
+            if d < i or k - p >= 50:
+                out |= {(i, k + x) for x in range(50)}
+    return out
+
+
+def test_passages_inside_lines_equal_plain_python(spark, monkeypatch):
+    rng = random.Random(11)
+    passages = [" ".join(f"P{rng.randrange(90)}" for _ in range(n)) for n in (49, 50, 51, 60, 90, 140)]
+    texts = []
+    for i in range(40):
+        own = [f"w{rng.randrange(10_000)}" for _ in range(rng.randint(0, 60))]
+        own.insert(rng.randint(0, len(own)), rng.choice(passages))
+        own.insert(rng.randint(0, len(own)), rng.choice(["\n", "\n\n", "\nsame line\n", rng.choice(passages)]))
+        texts.append(" ".join(own))
+    texts += ["a " * 120, "b c " * 70, None]
+    for most_ids, hot in ((1000, 1000), (0, 3)):  # broadcast; shuffled, with hot keys split
+        monkeypatch.setattr(substring_dedup, "MAX_BROADCAST_IDS", most_ids)
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        rows = substring_dedup.removed_spans(docs(spark, texts)).collect()
+        got = set()
+        for r in rows:
+            places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[r.doc_id] or "")]
+            got |= {(r.doc_id, k) for k, (a, b) in enumerate(places) for s in r.spans if s.start <= a and b <= s.stop}
+        assert got == plain_gone(texts)
+    assert sum(r.has_passage for r in rows) > 15
 
 
 # 9 URL filters

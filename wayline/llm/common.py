@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,18 +14,49 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's checkpoint folder and read from there; survives lost executors.
+#: A key with more rows than this, and than a 100,000th of all rows, is hot: of such keys there are 100,000 at most.
+HOT_ROWS, MOST_HOT = 1000, 100_000
+
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, shared by driver and executors.
+
+    Where it is unset, a local session (tests) uses its warehouse folder; a cluster raises, since a folder of
+    one machine would lose what other machines wrote.
     """
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", "")
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints").rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the cluster's checkpoint folder and read from there; survives lost executors."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        conf = sc.getConf().get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def split_join(rows: DataFrame, groups: DataFrame, keys: list[str], times: str) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, one row per key with its number of rows in ``times``; hot keys are split.
+
+    A hot key's group is repeated once for each part, and its rows are dealt over the parts by their own
+    content, so that no task gets more of a key than ``HOT_ROWS`` rows or a 100,000th of all, give or take
+    chance. The hot keys are at most ``MOST_HOT`` by that rule and are broadcast. ``groups`` is cut here.
+    """
+    groups = cut(groups)
+    total = groups.agg(F.sum(times)).first()[0] or 0
+    size = max(HOT_ROWS, total // MOST_HOT)
+    parts = F.ceil(F.col(times) / size).cast("int")
+    part, n_parts = free_name(rows, "_part"), free_name(rows, "_parts")
+    hot = F.broadcast(groups.where(F.col(times) > size).select(*keys, parts.alias(n_parts)))
+    dealt = rows.join(hot, keys, "left").withColumn(part, F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col(n_parts)), F.lit(0)).cast("int")).drop(n_parts)
+    spread = groups.withColumn(part, F.explode(F.sequence(F.lit(0), F.when(F.col(times) > size, parts - 1).otherwise(0))))
+    return dealt.join(spread, [*keys, part]).drop(part)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores before it as it takes to differ from all columns of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -1,102 +1,350 @@
-"""Passages that repeat anywhere in the corpus, by hashing lines or paragraphs.
+"""Passages that repeat anywhere in the corpus: equal lines by hash, and equal runs of 50 words inside or across lines.
 
-Units are normalised (ASCII lower case, runs of white space as one space), their digests grouped over all
-documents, and the earliest occurrence by (doc_id, unit number) kept. What goes is returned as offsets into
-the original text, which is never rewritten until the caller asks for it.
+Lines are normalised (ASCII lower case, words joined by one space), their digests grouped over all documents
+and the earliest occurrence by (doc_id, place) kept. Lines alone miss a passage that begins or ends inside a
+line, so runs of WORDS words are units too, wherever they begin. Hashing every run would multiply the corpus;
+instead windows of ANCHOR words are thinned by winnowing, which chooses at least one in every WORDS words by
+its content alone: a passage that stands in two places holds the same anchors in both. Only runs around an
+anchor that occurs twice are hashed, grouped and removed, word for word, in offsets of the original text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm.common import free_name, read
+from wayline.llm.common import cut, fits_broadcast, free_name, read, split_join
+from wayline.llm.vectext import Block, blocks, mix
 
-#: Separators of the two kinds of unit.
-SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
-#: Fewest words of a unit that takes part: stock phrases of a few words are not passages.
-MIN_WORDS = 8
+#: Words of a run that is a unit, and of the windows that are thinned: one is chosen in WORDS - ANCHOR + 1 of them.
+WORDS, ANCHOR = 50, 25
+#: Ids of documents that are broadcast to fetch their texts, and joined by shuffle beyond.
+MAX_BROADCAST_IDS = 1_000_000
 
+_C1, _C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
-def normalised(unit: Column) -> Column:
-    lower = F.translate(unit, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(lower, r"[ \t\r\f\x0B\n]+", " "))
 
+class Words:
+    """Words of texts laid end to end: hash, text, line (counted over all texts), begin and end of each."""
 
-def units(docs: DataFrame, unit: str = "line") -> DataFrame:
-    """doc_id, unit_no (from 0) and the unit's text."""
-    parts = F.split(F.coalesce("text", F.lit("")), SEPARATORS[unit])
-    return docs.select("doc_id", F.posexplode_outer(parts).alias("unit_no", "unit"))
+    def __init__(self, texts: list[str]):
+        b = Block(texts)
+        b.cp = np.where((b.cp >= 65) & (b.cp <= 90), b.cp + 32, b.cp)
+        space = b.space()
+        self.n, self.block = b.n, b
+        self.begin = b.begins(space)
+        self.hash = b.hashes(self.begin, space)
+        self.doc = b.doc[self.begin]
+        before = np.concatenate(([True], space[:-1])) if len(space) else space
+        closing = np.flatnonzero(space & ~before) if len(space) else np.zeros(0, np.int64)
+        stops = np.sort(np.concatenate((closing, (b.start + b.size)[b.size > 0])))
+        self.end = stops[np.searchsorted(stops, self.begin, "right")] if len(stops) else stops
+        newline = np.cumsum(b.cp == 10)
+        self.line = newline[self.begin] + self.doc if len(self.begin) else self.begin
+        self.first_line = np.concatenate(([0], newline))[b.start] + np.arange(b.n)
+        self.first_word = np.searchsorted(self.doc, np.arange(b.n))
+        self.n_words = np.bincount(self.doc, minlength=b.n)
 
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of all runs of ``size`` words of one text, and two 64-bit hashes of each."""
+        count = len(self.hash) - size + 1
+        if count <= 0:
+            return np.zeros(0, np.int64), np.zeros((2, 0), np.uint64)
+        h, g, other = np.zeros(count, np.uint64), np.zeros(count, np.uint64), mix(self.hash)
+        for k in range(size):
+            h = h * _C1 + self.hash[k : k + count]
+            g = g * _C2 + other[k : k + count]
+        at = np.flatnonzero(self.doc[:count] == self.doc[size - 1 :])
+        return at, np.stack((mix(h[at]), mix(g[at])))
 
-def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """Units that go: doc_id, unit_no.
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the first words of all lines that have one, and two hashes of each line."""
+        if not len(self.line):
+            return np.zeros(0, np.int64), np.zeros((2, 0), np.uint64)
+        at = np.flatnonzero(np.concatenate(([True], self.line[1:] != self.line[:-1])))
+        within = (np.arange(len(self.line)) - np.repeat(at, np.diff(np.append(at, len(self.line))))).astype(np.uint64)
+        sums = [np.add.reduceat(mix(h + within * c) * c, at) for h, c in ((self.hash, _C1), (mix(self.hash), _C2))]
+        return at, np.stack([mix(s) for s in sums])
 
-    A unit goes if an equal one (after normalising) of at least ``min_words`` words stands at a smaller
-    (doc_id, unit_no). Null and empty texts have no units that go; rows with a null doc_id are left alone.
-    """
-    rows = units(docs.where("doc_id is not null"), unit)
-    plain = normalised(F.col("unit"))
-    keyed = rows.select("doc_id", "unit_no", plain.alias("plain")).where(F.size(F.split("plain", " ")) >= min_words)
-    keyed = keyed.select("doc_id", "unit_no", F.unhex(F.md5("plain")).alias("digest"))
-    first = keyed.groupBy("digest").agg(F.min(F.struct("doc_id", "unit_no")).alias("first"), F.count("*").alias("times")).where("times > 1")
-    return keyed.join(first, "digest").where(F.struct("doc_id", "unit_no") > F.col("first")).select("doc_id", "unit_no").distinct()
+
+def _slide(x: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
+    """``pick`` (minimum or maximum) over every ``size`` consecutive elements."""
+    have, out = 1, x
+    while have < size:
+        step = min(have, size - have)
+        out = pick(out[: len(out) - step], out[step:])
+        have += step
+    return out
+
+
+def anchors(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the chosen windows: the smallest hash of every WORDS - ANCHOR + 1 neighbours, ties included."""
+    at, (h, _) = w.windows(ANCHOR)
+    k = WORDS - ANCHOR + 1
+    edge = np.full(k - 1, np.iinfo(np.uint64).max, np.uint64)
+    least = _slide(np.concatenate((edge, h, edge)), k, np.minimum)
+    chosen = (_slide(least, k, np.maximum) == h) & (w.n_words[w.doc[at]] >= WORDS)
+    return at[chosen], h[chosen]
+
+
+def _own(at: np.ndarray, hashes: np.ndarray, doc: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """For units of texts: index of the first equal unit of the same text, and whether one ``apart`` or more before is equal."""
+    key = mix(hashes[0] ^ mix(doc.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate(([True], key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, bool)
+    first = np.empty(len(key), np.int64)
+    first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else order
+    return first, at - at[first] >= apart
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
+
+
+_UNITS = "doc_id long, text_key long, pos int, again boolean, h1 long, h2 long"
+
+
+def _rows(w: Words, ids: np.ndarray, keys: np.ndarray, at: np.ndarray, hashes: np.ndarray, apart: int) -> pd.DataFrame:
+    """One row per text and distinct unit: the place of the first, and whether it occurs again there."""
+    doc = w.doc[at]
+    first, late = _own(at, hashes, doc, apart)
+    again = np.zeros(len(at), bool)
+    again[first[late]] = True
+    one = first == np.arange(len(at))
+    d = doc[one]
+    return pd.DataFrame({
+        "doc_id": ids[d], "text_key": keys[d], "pos": (at[one] - w.first_word[d]).astype(np.int32), "again": again[one],
+        "h1": _signed(hashes[0][one]), "h2": _signed(hashes[1][one]),
+    })
+
+
+def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[Words, np.ndarray, np.ndarray, pd.DataFrame]]:
+    for b in batches:
+        for first, texts in blocks(b["text"].tolist()):
+            part = b.iloc[first : first + len(texts)]
+            yield Words(texts), part["doc_id"].to_numpy(np.int64), part["text_key"].to_numpy(np.int64), part
+
+
+def _line_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for w, ids, keys, _ in _batches(batches):
+        yield _rows(w, ids, keys, *w.lines(), 1)
+
+
+def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for w, ids, keys, _ in _batches(batches):
+        at, h = anchors(w)
+        d = w.doc[at]
+        yield pd.DataFrame({"doc_id": ids[d], "text_key": keys[d], "pos": (at - w.first_word[d]).astype(np.int32), "h1": _signed(h)})
+
+
+def _window_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of WORDS words that hold one of the text's repeated anchors."""
+    for w, ids, keys, part in _batches(batches):
+        at, hashes = w.windows(WORDS)
+        edge = np.zeros(len(w.hash) + 1, np.int64)
+        for i, places in enumerate(part["places"]):
+            pos = w.first_word[i] + np.asarray(places, np.int64)
+            np.add.at(edge, np.maximum(pos - (WORDS - ANCHOR), 0), 1)
+            np.add.at(edge, np.minimum(pos + 1, len(w.hash)), -1)
+        near = np.cumsum(edge)[at] > 0
+        yield _rows(w, ids, keys, at[near], hashes[:, near], WORDS)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def removed_spans(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_units, n_removed, removed_chars and spans, an array of struct (start, stop).
+def _repeats(rows: DataFrame, name: str) -> DataFrame:
+    """doc_id, text_key and ``name``: places of units that occur twice, times two, plus one where the unit goes."""
+    first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"), F.bool_or("again").alias("twice"))
+    met = split_join(rows, first.where("times > 1 or twice"), ["h1", "h2"], "times")
+    coded = F.col("pos") * 2 + (F.col("first") < F.col("doc_id")).cast("int")
+    return met.groupBy("doc_id", "text_key").agg(F.collect_set(coded).alias(name))
 
-    Offsets are code points of the original text, stop exclusive, separators not included.
+
+def repeated_units(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, lines, runs: places of the units that stand elsewhere too, coded as in ``_repeats``."""
+    texts = _keyed(docs)
+    lines = _repeats(texts.mapInPandas(_line_units, _UNITS), "lines")
+    chosen = cut(texts.mapInPandas(_anchor_rows, "doc_id long, text_key long, pos int, h1 long"))
+    twice = chosen.groupBy("h1").agg(F.count("*").alias("times")).where("times > 1")
+    hits = cut(split_join(chosen, twice, ["h1"], "times").groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("places")))
+    ids = hits.select("doc_id", "text_key")
+    some = texts.join(F.broadcast(ids), ["doc_id", "text_key"], "left_semi") if fits_broadcast(ids, MAX_BROADCAST_IDS) else texts
+    some = some.join(hits, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+    runs = _repeats(some.mapInPandas(_window_units, _UNITS), "runs")
+    return cut(lines.join(runs, ["doc_id", "text_key"], "full"))
+
+
+def _places(coded: pd.Series, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Places of repeated units, counted over all texts of ``w``, and which of those units go."""
+    held = [(w.first_word[i], np.asarray(c, np.int64)) for i, c in enumerate(coded) if c is not None and len(c)]
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    return np.concatenate([first + (c >> 1) for first, c in held]), np.concatenate([c & 1 == 1 for _, c in held])
+
+
+def _runs(marked: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of every run of marked words of one text."""
+    inner = marked[1:] & marked[:-1] & (doc[1:] == doc[:-1])
+    return np.flatnonzero(marked & np.concatenate(([True], ~inner))), np.flatnonzero(marked & np.concatenate((~inner, [True])))
+
+
+def spans_of(texts: list[str], lines: pd.Series, runs: pd.Series) -> list[tuple[list[tuple[int, int]], int, int]]:
+    """Per text: spans that go, words of the longest of them, and words of the longest run that stands elsewhere too."""
+    w = Words(texts)
+    if not len(w.hash):
+        return [([], 0, 0)] * w.n
+    gone, seen = np.zeros(len(w.hash) + 1, np.int64), np.zeros(len(w.hash) + 1, np.int64)
+    for coded, unit, apart in ((lines, Words.lines, 1), (runs, lambda w: w.windows(WORDS), WORDS)):
+        places, go = _places(coded, w)
+        if not len(places):
+            continue
+        at, hashes = unit(w)
+        stop = np.append(at[1:], len(w.hash)) if apart == 1 else at + WORDS
+        first, late = _own(at, hashes, w.doc[at], apart)
+        known, goes = np.zeros(len(w.hash), bool), np.zeros(len(w.hash), bool)
+        known[places] = True
+        goes[places[go]] = True
+        known, goes = known[at[first]], goes[at[first]]
+        for total, units in ((gone, known & (goes | late)), (seen, known)):
+            np.add.at(total, at[units], 1)
+            np.add.at(total, stop[units], -1)
+    a, b = _runs(np.cumsum(gone)[:-1] > 0, w.doc)
+    c, d = _runs(np.cumsum(seen)[:-1] > 0, w.doc)
+    longest, shared = np.zeros(w.n, np.int64), np.zeros(w.n, np.int64)
+    np.maximum.at(longest, w.doc[a], b - a + 1)
+    np.maximum.at(shared, w.doc[c], d - c + 1)
+    starts, stops = w.begin[a] - w.block.start[w.doc[a]], w.end[b] - w.block.start[w.doc[a]]
+    edges = np.searchsorted(w.doc[a], np.arange(w.n + 1))
+    pairs = list(zip(starts.tolist(), stops.tolist(), strict=True))
+    return [(pairs[edges[i] : edges[i + 1]], int(longest[i]), int(shared[i])) for i in range(w.n)]
+
+
+def _found(text: pd.Series, lines: pd.Series, runs: pd.Series) -> list[tuple[list[tuple[int, int]], int, int]]:
+    out = []
+    for first, texts in blocks(text.tolist()):
+        part = slice(first, first + len(texts))
+        out += spans_of(texts, lines.iloc[part], runs.iloc[part])
+    return out
+
+
+_SPAN = "array<struct<start:int,stop:int>>"
+
+
+def _joined(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``docs`` with the coded places of each row's text, as ``names``: its id, its key, its lines, its runs."""
+    found = repeated_units(docs).toDF(*names)
+    return docs.join(found, (docs["doc_id"].cast("long") == found[names[0]]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found[names[1]]), "left")
+
+
+def removed_spans(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_units (lines), n_removed (spans), removed_chars, spans (array of
+    struct (start, stop)), passage_words (words of the longest span), has_passage (that is WORDS or more) and
+    shares_passage (WORDS or more words in a row that stand in another place too, the one kept included).
+
+    A line with a word goes if an equal one stands at a smaller (doc_id, place); so does a run of WORDS words,
+    unless the two overlap. Spans are code points of the original text from the first to past the last word of
+    neighbouring words that go. Null and empty texts, and rows with a null doc_id, lose nothing; rows that
+    repeat an id are alike and never earlier than each other; ties cannot occur, as places differ; extra
+    columns are ignored; an empty table gives an empty result. Texts of any length are worked on whole.
     """
-    gone = repeated_units(docs, unit, min_words).groupBy("doc_id").agg(F.collect_set("unit_no").alias("gone"))
-    sep = SEPARATORS[unit]
-    lengths = docs.select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), sep), lambda p: F.char_length(p)).alias("lengths"))
-    joined = lengths.join(gone, "doc_id", "left")
-    # the running offset over (length, gone) pairs of one document; only units that go are appended
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("no"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
-
-    def step(s: Column, n: Column) -> Column:
-        span = F.struct(s["at"].alias("start"), (s["at"] + n).alias("stop"))
-        return F.struct(
-            (s["at"] + n + len(sep)).alias("at"), (s["no"] + 1).alias("no"),
-            F.when(F.array_contains("gone", s["no"]), F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"),
-        )
-
-    spans = F.when(F.col("gone").isNull(), zero["spans"]).otherwise(F.aggregate("lengths", zero, step)["spans"])
-    out = joined.select("doc_id", F.size("lengths").cast("long").alias("n_units"), spans.alias("spans"))
-    return out.select(
-        "doc_id", "n_units", F.size("spans").cast("long").alias("n_removed"),
+    rows = _joined(docs.select("doc_id", "text"), ("_id", "_key", "lines", "runs"))
+    touched = F.col("_id").isNotNull()
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = _found(b["text"], b["lines"], b["runs"])
+            yield pd.DataFrame({
+                "doc_id": b["doc_id"], "n_units": b["n_units"],
+                "spans": [[{"start": s, "stop": e} for s, e in spans] for spans, _, _ in found],
+                "passage_words": [n for _, n, _ in found], "seen": [n for _, _, n in found],
+            })
+
+    n_units = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
+    slim = rows.select(F.col("doc_id").cast("string").alias("doc_id"), n_units.alias("n_units"), F.when(touched, F.coalesce("text", F.lit(""))).alias("text"), "lines", "runs")
+    done = slim.mapInPandas(measure, f"doc_id string, n_units long, spans {_SPAN}, passage_words long, seen long")
+    return done.select(
+        F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_units", F.size("spans").cast("long").alias("n_removed"),
         F.aggregate("spans", F.lit(0), lambda a, s: a + s["stop"] - s["start"]).cast("long").alias("removed_chars"), "spans",
+        "passage_words", (F.col("passage_words") >= WORDS).alias("has_passage"), (F.col("seen") >= WORDS).alias("shares_passage"),
     )
 
 
-def dedup_passages(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated units cut out of ``text`` and their original spans in ``removed_spans`` (an existing column of that name is replaced)."""
-    sep = SEPARATORS[unit]
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without its spans, and without the lines that lose every word by it."""
+    parts, at = [], 0
+    for s, e in spans:
+        parts += [text[at:s], "\x00" if "\x00" not in text else ""]
+        at = e
+    left = "".join([*parts, text[at:]])
+    if "\x00" in text:
+        return left
+    return "\n".join(line.replace("\x00", "") for line in left.split("\n") if "\x00" not in line or line.replace("\x00", "").strip(" \t\r\f\v"))
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text`` and their original spans in ``removed_spans`` (an existing
+    column of that name is replaced). Null texts stay null; the other cases are those of ``removed_spans``."""
     docs = docs.drop("removed_spans")
-    name = free_name(docs, "gone")
-    gone = repeated_units(docs, unit, min_words).groupBy("doc_id").agg(F.collect_set("unit_no").alias(name))
-    spans = removed_spans(docs, unit, min_words).select("doc_id", F.col("spans").alias("removed_spans")).dropDuplicates(["doc_id"])
-    kept = F.array_join(F.filter(F.split("text", sep), lambda u, i: ~F.array_contains(name, i)), sep)
-    out = docs.join(gone, "doc_id", "left").join(spans, "doc_id", "left")
-    return out.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(kept)).drop(name)
+    names = tuple(free_name(docs, n) for n in ("r_id", "r_key", "r_lines", "r_runs"))
+    rows = _joined(docs, names)
+
+    @F.pandas_udf(f"text string, spans {_SPAN}")
+    def cut_out(text: pd.Series, lines: pd.Series, runs: pd.Series) -> pd.DataFrame:
+        out, spans = [], []
+        for t, (found, _, _) in zip(text, _found(text, lines, runs), strict=True):
+            out.append(_without(t, found) if found else t)
+            spans.append([{"start": s, "stop": e} for s, e in found])
+        return pd.DataFrame({"text": out, "spans": spans})
+
+    name = free_name(docs, "r_done")
+    done = rows.withColumn(name, cut_out("text", names[2], names[3]))
+    return done.select(*[F.col(f"{name}.text").alias(c) if c == "text" else F.col(c) for c in docs.columns], F.col(f"{name}.spans").alias("removed_spans"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``removed_spans`` of all documents, spans as text (start:stop, joined by commas); its docstring defines every case."""
     found = removed_spans(read(spark, sf_dir, "documents"))
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
-    return found.select("doc_id", "n_units", "n_removed", "removed_chars", text.alias("spans"))
+    return found.select("doc_id", "n_units", "n_removed", "removed_chars", text.alias("spans"), "passage_words", "has_passage", "shares_passage")
 
 
 SQL = f"""
-with u as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as unit,
-    unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) as unit_no from documents),
-o as (select *, sum(length(unit) + 1) over (partition by doc_id order by unit_no) - length(unit) - 1 as start from u),
-k as (select *, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\r\\f\\x0B]+', ' ', 'g')) as plain from o),
-r as (select *, case when len(string_split(plain, ' ')) >= {MIN_WORDS}
-    then row_number() over (partition by plain order by doc_id, unit_no) else 1 end as rn from k)
-select doc_id, count(*) as n_units, count(*) filter (rn > 1) as n_removed,
-  cast(coalesce(sum(length(unit)) filter (rn > 1), 0) as bigint) as removed_chars,
-  coalesce(string_agg(cast(start as bigint) || ':' || cast(start + length(unit) as bigint), ',' order by unit_no) filter (rn > 1), '') as spans
-from r group by doc_id
+with d as (select doc_id, coalesce(text, '') as text from documents),
+u as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as line_no from d),
+o as (select *, cast(coalesce(sum(length(line) + 1) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) as bigint) as base from u),
+lower as (select *, translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as plain from o),
+p as (select *, regexp_extract_all(plain, '[ \\t\\r\\f\\x0B]+|[^ \\t\\r\\f\\x0B]+') as parts from lower),
+x as (select doc_id, line_no, base, unnest(parts) as part, unnest(range(0, len(parts))) as part_no from p where len(parts) > 0),
+y as (select *, base + cast(coalesce(sum(length(part)) over (partition by doc_id, line_no order by part_no rows between unbounded preceding and 1 preceding), 0) as bigint) as start from x),
+w as (select doc_id, line_no, part as word, start, row_number() over (partition by doc_id order by line_no, part_no) - 1 as pos
+  from y where not regexp_matches(part, '^[ \\t\\r\\f\\x0B]')),
+l as (select doc_id, line_no, min(pos) as pos, max(pos) + 1 as stop, string_agg(word, ' ' order by pos) as unit from w group by doc_id, line_no),
+lr as (select doc_id, pos, stop, count(*) over (partition by unit) as times, row_number() over (partition by unit order by doc_id, pos) as rn from l),
+a as (select doc_id, list(word order by pos) as words from w group by doc_id having count(*) >= {WORDS}),
+r as (select doc_id, pos, array_to_string(words[pos + 1:pos + {WORDS}], ' ') as unit
+  from (select doc_id, words, unnest(range(0, len(words) - {WORDS - 1})) as pos from a)),
+rm as (select doc_id, pos, min(doc_id) over (partition by unit) as first_doc, min(pos) over (partition by unit, doc_id) as own,
+  max(pos) over (partition by unit, doc_id) as last, max(doc_id) over (partition by unit) as last_doc from r),
+marks as (
+  select doc_id, pos, stop, rn > 1 as goes from lr where times > 1
+  union all select doc_id, pos, pos + {WORDS}, first_doc < doc_id or pos - own >= {WORDS} from rm where first_doc <> last_doc or last - own >= {WORDS}),
+gone as (select distinct doc_id, unnest(range(pos, stop)) as pos from marks where goes),
+seen as (select distinct doc_id, unnest(range(pos, stop)) as pos from marks),
+runs as (select doc_id, min(pos) as a, max(pos) as b from (select *, pos - row_number() over (partition by doc_id order by pos) as run from gone) group by doc_id, run),
+seen_runs as (select doc_id, max(n) as n from (select doc_id, count(*) as n from (select *, pos - row_number() over (partition by doc_id order by pos) as run from seen) group by doc_id, run) group by doc_id),
+spans as (select g.doc_id, x.start as start, z.start + length(z.word) as stop, g.b - g.a + 1 as n
+  from runs g join w x on x.doc_id = g.doc_id and x.pos = g.a join w z on z.doc_id = g.doc_id and z.pos = g.b),
+s as (select doc_id, count(*) as n_removed, cast(sum(stop - start) as bigint) as removed_chars,
+  string_agg(start || ':' || stop, ',' order by start) as spans, max(n) as passage_words from spans group by doc_id)
+select d.doc_id, cast(len(string_split(d.text, chr(10))) as bigint) as n_units, coalesce(n_removed, 0) as n_removed, coalesce(removed_chars, 0) as removed_chars,
+  coalesce(spans, '') as spans, coalesce(passage_words, 0) as passage_words, coalesce(passage_words, 0) >= {WORDS} as has_passage,
+  coalesce(n, 0) >= {WORDS} as shares_passage
+from d left join s using (doc_id) left join seen_runs using (doc_id)
 """
