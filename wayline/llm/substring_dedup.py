@@ -105,19 +105,20 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-_UNITS = "doc_id long, text_key long, pos int, again boolean, h1 long, h2 long"
+_UNITS = "doc_id long, text_key long, pos int, stays boolean, again boolean, h1 long, h2 long"
 
 
-def _rows(w: Words, ids: np.ndarray, keys: np.ndarray, at: np.ndarray, hashes: np.ndarray, apart: int) -> pd.DataFrame:
-    """One row per text and distinct unit: the place of the first, and whether it occurs again there."""
+def _rows(w: Words, ids: np.ndarray, keys: np.ndarray, at: np.ndarray, hashes: np.ndarray, apart: int, stays: np.ndarray) -> pd.DataFrame:
+    """One row per text and distinct unit: the place of the first, whether one of them ``stays``, and whether a later one does."""
     doc = w.doc[at]
     first, late = _own(at, hashes, doc, apart)
-    again = np.zeros(len(at), bool)
-    again[first[late]] = True
+    again, any_ = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    again[first[late & stays]] = True
+    any_[first[stays]] = True
     one = first == np.arange(len(at))
     d = doc[one]
     return pd.DataFrame({
-        "doc_id": ids[d], "text_key": keys[d], "pos": (at[one] - w.first_word[d]).astype(np.int32), "again": again[one],
+        "doc_id": ids[d], "text_key": keys[d], "pos": (at[one] - w.first_word[d]).astype(np.int32), "stays": any_[one], "again": again[one],
         "h1": _signed(hashes[0][one]), "h2": _signed(hashes[1][one]),
     })
 
@@ -131,14 +132,50 @@ def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[Words, np.ndarra
 
 def _line_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for w, ids, keys, _ in _batches(batches):
-        yield _rows(w, ids, keys, *w.lines(), 1)
+        at, hashes = w.lines()
+        yield _rows(w, ids, keys, at, hashes, 1, np.ones(len(at), bool))
 
 
-def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _anchor_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per text: places and hashes of its anchors, and the places at which its lines begin."""
     for w, ids, keys, _ in _batches(batches):
         at, h = anchors(w)
-        d = w.doc[at]
-        yield pd.DataFrame({"doc_id": ids[d], "text_key": keys[d], "pos": (at - w.first_word[d]).astype(np.int32), "h1": _signed(h)})
+        begin = w.lines()[0]
+        local = lambda x: x - w.first_word[w.doc[x]]
+        cuts = [np.searchsorted(w.doc[x], np.arange(w.n + 1)) for x in (at, begin)]
+        part = lambda x, i, c: x[c[i] : c[i + 1]]
+        used = np.flatnonzero(np.diff(cuts[0]))
+        if not len(used):
+            continue
+        pos, h, begin = local(at).astype(np.int32), _signed(h), local(begin).astype(np.int32)
+        yield pd.DataFrame({
+            "doc_id": ids[used], "text_key": keys[used], "places": [part(pos, i, cuts[0]) for i in used],
+            "hashes": [part(h, i, cuts[0]) for i in used], "begins": [part(begin, i, cuts[1]) for i in used],
+        })
+
+
+def _stays(begins: np.ndarray, lines: np.ndarray | None, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Whether words ``start`` to ``stop`` of a text reach into a line that stays; a line's later repeats count as lines that stay."""
+    coded = np.zeros(0, np.int64) if lines is None else np.asarray(lines, np.int64)
+    kept = np.concatenate(([0], np.cumsum(~np.isin(begins, coded[coded & 1 == 1] >> 1))))
+    return kept[np.searchsorted(begins, stop - 1, "right")] > kept[np.searchsorted(begins, start, "right") - 1]
+
+
+def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per anchor: whether runs that hold it reach into a line that stays, and whether its text also holds it twice."""
+    for b in batches:
+        stay, again = [], []
+        for places, hashes, begins, lines in zip(b["places"], b["hashes"], b["begins"], b["lines"], strict=True):
+            # every run that holds the anchor is looked at: a line that stays may lie beside the anchor
+            stay.append(_stays(begins, lines, np.maximum(places - (WORDS - ANCHOR), 0), places + WORDS))
+            _, which, n = np.unique(hashes, return_inverse=True, return_counts=True)
+            again.append((n[which] > 1) & stay[-1])
+        if stay:
+            n = np.fromiter(map(len, stay), np.int64, len(stay))
+            yield pd.DataFrame({
+                "doc_id": np.repeat(b["doc_id"].to_numpy(), n), "text_key": np.repeat(b["text_key"].to_numpy(), n),
+                "pos": np.concatenate(b["places"].tolist()), "h1": np.concatenate(b["hashes"].tolist()), "stays": np.concatenate(stay), "again": np.concatenate(again),
+            })
 
 
 def _window_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,7 +188,14 @@ def _window_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             np.add.at(edge, np.maximum(pos - (WORDS - ANCHOR), 0), 1)
             np.add.at(edge, np.minimum(pos + 1, len(w.hash)), -1)
         near = np.cumsum(edge)[at] > 0
-        yield _rows(w, ids, keys, at[near], hashes[:, near], WORDS)
+        at, hashes, stays = at[near], hashes[:, near], np.zeros(int(near.sum()), bool)
+        begin = w.lines()[0]
+        lines, cuts = np.searchsorted(w.doc[begin], np.arange(w.n + 1)), np.searchsorted(w.doc[at], np.arange(w.n + 1))
+        for i, coded in enumerate(part["lines"]):
+            own = slice(cuts[i], cuts[i + 1])
+            pos = at[own] - w.first_word[i]
+            stays[own] = _stays(begin[lines[i] : lines[i + 1]] - w.first_word[i], coded, pos, pos + WORDS)
+        yield _rows(w, ids, keys, at, hashes, WORDS, stays)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -159,26 +203,40 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
+_OPEN = "last_stay > first or again > 0"
+
+
+def _late() -> list:
+    return [F.max(F.when(F.col("stays"), F.col("doc_id"))).alias("last_stay"), F.max(F.col("again").cast("int")).alias("again")]
+
+
 def _repeats(rows: DataFrame, name: str) -> DataFrame:
-    """doc_id, text_key and ``name``: places of units that occur twice, times two, plus one where the unit goes."""
-    first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"), F.bool_or("again").alias("twice"))
-    met = split_join(rows, first.where("times > 1 or twice"), ["h1", "h2"], "times")
+    """doc_id, text_key and ``name``: places of units of which a later one stays, times two, plus one where the unit goes."""
+    first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"), *_late())
+    met = split_join(rows.drop("stays", "again"), first.where(_OPEN).select("h1", "h2", "first", "times"), ["h1", "h2"], "times")
     coded = F.col("pos") * 2 + (F.col("first") < F.col("doc_id")).cast("int")
     return met.groupBy("doc_id", "text_key").agg(F.collect_set(coded).alias(name))
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, lines, runs: places of the units that stand elsewhere too, coded as in ``_repeats``."""
+    """doc_id, text_key, lines, runs: places of the units that stand elsewhere too, coded as in ``_repeats``.
+
+    Runs are only looked for where they can change a word's fate: around anchors of which some occurrence but
+    the first reaches into a line that stays. All others lie in lines that go, or are the first of their kind.
+    """
     texts = _keyed(docs)
-    lines = _repeats(texts.mapInPandas(_line_units, _UNITS), "lines")
-    chosen = cut(texts.mapInPandas(_anchor_rows, "doc_id long, text_key long, pos int, h1 long"))
-    twice = chosen.groupBy("h1").agg(F.count("*").alias("times")).where("times > 1")
-    hits = cut(split_join(chosen, twice, ["h1"], "times").groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("places")))
-    ids = hits.select("doc_id", "text_key")
-    some = texts.join(F.broadcast(ids), ["doc_id", "text_key"], "left_semi") if fits_broadcast(ids, MAX_BROADCAST_IDS) else texts
-    some = some.join(hits, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+    key = ["doc_id", "text_key"]
+    lines = cut(_repeats(texts.mapInPandas(_line_units, _UNITS), "lines"))
+    lists = texts.mapInPandas(_anchor_lists, "doc_id long, text_key long, places array<int>, hashes array<long>, begins array<int>")
+    chosen = cut(lists.join(lines, key, "left").mapInPandas(_anchor_rows, "doc_id long, text_key long, pos int, h1 long, stays boolean, again boolean"))
+    met = chosen.groupBy("h1").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"), *_late())
+    open_ = met.where(_OPEN).select("h1", "times")
+    hits = cut(split_join(chosen.select(*key, "pos", "h1"), open_, ["h1"], "times").groupBy(*key).agg(F.collect_set("pos").alias("places")))
+    ids = hits.select(*key)
+    some = texts.join(F.broadcast(ids), key, "left_semi") if fits_broadcast(ids, MAX_BROADCAST_IDS) else texts
+    some = some.join(hits, key).join(lines, key, "left").dropDuplicates(key)
     runs = _repeats(some.mapInPandas(_window_units, _UNITS), "runs")
-    return cut(lines.join(runs, ["doc_id", "text_key"], "full"))
+    return cut(lines.join(runs, key, "full"))
 
 
 def _places(coded: pd.Series, w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +304,8 @@ def _joined(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
 def removed_spans(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_units (lines), n_removed (spans), removed_chars, spans (array of
     struct (start, stop)), passage_words (words of the longest span), has_passage (that is WORDS or more) and
-    shares_passage (WORDS or more words in a row that stand in another place too, the one kept included).
+    shares_passage (WORDS or more words in a row that stand in another place too, the one kept included;
+    of runs, those count of which a later one reaches into a line that is no repeat of another text's).
 
     A line with a word goes if an equal one stands at a smaller (doc_id, place); so does a run of WORDS words,
     unless the two overlap. Spans are code points of the original text from the first to past the last word of
@@ -326,15 +385,19 @@ y as (select *, base + cast(coalesce(sum(length(part)) over (partition by doc_id
 w as (select doc_id, line_no, part as word, start, row_number() over (partition by doc_id order by line_no, part_no) - 1 as pos
   from y where not regexp_matches(part, '^[ \\t\\r\\f\\x0B]')),
 l as (select doc_id, line_no, min(pos) as pos, max(pos) + 1 as stop, string_agg(word, ' ' order by pos) as unit from w group by doc_id, line_no),
-lr as (select doc_id, pos, stop, count(*) over (partition by unit) as times, row_number() over (partition by unit order by doc_id, pos) as rn from l),
+lr as (select doc_id, pos, stop, count(*) over (partition by unit) as times, row_number() over (partition by unit order by doc_id, pos) as rn,
+  min(doc_id) over (partition by unit) < doc_id and min(pos) over (partition by unit, doc_id) = pos as other from l),
+kw as (select doc_id, unnest(range(pos, stop)) as pos, case when other then 0 else 1 end as stays from lr),
+ks as (select doc_id, pos, max(stays) over (partition by doc_id order by pos rows between current row and {WORDS - 1} following) = 1 as stays from kw),
 a as (select doc_id, list(word order by pos) as words from w group by doc_id having count(*) >= {WORDS}),
 r as (select doc_id, pos, array_to_string(words[pos + 1:pos + {WORDS}], ' ') as unit
   from (select doc_id, words, unnest(range(0, len(words) - {WORDS - 1})) as pos from a)),
-rm as (select doc_id, pos, min(doc_id) over (partition by unit) as first_doc, min(pos) over (partition by unit, doc_id) as own,
-  max(pos) over (partition by unit, doc_id) as last, max(doc_id) over (partition by unit) as last_doc from r),
+rl as (select r.*, first_doc < doc_id or pos - own >= {WORDS} as late, stays
+  from (select *, min(doc_id) over (partition by unit) as first_doc, min(pos) over (partition by unit, doc_id) as own from r) r join ks using (doc_id, pos)),
+rm as (select *, bool_or(late and stays) over (partition by unit) as live from rl),
 marks as (
   select doc_id, pos, stop, rn > 1 as goes from lr where times > 1
-  union all select doc_id, pos, pos + {WORDS}, first_doc < doc_id or pos - own >= {WORDS} from rm where first_doc <> last_doc or last - own >= {WORDS}),
+  union all select doc_id, pos, pos + {WORDS}, late from rm where live),
 gone as (select distinct doc_id, unnest(range(pos, stop)) as pos from marks where goes),
 seen as (select distinct doc_id, unnest(range(pos, stop)) as pos from marks),
 runs as (select doc_id, min(pos) as a, max(pos) as b from (select *, pos - row_number() over (partition by doc_id order by pos) as run from gone) group by doc_id, run),
