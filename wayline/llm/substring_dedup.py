@@ -211,9 +211,12 @@ def _late() -> list:
 
 
 def _repeats(rows: DataFrame, name: str) -> DataFrame:
-    """doc_id, text_key and ``name``: places of units of which a later one stays, times two, plus one where the unit goes."""
+    """doc_id, text_key and ``name``: places of units of which a later one stays, times two, plus one where the unit goes.
+
+    Units that lie in lines that go count as earlier ones, but are not marked themselves.
+    """
     first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"), *_late())
-    met = split_join(rows.drop("stays", "again"), first.where(_OPEN).select("h1", "h2", "first", "times"), ["h1", "h2"], "times")
+    met = split_join(rows.where("stays").select("doc_id", "text_key", "pos", "h1", "h2"), first.where(_OPEN).select("h1", "h2", "first", "times"), ["h1", "h2"], "times")
     coded = F.col("pos") * 2 + (F.col("first") < F.col("doc_id")).cast("int")
     return met.groupBy("doc_id", "text_key").agg(F.collect_set(coded).alias(name))
 
@@ -394,7 +397,7 @@ r as (select doc_id, pos, array_to_string(words[pos + 1:pos + {WORDS}], ' ') as
   from (select doc_id, words, unnest(range(0, len(words) - {WORDS - 1})) as pos from a)),
 rl as (select r.*, first_doc < doc_id or pos - own >= {WORDS} as late, stays
   from (select *, min(doc_id) over (partition by unit) as first_doc, min(pos) over (partition by unit, doc_id) as own from r) r join ks using (doc_id, pos)),
-rm as (select *, bool_or(late and stays) over (partition by unit) as live from rl),
+rm as (select *, bool_or(late and stays) over (partition by unit) and bool_or(stays) over (partition by unit, doc_id) as live from rl),
 marks as (
   select doc_id, pos, stop, rn > 1 as goes from lr where times > 1
   union all select doc_id, pos, pos + {WORDS}, late from rm where live),
