@@ -1,16 +1,19 @@
 """Personal data: patterns for what has a form, and information content for what gives it away.
 
-Four patterns find e-mail addresses, IP addresses, card and phone numbers. The values found are the
-protected entities. Words near them are then weighed over the whole corpus: with document counts of the
-entity, of the word and of the word standing near the entity, the pointwise mutual information tells what
-share of the entity's information content the word discloses. Words over one threshold are generalised,
-over a higher one removed. Only occurrences near an entity are touched; a text without one stays whole.
+Four patterns find e-mail addresses, IP addresses, card and phone numbers; secrets (keys, tokens, passwords)
+are found by the information in their characters or by an assignment to a telling name. The values found and
+their kinds are the protected entities. Over the whole corpus it is counted how many documents hold a term,
+and in how many it stands near an entity. From that follows how many bits of uncertainty about the entity
+are left to a reader who sees the term: with few left the term is generalised, with fewer removed, wherever
+in the corpus it occurs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,16 +21,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayline.llm.common import cut, read
+from wayline.llm.common import cut, fits_broadcast, read
 
-#: Kinds in the order that breaks ties of start: the base patterns, then the two of the method.
-KINDS = ("email", "ip", "card", "phone", "general", "remove")
-#: Shares of an entity's information content from which a word is generalised and removed.
-GENERALISE, REMOVE = 0.5, 0.8
-#: Documents in which a word must stand near an entity before their bond is measured.
-MIN_DOCS = 3
+#: Kinds in the order that breaks ties of start: the base patterns, then those of the method.
+KINDS = ("email", "ip", "card", "phone", "secret", "general", "remove")
+#: Bits of uncertainty about an entity that a term may leave at most to be generalised, and to be removed.
+GENERALISE_BITS, REMOVE_BITS = 1.0, 0.33
+#: Bits that a term must tell at least: what most documents hold anyway is not disclosed by a word.
+LEAST_BITS = 2.0
+#: Documents without the entity that every term is credited with, so that few observations prove little.
+PRIOR = 3
 #: Context of an entity: so many words on either side, within so many characters.
 WINDOW_WORDS, WINDOW_CHARS = 8, 400
+#: A string of this many characters or more, with letters and digits, is a secret from so many bits on.
+SECRET_CHARS, SECRET_BITS = 16, 48.0
+#: Telling terms, and ids of documents that hold them, that are broadcast; joined by shuffle beyond.
+MAX_BROADCAST_TERMS, MAX_BROADCAST_IDS = 1_000_000, 1_000_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: A digit run that does not match from its first digit does not match from a later one either.
@@ -36,6 +45,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _TERM = re.compile(r"[^\W_]{3,}")
+_RUN = re.compile(r"[A-Za-z0-9_-]{16,}")
+_ASSIGNED = re.compile(r"(?i)(?:passwd|password|secret|token|api[_-]?key)[\"']?[ \t]*[=:][ \t]*([\"']?)([^\s\"']{6,})\1")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -75,13 +86,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def bits(value: str) -> float:
+    """Information in a string's characters, by their own frequencies."""
+    n = len(value)
+    return -sum(c * math.log2(c / n) for c in Counter(value).values())
+
+
+def secret_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of secrets that overlap no base match, sorted."""
+    found = [(m.start(), m.end()) for m in _RUN.finditer(text) if _secret(m[0])] + [m.span(2) for m in _ASSIGNED.finditer(text)]
+    out: list[tuple[int, int, int]] = []
+    for s, e in sorted(found):
+        if not any(a < e and s < b for a, _, b in base) and not (out and s < out[-1][2]):
+            out.append((s, KINDS.index("secret"), e))
+    return out
+
+
+def _secret(run: str) -> bool:
+    if len(run) < SECRET_CHARS or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+        return False
+    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(run, run[1:], strict=False))
+    return turns >= 4 and bits(run) >= SECRET_BITS
+
+
 def entity(kind: int, value: str) -> str:
-    return f"{KINDS[kind]}:{value.lower() if kind < 2 else _NOT_DIGIT.sub('', value)}"
+    return f"{KINDS[kind]}:{value if kind > 3 else value.lower() if kind < 2 else _NOT_DIGIT.sub('', value)}"
 
 
 def context(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Words near every span, outside all spans: entity, term, start, end."""
-    out: dict[tuple[str, int], dict] = {}
+    """(entity, term) of the words near every span, outside all spans; entities are the value and its kind."""
+    out: dict[tuple[str, str], dict] = {}
     inside = lambda s, e: any(a < e and s < b for a, _, b in near)
     for start, kind, end in spans:
         name = entity(kind, text[start:end])
@@ -91,7 +125,8 @@ def context(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
         right = [m for m in _TERM.finditer(text, end, high) if m.end() < high or high == len(text)]
         for m in (*left[-WINDOW_WORDS:], *right[:WINDOW_WORDS]):
             if not inside(m.start(), m.end()):
-                out[name, m.start()] = {"entity": name, "term": m[0].lower(), "start": m.start(), "end": m.end()}
+                for e in (name, KINDS[kind]):
+                    out[e, m[0].lower()] = {"entity": e, "term": m[0].lower()}
     return list(out.values())
 
 
@@ -101,7 +136,7 @@ def digest(spans: list[tuple[int, int, int]]) -> str:
 
 _BASE = (
     "doc_id string, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-    "base array<struct<start:int,kind:int,end:int>>, context array<struct<entity:string,term:string,start:int,end:int>>"
+    "base array<struct<start:int,kind:int,end:int>>, context array<struct<entity:string,term:string>>, entities array<string>"
 )
 
 
@@ -111,8 +146,11 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc_id, key, text in zip(b["doc_id"], b["text_key"], b["text"], strict=True):
             spans = base_spans(text)
             n = [sum(1 for s in spans if s[1] == k) for k in range(4)]
-            rows.append((doc_id, key, *n, digest(spans), [dict(start=s, kind=k, end=e) for s, k, e in spans], context(text, spans)))
-        yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "context"])
+            base_sha256 = digest(spans)
+            spans = sorted([*spans, *secret_spans(text, spans)])
+            entities = {e for s, k, t in spans for e in (entity(k, text[s:t]), KINDS[k])}
+            rows.append((doc_id, key, *n, base_sha256, [dict(start=s, kind=k, end=e) for s, k, e in spans], context(text, spans), sorted(entities)))
+        yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "context", "entities"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -120,49 +158,87 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
+def _words(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key and term_key: one row per document and distinct word, and one with a null word for texts without."""
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
+    spread = _keyed(docs).select("doc_id", "text_key", F.explode_outer(words).alias("term"))
+    return spread.select("doc_id", "text_key", F.xxhash64("term").alias("term_key"))
+
+
 def disclosures(docs: DataFrame, scanned: DataFrame, n_docs: int) -> DataFrame:
-    """(entity, term, share): the share of the entity's information content that the word discloses, GENERALISE or more."""
+    """(term, entity, left): terms that leave at most GENERALISE_BITS of uncertainty about an entity, and how many.
+
+    A document with the term holds the entity near it with probability n_both / (n_term + PRIOR), a bound that
+    few observations keep low. ``left`` is its negative binary logarithm; the term tells the difference to what
+    a document without knowledge of the term leaves.
+    """
     near = scanned.where(F.size("context") > 0).select("doc_id", "text_key", F.explode("context").alias("c"))
-    near = near.select("doc_id", "text_key", "c.entity", "c.term").distinct()
-    together = near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_DOCS)
-    together = together.withColumn("term_key", F.xxhash64("term"))
-    entities = near.select("doc_id", "text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    together = near.select("c.entity", "c.term").groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    # fewer than PRIOR documents leave more than a bit even where every document with the term has the entity
+    together = together.where(F.col("n_both") >= PRIOR).withColumn("term_key", F.xxhash64("term"))
+    entities = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     # Words are counted before they meet the candidates: a row for each word and task, whatever the candidates are.
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    spread = _keyed(docs).select(F.explode_outer(words).alias("term")).select(F.xxhash64("term").alias("term_key"))
-    counted = spread.groupBy("term_key").agg(F.count("*").alias("n_term"))
+    counted = _words(docs).groupBy("term_key").agg(F.count("*").alias("n_term"))
     bonds = together.join(entities, "entity").join(counted, "term_key", "left")
     n_term = F.greatest("n_both", F.coalesce("n_term", F.lit(0)))
+    left = -F.log2(F.col("n_both") / (n_term + PRIOR))
     own = -F.log2(F.col("n_entity") / F.lit(float(n_docs)))
-    mutual = F.log2(F.col("n_both") * F.lit(float(n_docs)) / (n_term * F.col("n_entity")))
-    share = F.when(own > 0, mutual / own).otherwise(0.0)
-    return bonds.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
+    return bonds.select("term", "entity", left.alias("left"), own.alias("own")).where((F.col("left") <= GENERALISE_BITS) & (F.col("own") - F.col("left") >= LEAST_BITS)).drop("own")
+
+
+def _term_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        added = []
+        for text, terms, base in zip(b["text"], b["terms"], b["base"], strict=True):
+            kinds = {t["term"]: t["kind"] for t in terms}
+            spans = [(m.start(), m.end()) for m in _TERM.finditer(text) if m[0].lower() in kinds]
+            taken = [(s["start"], s["end"]) for s in base]
+            added.append([{"start": s, "kind": kinds[text[s:e].lower()], "end": e} for s, e in spans if not any(x < e and s < y for x, y in taken)])
+        yield pd.DataFrame({"doc_id": b["doc_id"], "text_key": b["text_key"], "added": added})
+
+
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
 def find(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): counts and digest of the base matches and ``found``, an array of
-    struct (start, kind, end) with those of the method, sorted; kind is an index into KINDS.
+    struct (start, kind, end) with secrets and the terms that tell, sorted; kind is an index into KINDS.
 
-    Null and empty texts hold nothing; a null doc_id stays; repeated rows are found alike; other columns are
-    ignored; an empty table gives an empty result. Offsets are code points, the end exclusive.
+    Null and empty texts hold nothing; a null doc_id stays; repeated rows are found alike and count each time;
+    spans of one start are sorted by kind; texts of any length are read whole; other columns are ignored; an
+    empty table gives an empty result. Offsets are code points, the end exclusive.
     """
+    key = ["doc_id", "text_key"]
     scanned = cut(_keyed(docs).mapInPandas(_scan, _BASE))
-    strong = disclosures(docs, scanned, max(1, scanned.count()))
-    near = scanned.where(F.size("context") > 0).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", F.explode("context").alias("c"))
-    hits = near.select("doc_id", "text_key", "c.*").join(strong, ["entity", "term"])
-    words = hits.groupBy("doc_id", "text_key", "start", "end").agg(F.max("share").alias("share"))
-    kind = F.when(F.col("share") >= REMOVE, KINDS.index("remove")).otherwise(KINDS.index("general"))
-    added = words.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", kind.alias("kind"), "end")).alias("added"))
-    on = scanned["doc_id"].eqNullSafe(added["doc_id"]) & (scanned["text_key"] == added["text_key"])
-    joined = scanned.join(added, on, "left").select(scanned["*"], added["added"])
-    both = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
-    return joined.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", both.alias("found")
+    strong = disclosures(docs, scanned, max(1, scanned.count())).groupBy("term").agg(F.min("left").alias("left"))
+    kind = F.when(F.col("left") <= REMOVE_BITS, KINDS.index("remove")).otherwise(KINDS.index("general"))
+    strong = cut(strong.select("term", F.xxhash64("term").alias("term_key"), kind.alias("kind")))
+    listed = F.broadcast(strong) if fits_broadcast(strong, MAX_BROADCAST_TERMS) else strong
+    told = _words(docs).join(listed, "term_key").groupBy(*key).agg(F.collect_set(F.struct("term", "kind")).alias("terms"))
+    told = cut(told.withColumn("_id", F.coalesce("doc_id", F.lit(""))))  # a null id is found again by its text
+    ids = told.select("_id", "text_key")
+    texts = _keyed(docs).withColumn("_id", F.coalesce("doc_id", F.lit(""))).drop("doc_id")
+    if fits_broadcast(ids, MAX_BROADCAST_IDS):
+        texts = texts.join(F.broadcast(ids), ["_id", "text_key"], "left_semi")
+    base = scanned.select(F.coalesce("doc_id", F.lit("")).alias("_id"), "text_key", "base").dropDuplicates(["_id", "text_key"])
+    marked = texts.dropDuplicates(["_id", "text_key"]).join(told, ["_id", "text_key"]).join(base, ["_id", "text_key"])
+    added = marked.select(*key, "text", "terms", "base").mapInPandas(_term_spans, f"doc_id string, text_key long, added {_SPANS}")
+    added = added.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "added")
+    joined = scanned.join(added, scanned["doc_id"].eqNullSafe(added["_id"]) & (scanned["text_key"] == added["_key"]), "left")
+    both = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(_SPANS))))
+    out = joined.withColumn("found", both)
+    count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
+    return out.select(
+        F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256",
+        *[count(k) for k in KINDS[4:]], "found",
     )
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` rewritten: base matches as [KIND], words generalised to [WORD] or [NUMBER] or removed."""
+    """``docs`` with ``text`` rewritten: base matches and secrets as [KIND], terms generalised to [WORD] or [NUMBER] or removed.
+
+    Null texts stay null; all other cases are those of ``find``.
+    """
 
     def rewrite(texts: pd.Series, found: pd.Series) -> pd.Series:
         out = []
@@ -189,7 +265,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``find`` of all documents, spans as text; ``private`` is true where personal data or a secret was found."""
     found = find(read(spark, sf_dir, "documents"))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     span = F.transform("found", lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string")))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_join(span, ",").alias("spans"))
+    own = F.exists("found", lambda s: s["kind"] <= KINDS.index("secret"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_join(span, ",").alias("spans"),
+        "n_secret", "n_general", "n_remove", own.alias("private"),
+    )
