@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -371,6 +372,51 @@ def test_kneser_ney_is_a_distribution():
 # 7 decontamination
 
 
+def test_masks_hit_every_placement_of_substitutions():
+    for n in range(1, 41):
+        need = int(np.ceil(decontaminate.MIN_SHARE * min(n, decontaminate.WINDOW)))
+        window = min(n, decontaminate.WINDOW)
+        masks = decontaminate.masks_for(n)
+        places = [[p + i for i, bit in enumerate(m) if bit == "1"] for m in masks for p in range(window - len(m) + 1)]
+        for off in itertools.combinations(range(window), window - need):
+            assert any(not set(off) & set(p) for p in places), (n, off)
+
+
+def plain_overlaps(texts, items):
+    """Every alignment of every text with every item, by loops."""
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = {}
+    for i, t in enumerate(texts):
+        for j, item in enumerate(items):
+            a, b = split(t), split(item)
+            need = min(16, len(b))
+            for shift in range(-len(b) + 1, len(a)):
+                e = [a[p] == b[p - shift] for p in range(max(0, shift), min(len(a), shift + len(b)))]
+                best = max((sum(e[k : k + min(need, len(e))]) for k in range(len(e) - min(need, len(e)) + 1)), default=0)
+                if b and best >= 0.8 * need:
+                    old = out.get((i, j), (0, 0))
+                    out[i, j] = (max(old[0], sum(e)), max(old[1], best))
+    return out
+
+
+def test_overlaps_equal_all_alignments(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(60)}"
+    items = [" ".join(word() for _ in range(n)) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 20, 30, 45)]
+    texts = []
+    for _ in range(120):
+        item = rng.choice(items).split()
+        k = len(item) * rng.choice((0, 0.1, 0.19, 0.25))
+        for at in rng.sample(range(len(item)), int(k)):
+            item[at] = word()
+        item = item[rng.choice((0, 0, 1, 3)) :]
+        texts.append(" ".join([*(word() for _ in range(rng.randint(0, 9))), *item, *(word() for _ in range(rng.randint(0, 9)))]))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for most in (2_000_000, 0):
+        got = {(r.doc_id, r.item_id): (r.n_equal, r.best_window) for r in decontaminate.overlaps(docs(spark, texts), benchmark, most, most).collect()}
+        assert got == plain_overlaps(texts, items)
+
+
 def test_substitutions_do_not_hide_a_benchmark_item(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
@@ -379,13 +425,13 @@ def test_substitutions_do_not_hide_a_benchmark_item(spark):
     changed[7] = changed[22] = "other"
     noise = lambda n: " ".join(word() for _ in range(n))
     texts = [f"{noise(20)} {' '.join(item).upper()}! {noise(20)}", f"{noise(5)} {' '.join(changed)}", noise(200), f"{noise(9)} {' '.join(item[:6])} {noise(9)}", None, "", LONG]
-    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, ""), (3, None), (None, "x y"), (1, " ".join(item))], "item_id long, text string")
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, ""), (3, None), (None, "x y"), (1, " ".join(item)), (4, "two words")], "item_id long, text string")
     rows = docs(spark, texts)
     found = {(r.doc_id, r.item_id): (r.n_equal, r.n_item) for r in decontaminate.overlaps(rows, benchmark).collect()}
     assert found == {(0, 1): (30, 30), (1, 1): (28, 30)}
     kept = decontaminate.decontaminate(rows.unionByName(docs(spark, [" ".join(item)], [None])), benchmark)
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, i) for i in (2, 3, 4, 5, 6)] + [(True, 0)]
-    shuffled = decontaminate.overlaps(rows, benchmark, max_broadcast_seeds=0, max_broadcast_hits=0)
+    shuffled = decontaminate.overlaps(rows, benchmark, 0, 0)
     assert {(r.doc_id, r.item_id) for r in shuffled.collect()} == {(0, 1), (1, 1)}
     assert decontaminate.overlaps(rows, benchmark.where("false")).count() == 0 == decontaminate.overlaps(rows.where("false"), benchmark).count()
 
