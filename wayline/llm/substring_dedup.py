@@ -215,8 +215,10 @@ def _repeats(rows: DataFrame, name: str) -> DataFrame:
 
     Units that lie in lines that go count as earlier ones, but are not marked themselves.
     """
-    first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"), *_late())
-    met = split_join(rows.where("stays").select("doc_id", "text_key", "pos", "h1", "h2"), first.where(_OPEN).select("h1", "h2", "first", "times"), ["h1", "h2"], "times")
+    keys = [f"{name}_h1", f"{name}_h2"]
+    rows = rows.withColumnsRenamed(dict(zip(["h1", "h2"], keys, strict=True)))
+    first = rows.groupBy(*keys).agg(F.min("doc_id").alias("first"), F.count("*").alias("times"), *_late())
+    met = split_join(rows.where("stays").select("doc_id", "text_key", "pos", *keys), first.where(_OPEN).select(*keys, "first", "times"), keys, "times")
     coded = F.col("pos") * 2 + (F.col("first") < F.col("doc_id")).cast("int")
     return met.groupBy("doc_id", "text_key").agg(F.collect_set(coded).alias(name))
 
