@@ -358,15 +358,68 @@ def test_rule_counts_equal_plain_python(spark, odd, none):
     assert quality_rules.quality_rules(none).count() == 0
 
 
-def test_kneser_ney_is_a_distribution():
-    import pandas as pd
-
-    block = quality_rules.Block(["the cat sat on the mat and the dog sat too\n" * 5, "an other text with 12 numbers, ok?"])
-    code, n = np.unique(quality_rules.gram_codes(block), return_counts=True)
-    model = quality_rules.KneserNey(pd.DataFrame({"lang": 0, "code": code, "n": n}))
-    for ctx in [int(code[0]) >> 5, int(code[7]) >> 5, 12345]:
-        assert abs(np.exp(model.log_prob(0, (ctx << 5) + np.arange(32))).sum() - 1) < 1e-4
-    assert model.log_prob(0, code).mean() > model.log_prob(0, np.random.default_rng(0).integers(0, 1 << 20, 500)).mean() + 2
+def plain_model(texts):
+    """Interpolated modified Kneser-Ney by dictionaries: log probability of a character after a context, for one language."""
+    order = quality_rules.ORDER
+    sym = lambda t: [0] * (order - 1) + quality_rules.symbols(np.array([ord(c) for c in t], np.int64)).tolist()
+    tables = {order: collections.Counter()}
+    for t in texts:
+        s = sym(t)
+        tables[order].update(tuple(s[i - order + 1 : i + 1]) for i in range(order - 1, len(s)))
+    for k in range(order - 1, 0, -1):
+        tables[k] = collections.Counter(g[1:] for g in tables[k + 1])
+    discount, context = {}, {}
+    for k, table in tables.items():
+        t = [sum(n == i for n in table.values()) for i in range(5)]
+        y = t[1] / (t[1] + 2 * t[2]) if t[1] + t[2] else 0.5
+        d = [0] + [min(max(i - (i + 1) * y * t[i + 1] / t[i], 0.1), i) if t[i] else 0.5 for i in (1, 2, 3)]
+        discount[k] = d
+        context[k] = collections.defaultdict(lambda: [0, 0.0])
+        for g, n in table.items():
+            context[k][g[:-1]][0] += n
+            context[k][g[:-1]][1] += d[min(n, 3)]
+
+    def p(g):
+        k = len(g)
+        below = p(g[1:]) if k > 1 else 1 / 4096
+        if g[:-1] not in context[k]:
+            return below
+        total, off = context[k][g[:-1]]
+        n = tables[k].get(g, 0)
+        return max(n - discount[k][min(n, 3)], 0) / total + off / total * below
+
+    def surprise(t):
+        s = sym(t)
+        return -np.mean([np.log(p(tuple(s[i - order + 1 : i + 1]))) for i in range(order - 1, len(s))])
+
+    return surprise, p
+
+
+def test_perplexity_and_verdict_equal_plain_python(spark):
+    rng = random.Random(12)
+    word = {lang: [rng.choice(["ka", "lo", "мир", "дом", "té", "漢字"]) + rng.choice("abcé漢я") for _ in range(30)] for lang in ("x", None)}
+    texts = [(lang, " ".join(rng.choice(word[lang]) for _ in range(rng.randint(0, 60)))) for lang in ("x", None) for _ in range(60)]
+    texts += [("x", "".join(rng.choice("qzw#$%") for _ in range(200))), ("x", " ".join("".join(rng.sample("миродя", 5)) for _ in range(60)))]
+    rows = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    whole = {r.doc_id: r for r in quality_rules.quality_rules(rows).collect()}
+    parts = {r.doc_id: r for r in quality_rules.quality_rules(rows.unionByName(rows), part_rows=700).dropDuplicates(["doc_id"]).collect()}
+    for lang in ("x", None):
+        own = [(i, t) for i, (x, t) in enumerate(texts) if x == lang]
+        for found, times in ((whole, 1), (parts, 2)):
+            surprise, p = plain_model([t for _, t in own] * times)
+            want = {i: surprise(t) for i, t in own if t}
+            for i, t in own:
+                assert (found[i].perplexity is None) == (not t)
+                assert not t or abs(np.log(found[i].perplexity) - want[i]) < 1e-4
+            values = sorted(want.values())
+            q1, q3 = (values[int(np.ceil(len(values) * q)) - 1] for q in (0.25, 0.75))
+            for i, t in own:
+                width = quality_rules.BAND * (q3 - q1) * np.sqrt(1 + 1500 / max(1, len(t)))
+                n = len(t.split())
+                assert found[i].kept == (n >= 20 and not found[i].base_failed and q1 - width <= want[i] <= q3 + width), (i, t)
+        gram = tuple(quality_rules.symbols(np.array([ord(c) for c in "kaa "], np.int64)).tolist())
+        assert abs(sum(p((*gram, c)) for c in range(4096)) - 1) < 1e-6
+    assert not whole[121].base_failed and not whole[121].kept and whole[0].kept  # letters of the language, words of none
 
 
 # 7 decontamination

@@ -1,11 +1,11 @@
 """Quality rules with an n-gram perplexity from a Spark-counted modified Kneser-Ney model.
 
-The model is over characters in 32 classes (letters, one class each for digits, blanks, line ends, marks
-and everything beyond ASCII, and the start of a text), four at a time, one per language: a language's table
-has at most 32^4 entries, whatever the corpus, and that is the bound of what is broadcast. Counts come
-from all documents; estimates are stored per order as a sorted array of 64-bit hashes beside log
-probabilities and back-off weights, and read by binary search. Documents whose perplexity lies outside
-their language's band, taken from the quartiles of all documents of the language, are rejected.
+The model is over characters as they are (lower case, white space as one blank), five at a time, with a model
+and a band for every language; its tables grow with what the corpus holds. Five 12-bit character hashes make a
+gram's 60-bit hash: characters up to U+07FF keep codes of their own, those beyond share 2,048. Counts,
+continuation counts, discounts and back-offs are grouped and joined in Spark. The logarithm of a probability is
+split into one addend for each gram and each context that occurs, so that a table is a sorted array of hashes
+beside values, is read by binary search, and can be read part by part where it is too large to send as a whole.
 """
 
 from __future__ import annotations
@@ -17,150 +17,161 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm.common import cut, read
+from wayline.llm.common import cut, fits_broadcast, read
 from wayline.llm.vectext import Block, blocks, mix, per_doc, repeated
 
-ORDER, BITS = 4, 5
-#: Languages with a model of their own, the most frequent first; all others share one.
-MAX_LANGUAGES = 16
+ORDER, BITS = 5, 12
 #: Width of the accepted band in interquartile ranges on either side of the quartiles of log perplexity.
-BAND = 3.0
+BAND = 2.0
 #: The mean over n characters strays as 1 / sqrt(n): a band is wider by sqrt(1 + SHORT / n) for a short text.
 SHORT = 1500
 #: Rules of the base verdict.
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
+#: Entries of the model that are sent to the tasks at once (16 bytes each); a larger model is read in parts, one after the other.
+PART_ROWS = 4_000_000
+#: Languages whose discounts and bands are broadcast; joined by shuffle beyond.
+MAX_BROADCAST_LANGUAGES = 100_000
+#: Distinct grams of a language that a task holds before it hands them on.
+HELD_GRAMS = 2_000_000
 
-_A = 1 << BITS
-_CLASS = np.full(128, 29, np.uint8)  # marks
-_CLASS[ord("a") : ord("z") + 1] = np.arange(1, 27)
-_CLASS[ord("A") : ord("Z") + 1] = np.arange(1, 27)
-_CLASS[ord("0") : ord("9") + 1] = 27
-_CLASS[[9, 11, 12, 13, 32]] = 28
-_CLASS[10] = 30
-_BEYOND, _START = 31, 0
+_A, _OWN = 1 << BITS, 0x800
+_LOWER = np.array([ord(c) if len(c) == 1 else i for i, c in ((i, chr(i).lower()) for i in range(0x3000))], np.int64)
+_LOWER[9:14] = 32
+_START = 0
+
+
+def symbols(cp: np.ndarray) -> np.ndarray:
+    """Character hashes of code points."""
+    low = np.where(cp < len(_LOWER), _LOWER[np.minimum(cp, len(_LOWER) - 1)], cp).astype(np.int64)
+    far = low >= _OWN
+    if far.any():
+        low[far] = _OWN + (mix(low[far]) & np.uint64(_OWN - 1)).astype(np.int64)
+    return low
 
 
 def gram_codes(block: Block) -> np.ndarray:
-    """Code of the ORDER classes that end at each code point; texts begin after start marks."""
-    c = _CLASS[np.minimum(block.cp, 127)].astype(np.int32)
-    c[block.cp > 127] = _BEYOND
+    """Code of the ORDER characters that end at each code point; texts begin after start marks."""
+    c = symbols(block.cp)
     at = np.arange(len(c)) - np.repeat(block.start, block.size)
     code = c.copy()
     for back in range(1, ORDER):
         older = np.zeros_like(c)
         older[back:] = c[:-back] if len(c) > back else 0
         older[at < back] = _START
-        code += older << (BITS * back)
+        code |= older << (BITS * back)
     return code
 
 
-class KneserNey:
-    """Interpolated modified Kneser-Ney over (language, code) counts, in sorted hash arrays."""
-
-    def __init__(self, counts: pd.DataFrame):
-        """``counts``: columns lang (small int), code, n."""
-        #: Sorted hashes of grams with their log probabilities, and of contexts with their log back-off weights, by length.
-        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.contexts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.unseen: dict[int, float] = {}
-        held: tuple[dict, dict] = ({k: [] for k in range(1, ORDER + 1)}, {k: [] for k in range(1, ORDER)})
-        for lang, part in counts.groupby("lang"):
-            grams, contexts, self.unseen[int(lang)] = self._estimate(part["code"].to_numpy(np.int64), part["n"].to_numpy(np.float64))
-            for parts, tables in zip(held, (grams, contexts), strict=True):
-                for k, (code, value) in tables.items():
-                    parts[k].append((self._hash(np.full(len(code), lang), k, code), value))
-        for parts, out in zip(held, (self.grams, self.contexts), strict=True):
-            for k, rows in parts.items():
-                if rows:
-                    h, value = (np.concatenate([r[i] for r in rows]) for i in range(2))
-                    order = np.argsort(h)
-                    out[k] = (h[order], value[order].astype(np.float32))
-
-    @staticmethod
-    def _hash(lang: np.ndarray, k: int, code: np.ndarray) -> np.ndarray:
-        return mix((lang.astype(np.uint64) << np.uint64(40)) | np.uint64(k << 32) | code.astype(np.uint64))
-
-    @staticmethod
-    def _estimate(code: np.ndarray, n: np.ndarray) -> tuple[dict[int, tuple], dict[int, tuple], float]:
-        """(code, log probability) and (context, log weight) by length, and the log probability of a class never seen."""
-        tables = {ORDER: (code, n)}
-        for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct grams one longer that end so
-            c, m = np.unique(tables[k + 1][0] & ((1 << (BITS * k)) - 1), return_counts=True)
-            tables[k] = (c, m.astype(np.float64))
-        out: dict[int, tuple] = {}
-        contexts: dict[int, tuple] = {}
-        unseen = 0.0
-        lower_code, lower_p = np.zeros(1, np.int64), np.full(1, 1.0 / _A)
-        for k in range(1, ORDER + 1):
-            c, m = tables[k]
-            order = np.argsort(c)
-            c, m = c[order], m[order]
-            t = [float((m == i).sum()) for i in range(1, 5)]
-            y = t[0] / (t[0] + 2 * t[1]) if t[0] + t[1] else 0.5
-            d = [0.0] + [min(max(i - (i + 1) * y * t[i] / t[i - 1], 0.1), i) if t[i - 1] else 0.5 for i in (1, 2, 3)]
-            taken = np.take(d, np.minimum(m, 3).astype(int))
-            ctx, inverse = np.unique(c >> BITS, return_inverse=True)
-            total = np.bincount(inverse, weights=m)
-            lam = np.bincount(inverse, weights=taken) / total
-            log_lam = np.log(np.maximum(lam, 1e-12))
-            if k > 1:
-                contexts[k - 1] = (ctx, log_lam)
-            else:
-                unseen = float(log_lam[0] - np.log(_A))
-            if k == 1:
-                below = np.full(len(c), 1.0 / _A)
-            else:
-                below = lower_p[np.searchsorted(lower_code, c & ((1 << (BITS * (k - 1))) - 1))]
-            p = np.maximum(m - taken, 0) / total[inverse] + lam[inverse] * below
-            out[k] = (c, np.log(np.maximum(p, 1e-12)))
-            lower_code, lower_p = c, p
-        return out, contexts, unseen
-
-    def _find(self, table: dict, k: int, lang: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which codes of length ``k`` are in a table, and the values of those."""
-        if k not in table:
-            return np.zeros(len(code), bool), np.zeros(0)
-        h, value = table[k]
-        q = self._hash(np.full(len(code), lang), k, code)
-        at = np.minimum(np.searchsorted(h, q), len(h) - 1)
-        hit = h[at] == q
-        return hit, value[at[hit]]
-
-    def log_prob(self, lang: int, code: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of the last class of each code after the others."""
-        result = np.zeros(len(code))
-        open_, back = np.arange(len(code)), np.zeros(len(code))
-        for k in range(ORDER, 0, -1):
-            gram = code[open_] & ((1 << (BITS * k)) - 1)
-            hit, value = self._find(self.grams, k, lang, gram)
-            result[open_[hit]] = back[open_[hit]] + value
-            open_, gram = open_[~hit], gram[~hit]
-            if k > 1:
-                hit, value = self._find(self.contexts, k - 1, lang, gram >> BITS)
-                back[open_[hit]] += value
-        result[open_] = back[open_] + self.unseen.get(lang, -float(np.log(_A)))
-        return result
+def _mask(k: int) -> int:
+    return (1 << (BITS * k)) - 1
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, code, n) over all rows of ``docs`` (lang int, text); each task sends a code once a language."""
+    """(lang, code, n) over all rows of ``docs`` (lang, text); each task adds up before it sends."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def merged(lang: str) -> tuple[np.ndarray, np.ndarray]:
+            codes, n = (np.concatenate([x[i] for x in held[lang]]) for i in range(2))
+            distinct, which = np.unique(codes, return_inverse=True)
+            return distinct, np.bincount(which, weights=n).astype(np.int64)
+
+        def frame(lang: str) -> pd.DataFrame:
+            code, n = merged(lang)
+            return pd.DataFrame({"lang": lang, "code": code, "n": n})
+
         for b in batches:
             for lang, part in b.groupby("lang"):
                 for _, texts in blocks(part["text"].tolist()):
-                    new = np.bincount(gram_codes(Block(texts)), minlength=_A**ORDER)
-                    total[lang] = total[lang] + new if lang in total else new
-        for lang, n in total.items():
-            code = np.flatnonzero(n)
-            yield pd.DataFrame({"lang": np.int32(lang), "code": code.astype(np.int32), "n": n[code].astype(np.int64)})
+                    held.setdefault(lang, []).append(np.unique(gram_codes(Block(texts)), return_counts=True))
+                if sum(len(x[0]) for x in held.get(lang, [])) > HELD_GRAMS:
+                    held[lang] = [merged(lang)]
+                    if len(held[lang][0][0]) > HELD_GRAMS // 2:
+                        yield frame(lang)
+                        del held[lang]
+        for lang in held:
+            yield frame(lang)
 
-    rows = docs.mapInPandas(count, "lang int, code int, n long")
+    rows = docs.mapInPandas(count, "lang string, code long, n long")
     return rows.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if fits_broadcast(df, MAX_BROADCAST_LANGUAGES) else df
+
+
+def estimate(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Addends (lang, k, context, code, value) of log probabilities, and (lang, unseen) of a character never seen.
+
+    The log probability of a character after others is ``unseen`` plus, for each length k, the value of the gram
+    of k characters that ends there and that of the context before its last one, where they are listed: a gram's
+    value is what its own count adds to back-off, a context's the weight of backing off. ``counts`` is that of
+    ``count_grams``; modified Kneser-Ney with three discounts for each language and length.
+    """
+    tables = {ORDER: cut(counts)}
+    for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct grams one longer that end so
+        shorter = F.col("code").bitwiseAND(F.lit(_mask(k)))
+        tables[k] = cut(tables[k + 1].groupBy("lang", shorter.alias("code")).agg(F.count("*").alias("n")))
+    parts, lower, unseen = [], None, None
+    for k in range(1, ORDER + 1):
+        t = [F.count_if(F.col("n") == i).cast("double") for i in range(1, 5)]
+        of = tables[k].groupBy("lang").agg(*[x.alias(f"t{i}") for i, x in enumerate(t, 1)])
+        y = F.when(F.col("t1") + F.col("t2") > 0, F.col("t1") / (F.col("t1") + 2 * F.col("t2"))).otherwise(0.5)
+        d = [
+            F.when(F.col(f"t{i}") > 0, F.least(F.greatest(i - (i + 1) * y * F.col(f"t{i + 1}") / F.col(f"t{i}"), F.lit(0.1)), F.lit(float(i)))).otherwise(0.5)
+            for i in (1, 2, 3)
+        ]
+        of = _small(of.select("lang", F.array(*d).alias("d")))
+        rows = tables[k].join(of, "lang").select("lang", "code", "n", F.get("d", F.least("n", F.lit(3)).cast("int") - 1).alias("taken"))
+        before = F.shiftrightunsigned("code", BITS).alias("ctx")
+        weights = rows.groupBy("lang", before).agg(F.sum("n").alias("total"), F.sum("taken").alias("off"))
+        weights = weights.select("lang", "ctx", "total", F.greatest(F.col("off") / F.col("total"), F.lit(1e-12)).alias("lam"))
+        rows = rows.withColumn("ctx", before).join(_small(weights) if k == 1 else weights, ["lang", "ctx"])
+        if k == 1:
+            unseen = weights.select("lang", F.log(F.col("lam") / _A).alias("unseen"))
+            rows = rows.withColumn("below", F.lit(1.0 / _A))
+        else:
+            rows = rows.withColumn("low", F.col("code").bitwiseAND(F.lit(_mask(k - 1)))).join(lower, ["lang", "low"])
+            parts.append(weights.select("lang", F.lit(k).alias("k"), F.lit(True).alias("context"), F.col("ctx").alias("code"), F.log("lam").alias("value")))
+        p = F.greatest(F.col("n") - F.col("taken"), F.lit(0.0)) / F.col("total") + F.col("lam") * F.col("below")
+        rows = cut(rows.select("lang", "code", p.alias("p"), (F.col("lam") * F.col("below")).alias("backed")))
+        parts.append(rows.select("lang", F.lit(k).alias("k"), F.lit(False).alias("context"), "code", F.log(F.col("p") / F.col("backed")).alias("value")))
+        lower = rows.select("lang", F.col("code").alias("low"), F.col("p").alias("below"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out, unseen
+
+
+class Tables:
+    """Sorted hashes and values of a model or a part of it, by language, length and kind."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.held: dict[tuple[str, int, bool], tuple[np.ndarray, np.ndarray]] = {}
+        for (lang, k, context), part in rows.groupby(["lang", "k", "context"]):
+            code = part["code"].to_numpy(np.int64)
+            order = np.argsort(code)
+            self.held[lang, int(k), bool(context)] = code[order], part["value"].to_numpy(np.float32)[order]
+
+    def _value(self, lang: str, k: int, context: bool, code: np.ndarray) -> np.ndarray:
+        table = self.held.get((lang, k, context))
+        if table is None:
+            return np.zeros(len(code))
+        h, value = table
+        at = np.minimum(np.searchsorted(h, code), len(h) - 1)
+        return np.where(h[at] == code, value[at], 0.0)
+
+    def addends(self, lang: str, code: np.ndarray, k: int = ORDER) -> np.ndarray:
+        """Sum of the values that apply to each of the sorted codes of length ``k``, in all lengths up to it."""
+        out = self._value(lang, k, False, code)
+        if k == 1:
+            return out
+        shorter, which = np.unique(code & _mask(k - 1), return_inverse=True)
+        return out + self._value(lang, k, True, code >> BITS) + self.addends(lang, shorter, k - 1)[which]
+
+
 def rule_counts(texts: list[str]) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text of one block."""
     b = Block(texts)
@@ -197,56 +208,73 @@ def rule_counts(texts: list[str]) -> dict[str, np.ndarray]:
     }
 
 
-def quality_rules(docs: DataFrame, band: float = BAND, max_languages: int = MAX_LANGUAGES) -> DataFrame:
+def quality_rules(docs: DataFrame, band: float = BAND, part_rows: int = PART_ROWS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, lang): the rule counts, perplexity, base_failed and kept.
 
     Null and empty texts have no words, a null perplexity and fail the base rules; a null lang is a
-    language of its own; repeated rows are judged alike and count in the model each time; extra columns
-    are ignored; an empty table gives an empty result.
+    language of its own, and every language has its own model and band; repeated rows are judged alike and
+    count in the model each time; ties at a band's edge are kept; texts of any length are read whole; extra
+    columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    frequent = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    number = {r["lang"]: i for i, r in enumerate(frequent)}
-    index = F.lit(len(number))
-    for lang, i in number.items():
-        index = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(i)).otherwise(index)
     # ids pass through pandas as text: a column with nulls would turn to floating point there
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), index.cast("int").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    model = spark.sparkContext.broadcast(KneserNey(count_grams(rows.select("lang", "text")).toPandas()))
+    text = F.coalesce("text", F.lit(""))
+    lang = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(text).alias("text_key"), lang.alias("lang"), text.alias("text"))
+    addends, unseen = estimate(count_grams(rows.select("lang", "text")))
+    addends = cut(addends)
+    n_parts = max(1, -(-addends.count() // part_rows))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for _, part in b.groupby("lang"):
-                lang = int(part["lang"].iloc[0])
-                for first, texts in blocks(part["text"].tolist()):
-                    block = Block(texts)
-                    codes = gram_codes(block)
-                    seen = np.flatnonzero(np.bincount(codes, minlength=_A**ORDER))
-                    table = np.zeros(_A**ORDER)
-                    table[seen] = model.value.log_prob(lang, seen)
-                    total = per_doc(table[codes], block.doc, block.n)
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        surprise = np.where(block.size > 0, -total / block.size, np.nan)
-                    out = pd.DataFrame(rule_counts(texts)).astype(np.int64)
-                    out["doc_id"] = part["doc_id"].to_numpy()[first : first + len(texts)]
-                    out["lang"], out["surprise"], out["n_chars"] = lang, surprise, block.size
-                    yield out
-
-    schema = "doc_id string, lang int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, surprise double, n_chars long"
-    scored = cut(rows.mapInPandas(score, schema).withColumn("surprise", F.nanvl("surprise", F.lit(None).cast("double"))))
+    def part(i: int):
+        held = addends if n_parts == 1 else addends.where(F.pmod(F.xxhash64("lang", "k", "context", "code"), F.lit(n_parts)) == i)
+        return spark.sparkContext.broadcast(Tables(held.toPandas()))
+
+    def total(tables: Tables, lang: str, block: Block) -> np.ndarray:
+        code, which = np.unique(gram_codes(block), return_inverse=True)
+        return per_doc(tables.addends(lang, code)[which], block.doc, block.n)
+
+    def score(model, rules: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for lang, same in b.groupby("lang"):
+                    for first, texts in blocks(same["text"].tolist()):
+                        block = Block(texts)
+                        out = pd.DataFrame(rule_counts(texts)).astype(np.int64) if rules else pd.DataFrame(index=range(len(texts)))
+                        own = slice(first, first + len(texts))
+                        out["doc_id"], out["text_key"], out["lang"] = same["doc_id"].to_numpy()[own], same["text_key"].to_numpy()[own], lang
+                        out["total"], out["n_chars"] = total(model.value, lang, block), block.size
+                        yield out
+
+        return run
+
+    key = "doc_id string, text_key long, lang string, total double, n_chars long"
+    counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+    scored = cut(rows.mapInPandas(score(part(0), True), f"{counts}, {key}"))
+    if n_parts > 1:
+        more = [cut(rows.mapInPandas(score(part(i), False), key)) for i in range(1, n_parts)]
+        sums = scored.select("doc_id", "text_key", "lang", "total")
+        for other in more:
+            sums = sums.unionByName(other.drop("n_chars"))
+        # rows that repeat are in every part as often as in the table
+        sums = sums.groupBy("doc_id", "text_key", "lang").agg((F.sum("total") * n_parts / F.count("*")).alias("sum")).withColumnsRenamed({"doc_id": "_id", "text_key": "_key", "lang": "_lang"})
+        on = scored["doc_id"].eqNullSafe(sums["_id"]) & (scored["text_key"] == sums["_key"]) & (scored["lang"] == sums["_lang"])
+        scored = cut(scored.join(sums, on).withColumn("total", F.col("sum")).drop("sum", "_id", "_key", "_lang"))
+    scored = scored.join(_small(unseen), "lang", "left")
+    surprise = F.when(F.col("n_chars") > 0, -F.col("total") / F.col("n_chars") - F.col("unseen"))
+    scored = scored.withColumn("surprise", surprise)
     quartiles = scored.groupBy("lang").agg(F.percentile_approx("surprise", [0.25, 0.75], 10000).alias("q")).select(
         "lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")
     )
-    # at most max_languages + 1 rows
-    judged = scored.join(F.broadcast(quartiles), "lang", "left")
+    judged = scored.join(_small(cut(quartiles)), "lang", "left")
     width = F.lit(band) * (F.col("q3") - F.col("q1")) * F.sqrt(1 + F.lit(SHORT) / F.greatest(F.lit(1), F.col("n_chars")))
     inside = F.coalesce(F.col("surprise").between(F.col("q1") - width, F.col("q3") + width), F.lit(False))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return judged.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.exp("surprise").alias("perplexity"), failed.alias("base_failed"), (~failed & inside).alias("kept"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``quality_rules`` of all documents; its docstring defines every case."""
     return quality_rules(read(spark, sf_dir, "documents"))
