@@ -20,6 +20,7 @@ from wayline.llm import (
     html_extract,
     line_dedup,
     pii,
+    pipeline,
     quality_classifier,
     quality_rules,
     sentencepiece_codec,
@@ -255,13 +256,11 @@ def test_similar_groups_equal_all_pairs(spark):
 
 
 def test_near_dedup_stage_equals_all_pairs(spark):
-    import corpus_pipeline
-
     rows = common.read(spark, DATA, "documents")
     texts = {r.doc_id: r.text for r in rows.collect()}
     ids = sorted(texts)
     want = [ids[i] for i in plain_kept([texts[i] for i in ids])]
-    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, rows, DATA).collect()) == want
+    assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, rows, DATA).collect()) == want
 
 
 def test_components_of_chains_and_stars(spark):
@@ -317,6 +316,29 @@ def test_main_text_of_a_page():
     assert html_extract.extract(PAGE, None) == "Head & more\nOne two three\nCafé € bold"
 
 
+@pytest.mark.parametrize("open_, close", [
+    ("<div class='wrap has-sidebar'>", "</div>"), ("<div id=page class='no-menu'>", "</div>"), ("<form id=x>", "</form>"), ("<div class='sidebar-page widget'>", "</div>"),
+    ("<div role=banner><form><div class=social>", "</div></form></div>"), ("<div class=menu-open><main>", "</main></div>"),
+])
+def test_names_and_forms_do_not_silence_an_article(open_, close):
+    rest = "<div class=sidebar><p>aside text</p></div><div id=comments><p>" + "a reader said much more than the author did " * 9 + "</p></div><div class=related><article><p>other</p></article></div>"
+    body = "<article><h1>Title</h1><p>The text of the article stands here.</p><form><label>mail</label><input></form></article>"
+    assert html_extract.extract(f"<html><body>{open_}{body}{close}{rest}</body></html>", None) == "Title\nThe text of the article stands here."
+
+
+def test_votes_equal_plain_counts(spark):
+    pages = common.read(spark, DATA, "pages")
+    votes = collections.defaultdict(lambda: collections.defaultdict(float))
+    for r in pages.select("html", html_extract.host_of().alias("host")).collect():
+        found = html_extract.scores(r.html or "")
+        top = max((s for _, s in found), default=0)
+        for p, s in found:
+            if s >= html_extract.VOTE_SHARE * top:
+                votes[r.host][p] += s / top
+    want = {h: max(v, key=lambda p: (round(v[p], 6), p)) for h, v in votes.items()}
+    assert {r.host: r.path for r in html_extract.host_paths(pages).collect()} == want
+
+
 def test_hosts_agree_on_a_path_and_odd_pages_fall_back(spark):
     short = "<html><body class='has-sidebar'><div class='post-3 entry'><p>tiny</p></div><div class=box><p>" + "elsewhere long text " * 5 + "</p></div></body></html>"
     pages = [(i, "http://h.example.com/1", PAGE) for i in range(5)] + [
@@ -624,13 +646,11 @@ def test_removed_lines_equal_all_pairs(spark):
 
 
 def test_short_lines_go_in_query_and_stage(spark, tmp_path):
-    import corpus_pipeline
-
     texts = ["own first line of this text\nReleased under the MIT License.\nOK\n\nend a", "Released under the MIT License!\nsome own words stand here\nOK\n\nno", "OK\nOk\nReleased under the MIT License."]
     docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
     want = {0: "", 1: "0,2", 2: "0,2"}
     assert {r.doc_id: r.removed_lines for r in line_dedup.query(spark, str(tmp_path)).collect()} == want
-    done = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs(spark, texts), str(tmp_path)).collect()}
+    done = {r.doc_id: r.text for r in pipeline.lines(spark, docs(spark, texts), str(tmp_path)).collect()}
     assert done == {0: texts[0], 1: "some own words stand here\n\nno", 2: "Ok"}
 
 
@@ -653,15 +673,36 @@ def test_twin(spark, module):
 
 
 def test_pipeline_stages_take_effect(spark):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, DATA).collect()
+    out = pipeline.run(spark, DATA).collect()
     assert out and all(r.round_trip and r.n_tokens == len(r.ids) for r in out)
     assert len({r.doc_id for r in out}) == len(out)
     rows = common.read(spark, DATA, "documents")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    for _, stage in pipeline.STAGES[:-1]:
         after = stage(spark, rows, DATA)
         assert after.columns == rows.columns and 0 < after.count() <= rows.count()
     none = rows.where("false")
-    for _, stage in corpus_pipeline.STAGES:
+    for _, stage in pipeline.STAGES:
         assert stage(spark, none, DATA).count() == 0
+
+
+def test_stages_of_odd_rows_equal_plain_python(spark, odd):
+    texts = {r.doc_id: r.text for r in odd.where("doc_id is not null").collect()}
+    kept = {name: stage(spark, odd, DATA) for name, stage in pipeline.STAGES}
+    assert all(kept[name].columns == odd.columns for name, _ in pipeline.STAGES[:-1])
+    scores = {(r.doc_id, r.score >= 0.5) for r in quality_classifier.score(odd, common.read(spark, DATA, "labels")).collect()}
+    assert {r.doc_id for r in kept["quality_classifier"].collect()} == {i for i, good in scores if good}
+    places = [(i, k, x) for i, t in texts.items() for k, x in enumerate((t or "").split("\n")) if x]
+    near = lambda a, b: min(len(a), len(b)) >= line_dedup.NEAR_CHARS and max(len(a), len(b)) < 1000 and edits(a, b) <= line_dedup.TAU
+    gone = {(i, k) for i, k, x in places if any((e, j) < (i, k) and (o == x or near(o, x)) for e, j, o in places)}
+    assert {(r.doc_id, r.text) for r in kept["line_dedup"].collect()} == {
+        (i, t if not any(d == i for d, _ in gone) else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t in texts.items()
+        if not t or any((i, k) not in gone for k in range(t.count("\n") + 1))
+    } | {(None, "null id")}
+    ids = sorted(texts)
+    groups = {ids[i] for i in plain_kept([texts[i] for i in ids])}
+    assert {r.doc_id for r in kept["simhash_near_dedup"].collect()} == groups | {None}
+    items = [r.text for r in common.read(spark, DATA, "benchmark").collect()]
+    short = {i: t for i, t in texts.items() if t != LONG}
+    hit = {list(short)[i] for i, _ in plain_overlaps(list(short.values()), items)}
+    assert {r.doc_id for r in kept["benchmark_decontamination"].collect()} == set(texts) - hit | {None}
+    assert all(r.round_trip for r in kept["sentencepiece_encoding"].collect()) and kept["sentencepiece_encoding"].count() == odd.count()

@@ -34,13 +34,16 @@ BLOCKS = frozenset(
 )
 CONTAINERS = frozenset("article body div main section td blockquote".split())
 EXCLUDED = frozenset(
-    "aside button datalist dialog footer form head header iframe menu nav noscript object script select style svg template textarea".split()
+    "aside button datalist dialog footer head header iframe menu nav noscript object script select style svg template textarea".split()
 )
 EXCLUDED_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
     "footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related "
     "replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+COMMENT_WORDS = frozenset("comment comments disqus replies reply respond".split())
+#: Words that begin a class which tells of something elsewhere: "has-sidebar" is no sidebar.
+TELLING_WORDS = frozenset("has no not with without".split())
 EXCLUDED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 MAIN_WORDS = frozenset("article content entry main post story".split())
 P_CLOSED_BY = BLOCKS - {"dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html"}
@@ -60,7 +63,7 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "out", "size", "weight")
+    __slots__ = ("tag", "parent", "path", "out", "soft", "comment", "mains", "held", "size", "weight")
 
     def __init__(self, tag: str, parent: Node | None, attributes: dict[str, str]):
         self.tag, self.parent = tag, parent
@@ -70,11 +73,17 @@ class Node:
             self.path = f"{parent.path}/{key}" if parent and parent.path else key
         else:
             self.path = parent.path if parent else ""
-        words = set(_WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
+        named = [_WORD.findall(x) for x in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()]
+        words = {w for x in named if x and x[0] not in TELLING_WORDS for w in x}
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         role = attributes.get("role", "").lower()
-        keep = tag in ("html", "body", "main", "article") and not (tag == "article" and words & {"comment", "comments", "reply"})
-        self.out = bool(parent and parent.out) or tag in EXCLUDED or hidden or (not keep and bool(words & EXCLUDED_WORDS or role in EXCLUDED_ROLES))
+        keep = tag in ("html", "body", "main", "article") and not (tag == "article" and words & COMMENT_WORDS)
+        # a tag that is never main text takes its subtree along; a name, a role or a form is judged by what it holds
+        self.out = bool(parent and parent.out) or tag in EXCLUDED or hidden
+        self.soft = tag == "form" or (not keep and bool(words & EXCLUDED_WORDS or role in EXCLUDED_ROLES))
+        self.comment = not keep and bool(words & COMMENT_WORDS)
+        self.mains, self.held = False, 0
+        self.comment = self.comment or bool(parent and parent.comment and tag != "main")
         self.size = 0
         if tag == "article":
             self.weight = 2.0
@@ -87,9 +96,16 @@ class Node:
 
 
 def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
-    """Blocks (innermost block element, text) in page order outside all that is left out, and all containers."""
+    """Blocks (innermost block element, text) in page order outside all that is left out, and all containers.
+
+    An element that is left out for its name, its role or as a form stays in if it holds ``main`` or the page's
+    largest article, of a third of the text that is no comment; on a page with no article or ``main``, if it holds more than half
+    of that text and is no comment. Themes and server frameworks name and wrap whole pages so.
+    """
     root = Node("html", None, {})
     stack, blocks, containers = [root], [], []
+    mains: list[Node] = []
+    remarks: list[Node] = []
     pending: list[tuple[str, bool]] = []
     owner = root
 
@@ -98,10 +114,10 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             text = _SPACE.sub(" ", "".join(t for t, _ in pending)).strip()
             if text:
                 linked = sum(len(t) for t, link in pending if link)
-                blocks.append((owner, text))
-                node, clean = owner, max(0, len(text) - linked)
+                blocks.append((owner, text, max(0, len(text) - linked)))
+                node = owner
                 while node is not None:
-                    node.size += clean
+                    node.held += len(text)
                     node = node.parent
             pending.clear()
 
@@ -175,10 +191,45 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         stack.append(node)
         if tag in BLOCKS:
             owner = node
+        if tag in ("article", "main") and not node.out and not node.soft and not node.comment:
+            mains.append(node)
         if tag in CONTAINERS and not node.out:
             containers.append(node)
+        if node.comment and not node.out and not (node.parent and node.parent.comment):
+            remarks.append(node)
     flush()
-    return blocks, containers or [root]
+    said = root.held - sum(n.held for n in remarks)
+    best = max((n.held for n in mains if n.tag == "article"), default=0)
+    main = any(n.held for n in mains)
+    for node in mains:
+        if node.tag == "main" or (node.held == best and 3 * best >= said):
+            at_ = node.parent
+            while at_ is not None and not at_.mains:
+                at_.mains = True
+                at_ = at_.parent
+    gone: dict[int, bool] = {}
+
+    def left_out(node: Node | None) -> bool:
+        chain = []
+        while node is not None and id(node) not in gone:
+            chain.append(node)
+            node = node.parent
+        state = gone[id(node)] if node is not None else False
+        for n in reversed(chain):
+            stays = n.mains or (not main and not n.comment and 2 * n.held > said)
+            state = state or (n.soft and not stays)
+            gone[id(n)] = state
+        return state
+
+    kept = []
+    for node, block, clean in blocks:
+        if not left_out(node):
+            kept.append((node, block))
+            at_ = node
+            while at_ is not None:
+                at_.size += clean
+                at_ = at_.parent
+    return kept, [c for c in containers if not left_out(c)] or [root]
 
 
 def scores(page: str) -> list[tuple[str, float]]:
@@ -234,6 +285,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text and n_chars.
 
+    Ties of containers go to the deeper path, then to the later name; pages of any length are read whole.
     Null and empty pages give an empty text; a null or odd url belongs to the host "" and votes there; repeated
     rows are extracted alike and vote each time; extra columns are ignored; an empty table gives an empty result.
     """
@@ -250,4 +302,5 @@ def main_text(pages: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``main_text`` of all pages; its docstring defines every case."""
     return main_text(read(spark, sf_dir, "pages"))

@@ -11,6 +11,7 @@ from wayline.llm import (
     html_extract,
     line_dedup,
     pii,
+    pipeline,
     quality_classifier,
     quality_rules,
     sentencepiece_codec,
@@ -20,12 +21,6 @@ from wayline.llm import (
 )
 
 
-def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": pii.query,
@@ -38,7 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": substring_dedup.query,
         "op9_url_filters": url_filter.query,
         "op10_line_dedup": line_dedup.query,
-        "pipeline": _pipeline,
+        "pipeline": pipeline.run,
     }
 
 
