@@ -1,66 +1,7 @@
-"""Corpus pipeline: quality classifier, line dedup, SimHash near-dedup, benchmark decontamination, encoding.
-
-Every stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns a DataFrame; ``run``
-writes each stage's result as Parquet to the shared folder and reads it again for the next one.
-"""
+"""The corpus pipeline of ``wayline.llm.pipeline``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from wayline.llm import decontaminate, line_dedup, quality_classifier, sentencepiece_codec, simhash_dedup
-from wayline.llm.common import read
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject; word vectors come from ``docs`` themselves."""
-    scored = quality_classifier.score(docs, read(spark, sf_dir, "labels"))
-    return scored.where(F.col("score") >= 0.5).select(*docs.columns)
-
-
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat an earlier one; those that lose every line go."""
-    return line_dedup.dedup_lines(docs, line_dedup.TAU, line_dedup.NEAR_CHARS, line_dedup.EQUAL_CHARS)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash_dedup.keep_one(docs)
-
-
-def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap no benchmark item."""
-    return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
-
-
-def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document: its ids, their number, and whether they decode to its text."""
-    both = sentencepiece_codec.encode(docs, verify=True)
-    return both.select("doc_id", "source", "lang", "n_tokens", "round_trip", "ids")
-
-
-STAGES = [
-    ("quality_classifier", quality),
-    ("line_dedup", lines),
-    ("simhash_near_dedup", near_duplicates),
-    ("benchmark_decontamination", benchmark),
-    ("sentencepiece_encoding", encoding),
-]
-
-#: The classifier and the encoding have no SQL; tests/llm hold each stage against a brute-force version.
-ORACLE_SQL = None
-
+from wayline.llm.pipeline import ORACLE_SQL, STAGES, run
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages over ``documents``."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="corpus-pipeline-")
-    folder = f"{shared.rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
