@@ -211,3 +211,43 @@ def test_empty_input(spark):
     placed = chunk.positions(clean.valid_fixes(none))
     assert chunk.dice(chunk.lengths(placed), 10, 2).count() == 0
     assert chunk.inference_chunks(placed, 10, 2, 2).count() == 0
+
+
+@pytest.mark.parametrize("lower", [False, True])
+def test_quantiles_are_exact_where_only_an_interval_is_ranked(spark, lower):
+    rng = np.random.default_rng(5)
+    values = {"a": np.round(rng.normal(size=4000), 2), "b": rng.exponential(size=2500), "c": np.full(1500, 3.0), "d": np.array([1.0, 2.0])}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("e", None)], "k string, v double")
+    found = {r.k: r.x for r in metrics.quantiles(rows, {"x": F.col("v")}, ["k"], (0.25, 0.5, 0.75), lower, accuracy=100).collect()}
+    method = "inverted_cdf" if lower else "linear"
+    assert set(found) == set(values)
+    for k, v in values.items():
+        assert np.allclose(found[k], np.quantile(v, [0.25, 0.5, 0.75], method=method), rtol=0, atol=1e-12), k
+    none = metrics.summary(rows.where("k = 'e'"), "v").first()
+    assert none["count"] == 0 and none["med_err"] is None
+    assert metrics.fence(rows.where("false"), "v").first().asDict() == {"delta": 1.0, "q1": 0.0, "q3": 1.0, "iqr": 1.0}
+
+
+def test_places_are_counted_over_ranges(spark):
+    rows = spark.range(1000).selectExpr("id % 3 as k", "(id * 7919) % 1009 as v").repartition(7)
+    found = sampling.numbered(rows, ["k"], [F.col("v")], "at").collect()
+    for k in range(3):
+        own = sorted((r.v, r["at"]) for r in found if r.k == k)
+        assert [at for _, at in own] == list(range(len(own)))
+
+
+def test_users_with_bad_points_are_dropped_and_short_sets_fail(spark):
+    nan = float("nan")
+    rows = spark.createDataFrame([(0, 1, 1.0, 1.0, 1.0, 1.0), (0, 1, 1.0, 1.0, nan, 1.0), (0, 2, 1.0, 1.0, 1.0, 1.0), (1, 1, 1.0, 1.0, 1.0, None)], "shard long, agent long, longitude double, latitude double, longitude_n double, latitude_n double")
+    left = clean.drop_bad_users(rows)
+    assert [(r.shard, r.agent) for r in left.collect()] == [(0, 2)] and clean.require_finite(left).count() == 1
+    with pytest.raises(ValueError, match="longitude_n"):
+        clean.require_finite(rows)
+    with pytest.raises(ValueError):
+        sampling.require(left, 2)
+
+
+def test_a_predictor_is_loaded_once_for_a_name():
+    loads = []
+    predictor = denoise.LoadOnce("counted", lambda: loads.append(1) or (lambda x, t: x + t))
+    assert predictor(1, 2) == 3 and predictor(2, 2) == 4 and loads == [1]

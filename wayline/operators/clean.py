@@ -44,6 +44,21 @@ def nonfinite_counts(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.agg(*[F.coalesce(F.count_if(~finite(F.col(c))), F.lit(0)).alias(f"bad_{c}") for c in columns])
 
 
+def drop_bad_users(points: DataFrame, columns: Sequence[str] = COORDINATES) -> DataFrame:
+    """``points`` without the trajectories of which any coordinate is not finite: the check after a filter, which
+    drops the whole user rather than hand on what should not exist."""
+    bad = points.where(~all_finite(columns)).select(*TRAJECTORY).distinct()
+    return points.join(bad, list(TRAJECTORY), "left_anti")
+
+
+def require_finite(points: DataFrame, columns: Sequence[str] = COORDINATES) -> DataFrame:
+    """``points``, or an error that counts the values that are not finite."""
+    counts = nonfinite_counts(points, columns).first().asDict()
+    if any(counts.values()):
+        raise ValueError(f"values that are not finite: {counts}")
+    return points
+
+
 def epoch_seconds(ts: Column) -> Column:
     """Whole seconds since 1970 of a time without zone, as a double."""
     return F.floor(F.unix_micros(ts.cast("timestamp")) / 1_000_000).cast("double")

@@ -89,6 +89,26 @@ def denoise_breadth_first(rows: DataFrame, keys: Sequence[str], k: int, q1: int,
     return rows.select(*keys, "p", "e", "n").groupBy(*keys).applyInPandas(run, schema)
 
 
+class LoadOnce:
+    """A predictor that every worker process loads at its first batch and keeps: only name and loader are shipped."""
+
+    _held: dict[str, Predictor] = {}
+
+    def __init__(self, name: str, load: Callable[[], Predictor]):
+        self.name, self.load = name, load
+
+    def __call__(self, x: np.ndarray, t: np.ndarray) -> np.ndarray:
+        if self.name not in LoadOnce._held:
+            LoadOnce._held[self.name] = self.load()
+        return LoadOnce._held[self.name](x, t)
+
+
+def with_error_code(trajectories: DataFrame, done: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
+    """All ``trajectories`` (keys) with the count ``n`` of ``done`` and error_code: 0, or -1 where nothing was left."""
+    both = trajectories.join(done, list(keys), "left")
+    return both.select(*keys, F.coalesce(n, F.lit(0)).alias(n), F.when(F.col(n) > 0, 0).otherwise(-1).alias("error_code"))
+
+
 def predict(rows: DataFrame, keys: Sequence[str], predictor: Predictor) -> DataFrame:
     """Velocities (keys, ve, vn) of points (keys, e, n, t) in Arrow batches."""
     types = dict(rows.dtypes)

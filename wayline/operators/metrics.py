@@ -28,14 +28,68 @@ def displacement() -> Column:
     return length(F.col("e1") - F.col("e0"), F.col("n1") - F.col("n0"))
 
 
+def quantiles(rows: DataFrame, values: dict[str, Column], by: Sequence[str], probs: Sequence[float], lower: bool = False, accuracy: int = 10_000) -> DataFrame:
+    """Exact quantiles without a task that holds all values: ``by`` and, for each name of ``values``, an array.
+
+    A first pass takes a sketch, whose error is bounded by 1 / accuracy of the rows, and from it an interval about
+    each wanted rank; a second one counts the values below each interval and those inside, equal ones together.
+    Only the inside, a few 10,000ths of the rows, is ranked in a window. Quantiles interpolate; with ``lower`` they
+    are the value at rank ceil(p n). Nulls are left out; keys without values have null quantiles.
+    """
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+    names = [f"_k{i}" for i in range(len(by))]
+    flat = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("what"), c.cast("double").alias("v")) for n, c in values.items()])).alias("x")).select(*names, "x.what", "x.v")
+    group = [*names, "what"]
+    edges = [e for p in probs for e in (max(0.0, p - 2 / accuracy), min(1.0, p + 2 / accuracy))]
+    n = F.count("v")
+    sketch = flat.groupBy(*group).agg(n.alias("n"), F.percentile_approx("v", edges, accuracy).alias("edges"))
+    rank = [F.when(F.lit(lower), F.greatest(F.ceil(F.lit(p) * F.col("n")) - 1, F.lit(0)).cast("double")).otherwise(F.lit(p) * (F.col("n") - 1)) for p in probs]
+    # few values: the interval is everything, which also holds the ranks next to the wanted one
+    all_ = F.col("n") <= accuracy
+    wanted = [
+        F.struct(
+            F.lit(i).alias("i"), rank[i].alias("rank"), F.when(all_, float("-inf")).otherwise(F.col("edges")[2 * i]).alias("low"),
+            F.when(all_, float("inf")).otherwise(F.col("edges")[2 * i + 1]).alias("high"),
+        )
+        for i in range(len(probs))
+    ]
+    sketch = sketch.where("n > 0").select(*group, F.array(*wanted).alias("wanted"))
+    met = flat.where("v is not null").join(F.broadcast(sketch) if not by else sketch, group).select(*group, "v", F.explode("wanted").alias("w")).where(F.col("v") <= F.col("w.high"))
+    inside = F.when(F.col("v") >= F.col("w.low"), F.col("v"))
+    counted = met.groupBy(*group, F.col("w.i").alias("i"), F.col("w.rank").alias("rank"), inside.alias("v")).agg(F.count("*").alias("m"))
+    own = Window.partitionBy(*group, "i").orderBy(F.asc_nulls_first("v"))
+    placed = counted.withColumn("stop", F.sum("m").over(own)).where("v is not null").withColumn("start", F.col("stop") - F.col("m"))
+    at = lambda r: F.max(F.when((F.col("start") <= r) & (r < F.col("stop")), F.col("v")))
+    found = placed.groupBy(*group, "i").agg(at(F.floor("rank")).alias("a"), at(F.ceil("rank")).alias("b"), F.max("rank").alias("rank"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))
+    arrays = found.select(*group, F.struct("i", value.alias("q")).alias("q")).groupBy(*group).agg(F.transform(F.sort_array(F.collect_list("q")), lambda q: q["q"]).alias("q"))
+    out = arrays.groupBy(*names).pivot("what", list(values)).agg(F.first("q")) if names else arrays.groupBy().pivot("what", list(values)).agg(F.first("q"))
+    return out.withColumnsRenamed(dict(zip(names, by, strict=True)))
+
+
+def _with_quantiles(stats: DataFrame, found: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``stats`` beside the quantiles of its keys; null keys meet too."""
+    if not by:  # two tables of one row each
+        both = stats.unionByName(found, allowMissingColumns=True)
+        return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns])
+    right = found.withColumnsRenamed({c: f"_q{i}" for i, c in enumerate(by)})
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & stats[c].eqNullSafe(right[f"_q{i}"])
+    return stats.join(right, on, "left").drop(*[f"_q{i}" for i in range(len(by))])
+
+
 def fence(rows: DataFrame, value: str, by: Sequence[str] = (), exact: bool = True, accuracy: int = 100_000) -> DataFrame:
     """delta = q3 + 1.5 iqr with q1, q3, iqr of the finite values; 1, 0, 1, 1 where there are none.
 
-    ``exact`` interpolates over all values, which keeps a map of them: for very many values take False.
+    ``exact`` interpolates between exact ranks; otherwise one pass gives ranks within 1 / accuracy of the rows.
     """
     v = F.when(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")), F.col(value))
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))) if exact else F.percentile_approx(v, [0.25, 0.75], accuracy)
-    out = rows.groupBy(*by).agg(q.alias("q")) if by else rows.agg(q.alias("q"))
+    if exact:
+        all_ = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+        out = _with_quantiles(all_, quantiles(rows, {"q": v}, by, (0.25, 0.75)), by)
+    else:
+        out = rows.groupBy(*by).agg(F.percentile_approx(v, [0.25, 0.75], accuracy).alias("q"))
     q1, q3 = F.coalesce(F.col("q")[0], F.lit(0.0)), F.coalesce(F.col("q")[1], F.lit(1.0))
     iqr = q3 - q1
     return out.select(*by, F.when(F.col("q").isNull(), 1.0).otherwise(q3 + 1.5 * iqr).alias("delta"), q1.alias("q1"), q3.alias("q3"), iqr.alias("iqr"))
@@ -43,11 +97,11 @@ def fence(rows: DataFrame, value: str, by: Sequence[str] = (), exact: bool = Tru
 
 def summary(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Sum, mean, averaging median, population deviation and count."""
-    group = rows.groupBy(*by) if by else rows.groupBy()
-    return group.agg(
-        F.sum(value).alias("total_err"), F.avg(value).alias("avg_err"), F.median(value).alias("med_err"),
-        F.stddev_pop(value).alias("std_err"), F.count(value).alias("count"),
+    stats = rows.groupBy(*by).agg(
+        F.sum(value).alias("total_err"), F.avg(value).alias("avg_err"), F.stddev_pop(value).alias("std_err"), F.count(value).alias("count"),
     )
+    both = _with_quantiles(stats, quantiles(rows, {"_med": F.col(value)}, by, (0.5,)), by)
+    return both.select(*by, "total_err", "avg_err", F.get("_med", F.lit(0)).alias("med_err"), "std_err", "count")
 
 
 def per_sample(errors: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -56,8 +110,9 @@ def per_sample(errors: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def set_statistics(samples: DataFrame, by: Sequence[str], lower_median: bool = False) -> DataFrame:
     """Mean, median and population deviation of per-sample errors; the lower median of an even count on request."""
-    median = F.expr("percentile_disc(0.5) within group (order by err)") if lower_median else F.median("err")
-    return samples.groupBy(*by).agg(F.avg("err").alias("mean"), median.alias("median"), F.stddev_pop("err").alias("std"))
+    stats = samples.groupBy(*by).agg(F.avg("err").alias("mean"), F.stddev_pop("err").alias("std"))
+    both = _with_quantiles(stats, quantiles(samples, {"_med": F.col("err")}, by, (0.5,), lower_median), by)
+    return both.select(*by, "mean", F.get("_med", F.lit(0)).alias("median"), "std")
 
 
 def group_errors(errors: DataFrame, by: Sequence[str], width: int = 8) -> DataFrame:
@@ -101,10 +156,12 @@ def detect_overlaps(groups: DataFrame, by: Sequence[str]) -> DataFrame:
 def full_and_middle(errors: DataFrame, by: Sequence[str], k: int, q1: int, q2: int) -> DataFrame:
     """Mean and median over all points and over those off the overlaps, pooled."""
     middle = F.when((F.col("j") >= q1) & (F.col("j") < k - q2), F.col("err"))
-    return errors.groupBy(*by).agg(
-        F.avg("err").alias("mean_full"), F.median("err").alias("median_full"), F.stddev_pop("err").alias("std_full"),
-        F.avg(middle).alias("mean_mid"), F.median(middle).alias("median_mid"), F.stddev_pop(middle).alias("std_mid"),
+    stats = errors.groupBy(*by).agg(
+        F.avg("err").alias("mean_full"), F.stddev_pop("err").alias("std_full"), F.avg(middle).alias("mean_mid"), F.stddev_pop(middle).alias("std_mid"),
     )
+    both = _with_quantiles(stats, quantiles(errors, {"_full": F.col("err"), "_mid": middle}, by, (0.5,)), by)
+    median = lambda c: F.get(c, F.lit(0)).alias(f"median{c}")
+    return both.select(*by, "mean_full", median("_full"), "std_full", "mean_mid", median("_mid"), "std_mid")
 
 
 def masked_huber(rows: DataFrame, delta: float, weight: Column) -> DataFrame:

@@ -7,6 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayline.functions.samples import finite, uniform
+from wayline.sources.trajectories import scratch
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """``rows`` with their 0-based place by ``order`` within ``by`` in ``name``, without a task that holds a key's rows.
+
+    Rows are dealt by ranges and cut there; a place is the number of rows in earlier ranges, counted once per
+    range, plus the place within the range. ``order`` has no ties.
+    """
+    dealt = rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id())
+    sc = rows.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(scratch(rows.sparkSession, "checkpoints"))
+    dealt = dealt.checkpoint(eager=True)
+    sizes = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_n_range"))  # one row per key and range
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n_range").over(earlier), F.lit(0))).drop("_n_range")
+    place = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)) - 1 + F.col("_before")
+    return dealt.join(sizes, [*by, "_range"]).withColumn(name, place).drop("_range", "_before")
 
 
 def ranked_shards(rows: DataFrame, shard: str = "shard") -> DataFrame:
@@ -69,20 +88,20 @@ def epoch_batches(samples: DataFrame, epoch: int, shards: int, step: int, most:
     """Batches of one epoch: shard ``epoch`` mod ``shards``, trimmed to a multiple of ``step`` and at most ``most`` rows,
     shuffled by a seeded key for each pass, incomplete batches dropped."""
     own = samples.where(F.col("shard") == epoch % shards)
-    n = F.count("*").over(Window.partitionBy("shard"))
-    kept = own.withColumn("_n", F.least(F.lit(most), n - n % step)).withColumn("_r", F.row_number().over(Window.partitionBy("shard").orderBy("sample")))
-    kept = kept.where(F.col("_r") <= F.col("_n")).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
+    n = F.count("*")
+    sizes = own.groupBy("shard").agg(F.least(F.lit(most), n - n % step).alias("_n"))
+    kept = numbered(own, ["shard"], [F.col("sample")], "_r").join(F.broadcast(sizes), "shard")  # one shard
+    kept = kept.where(F.col("_r") < F.col("_n")).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
     key = F.md5(F.concat_ws("/", F.lit(str(epoch)), F.col("pass").cast("string"), F.col("sample").cast("string")))
-    place = F.row_number().over(Window.partitionBy("shard", "pass").orderBy(key, "sample")) - 1
-    out = kept.withColumn("batch", F.floor(place / batch).cast("long"))
-    return out.where((F.col("batch") + 1) * batch <= F.col("_n")).drop("_n", "_r")
+    out = numbered(kept, ["shard", "pass"], [key, F.col("sample")], "_place").withColumn("batch", F.floor(F.col("_place") / batch).cast("long"))
+    return out.where((F.col("batch") + 1) * batch <= F.col("_n")).drop("_n", "_r", "_place")
 
 
 def draws(samples: DataFrame, shards: int, m: int, seed: str) -> DataFrame:
     """``m`` draws with replacement, shards by turns: (draw, shard, sample)."""
     spark = samples.sparkSession
-    numbered = samples.withColumn("_at", F.row_number().over(Window.partitionBy("shard").orderBy("sample")) - 1)
+    placed = numbered(samples, ["shard"], [F.col("sample")], "_at")
     sizes = samples.groupBy("shard").agg(F.count("*").alias("_n"))
     wanted = spark.range(m).select(F.col("id").alias("draw"), (F.col("id") % shards).alias("shard")).join(sizes, "shard")
     at = F.floor(uniform(F.lit(seed), F.col("draw")) * F.col("_n")).cast("long")
-    return wanted.withColumn("_at", at).join(numbered, ["shard", "_at"]).select("draw", "shard", "sample")
+    return wanted.withColumn("_at", at).join(placed, ["shard", "_at"]).select("draw", "shard", "sample")

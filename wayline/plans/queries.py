@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -123,8 +124,11 @@ def a1_scan_shards(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def a2_unreadable_shards(spark: SparkSession, sf: str) -> DataFrame:
     path = written_shards(spark, sf)
-    table(spark, sf, "region").select(F.lit("not parquet").alias("value")).limit(1).coalesce(1).write.text(f"{path}/shard=99")
-    return src.shard_report(spark, path)
+    few = points(spark, sf).where("event_id < 10")
+    few.drop("shard").coalesce(1).write.parquet(f"{path}/shard=98")
+    few.limit(1).select(F.lit("not parquet").alias("value")).coalesce(1).write.text(f"{path}/shard=99")
+    known = state(spark, sf).select(F.concat(F.lit("shard="), F.col("shard").cast("string")).alias("ds_name"))
+    return src.shard_report(spark, path, K, known)
 
 
 @query
@@ -175,6 +179,21 @@ def a8_sample_packs(spark: SparkSession, sf: str) -> DataFrame:
     return packs.groupBy("split", F.col("shard").cast("long").alias("shard"), "shard_index").agg(F.count("*").alias("n_rows"))
 
 
+@query
+def a7_audit_log(spark: SparkSession, sf: str) -> DataFrame:
+    path = src.scratch(spark, "audit")
+    src.append_log(audited(spark, sf), path)
+    return rounded(src.read_log(spark, path, src.AUDIT_LOG), 6)
+
+
+@query
+def a7_benchmark_log(spark: SparkSession, sf: str) -> DataFrame:
+    path = src.scratch(spark, "benchmark")
+    rows = metrics.full_and_middle(errors(spark, sf), ["model"], 64, 8, 8).withColumn("q1", F.lit(8).cast("long")).withColumn("q2", F.lit(8).cast("long"))
+    src.append_log(rows.select(*[f.name for f in src.BENCHMARK_LOG]), path)
+    return rounded(src.read_log(spark, path, src.BENCHMARK_LOG), 6)
+
+
 # B. filters and predicates
 
 
@@ -204,6 +223,13 @@ def b5_quality_check(spark: SparkSession, sf: str) -> DataFrame:
     return clean.nonfinite_counts(points(spark, sf), clean.COORDINATES)
 
 
+@query
+def b5_checked_users(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of users with no bad coordinate: bad clean fixes are filtered first, so that noisy ones decide."""
+    rows = clean.valid_fixes(points(spark, sf), ("longitude", "latitude"))
+    return clean.require_finite(clean.drop_bad_users(rows)).select("event_id", "agent")
+
+
 @query
 def b6_enu_finite(spark: SparkSession, sf: str) -> DataFrame:
     return enu(spark, sf).agg(F.count("*").alias("n_points"), F.count_if(~clean.all_finite(["e1", "n1", "e0", "n0"])).alias("n_bad"))
@@ -467,10 +493,11 @@ def d22_trajectory_error(spark: SparkSession, sf: str) -> DataFrame:
 def d23_chunk_error(spark: SparkSession, sf: str) -> DataFrame:
     a, t = F.lit(0.1), F.col("t")
     rows = noisy(spark, sf).withColumn("xe", denoise.euler(F.col("ex"), a, t, 5)).withColumn("xn", denoise.euler(F.col("nx"), a, t, 5))
-    return rows.agg(
-        F.round(F.avg(fn.length(F.col("xe") - F.col("e0"), F.col("xn") - F.col("n0"))), 6).alias("denoised"),
-        F.round(F.avg(fn.length(F.col("ex") - F.col("e0"), F.col("nx") - F.col("n0"))), 6).alias("input"), F.count("*").alias("n"),
-    )
+    both = F.array(*[
+        F.struct(F.lit(name).alias("what"), fn.length(F.col(e) - F.col("e0"), F.col(n) - F.col("n0")).alias("err"))
+        for name, e, n in (("denoised", "xe", "xn"), ("input", "ex", "nx"))
+    ])
+    return summarised(metrics.summary(rows.select(F.explode(both).alias("x")).select("x.*"), "err", ["what"]))
 
 
 # E. windows
@@ -600,13 +627,15 @@ def f5_quick_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def f6_small_set(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.small_set(set_samples(spark, sf), "fp", SAMPLE, 200).select(*SAMPLE)
+    return sampling.require(sampling.small_set(set_samples(spark, sf), "fp", SAMPLE, 200), 200).select(*SAMPLE)
 
 
 @query
 def f7_big_set(spark: SparkSession, sf: str) -> DataFrame:
+    """Raises where the tables hold too few samples for a full set."""
     rows = set_samples(spark, sf)
-    return sampling.big_set(rows, sampling.small_set(rows, "fp", SAMPLE, 200), "fp", SAMPLE, 1000).select(*SAMPLE)
+    big = sampling.big_set(rows, sampling.small_set(rows, "fp", SAMPLE, 200), "fp", SAMPLE, 1000)
+    return sampling.require(big, 1000).select(*SAMPLE)
 
 
 def event_samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -634,18 +663,14 @@ def f10_capped_error(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def g1_concatenated(spark: SparkSession, sf: str) -> DataFrame:
-    rows = points(spark, sf)
-    parts = [rows.where(F.col("shard") == s) for s in range(3)]
+    parts = [points(spark, sf).where(split_of() == s) for s in ("train", "val", "test")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("shard").agg(F.count("*").alias("n"))
 
 
 @query
 def g2_distinct_union(spark: SparkSession, sf: str) -> DataFrame:
-    rows = points(spark, sf)
-    out = rows.where("shard = 0").select("modality")
-    for s in range(1, 4):
-        out = out.union(rows.where(F.col("shard") == s).select("modality"))
-    return out.distinct()
+    parts = [points(spark, sf).where(split_of() == s).select("modality") for s in ("train", "val", "test")]
+    return parts[0].union(parts[1]).union(parts[2]).distinct()
 
 
 @query
@@ -727,7 +752,7 @@ def h8_position_weight(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def h9_noise_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").where("event_id % 10 = 0").select("event_id", fn.noise_embedding((F.col("event_id") % 1000) / 1000.0, 16).alias("v"))
+    rows = table(spark, sf, "events").select("event_id", fn.noise_embedding((F.col("event_id") % 1000) / 1000.0, 16).alias("v"))
     both = rows.select("event_id", F.posexplode(F.slice("v", 1, 8)).alias("i", "s"), "v")
     return both.select("event_id", F.col("i").cast("long").alias("i"), r("s", 6), (F.round(F.get("v", F.col("i") + 8), 6) + 0.0).alias("c"))
 
@@ -788,7 +813,7 @@ def i6_euler(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def i7_predictions(spark: SparkSession, sf: str) -> DataFrame:
     rows = noisy(spark, sf).select(*CHUNK, F.col("s").cast("long").alias("s"), "j", F.col("ex").alias("e"), F.col("nx").alias("n"), "t")
-    found = denoise.predict(rows, [*SAMPLE, "j"], denoise.linear_predictor(0.1))
+    found = denoise.predict(rows, [*SAMPLE, "j"], denoise.LoadOnce("linear-0.1", functools.partial(denoise.linear_predictor, 0.1)))
     return found.groupBy(*SAMPLE).agg((F.round(F.avg("ve"), 4) + 0.0).alias("ve"), (F.round(F.avg("vn"), 4) + 0.0).alias("vn"))
 
 
@@ -802,11 +827,25 @@ def i9_velocity_fit(spark: SparkSession, sf: str) -> DataFrame:
     return denoise.fit_velocity(noisy(spark, sf).where(F.col("shard") < SPLIT[0]), ["ex", "nx", "t"], K)
 
 
+def audited(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per checkpoint: statistics of its samples and the mean error of each group of positions."""
+    by, rows = ["model", "ckpt"], errors(spark, sf)
+    found = metrics.set_statistics(metrics.per_sample(rows, [*by, "sample"]), by)
+    return found.join(metrics.group_matrix(metrics.group_errors(rows, by), by, 8), by).select(*[f.name for f in src.AUDIT_LOG])
+
+
 @query
 def i10_audit(spark: SparkSession, sf: str) -> DataFrame:
-    by = ["model", "ckpt"]
-    found = metrics.set_statistics(metrics.per_sample(errors(spark, sf), [*by, "sample"]), by)
-    return rounded(select.top(found, "model", [F.col(c) for c in ("mean", "median", "std", "ckpt")]), 6)
+    """The summary over models: the best checkpoint of each with its statistics and groups."""
+    return rounded(select.top(audited(spark, sf), "model", [F.col(c) for c in ("mean", "median", "std", "ckpt")]), 6)
+
+
+@query
+def i5_error_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every trajectory of the input with its denoised points and a code, -1 where the filter left none."""
+    spoiled = points(spark, sf).withColumn("longitude_n", F.when(F.col("agent") % 50 != 0, F.col("longitude_n")))
+    left = clean.valid_fixes(spoiled).groupBy(*USER).agg(F.count("*").alias("n_points"))
+    return denoise.with_error_code(spoiled.select(*USER).distinct(), left, USER, "n_points")
 
 
 # J. streams

@@ -104,16 +104,23 @@ _SAMPLES = f"""samples as (select shard, agent, i, s, max(t) as t, bool_and({fin
 _SET = f"""valid_s as (select *, md5(case when (agent + i) % 5 = 0 then cast(shard as varchar) || '/' || cast(i as varchar) else key || '/' || cast(s as varchar) end) as fp from samples where ok),
 firsts as (select * from (select *, row_number() over (partition by fp order by shard, agent, i, s) as r from valid_s) where r = 1),
 small as (select * from firsts order by shard, agent, i, s limit 200)"""
+_BYTES = ", ".join(f"round(avg(err) filter (j // 8 = {g}), 6) as byte_{g}" for g in range(8))
 _FENCE = "quantile_cont(err, 0.25) as q1, quantile_cont(err, 0.75) as q3"
 
 SQL: dict[str, str] = {
     "a1_scan_shards": f"with {TRAJ} select 'shard=' || shard as ds_name, count(*) as n_rows, count(distinct agent) as n_agents from traj group by shard",
-    "a2_unreadable_shards": f"with {TRAJ} select 'shard=' || shard as ds_name, count(*) as n_rows, 'ok' as status from traj group by shard union all select 'shard=99', 0, 'unreadable'",
+    "a2_unreadable_shards": f"""with {BASE}, {STATE} select 'shard=' || shard as ds_name, count(*) as n_rows,
+  case when shard in (select shard from sizes where n > {K}) or shard in (select shard from state) then 'ok' else 'no_chunks' end as status from traj group by shard
+union all select 'shard=98', count(*), 'no_chunks' from traj where event_id < 10 union all select 'shard=99', 0, 'unreadable'""",
     "a3_head_extract": f"with {TRAJ} select event_id, agent, modality, longitude, latitude from traj order by event_id limit 1000",
     "a4_sample_sink": f"with {POINTS}, {NOISY} select case when shard < {SPLIT[0]} then 'train' when shard < {SPLIT[1]} then 'val' else 'test' end as split, shard, count(distinct (agent, i, s)) as n_rows from noisy group by all",
     "a5_read_state": f"with {CHUNKS} select 'shard_' || shard as ds_name, agent, max(row_end) as end_row from chunks group by all",
     "a6_write_state": f"with {CHUNKS} select 'shard_' || shard as ds_name, count(*) as n_agents, cast(sum(e) as bigint) as sum_end from (select shard, agent, max(row_end) as e from chunks group by all) group by all",
     "a7_metric_log": f"with {LOG} select model, count(*) as n_rows, max(step) as last_step, round(avg(avg_loss), 6) as avg_loss from ckpt_log group by model",
+    "a7_audit_log": f"""with {ERR}, s as (select model, ckpt, sample, avg(err) as err from err group by all),
+m as (select model, ckpt, round(avg(err), 6) as mean, round(median(err), 6) as median, round(stddev_pop(err), 6) as std from s group by all),
+b as (select model, ckpt, {_BYTES} from err group by all) select * from m join b using (model, ckpt)""",
+    "a7_benchmark_log": f"with {ERR} select model, 8::bigint as q1, 8::bigint as q2, round(avg(err), 6) as mean_full, round(median(err), 6) as median_full, round(stddev_pop(err), 6) as std_full, round(avg(err) filter (j >= 8 and j < 56), 6) as mean_mid, round(median(err) filter (j >= 8 and j < 56), 6) as median_mid, round(stddev_pop(err) filter (j >= 8 and j < 56), 6) as std_mid from err group by model",
     "a8_sample_packs": f"""with {POINTS}, {NOISY}, u as (select distinct case when shard < {SPLIT[0]} then 'train' when shard < {SPLIT[1]} then 'val' else 'test' end as split, shard, agent, i, s from noisy)
 select split, shard, cast(dense_rank() over (partition by split order by shard) - 1 as integer) as shard_index, n_rows from (select split, shard, count(*) as n_rows from u group by all)""",
     "b1_valid_fixes": f"with {TRAJ}, {VALID} select event_id, agent, longitude_n, latitude_n from valid",
@@ -121,6 +128,7 @@ select split, shard, cast(dense_rank() over (partition by split order by shard)
     "b3_drop_nan": f"with {TRAJ}, odd as (select event_id, case when event_id % 101 = 0 then 'Infinity'::double else longitude_n end as longitude_n, latitude_n from traj) select event_id from odd where longitude_n is not null and not isnan(longitude_n) and latitude_n is not null and not isnan(latitude_n)",
     "b4_drop_accounting": f"with {TRAJ} select shard, agent, count(*) as n_before, count(*) filter ({finite(*FOUR)}) as n_valid, count(*) filter (not ({finite(*FOUR)})) as n_dropped from traj group by all",
     "b5_quality_check": f"with {TRAJ} select " + ", ".join(f"count(*) filter (not {finite(c)}) as bad_{c}" for c in FOUR) + " from traj",
+    "b5_checked_users": f"with {TRAJ} select event_id, agent from traj where (shard, agent) not in (select (shard, agent) from traj where not ({finite(*FOUR)}))",
     "b6_enu_finite": f"with {POINTS} select count(*) as n_points, count(*) filter (not ({finite('e1', 'n1', 'e0', 'n0')})) as n_bad from enu",
     "b7_epoch_seconds": f"with {TRAJ} select event_id, epoch(date_trunc('second', ts)) as ts_s from traj",
     "b8_min_length": f"with {BASE}, {STATE} select shard, agent, n, start from (select z.*, greatest(0, coalesce(end_row + 1 - {Q}, 0)) as start from sizes z left join state t using (shard, agent)) where case when start = 0 then n > {K} else start + {K} <= n end",
@@ -155,6 +163,14 @@ f as (select model, ckpt, quantile_cont(err, 0.75) + 1.5 * (quantile_cont(err, 0
 h as (select g.*, err > delta as high from g join f using (model, ckpt)),
 r as (select *, max((not high)::int) over (partition by model, ckpt order by grp) as ahead, max((not high)::int) over (partition by model, ckpt order by grp desc) as behind from h)
 select model, ckpt, count(*) filter (ahead = 0) as q1, count(*) filter (behind = 0 and ahead <> 0) as q2 from r group by all""",
+    "d11_overlaps_grown": f"""with recursive {ERR}, g as (select model, ckpt, j // 8 as grp, avg(err) as err from err group by all),
+f as (select model, ckpt, quantile_cont(err, 0.75) + 1.5 * (quantile_cont(err, 0.75) - quantile_cont(err, 0.25)) as delta from g group by all),
+h as (select g.*, err > delta as high from g join f using (model, ckpt)),
+r as (select *, max((not high)::int) over (partition by model, ckpt order by grp) as ahead, max((not high)::int) over (partition by model, ckpt order by grp desc) as behind from h),
+l as (select model, ckpt, count(*) filter (ahead = 0) as q1, count(*) filter (behind = 0 and ahead <> 0) as q2, list(err order by grp) as e, list(high::int order by grp) as o, count(*) as n from r group by all),
+w(model, ckpt, q1, q2, e, o, n) as (select * from l union all
+  select model, ckpt, q1 + (e[q1 + 1] > e[n - q2])::int, q2 + (not e[q1 + 1] > e[n - q2])::int, e, o, n from w where list_sum(o[q1 + 1:n - q2]) > 0)
+select model, ckpt, max(q1) as q1, max(q2) as q2 from w group by all""",
     "d12_full_and_middle": f"with {ERR} select model, round(avg(err), 6) as mean_full, round(median(err), 6) as median_full, round(stddev_pop(err), 6) as std_full, round(avg(err) filter (j >= 8 and j < 56), 6) as mean_mid, round(median(err) filter (j >= 8 and j < 56), 6) as median_mid, round(stddev_pop(err) filter (j >= 8 and j < 56), 6) as std_mid from err group by model",
     "d13_masked_huber": f"with {POINTS} select round(avg({huber(f'(err * {weight(chr(106), K)})', DELTA)}), 6) as loss, round(avg(err * {weight('j', K)}), 6) as mean_error from eps",
     "d14_weighted_huber": f"with {POINTS} select round(sum((case when is_start then 0 else 1 end) * {huber('err', DELTA)}) / (sum(case when is_start then 0 else 1 end) + 1e-8), 6) as loss, round(avg(err), 6) as mean_error from eps",
@@ -170,7 +186,7 @@ own as (select ie.shard, ie.agent, ie.p, e1, n1, lon_o, lat_o from ie where i =
 d as (select own.*, v.longitude, v.latitude from own join pts v on v.shard = own.shard and v.agent = own.agent and v.p = own.p),
 x as (select shard, agent, sqrt((e1 - {_E0[0]}) * (e1 - {_E0[0]}) + (n1 - {_E0[1]}) * (n1 - {_E0[1]})) as err from d)
 select shard, {_summary('err')} from x group by shard""",
-    "d23_chunk_error": f"with {POINTS}, {NOISY}, c as (select *, ex * power(1 - t / 5 * 0.1::double, 5) as xe, nx * power(1 - t / 5 * 0.1::double, 5) as xn from noisy) select round(avg(sqrt((xe - e0) * (xe - e0) + (xn - n0) * (xn - n0))), 6) as denoised, round(avg(sqrt((ex - e0) * (ex - e0) + (nx - n0) * (nx - n0))), 6) as input, count(*) as n from c",
+    "d23_chunk_error": f"with {POINTS}, {NOISY}, c as (select *, ex * power(1 - t / 5 * 0.1::double, 5) as xe, nx * power(1 - t / 5 * 0.1::double, 5) as xn from noisy), both_ as (select 'denoised' as what, sqrt((xe - e0) * (xe - e0) + (xn - n0) * (xn - n0)) as err from c union all select 'input', sqrt((ex - e0) * (ex - e0) + (nx - n0) * (nx - n0)) from c) select what, {_summary('err')} from both_ group by what",
     "e1_positions": f"with {BASE} select event_id, p from pts",
     "e2_lengths": f"with {BASE} select event_id, n from pts",
     "e3_chunk_numbers": f"with {CHUNKS} select * from chunks",
@@ -206,8 +222,8 @@ select sample, cast(pass as integer) as pass, batch from b where (batch + 1) * 6
     "f9_draws": f"""with s as (select event_id as sample, event_id % 4 as shard from events), z as (select *, row_number() over (partition by shard order by sample) - 1 as at_, count(*) over (partition by shard) as n from s),
 d as (select unnest(range(0, 5000)) as draw) select draw, z.shard, sample from d join z on z.shard = draw % 4 and z.at_ = cast(floor({uniform("'draws/' || draw")} * z.n) as bigint)""",
     "f10_capped_error": f"with {ERR}, s as (select sample, avg(err) as err from err group by sample order by sample limit 300) select round(avg(err), 6) as mean, count(*) as n from s",
-    "g1_concatenated": f"with {TRAJ} select shard, count(*) as n from traj where shard in (0, 1, 2) group by shard",
-    "g2_distinct_union": f"with {TRAJ} select distinct modality from traj where shard < 4",
+    "g1_concatenated": f"with {TRAJ} select shard, count(*) as n from traj group by shard",
+    "g2_distinct_union": f"with {TRAJ} select distinct modality from traj",
     "g3_union_of_keeps": f"with {LOG}, {{keep}} select model, count(*) as n from keep group by model",
     "g4_not_kept": f"with {LOG}, {{keep}} select model, ckpt_name from ckpt_log except select model, ckpt_name from keep",
     "g5_replaced_record": f"with {CHUNKS}, fresh as (select shard, agent, max(row_end) as end_row from chunks group by all) select shard, agent, case when shard = 3 then end_row + 1000 else end_row end as end_row from fresh",
@@ -220,7 +236,7 @@ d as (select unnest(range(0, 5000)) as draw) select draw, z.shard, sample from d
     "h6_lengths": f"with {POINTS} select shard, round(sum(err), 4) as plain, round(sum(sqrt((e1 - e0) * (e1 - e0) + (n1 - n0) * (n1 - n0) + 1e-8)), 4) as with_eps from eps group by shard",
     "h7_huber": f"with {POINTS} select shard, round(sum({huber('err', 8.0)}), 4) as loss from eps group by shard",
     "h8_position_weight": f"with {ERR} select j, round(max({weight('j', 64)}), 6) as w from err group by j",
-    "h9_noise_embedding": "with t as (select event_id, (event_id % 1000) / 1000.0::double as t from events where event_id % 10 = 0), x as (select event_id, t, unnest(range(0, 8)) as i from t) select event_id, i, round(sin(t * exp(-i * ln(10000.0::double) / 7)), 6) + 0.0 as s, round(cos(t * exp(-i * ln(10000.0::double) / 7)), 6) + 0.0 as c from x",
+    "h9_noise_embedding": "with t as (select event_id, (event_id % 1000) / 1000.0::double as t from events), x as (select event_id, t, unnest(range(0, 8)) as i from t) select event_id, i, round(sin(t * exp(-i * ln(10000.0::double) / 7)), 6) + 0.0 as s, round(cos(t * exp(-i * ln(10000.0::double) / 7)), 6) + 0.0 as c from x",
     "h10_fingerprints": f"with {POINTS}, {NOISY}, g as (select shard, agent, i, s, string_agg(cast(ex::float as varchar) || ',' || cast(nx::float as varchar), ';' order by j) as key from noisy group by shard, agent, i, s) select count(*) as n_samples, count(distinct key) as n_distinct from g",
     "h11_step_of": f"with {LOG} select ckpt_name, coalesce(try_cast(nullif(regexp_extract(ckpt_name, '_s(\\d+)', 1), '') as bigint), -1) as step from ckpt_log",
     "h12_names": f"with {LOG} select ckpt_name, replace(ckpt_name, '.safetensors', '_full.pt') as weights, split_part(ckpt_name, '_', 1) as arch, split_part(ckpt_name, '_', 2) as size from ckpt_log",
@@ -229,14 +245,17 @@ d as (select unnest(range(0, 5000)) as draw) select draw, z.shard, sample from d
     "i4_depth_first": f"""with {BASE}, {INFER}, io as (select *, first_value(longitude_n) over w as lon_o, first_value(latitude_n) over w as lat_o from infer window w as (partition by shard, agent, i order by j)),
 ie as (select *, {_E1[0]} * power(1 - 0.2::double * 0.1, 5) as e1, {_E1[1]} * power(1 - 0.2::double * 0.1, 5) as n1 from io)
 select shard, agent, p, round({_BACK[0]}, 6) as lon, round({_BACK[1]}, 6) as lat from ie where i = least(p // {SI}, m - 1) and j = p + {Q1} - i * {SI}""",
+    "i5_error_codes": f"""with {TRAJ}, v as (select shard, agent, count(*) filter (agent % 50 <> 0 and {finite(*FOUR)}) as n_points from traj group by all)
+select shard, agent, n_points, case when n_points > 0 then 0 else -1 end as error_code from v""",
     "i6_euler": f"with {POINTS}, {NOISY} select shard, agent, i, s, round(avg(ex * power(1 - t / 30 * 0.1::double, 30)), 4) + 0.0 as e, round(avg(nx * power(1 - t / 30 * 0.1::double, 30)), 4) + 0.0 as n from noisy group by all",
     "i7_predictions": f"with {POINTS}, {NOISY} select shard, agent, i, s, round(avg(0.1::double * ex), 4) + 0.0 as ve, round(avg(0.1::double * nx), 4) + 0.0 as vn from noisy group by all",
     "i8_strided_chunks": f"""with {BASE}, c as (select *, unnest(range(0, cast(ceil(n / {S}) as bigint))) as i from sizes), x as (select *, unnest(range(i * {S} + {Q}, least(i * {S} + {K}, n))) as p from c)
 select shard, agent, i, p, p - i * {S} as j from x""",
     "i10_audit": f"""with {ERR}, s as (select model, ckpt, sample, avg(err) as err from err group by all),
-m as (select model, ckpt, avg(err) as mean, median(err) as median, stddev_pop(err) as std from s group by all)
-select model, ckpt, round(mean, 6) as mean, round(median, 6) as median, round(std, 6) as std from (select *, row_number() over (partition by model order by mean, median, std, ckpt) as r from m) where r = 1""",
-    "j1_streamed_dicing": f"with {CHUNKS} select shard, agent, row_start, row_end from chunks",
+m as (select model, ckpt, avg(err) as mean, median(err) as median, stddev_pop(err) as std from s group by all),
+b as (select *, row_number() over (partition by model order by mean, median, std, ckpt) as r from m)
+select model, ckpt, round(mean, 6) as mean, round(median, 6) as median, round(std, 6) as std, {_BYTES} from b join err using (model, ckpt) where r = 1 group by all""",
+    "j1_streamed_dicing": f"with {CHUNKS} select shard, agent, row_start // {S} as i, row_start, row_end from chunks",
 }
 _KEEP = "keep as (" + " union ".join(
     f"select model, ckpt_name from (select *, row_number() over (partition by model order by {o}) as r from ckpt_log) where r <= {n}"

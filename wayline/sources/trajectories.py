@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayline.operators.clean import COORDINATES, all_finite
+
 #: Declared, not inferred: a corrupt shard must not break the read.
 POINTS = T.StructType([
     T.StructField("agent", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("event_id", T.LongType()),
@@ -20,11 +21,27 @@ TRAIN_LOG = T.StructType([
     T.StructField("step", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("avg_loss", "acc_mean", "acc_median", "acc_std", "lr", "huber_loss_delta")],
 ])
 
+#: One row per audited checkpoint or model: statistics and the mean error of each group of positions.
+AUDIT_LOG = T.StructType([
+    T.StructField("model", T.LongType()), T.StructField("ckpt", T.LongType()),
+    *[T.StructField(c, T.DoubleType()) for c in ("mean", "median", "std", *(f"byte_{g}" for g in range(8)))],
+])
+#: One row per benchmark run of a model: steps, groups cut at both ends, errors over all points and off the overlaps.
+BENCHMARK_LOG = T.StructType([
+    T.StructField("model", T.LongType()), T.StructField("q1", T.LongType()), T.StructField("q2", T.LongType()),
+    *[T.StructField(f"{s}_{w}", T.DoubleType()) for w in ("full", "mid") for s in ("mean", "median", "std")],
+])
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder; a local one only where none is configured."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/wayline-{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that ``spark.checkpoint.dir`` names, or, in a local session, in its warehouse.
+
+    A cluster without that setting raises: a folder of one machine would hide what others wrote.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/wayline-{name}-{uuid.uuid4().hex}"
 
 
 def points_from_events(events: DataFrame) -> DataFrame:
@@ -71,15 +88,19 @@ def scan_shards(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("ds_name", F.regexp_extract(F.col("_metadata.file_path"), r"/(shard=[^/]+)/[^/]*$", 1))
 
 
-def shard_report(spark: SparkSession, path: str) -> DataFrame:
-    """(ds_name, n_rows, status): every shard folder that has a file; ``unreadable`` if none of its files yielded a row."""
+def shard_report(spark: SparkSession, path: str, k: int, state: DataFrame) -> DataFrame:
+    """(ds_name, n_rows, status): every shard folder that has a file; ``unreadable`` if none of its files yielded a row,
+    ``no_chunks`` if no trajectory has more than ``k`` valid points and ``state`` (ds_name) has no entry of it."""
     listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
         .select(F.regexp_extract("path", r"/(shard=[^/]+)/[^/]*$", 1).alias("ds_name")).distinct()
     )
-    found = scan_shards(spark, path).groupBy("ds_name").agg(F.count("*").alias("n_rows"))
+    own = scan_shards(spark, path).groupBy("ds_name", "agent").agg(F.count("*").alias("n"), F.count_if(all_finite(COORDINATES)).alias("n_valid"))
+    found = own.groupBy("ds_name").agg(F.sum("n").alias("n_rows"), F.max("n_valid").alias("longest"))
     n = F.coalesce("n_rows", F.lit(0))
-    return listed.join(found, "ds_name", "left").select("ds_name", n.alias("n_rows"), F.when(n > 0, "ok").otherwise("unreadable").alias("status"))
+    known = state.select("ds_name").distinct().withColumn("_known", F.lit(True))
+    status = F.when(n == 0, "unreadable").when((F.col("longest") > k) | F.col("_known"), "ok").otherwise("no_chunks")
+    return listed.join(found, "ds_name", "left").join(known, "ds_name", "left").select("ds_name", n.alias("n_rows"), status.alias("status"))
 
 
 def head_extract(points: DataFrame, order: list[str], n: int, path: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Incremental dicing: points arrive over time, every full chunk is emitted once.
 
-The state of a trajectory is small whatever its length: how many points it has had, the time and id of the
-last one, and the points of the open chunk. A first chunk is emitted on its (K + 1)-th point, as a batch run
+The state of a trajectory is five numbers whatever its length: how many points it has had, the time and id of
+the last one, where the next chunk starts, and how many points came late. It is let go of once the watermark has
+passed the last point by ``idle``. A first chunk is emitted on its (K + 1)-th point, as a batch run
 wants more than K; later ones when full. Points that are older than the last one taken are counted and dropped.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,35 +20,40 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from wayline.operators.clean import valid_fixes
 from wayline.sources.trajectories import points_from_events, scratch
 
-OUTPUT = "shard long, agent long, row_start long, row_end long, late long"
+#: How late points may come, and how long a trajectory may rest before its state goes.
+LATENESS, IDLE_MS = "1 day", 365 * 24 * 3600 * 1000
+OUTPUT = "shard long, agent long, i long, row_start long, row_end long, late long"
 STATE = "n long, last_us long, last_id long, next_start long, late long"
 
 
-def _step(k: int, q: int):
+def _step(k: int, q: int, idle_ms: int):
     def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, last_us, last_id, start, late = state.get if state.exists else (0, -1, -1, 0, 0)
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        out = []
-        for us, event in zip(rows["us"].tolist(), rows["event_id"].tolist(), strict=True):
-            if (us, event) <= (last_us, last_id):
-                late += 1
-                continue
-            n, last_us, last_id = n + 1, us, event
-            while n > k if start == 0 else start + k <= n:
-                out.append((key[0], key[1], start, start + k - 1, late))
-                start += k - q
-                if start + k > n:
-                    break
+        rows = pd.concat(list(batches)).drop_duplicates(["us", "event_id"]).sort_values(["us", "event_id"])
+        us, event = rows["us"].to_numpy(np.int64), rows["event_id"].to_numpy(np.int64)
+        new = (us > last_us) | ((us == last_us) & (event > last_id))
+        late += int((~new).sum())
+        if new.any():
+            n, last_us, last_id = n + int(new.sum()), int(us[new][-1]), int(event[new][-1])
+        # the first chunk wants one point more than it holds; each later one starts k - q further on
+        starts = np.arange(start, n - k + 1, k - q) if start or n > k else np.zeros(0, np.int64)
+        start += len(starts) * (k - q)
         state.update((n, last_us, last_id, start, late))
-        yield pd.DataFrame(out, columns=["shard", "agent", "row_start", "row_end", "late"])
+        state.setTimeoutTimestamp(max(last_us // 1000, state.getCurrentWatermarkMs()) + idle_ms)
+        yield pd.DataFrame({"shard": key[0], "agent": key[1], "i": starts // (k - q), "row_start": starts, "row_end": starts + k - 1, "late": late}, index=range(len(starts)))
 
     return run
 
 
-def dice_stream(points: DataFrame, k: int, q: int) -> DataFrame:
-    """Chunks (shard, agent, row_start, row_end, late) of a stream of points (shard, agent, ts, event_id, ...)."""
-    rows = points.select("shard", "agent", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return rows.groupBy("shard", "agent").applyInPandasWithState(_step(k, q), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+def dice_stream(points: DataFrame, k: int, q: int, lateness: str = LATENESS, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Chunks (shard, agent, i, row_start, row_end, late) of a stream of points (shard, agent, ts, event_id, ...); ``i``
+    numbers a trajectory's chunks. A point that repeats one of its batch counts once."""
+    rows = points.select("shard", "agent", "event_id", F.col("ts").cast("timestamp").alias("at")).withWatermark("at", lateness)
+    rows = rows.withColumn("us", F.unix_micros("at"))
+    return rows.groupBy("shard", "agent").applyInPandasWithState(_step(k, q, idle_ms), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(spark: SparkSession, events: DataFrame, k: int, q: int, parts: int = 4, files_per_trigger: int = 1) -> DataFrame:
@@ -57,7 +64,7 @@ def run_once(spark: SparkSession, events: DataFrame, k: int, q: int, parts: int
     source, sink, checkpoint = (scratch(spark, f"stream-{x}") for x in ("in", "out", "state"))
     low, high = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
     if low is None:
-        return spark.createDataFrame([], "shard long, agent long, row_start long, row_end long")
+        return spark.createDataFrame([], "shard long, agent long, i long, row_start long, row_end long")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     for part in range(parts):  # one batch of arrivals after the other
         a, b = low + (high + 1 - low) * part // parts, low + (high + 1 - low) * (part + 1) // parts
@@ -65,4 +72,4 @@ def run_once(spark: SparkSession, events: DataFrame, k: int, q: int, parts: int
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
     chunks = dice_stream(valid_fixes(points_from_events(stream)), k, q)
     chunks.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(sink).awaitTermination()
-    return spark.read.schema(OUTPUT).parquet(sink).select("shard", "agent", "row_start", "row_end")
+    return spark.read.schema(OUTPUT).parquet(sink).select("shard", "agent", "i", "row_start", "row_end")
