@@ -1,8 +1,8 @@
 """Quality rules with an n-gram perplexity from a Spark-counted modified Kneser-Ney model.
 
-The model is over characters as they are (lower case, white space as one blank), five at a time, with a model
-and a band for every language; its tables grow with what the corpus holds. Five 12-bit character hashes make a
-gram's 60-bit hash: characters up to U+07FF keep codes of their own, those beyond share 2,048. Counts,
+The model is over characters as they are (lower case, white space as one blank), four at a time, with a model
+and a band for every language; its tables grow with what the corpus holds. Four 12-bit character hashes make a
+gram's 48-bit hash: characters up to U+07FF keep codes of their own, those beyond share 2,048. Counts,
 continuation counts, discounts and back-offs are grouped and joined in Spark. The logarithm of a probability is
 split into one addend for each gram and each context that occurs, so that a table is a sorted array of hashes
 beside values, is read by binary search, and can be read part by part where it is too large to send as a whole.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from wayline.llm.common import cut, fits_broadcast, read
 from wayline.llm.vectext import Block, blocks, mix, per_doc, repeated
 
-ORDER, BITS = 5, 12
+ORDER, BITS = 4, 12
 #: Width of the accepted band in interquartile ranges on either side of the quartiles of log perplexity.
 BAND = 2.0
 #: The mean over n characters strays as 1 / sqrt(n): a band is wider by sqrt(1 + SHORT / n) for a short text.
@@ -28,8 +28,9 @@ SHORT = 1500
 #: Rules of the base verdict.
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
-#: Entries of the model that are sent to the tasks at once (16 bytes each); a larger model is read in parts, one after the other.
-PART_ROWS = 4_000_000
+#: Entries of the model that pass the driver and are sent to the tasks at once (20 bytes each); a larger model goes in
+#: parts, one after the other.
+PART_ROWS = 2_000_000
 #: Languages whose discounts and bands are broadcast; joined by shuffle beyond.
 MAX_BROADCAST_LANGUAGES = 100_000
 #: Distinct grams of a language that a task holds before it hands them on.
@@ -149,21 +150,22 @@ class Tables:
     """Sorted hashes and values of a model or a part of it, by language, length and kind."""
 
     def __init__(self, rows: pd.DataFrame):
-        self.held: dict[tuple[str, int, bool], tuple[np.ndarray, np.ndarray]] = {}
-        for (lang, k, context), part in rows.groupby(["lang", "k", "context"]):
+        """``rows``: lang (a long), slot (2 k, plus one for contexts), code, value."""
+        self.held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for (lang, slot), part in rows.groupby(["lang", "slot"]):
             code = part["code"].to_numpy(np.int64)
             order = np.argsort(code)
-            self.held[lang, int(k), bool(context)] = code[order], part["value"].to_numpy(np.float32)[order]
+            self.held[int(lang), int(slot)] = code[order], part["value"].to_numpy(np.float32)[order]
 
-    def _value(self, lang: str, k: int, context: bool, code: np.ndarray) -> np.ndarray:
-        table = self.held.get((lang, k, context))
+    def _value(self, lang: int, k: int, context: bool, code: np.ndarray) -> np.ndarray:
+        table = self.held.get((lang, 2 * k + context))
         if table is None:
             return np.zeros(len(code))
         h, value = table
         at = np.minimum(np.searchsorted(h, code), len(h) - 1)
         return np.where(h[at] == code, value[at], 0.0)
 
-    def addends(self, lang: str, code: np.ndarray, k: int = ORDER) -> np.ndarray:
+    def addends(self, lang: int, code: np.ndarray, k: int = ORDER) -> np.ndarray:
         """Sum of the values that apply to each of the sorted codes of length ``k``, in all lengths up to it."""
         out = self._value(lang, k, False, code)
         if k == 1:
@@ -222,33 +224,35 @@ def quality_rules(docs: DataFrame, band: float = BAND, part_rows: int = PART_ROW
     lang = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(text).alias("text_key"), lang.alias("lang"), text.alias("text"))
     addends, unseen = estimate(count_grams(rows.select("lang", "text")))
-    addends = cut(addends)
+    slot = (F.col("k") * 2 + F.col("context").cast("int")).cast("byte")
+    addends = cut(addends.select(F.xxhash64("lang").alias("lang"), slot.alias("slot"), "code", F.col("value").cast("float").alias("value")))
     n_parts = max(1, -(-addends.count() // part_rows))
 
     def part(i: int):
-        held = addends if n_parts == 1 else addends.where(F.pmod(F.xxhash64("lang", "k", "context", "code"), F.lit(n_parts)) == i)
+        held = addends if n_parts == 1 else addends.where(F.pmod(F.xxhash64("lang", "slot", "code"), F.lit(n_parts)) == i)
         return spark.sparkContext.broadcast(Tables(held.toPandas()))
 
-    def total(tables: Tables, lang: str, block: Block) -> np.ndarray:
+    def total(tables: Tables, lang: int, block: Block) -> np.ndarray:
         code, which = np.unique(gram_codes(block), return_inverse=True)
         return per_doc(tables.addends(lang, code)[which], block.doc, block.n)
 
     def score(model, rules: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for lang, same in b.groupby("lang"):
+                for (lang, number), same in b.groupby(["lang", "number"]):
                     for first, texts in blocks(same["text"].tolist()):
                         block = Block(texts)
                         out = pd.DataFrame(rule_counts(texts)).astype(np.int64) if rules else pd.DataFrame(index=range(len(texts)))
                         own = slice(first, first + len(texts))
                         out["doc_id"], out["text_key"], out["lang"] = same["doc_id"].to_numpy()[own], same["text_key"].to_numpy()[own], lang
-                        out["total"], out["n_chars"] = total(model.value, lang, block), block.size
+                        out["total"], out["n_chars"] = total(model.value, int(number), block), block.size
                         yield out
 
         return run
 
     key = "doc_id string, text_key long, lang string, total double, n_chars long"
     counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+    rows = rows.withColumn("number", F.xxhash64("lang"))
     scored = cut(rows.mapInPandas(score(part(0), True), f"{counts}, {key}"))
     if n_parts > 1:
         more = [cut(rows.mapInPandas(score(part(i), False), key)) for i in range(1, n_parts)]
