@@ -99,22 +99,20 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if fits_broadcast(df, MAX_BROADCAST_LANGUAGES) else df
-
-
-def estimate(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def estimate(counts: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     """Addends (lang, k, context, code, value) of log probabilities, and (lang, unseen) of a character never seen.
 
     The log probability of a character after others is ``unseen`` plus, for each length k, the value of the gram
     of k characters that ends there and that of the context before its last one, where they are listed: a gram's
     value is what its own count adds to back-off, a context's the weight of backing off. ``counts`` is that of
-    ``count_grams``; modified Kneser-Ney with three discounts for each language and length.
+    ``count_grams``; modified Kneser-Ney with three discounts for each language and length. The last result tells
+    whether tables of one row per language may be broadcast. Tables of grams are merged, never sent through the driver.
     """
     tables = {ORDER: cut(counts)}
     for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct grams one longer that end so
         shorter = F.col("code").bitwiseAND(F.lit(_mask(k)))
         tables[k] = cut(tables[k + 1].groupBy("lang", shorter.alias("code")).agg(F.count("*").alias("n")))
+    few = fits_broadcast(tables[1].select("lang").distinct(), MAX_BROADCAST_LANGUAGES)
     parts, lower, unseen = [], None, None
     for k in range(1, ORDER + 1):
         t = [F.count_if(F.col("n") == i).cast("double") for i in range(1, 5)]
@@ -124,17 +122,18 @@ def estimate(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.when(F.col(f"t{i}") > 0, F.least(F.greatest(i - (i + 1) * y * F.col(f"t{i + 1}") / F.col(f"t{i}"), F.lit(0.1)), F.lit(float(i)))).otherwise(0.5)
             for i in (1, 2, 3)
         ]
-        of = _small(of.select("lang", F.array(*d).alias("d")))
+        of = of.select("lang", F.array(*d).alias("d"))
+        of = F.broadcast(of) if few else of
         rows = tables[k].join(of, "lang").select("lang", "code", "n", F.get("d", F.least("n", F.lit(3)).cast("int") - 1).alias("taken"))
         before = F.shiftrightunsigned("code", BITS).alias("ctx")
         weights = rows.groupBy("lang", before).agg(F.sum("n").alias("total"), F.sum("taken").alias("off"))
         weights = weights.select("lang", "ctx", "total", F.greatest(F.col("off") / F.col("total"), F.lit(1e-12)).alias("lam"))
-        rows = rows.withColumn("ctx", before).join(_small(weights) if k == 1 else weights, ["lang", "ctx"])
+        rows = rows.withColumn("ctx", before).join(F.broadcast(weights) if k == 1 and few else weights.hint("merge"), ["lang", "ctx"])
         if k == 1:
             unseen = weights.select("lang", F.log(F.col("lam") / _A).alias("unseen"))
             rows = rows.withColumn("below", F.lit(1.0 / _A))
         else:
-            rows = rows.withColumn("low", F.col("code").bitwiseAND(F.lit(_mask(k - 1)))).join(lower, ["lang", "low"])
+            rows = rows.withColumn("low", F.col("code").bitwiseAND(F.lit(_mask(k - 1)))).join(lower.hint("merge"), ["lang", "low"])
             parts.append(weights.select("lang", F.lit(k).alias("k"), F.lit(True).alias("context"), F.col("ctx").alias("code"), F.log("lam").alias("value")))
         p = F.greatest(F.col("n") - F.col("taken"), F.lit(0.0)) / F.col("total") + F.col("lam") * F.col("below")
         rows = cut(rows.select("lang", "code", p.alias("p"), (F.col("lam") * F.col("below")).alias("backed")))
@@ -143,7 +142,7 @@ def estimate(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out, unseen
+    return out, unseen, few
 
 
 class Tables:
@@ -223,7 +222,7 @@ def quality_rules(docs: DataFrame, band: float = BAND, part_rows: int = PART_ROW
     text = F.coalesce("text", F.lit(""))
     lang = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(text).alias("text_key"), lang.alias("lang"), text.alias("text"))
-    addends, unseen = estimate(count_grams(rows.select("lang", "text")))
+    addends, unseen, few = estimate(count_grams(rows.select("lang", "text")))
     slot = (F.col("k") * 2 + F.col("context").cast("int")).cast("byte")
     addends = cut(addends.select(F.xxhash64("lang").alias("lang"), slot.alias("slot"), "code", F.col("value").cast("float").alias("value")))
     n_parts = max(1, -(-addends.count() // part_rows))
@@ -263,13 +262,13 @@ def quality_rules(docs: DataFrame, band: float = BAND, part_rows: int = PART_ROW
         sums = sums.groupBy("doc_id", "text_key", "lang").agg((F.sum("total") * n_parts / F.count("*")).alias("sum")).withColumnsRenamed({"doc_id": "_id", "text_key": "_key", "lang": "_lang"})
         on = scored["doc_id"].eqNullSafe(sums["_id"]) & (scored["text_key"] == sums["_key"]) & (scored["lang"] == sums["_lang"])
         scored = cut(scored.join(sums, on).withColumn("total", F.col("sum")).drop("sum", "_id", "_key", "_lang"))
-    scored = scored.join(_small(unseen), "lang", "left")
+    scored = scored.join(F.broadcast(unseen) if few else unseen, "lang", "left")
     surprise = F.when(F.col("n_chars") > 0, -F.col("total") / F.col("n_chars") - F.col("unseen"))
     scored = scored.withColumn("surprise", surprise)
     quartiles = scored.groupBy("lang").agg(F.percentile_approx("surprise", [0.25, 0.75], 10000).alias("q")).select(
         "lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")
     )
-    judged = scored.join(_small(cut(quartiles)), "lang", "left")
+    judged = scored.join(F.broadcast(quartiles) if few else quartiles, "lang", "left")
     width = F.lit(band) * (F.col("q3") - F.col("q1")) * F.sqrt(1 + F.lit(SHORT) / F.greatest(F.lit(1), F.col("n_chars")))
     inside = F.coalesce(F.col("surprise").between(F.col("q1") - width, F.col("q3") + width), F.lit(False))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
