@@ -229,7 +229,7 @@ def quality_rules(docs: DataFrame, band: float = BAND, part_rows: int = PART_ROW
 
     def part(i: int):
         held = addends if n_parts == 1 else addends.where(F.pmod(F.xxhash64("lang", "slot", "code"), F.lit(n_parts)) == i)
-        return spark.sparkContext.broadcast(Tables(held.toPandas()))
+        return spark.sparkContext.broadcast(Tables(held.toArrow().to_pandas()))
 
     def total(tables: Tables, lang: int, block: Block) -> np.ndarray:
         code, which = np.unique(gram_codes(block), return_inverse=True)
