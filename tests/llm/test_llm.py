@@ -645,6 +645,21 @@ def test_removed_lines_equal_all_pairs(spark):
     assert found == plain_removed(list(enumerate(texts)), 2, 20) and len(found) > 20
 
 
+@pytest.mark.parametrize("broadcast_ids", [1_000_000, 0])
+def test_hot_lines_and_segments_lose_no_pair(spark, monkeypatch, broadcast_ids):
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(line_dedup, "MAX_BROADCAST_IDS", broadcast_ids)
+    rng = random.Random(5)
+    # one template, so that nearly all lines share its segments, and one line that is everywhere
+    lines = [f"order number {rng.randint(100, 999)} was shipped on {rng.randint(10, 99)} May" for _ in range(60)]
+    texts = [f"{line}\nthe line that stands everywhere\n}}" for line in lines]
+    found = {(r.doc_id, r.line_no) for r in line_dedup.removed_lines(docs(spark, texts), 2, 11, 1).collect()}
+    rows = list(enumerate(texts))
+    assert found == plain_removed(rows, 2, 11) | {(i, 2) for i in range(1, len(texts))}
+    assert 0 < len({i for i, line in found if line == 0}) < len(texts) - 1
+
+
 def test_short_lines_go_in_query_and_stage(spark, tmp_path):
     texts = ["own first line of this text\nReleased under the MIT License.\nOK\n\nend a", "Released under the MIT License!\nsome own words stand here\nOK\n\nno", "OK\nOk\nReleased under the MIT License."]
     docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")

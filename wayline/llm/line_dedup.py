@@ -11,16 +11,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from wayline.llm.common import cut, fits_broadcast, free_name, read
+from wayline.llm.common import HOT_ROWS, MOST_HOT, cut, fits_broadcast, free_name, read, split_join
 
 #: Edits between two lines that count as the same, and the fewest characters of a line that takes part.
 TAU, MIN_CHARS = 2, 40
 #: The query and the pipeline's stage: the fewest characters of a line that is compared with its near ones (``shortest``
 #: of the edits) and of one that goes where an equal one stands earlier.
 NEAR_CHARS, EQUAL_CHARS = 11, 1
-#: Lines whose text is fetched for verification: up to so many ids (16 MB) are broadcast, else joined.
+#: Keys of more than one line, and lines whose text is fetched: up to so many (32 MB) are broadcast, else joined.
 MAX_BROADCAST_IDS = 1_000_000
 # Characters whose counts are compared before two lines are paired.
 LETTERS = "abcdefghijklmnopqrstuvwxyz .,0123456789"
@@ -145,11 +144,18 @@ def _place() -> Column:
     return F.col("doc_id").cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + F.col("line_no")
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with their place and ``id``, ``id2``: two hashes, 128 bits together, that stand for the line."""
+    return rows.select(
+        F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), _place().alias("place"), "doc_id", "line_no", "line"
+    )
+
+
 def _equal_lines(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, line_no) of lines that equal an earlier one of ``rows``, grouped by hash."""
-    keyed = rows.select(F.xxhash64("line").alias("id"), _place().alias("place"), "doc_id", "line_no")
-    first = keyed.groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1")
-    return keyed.join(first, "id").where("place > first").select("doc_id", "line_no")
+    """Rows (doc_id, line_no) of lines that equal an earlier one of ``rows``, grouped by hash; hot lines are split."""
+    keyed = _keyed(rows).drop("line")
+    first = keyed.groupBy("id", "id2").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1")
+    return split_join(keyed, first, ["id", "id2"], "times").where("place > first").select("doc_id", "line_no")
 
 
 def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:
@@ -170,45 +176,80 @@ def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, e
     return near.unionByName(_equal_lines(short))
 
 
+def _shared_keys(distinct: DataFrame, tau: int) -> DataFrame:
+    """Rows (id, key, own) of the keys of more than one line of ``distinct`` (id, own, probes).
+
+    Nearly all keys belong to one line; they go by a grouped minimum and maximum, which every task works out for its own
+    rows first, so that a segment of very many lines is no task's load.
+    """
+    either = distinct.select("id", F.posexplode(F.concat("own", "probes")).alias("at", "key")).select("id", "key", (F.col("at") <= tau).alias("own"))
+    keys = either.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("times")).where("low <> high")
+    keys = cut(keys.select("key", "times"))
+    if fits_broadcast(keys, MAX_BROADCAST_IDS):
+        return cut(either.join(F.broadcast(keys.select("key")), "key", "left_semi"))
+    return cut(split_join(either, keys, ["key"], "times").drop("times"))
+
+
+def _met(found: DataFrame, asked: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join on ``key`` with a cell of the grid that ``hot`` (key, p, q) gives a hot key.
+
+    The found lines of a hot key are dealt over p rows of cells and stand in all q columns, those that ask over q columns
+    and stand in all p rows: any two meet in exactly one cell, and a cell holds a bounded number of either.
+    """
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
+    one = lambda line, n: F.pmod(F.xxhash64(F.lit(2), line), F.coalesce(F.col(n), F.lit(1))).cast("int")
+    sides = []
+    for side, line, down, across in ((found, "x", one("x", "p"), every("q")), (asked, "y", every("p"), one("y", "q"))):
+        sides.append(side.join(F.broadcast(hot), "key", "left").withColumn("down", down).withColumn("across", across).drop("p", "q"))
+    return sides[0], sides[1]
+
+
 def _near_lines(rows: DataFrame, tau: int) -> DataFrame:
-    place = _place()
-    keyed = rows.select(F.xxhash64("line").alias("id"), place.alias("place"), "doc_id", "line_no", "line")
-    chars = wide(F.col("line"))
-    wider = keyed.select("id", "place", chars.alias("chars")).withColumn("n", (F.octet_length("chars") / 4).cast("int"))
+    both = ["id", "id2"]
+    keyed = _keyed(rows)
+    wider = keyed.select(*both, "place", wide(F.col("line")).alias("chars")).withColumn("n", (F.octet_length("chars") / 4).cast("int"))
     distinct = cut(
-        wider.groupBy("id").agg(
+        wider.groupBy(*both).agg(
             F.min("place").alias("first"), F.count("*").alias("times"),
             F.first(index_keys(F.col("chars"), F.col("n"), tau)).alias("own"), F.first(probe_keys(F.col("chars"), F.col("n"), tau)).alias("probes"),
         )
     )
-    either = distinct.select("id", F.posexplode(F.concat("own", "probes")).alias("at", "key")).select("id", "key", (F.col("at") <= tau).alias("own"))
-    # keys of one line only, nearly all of them, go before anything is paired
-    met = Window.partitionBy("key")
-    shared = either.withColumn("low", F.min("id").over(met)).withColumn("high", F.max("id").over(met)).where("low <> high")
-    shared = cut(shared.select("id", "key", "own"))
-    ids = cut(shared.select("id").distinct())
-    wanted = keyed.join(F.broadcast(ids) if fits_broadcast(ids, MAX_BROADCAST_IDS) else ids, "id", "left_semi")
-    texts = wanted.groupBy("id").agg(F.first("line").alias("line"), F.min("place").alias("first"))
+    shared = _shared_keys(distinct, tau)
+    # the text of a line is read where it stands first, so that a line that is everywhere is fetched once
+    ids = shared.select("id").distinct()
+    ids = cut(distinct.select(*both, F.col("first").alias("place")).join(ids, "id", "left_semi"))
+    wanted = keyed.join(F.broadcast(ids) if fits_broadcast(ids, MAX_BROADCAST_IDS) else ids, [*both, "place"], "left_semi")
+    texts = wanted.groupBy(*both).agg(F.first("line").alias("line"), F.min("place").alias("first"))
     counts = F.array(*[(F.char_length("line") - F.char_length(F.translate("line", c, ""))).cast("int") for c in LETTERS])
     texts = cut(texts.withColumn("letters", counts).withColumn("n", F.char_length("line")))
     # A substitution moves two counts by one, an insertion or deletion one: lines of one key are only paired where
     # their counts allow for tau edits, and lines of one length only one way round.
-    bags = shared.join(texts.select("id", "letters", "n"), "id")
-    found = bags.where("own").select("key", F.col("id").alias("x"), F.col("letters").alias("lx"), F.col("n").alias("nx"))
-    asked = bags.where("not own").select("key", F.col("id").alias("y"), F.col("letters").alias("ly"), F.col("n").alias("ny"))
+    sizes = cut(shared.groupBy("key").agg(F.count_if("own").alias("p"), F.count_if(~F.col("own")).alias("q")).where("p > 0 and q > 0"))
+    total = sizes.agg(F.sum(F.col("p") + F.col("q"))).first()[0] or 0
+    size = max(HOT_ROWS, total // MOST_HOT)
+    hot = sizes.where((F.col("p") > size) | (F.col("q") > size)).select("key", *[F.ceil(F.col(c) / size).cast("int").alias(c) for c in "pq"])
+    bags = shared.join(texts.select(*both, "letters", "n"), "id")
+    found = bags.where("own").select("key", F.col("id").alias("x"), F.col("id2").alias("x2"), F.col("letters").alias("lx"), F.col("n").alias("nx"))
+    asked = bags.where("not own").select("key", F.col("id").alias("y"), F.col("id2").alias("y2"), F.col("letters").alias("ly"), F.col("n").alias("ny"))
+    found, asked = _met(found, asked, hot)
     apart = sum((F.abs(F.col("lx")[i] - F.col("ly")[i]) for i in range(len(LETTERS))), F.lit(0))
-    once = (F.col("ny") > F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") > F.col("x")))
-    pairs = asked.join(found, (asked["key"] == found["key"]) & once & (apart <= 2 * tau - F.col("ny") + F.col("nx")))
-    sides = cut(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    later = (F.col("y") > F.col("x")) | ((F.col("y") == F.col("x")) & (F.col("y2") > F.col("x2")))
+    once = (F.col("ny") > F.col("nx")) | ((F.col("ny") == F.col("nx")) & later)
+    at = [asked[c] == found[c] for c in ("key", "down", "across")]
+    pairs = asked.join(found, [*at, once, apart <= 2 * tau - F.col("ny") + F.col("nx")])
+    sides = cut(pairs.select("x", "x2", "y", "y2").distinct())
     for side in ("x", "y"):
-        sides = sides.join(texts.select(F.col("id").alias(side), F.col("line").alias(f"l{side}"), F.col("first").alias(f"f{side}")), side)
+        ends = texts.select(F.col("id").alias(side), F.col("id2").alias(f"{side}2"), F.col("line").alias(f"l{side}"), F.col("first").alias(f"f{side}"))
+        sides = sides.join(ends, [side, f"{side}2"])
     close = sides.where(within(F.col("lx"), F.col("ly"), tau))
-    late = close.select(F.when(F.col("fx") < F.col("fy"), F.col("y")).otherwise(F.col("x")).alias("id")).distinct().withColumn("late", F.lit(True))
+    ends = F.when(F.col("fx") < F.col("fy"), F.struct(F.col("y").alias("id"), F.col("y2").alias("id2"))).otherwise(F.struct(F.col("x").alias("id"), F.col("x2").alias("id2")))
+    late = close.select(ends.alias("end")).select("end.*").distinct().withColumn("late", F.lit(True))
     bad = (
-        distinct.select("id", "first", "times").join(late, "id", "left")
-        .where("late or times > 1").select("id", "first", F.coalesce("late", F.lit(False)).alias("late"))
+        distinct.select(*both, "first", "times").join(late, both, "left")
+        .where("late or times > 1").select(*both, "first", "times", F.coalesce("late", F.lit(False)).alias("late"))
     )
-    return keyed.select("id", "place", "doc_id", "line_no").join(bad, "id").where(F.col("late") | (F.col("place") > F.col("first"))).select("doc_id", "line_no")
+    gone = split_join(keyed.drop("line"), bad, both, "times")
+    return gone.where(F.col("late") | (F.col("place") > F.col("first"))).select("doc_id", "line_no")
 
 
 def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:
