@@ -572,7 +572,9 @@ def test_passages_inside_lines_equal_plain_python(spark, monkeypatch):
 # 9 URL filters
 
 
-def test_entries_hold_from_their_date_until_the_next(spark):
+@pytest.mark.parametrize("hot_rows", [1000, 2])
+def test_entries_hold_from_their_date_until_the_next(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
     entries = [
         ("l", "a.org", 1, "2024-01-10 00:00:00", "block"), ("l", "a.org", 2, "2024-02-10 00:00:00", "remove"), ("l", "www.a.org", 3, "2024-01-20 00:00:00", "allow"),
         ("l", "a.org", 4, "2024-03-01 00:00:00", "block"), ("m", "a.org", 5, "2024-03-05 00:00:00", "allow"), ("l", "http://b.org/x", 6, "2020-01-01 00:00:00", "block"),

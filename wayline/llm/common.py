@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,22 @@ def split_join(rows: DataFrame, groups: DataFrame, keys: list[str], times: str)
     return dealt.join(spread, [*keys, part]).drop(part)
 
 
+def deal(rows: DataFrame, groups: DataFrame, keys: list[str], part: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a left join of ``rows`` with ``groups`` on ``keys`` and ``part``, with the keys hot in ``rows`` split.
+
+    Rows of a hot key, listed in ``groups`` or not, are dealt over its parts by their own content; its groups, any number
+    of them, stand in every part. Rows with a null key are dealt too. The hot keys are at most ``MOST_HOT`` and are broadcast.
+    """
+    counts = cut(rows.groupBy(*keys).agg(F.count("*").alias(part)))
+    size = max(HOT_ROWS, (counts.agg(F.sum(part)).first()[0] or 0) // MOST_HOT)
+    hot = F.broadcast(counts.where(F.col(part) > size).select(*keys, F.ceil(F.col(part) / size).cast("int").alias(part)))
+    unknown = [F.col(k).isNull() for k in keys]
+    n_parts = F.coalesce(F.when(reduce(or_, unknown), F.lit(MOST_HOT)).otherwise(F.col(part)), F.lit(1))
+    dealt = rows.join(hot, keys, "left").withColumn(part, F.pmod(F.xxhash64(*rows.columns), n_parts).cast("int"))
+    spread = groups.join(hot, keys, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(part), F.lit(1)) - 1)))
+    return dealt, spread
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores before it as it takes to differ from all columns of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayline.llm.common import fits_broadcast, read
+from wayline.llm.common import deal, fits_broadcast, read
 
 #: Width of the time buckets that keep a key with very many entries from meeting all of its captures.
 BUCKET_DAYS = 30
-#: Interval rows that are broadcast; beyond, both sides are shuffled and captures of a key are salted.
-MAX_BROADCAST_INTERVALS, SALTS = 200_000, 16
+#: Interval rows that are broadcast; beyond, both sides are shuffled and keys of very many captures are split.
+MAX_BROADCAST_INTERVALS = 200_000
 #: Host of an absolute URL, without user and port.
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
 
@@ -66,9 +66,8 @@ def judge(captures: DataFrame, entries: DataFrame, bucket_days: int = BUCKET_DAY
     if fits_broadcast(dealt, max_broadcast):
         dealt = F.broadcast(dealt)
     else:
-        asked = asked.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
-        dealt = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        keys.append("salt")
+        asked, dealt = deal(asked, dealt, keys, "part")
+        keys.append("part")
     on = [asked[k] == dealt[k] for k in keys] + [asked["t"] >= dealt["at"], dealt["valid_to"].isNull() | (asked["t"] < dealt["valid_to"])]
     met = asked.join(dealt, on, "left").select(
         asked["page_id"], asked["depth"], dealt["action"], asked["key"], dealt["list"], dealt["entry_id"]
@@ -102,6 +101,7 @@ def demo_entries(pages: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``judge`` of all pages by lists derived from their hosts; its docstring defines every case."""
     pages = read(spark, sf_dir, "pages")
     return judge(demo_captures(pages), demo_entries(pages))
 
