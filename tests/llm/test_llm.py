@@ -239,7 +239,9 @@ def plain_kept(texts, at_least=0.8):
     return sorted(set(label))
 
 
-def test_similar_groups_equal_all_pairs(spark):
+@pytest.mark.parametrize("block_rows", [1000, 7])
+def test_similar_groups_equal_all_pairs(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(simhash_dedup, "BLOCK_ROWS", block_rows)
     rng = random.Random(4)
     base = [[f"w{rng.randrange(500)}" for _ in range(rng.randint(3, 120))] for _ in range(25)]
     texts = []
@@ -255,6 +257,44 @@ def test_similar_groups_equal_all_pairs(spark):
     assert kept == plain_kept(texts) and 25 < len(kept) < len(texts) - 20
 
 
+@pytest.mark.parametrize("chars", [4_000_000, 3000])
+def test_large_groups_and_chains_lose_no_link_over_blocks(spark, monkeypatch, chars):
+    monkeypatch.setattr(simhash_dedup, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(simhash_dedup, "BLOCK_CHARS", chars)
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    words = [f"w{i}" for i in range(400)]
+    slide = [" ".join(words[i : i + 60]) for i in range(0, 300, 3)]  # every text is near the next, the first and last have nothing in common
+    template = [" ".join(words[:40] + [f"own{i}x{k}" for k in range(8)]) for i in range(30)]  # one band in common, nothing near
+    copies = [" ".join(words[100:180]) + f" tail{i % 40}" for i in range(120)]
+    texts = slide + template + copies
+    random.Random(8).shuffle(texts)
+    kept = sorted(r.doc_id for r in simhash_dedup.keep_one(docs(spark, texts)).collect())
+    assert kept == plain_kept(texts) and 30 < len(kept) < 60
+
+
+def test_links_across_equal_all_pairs():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(6)]
+    sets += [np.unique(np.concatenate([s[2:], rng.integers(0, 60, 2).astype(np.uint64)])) for s in sets for _ in range(5)]
+    visitors, homes = sets[::3], [h for i, h in enumerate(sets) if i % 3]
+    both = visitors + homes
+    near = lambda a, b: 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+    want = [(v, h) for v in range(len(visitors)) for h in range(len(visitors), len(both)) if near(both[v], both[h])]
+    found = simhash_dedup.links_across(homes, visitors, np.arange(len(both)))
+    assert found and set(found) <= set(want) and not simhash_dedup.links_across(homes, visitors, np.zeros(len(both), int))
+    groups = lambda pairs: {frozenset(g) for g in merged(pairs)}
+    assert groups(found) == groups(want)
+
+
+def merged(pairs):
+    """Connected groups of ``pairs``."""
+    groups = []
+    for a, b in pairs:
+        joined = {a, b}.union(*(g for g in groups if a in g or b in g))
+        groups = [g for g in groups if not (a in g or b in g)] + [joined]
+    return groups
+
+
 def test_near_dedup_stage_equals_all_pairs(spark):
     rows = common.read(spark, DATA, "documents")
     texts = {r.doc_id: r.text for r in rows.collect()}

@@ -28,9 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.window import Window
 
-from wayline.llm.common import connected_components, cut, read
+from wayline.llm.common import connected_components, cut, read, split_join
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -44,6 +43,8 @@ LEAF = 256
 STAGE_WORDS, STAGE_PERCENT = 5, 80
 #: Minimum hashes of the stage: at a similarity of 0.8 all bands differ with (1 - 0.8^4)^20, 2 in 100,000 pairs.
 BANDS, BAND_ROWS = 20, 4
+#: Bounds of a block of the stage's candidates; a task holds two blocks, and one text more at most where that is longer.
+BLOCK_ROWS, BLOCK_CHARS = 1000, 4_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(SEED)
 PERMUTATIONS = (
@@ -303,33 +304,112 @@ def similar_groups(sets: list[np.ndarray], percent: int = STAGE_PERCENT) -> np.n
     return label
 
 
+def links_across(homes: list[np.ndarray], visitors: list[np.ndarray], label: np.ndarray, percent: int = STAGE_PERCENT) -> list[tuple[int, int]]:
+    """Pairs (visitor, home), by place in ``visitors + homes``, that connect what all similar pairs of the two sides connect.
+
+    ``label`` names the groups known before, of the visitors first; a pair inside one group is not returned.
+    """
+    sets, known = visitors + homes, np.unique(label, return_inverse=True)[1]
+    sizes = np.array([len(h) for h in sets], np.int64)
+    if not sizes.sum():
+        return []
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.split(code, np.cumsum(sizes)[:-1])
+    n = len(visitors)
+    first = int(sizes[:n].sum())
+    owner, post = np.repeat(np.arange(len(homes)), sizes[n:]), code[first:]
+    order = np.argsort(post, kind="stable")
+    owner, post = owner[order], post[order]
+    starts = np.searchsorted(post, np.arange(int(code.max()) + 2))
+    found = []
+    for v in range(n):
+        s, m = starts[own[v]], starts[own[v] + 1] - starts[own[v]]
+        index = np.repeat(s - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum())
+        common = np.bincount(owner[index], minlength=len(homes))
+        near = (known[n:] != known[v]) & (common > 0) & (100 * common >= percent * (sizes[n:] + sizes[v] - common))
+        for j in np.flatnonzero(near):
+            if known[n + j] != known[v]:
+                found.append((v, n + int(j)))
+                known[known == known[n + j]] = known[v]
+    return found
+
+
 def _solve_similar(pdf: pd.DataFrame) -> pd.DataFrame:
-    sets = [shingles(t) for t in pdf["text"]]
-    label = similar_groups(sets)
-    return pd.DataFrame({"doc_id": pdf["doc_id"], "group": pdf["doc_id"].to_numpy()[label]})
+    ids = pdf["doc_id"].to_numpy()
+    label = similar_groups([shingles(t) for t in pdf["text"]])
+    at = np.flatnonzero(label != np.arange(len(ids)))
+    return pd.DataFrame({"a": ids[at], "b": ids[label[at]]})
+
+
+def _solve_across(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("home", kind="stable")
+    ids, sets, home = pdf["doc_id"].to_numpy(), [shingles(t) for t in pdf["text"]], pdf["home"].to_numpy(bool)
+    n = int((~home).sum())
+    found = links_across(sets[n:], sets[:n], pdf["label"].to_numpy())
+    return pd.DataFrame({"a": [ids[v] for v, _ in found], "b": [ids[h] for _, h in found]}, dtype="int64")
+
+
+def _blocks(rows: str, chars: str):
+    return F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(chars) / BLOCK_CHARS), F.lit(1)).cast("int")
+
+
+def similar_links(candidates: DataFrame, star: DataFrame) -> DataFrame:
+    """Links (a, b) that connect exactly what the similar pairs of documents with one ``root`` connect.
+
+    ``candidates`` holds doc_id, root and text, once each; ``star`` names for a document (a) the smallest (leader) that it
+    shares a band with. A root's documents are dealt over blocks of bounded rows and characters. First every block is
+    solved, with its documents' leaders in it, so that a large group of copies becomes one group by few comparisons. Then,
+    under roots of several blocks, every document outside the root's largest group meets every block.
+    """
+    texts = candidates.withColumn("chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
+    sizes = texts.groupBy("root").agg(F.count("*").alias("n"), F.sum("chars").alias("all_chars")).select("root", "n", _blocks("n", "all_chars").alias("parts"))
+    held = cut(split_join(texts, sizes, ["root"], "n").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")))
+    large = held.where("parts > 1")
+    leaders = large.join(star, large["doc_id"] == star["a"]).select("root", "part", "leader").distinct()
+    guests = leaders.join(large.select(F.col("doc_id").alias("leader"), "text"), "leader").select("root", "part", F.col("leader").alias("doc_id"), "text")
+    cells = held.select("root", "part", "doc_id", "text").unionByName(guests)
+    links = cut(cells.groupBy("root", "part").applyInPandas(_solve_similar, "a long, b long"))
+    if large.isEmpty():
+        return links
+    label = connected_components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("label"))
+    tagged = large.select("root", "part", "parts", "doc_id", "text", "chars").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    groups = tagged.groupBy("root", "label").agg(F.count("*").alias("m"), F.sum("chars").alias("c"))
+    rest = groups.groupBy("root").agg(
+        F.sum("m").alias("n"), F.max(F.struct("m", "label", "c")).alias("top"), F.sum("c").alias("all_chars")
+    ).where("n > top.m").withColumn("rest", F.col("n") - F.col("top.m")).withColumn("rest_chars", F.col("all_chars") - F.col("top.c"))
+    rest = rest.select("root", "n", F.col("top.label").alias("top"), _blocks("rest", "rest_chars").alias("rest_parts"))
+    still = cut(split_join(tagged, rest, ["root"], "n"))
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    same = ["root", "doc_id", "text", "label"]
+    homes = still.select(*same, F.col("part").alias("i"), up_to("rest_parts").alias("j"), F.lit(True).alias("home"))
+    visits = still.where("label <> top").select(
+        *same, up_to("parts").alias("i"), F.pmod(F.xxhash64("doc_id", F.lit(SEED)), "rest_parts").cast("int").alias("j"), F.lit(False).alias("home")
+    )
+    across = homes.unionByName(visits).groupBy("root", "i", "j").applyInPandas(_solve_across, "a long, b long")
+    return links.unionByName(across)
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, component_id) of documents that are not the smallest doc_id of their group.
 
     Documents are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Equal sets
-    collapse first; documents that share a band, chained, are candidates and meet in one task, which works out
-    every similarity between them exactly. Rows with a null doc_id take no part; texts without a word are equal.
+    collapse first; documents that share a band, chained, are candidates, and ``similar_links`` works out their
+    similarities exactly. Rows with a null doc_id take no part; texts without a word are equal.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     banded = pandas_udf(_banded, "node long, bands array<long>")(F.col("text"))
     prints = cut(rows.select("doc_id", banded.alias("p")).select("doc_id", "p.node", "p.bands"))
-    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands")))
-    met = Window.partitionBy("key")
+    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.count("*").alias("times")))
     keys = nodes.select("least_id", F.explode("bands").alias("key"))
-    edges = keys.withColumn("low", F.min("least_id").over(met)).where("low < least_id").select(F.col("least_id").alias("a"), F.col("low").alias("b"))
+    met = keys.groupBy("key").agg(F.min("least_id").alias("low"), F.count("*").alias("n")).where("n > 1")
+    edges = cut(split_join(keys, met, ["key"], "n").where("low < least_id").select(F.col("least_id").alias("a"), F.col("low").alias("b")).distinct())
     chained = connected_components(edges)
     chained = cut(chained.unionByName(chained.select(F.col("root").alias("node"), "root").distinct()))
     candidates = rows.join(chained.withColumnRenamed("node", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
-    solved = candidates.groupBy("root").applyInPandas(_solve_similar, "doc_id long, group long")
-    smallest = cut(solved).withColumn("component_id", F.min("doc_id").over(Window.partitionBy("group"))).select(F.col("doc_id").alias("least_id"), "component_id")
-    to_least = prints.select("doc_id", "node").join(nodes.select("node", "least_id"), "node").join(smallest, "least_id", "left")
-    found = to_least.select("doc_id", F.coalesce("component_id", "least_id").alias("component_id"))
+    roots = connected_components(similar_links(candidates, edges.groupBy("a").agg(F.min("b").alias("leader"))))
+    answer = nodes.join(roots.select(F.col("node").alias("least_id"), F.col("root").alias("component_id")), "least_id", "left")
+    answer = answer.select("node", F.coalesce("component_id", "least_id").alias("component_id"), "times")
+    found = split_join(prints.select("doc_id", "node"), answer, ["node"], "times").select("doc_id", "component_id")
     return found.where("doc_id <> component_id")
 
 
