@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wayline.llm import (
     decontaminate,
+    divergence,
+    hard_negatives,
     html_extract,
     line_dedup,
+    minhash_dedup,
     pii,
     pipeline,
     quality_classifier,
@@ -33,6 +36,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": substring_dedup.query,
         "op9_url_filters": url_filter.query,
         "op10_line_dedup": line_dedup.query,
+        "op11_hard_negatives": hard_negatives.query,
+        "op12_source_divergence": divergence.query,
+        "op13_minhash": minhash_dedup.query,
         "pipeline": pipeline.run,
     }
 
@@ -42,4 +48,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontamination": decontaminate.SQL,
         "op8_substring_dedup": substring_dedup.SQL,
         "op9_url_filters": url_filter.SQL,
+        "op11_hard_negatives": hard_negatives.SQL,
+        "op12_source_divergence": divergence.SQL,
+        "op13_minhash": minhash_dedup.SQL,
     }
