@@ -14,6 +14,7 @@ from wayline.functions import samples as fn
 from wayline.operators import chunk, clean, denoise, metrics, sampling, select
 from wayline.plans.settings import DELTA, DRAWS, K, MODELS, Q, Q1, Q2, SPLIT
 from wayline.sources import trajectories as src
+from wayline.sources import versions
 from wayline.streaming import dicing
 
 USER = ["shard", "agent"]
@@ -126,7 +127,9 @@ def a2_unreadable_shards(spark: SparkSession, sf: str) -> DataFrame:
     path = written_shards(spark, sf)
     few = points(spark, sf).where("event_id < 10")
     few.drop("shard").coalesce(1).write.parquet(f"{path}/shard=98")
-    few.limit(1).select(F.lit("not parquet").alias("value")).coalesce(1).write.text(f"{path}/shard=99")
+    broken = few.limit(1).select(F.lit("not parquet").alias("value")).coalesce(1)
+    broken.write.text(f"{path}/shard=99")
+    broken.write.mode("append").text(f"{path}/shard=5")  # beside readable files
     known = state(spark, sf).select(F.concat(F.lit("shard="), F.col("shard").cast("string")).alias("ds_name"))
     return src.shard_report(spark, path, K, known)
 
@@ -163,6 +166,30 @@ def a6_write_state(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def resumed_store(spark: SparkSession, sf: str) -> str:
+    """A store after two resumed runs: one that has seen half of every trajectory, and one that has seen all."""
+    root, all_ = src.scratch(spark, "store"), sizes(spark, sf)
+    versions.resume(spark, root, all_.withColumn("n", F.floor(F.col("n") / 2)), K, Q)
+    versions.resume(spark, root, all_, K, Q)
+    return root
+
+
+@query
+def a6_resumed_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of two resumed runs through the versioned store, each with its run's version: those of one whole run."""
+    return versions.all_chunks(spark, resumed_store(spark, sf))
+
+
+@query
+def a6_state_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """The state as of both versions, and after a third one that changes a single dataset."""
+    root = resumed_store(spark, sf)
+    three = versions.snapshot(spark, root).where("shard = 3")
+    versions.commit(spark, root, three.withColumn("end_row", F.col("end_row") + 1000), versions.newest(spark, root))
+    parts = [versions.snapshot(spark, root, v).withColumn("version", F.lit(v).cast("long")) for v in (1, 2, 3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def a7_metric_log(spark: SparkSession, sf: str) -> DataFrame:
     path, rows = src.scratch(spark, "log"), log(spark, sf)

@@ -109,13 +109,18 @@ _FENCE = "quantile_cont(err, 0.25) as q1, quantile_cont(err, 0.75) as q3"
 
 SQL: dict[str, str] = {
     "a1_scan_shards": f"with {TRAJ} select 'shard=' || shard as ds_name, count(*) as n_rows, count(distinct agent) as n_agents from traj group by shard",
-    "a2_unreadable_shards": f"""with {BASE}, {STATE} select 'shard=' || shard as ds_name, count(*) as n_rows,
-  case when shard in (select shard from sizes where n > {K}) or shard in (select shard from state) then 'ok' else 'no_chunks' end as status from traj group by shard
-union all select 'shard=98', count(*), 'no_chunks' from traj where event_id < 10 union all select 'shard=99', 0, 'unreadable'""",
+    "a2_unreadable_shards": f"""with {BASE}, {STATE} select 'shard=' || shard as ds_name, count(*) as n_rows, (shard = 5)::bigint as n_bad_files,
+  case when shard = 5 then 'damaged' when shard in (select shard from sizes where n > {K}) or shard in (select shard from state) then 'ok' else 'no_chunks' end as status from traj group by shard
+union all select 'shard=98', count(*), 0, 'no_chunks' from traj where event_id < 10 union all select 'shard=99', 0, 1, 'unreadable'""",
     "a3_head_extract": f"with {TRAJ} select event_id, agent, modality, longitude, latitude from traj order by event_id limit 1000",
     "a4_sample_sink": f"with {POINTS}, {NOISY} select case when shard < {SPLIT[0]} then 'train' when shard < {SPLIT[1]} then 'val' else 'test' end as split, shard, count(distinct (agent, i, s)) as n_rows from noisy group by all",
     "a5_read_state": f"with {CHUNKS} select 'shard_' || shard as ds_name, agent, max(row_end) as end_row from chunks group by all",
     "a6_write_state": f"with {CHUNKS} select 'shard_' || shard as ds_name, count(*) as n_agents, cast(sum(e) as bigint) as sum_end from (select shard, agent, max(row_end) as e from chunks group by all) group by all",
+    "a6_resumed_runs": f"""with {CHUNKS} select c.shard, c.agent, row_start, row_end, case when n // 2 > {K} and row_end < n // 2 then 1 else 2 end::bigint as version
+  from chunks c join sizes z on c.shard = z.shard and c.agent = z.agent""",
+    "a6_state_versions": f"""with {CHUNKS}, run as (select c.shard, c.agent, row_end, case when n // 2 > {K} and row_end < n // 2 then 1 else 2 end as v from chunks c join sizes z on c.shard = z.shard and c.agent = z.agent),
+s as (select 1::bigint as version, shard, agent, max(row_end) as end_row from run where v = 1 group by all union all select 2, shard, agent, max(row_end) from run group by all)
+select * from s union all select 3, shard, agent, case when shard = 3 then end_row + 1000 else end_row end from s where version = 2""",
     "a7_metric_log": f"with {LOG} select model, count(*) as n_rows, max(step) as last_step, round(avg(avg_loss), 6) as avg_loss from ckpt_log group by model",
     "a7_audit_log": f"""with {ERR}, s as (select model, ckpt, sample, avg(err) as err from err group by all),
 m as (select model, ckpt, round(avg(err), 6) as mean, round(median(err), 6) as median, round(stddev_pop(err), 6) as std from s group by all),

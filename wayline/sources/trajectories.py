@@ -88,19 +88,30 @@ def scan_shards(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("ds_name", F.regexp_extract(F.col("_metadata.file_path"), r"/(shard=[^/]+)/[^/]*$", 1))
 
 
+def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
+    """(ds_name, file): the files under ``path`` that yield no row, whether other files of their shard do or not."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    listed = files.select("path", F.regexp_extract("path", r"/(shard=[^/]+)/([^/]*)$", 1).alias("ds_name"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file"))
+    read = scan_shards(spark, path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1).alias("file"), "ds_name").distinct()
+    return listed.join(read, ["ds_name", "file"], "left_anti").select("ds_name", "file")
+
+
 def shard_report(spark: SparkSession, path: str, k: int, state: DataFrame) -> DataFrame:
-    """(ds_name, n_rows, status): every shard folder that has a file; ``unreadable`` if none of its files yielded a row,
-    ``no_chunks`` if no trajectory has more than ``k`` valid points and ``state`` (ds_name) has no entry of it."""
+    """(ds_name, n_rows, n_bad_files, status): every shard folder that has a file. ``n_bad_files`` yielded no row; the status is ``unreadable``
+    if none did, ``damaged`` if some did, ``no_chunks`` if no trajectory has more than ``k`` valid points and ``state`` (ds_name)
+    has no entry of it."""
     listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
         .select(F.regexp_extract("path", r"/(shard=[^/]+)/[^/]*$", 1).alias("ds_name")).distinct()
     )
+    bad = unreadable_files(spark, path).groupBy("ds_name").agg(F.count("*").alias("_bad"))
     own = scan_shards(spark, path).groupBy("ds_name", "agent").agg(F.count("*").alias("n"), F.count_if(all_finite(COORDINATES)).alias("n_valid"))
     found = own.groupBy("ds_name").agg(F.sum("n").alias("n_rows"), F.max("n_valid").alias("longest"))
-    n = F.coalesce("n_rows", F.lit(0))
+    n, n_bad = F.coalesce("n_rows", F.lit(0)), F.coalesce("_bad", F.lit(0))
     known = state.select("ds_name").distinct().withColumn("_known", F.lit(True))
-    status = F.when(n == 0, "unreadable").when((F.col("longest") > k) | F.col("_known"), "ok").otherwise("no_chunks")
-    return listed.join(found, "ds_name", "left").join(known, "ds_name", "left").select("ds_name", n.alias("n_rows"), status.alias("status"))
+    status = F.when(n == 0, "unreadable").when(n_bad > 0, "damaged").when((F.col("longest") > k) | F.col("_known"), "ok").otherwise("no_chunks")
+    joined = listed.join(found, "ds_name", "left").join(bad, "ds_name", "left").join(known, "ds_name", "left")
+    return joined.select("ds_name", n.alias("n_rows"), n_bad.alias("n_bad_files"), status.alias("status"))
 
 
 def head_extract(points: DataFrame, order: list[str], n: int, path: str) -> DataFrame:
