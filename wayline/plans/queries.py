@@ -881,4 +881,20 @@ def i5_error_codes(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def j1_streamed_dicing(spark: SparkSession, sf: str) -> DataFrame:
     """Points arrive as files of a stream; every full chunk is emitted once and equals the batch result."""
-    return dicing.run_once(spark, table(spark, sf, "events"), K, Q)
+    return dicing.emitted(spark, dicing.run_once(spark, table(spark, sf, "events"), K, Q)[0])
+
+
+@query
+def j1_stream_from_state(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch run dices the first half of every trajectory; a stream that begins from its state dices the points behind.
+
+    All chunks, of the batch run (part 1) and of the stream (part 2): together those of one run.
+    """
+    all_ = placed(spark, sf)
+    first = chunk.dice(sizes(spark, sf).withColumn("n", F.floor(F.col("n") / 2)), K, Q)
+    state = chunk.end_rows(first)
+    rest = all_.join(state, USER, "left").where(F.col("end_row").isNull() | (F.col("p") > F.col("end_row"))).select("event_id")
+    events = table(spark, sf, "events").join(rest, "event_id", "left_semi")
+    sink, _ = dicing.run_once(spark, events, K, Q, parts=2, initial=dicing.initial_state(all_, state, Q))
+    parts = [first.select(*USER, "row_start", "row_end", F.lit(1).alias("part")), dicing.emitted(spark, sink).select(*USER, "row_start", "row_end", F.lit(2).alias("part"))]
+    return parts[0].unionByName(parts[1])

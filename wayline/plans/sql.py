@@ -116,6 +116,8 @@ union all select 'shard=98', count(*), 0, 'no_chunks' from traj where event_id <
     "a4_sample_sink": f"with {POINTS}, {NOISY} select case when shard < {SPLIT[0]} then 'train' when shard < {SPLIT[1]} then 'val' else 'test' end as split, shard, count(distinct (agent, i, s)) as n_rows from noisy group by all",
     "a5_read_state": f"with {CHUNKS} select 'shard_' || shard as ds_name, agent, max(row_end) as end_row from chunks group by all",
     "a6_write_state": f"with {CHUNKS} select 'shard_' || shard as ds_name, count(*) as n_agents, cast(sum(e) as bigint) as sum_end from (select shard, agent, max(row_end) as e from chunks group by all) group by all",
+    "j1_stream_from_state": f"""with {CHUNKS} select c.shard, c.agent, row_start, row_end, case when n // 2 > {K} and row_end < n // 2 then 1 else 2 end as part
+  from chunks c join sizes z on c.shard = z.shard and c.agent = z.agent""",
     "a6_resumed_runs": f"""with {CHUNKS} select c.shard, c.agent, row_start, row_end, case when n // 2 > {K} and row_end < n // 2 then 1 else 2 end::bigint as version
   from chunks c join sizes z on c.shard = z.shard and c.agent = z.agent""",
     "a6_state_versions": f"""with {CHUNKS}, run as (select c.shard, c.agent, row_end, case when n // 2 > {K} and row_end < n // 2 then 1 else 2 end as v from chunks c join sizes z on c.shard = z.shard and c.agent = z.agent),
