@@ -139,14 +139,100 @@ def test_step_of_names(spark):
 
 
 def test_small_and_big_sets_are_disjoint_and_short_sets_fail(spark):
-    rows = spark.createDataFrame([(i, str(i % 7)) for i in range(40)], "k int, fp string")
-    small = sampling.small_set(rows, "fp", ["k"], 4)
-    big = sampling.big_set(rows, small, "fp", ["k"], 10)
+    rows = spark.createDataFrame([(0, i, str(i % 7)) for i in range(40)], "p int, k int, fp string")
+    small = sampling.small_set(rows, "p", "fp", ["p", "k"], 4)
+    big = sampling.big_set(rows, small, "p", "fp", ["p", "k"], 10)
     assert [r.k for r in small.collect()] == [0, 1, 2, 3] and [r.k for r in big.collect()] == [4, 5, 6]
     with pytest.raises(ValueError):
         sampling.require(big, 10)
 
 
+def test_first_distinct_samples_are_exact_and_read_no_further_than_they_must(spark, tmp_path):
+    import random
+
+    rng = random.Random(1)
+    rows = [(p, k, f"f{rng.randrange(200)}") for p in range(20) for k in range(30)]
+    path = str(tmp_path / "packs")
+    spark.createDataFrame(rows, "pack int, k int, fp string").repartition("pack").write.partitionBy("pack").parquet(path)
+    packs = spark.read.parquet(path)
+
+    def plain(n, gone=frozenset()):
+        out, seen, last = [], set(gone), -1
+        for p, k, f in sorted(rows):
+            if f not in seen and len(out) < n:
+                seen.add(f)
+                out.append((p, k, f))
+                last = p
+        return out, last
+
+    for n in (1, 25, 31, 120, 150, 500):
+        want, last = plain(n)
+        found, read = sampling.first_distinct(packs, "pack", "fp", ["pack", "k"], n)
+        assert sorted((r.pack, r.k, r.fp) for r in found.collect()) == want
+        assert len(read) <= (20 if len(want) < n else 2 * last + 2)
+    small, _ = sampling.first_distinct(packs, "pack", "fp", ["pack", "k"], 30)
+    gone = {r.fp for r in small.collect()}
+    found, read = sampling.first_distinct(packs, "pack", "fp", ["pack", "k"], 40, small)
+    assert sorted((r.pack, r.k, r.fp) for r in found.collect()) == plain(40, gone)[0] and len(read) < 20
+    assert sampling.first_distinct(packs.where("false"), "pack", "fp", ["pack", "k"], 5)[0].count() == 0
+
+
+def test_only_the_shards_that_are_needed_are_opened(spark, tmp_path):
+    path = str(tmp_path / "packs")
+    for p in range(6):
+        spark.createDataFrame([(k, f"{p}/{k}") for k in range(5)], "k int, fp string").coalesce(1).write.parquet(f"{path}/pack={p}")
+    for p in (4, 5):  # files that cannot be read: opening one would fail
+        for f in (tmp_path / "packs" / f"pack={p}").glob("part-*"):
+            f.write_bytes(b"broken")
+    packs = spark.read.schema("k int, fp string, pack int").parquet(path)
+    found, read = sampling.first_distinct(packs, "pack", "fp", ["pack", "k"], 12)
+    assert [(r.pack, r.k) for r in found.orderBy("pack", "k").collect()] == [(p, k) for p in range(3) for k in range(5)][:12] and read == [0, 1, 2]
+
+
+def test_composed_schedule_equals_the_loop(spark):
+    import random
+
+    rng = random.Random(8)
+    rows, want = [], {}
+    for m in ("a", "b", "c"):
+        delta = 38.13
+        for step in sorted(rng.sample(range(20_000), 400)):
+            err = rng.choice([None, float("nan"), rng.uniform(0, 400)])
+            rows.append((m, step, err))
+            if err is not None and err == err:
+                a = 0.02 if step < 5000 else 0.005
+                delta = min(80.0, max(20.0, (1 - a) * delta + a * max(err, 15.0)))
+        want[m] = delta
+    rows.append(("none", 1, None))
+    want["none"] = 38.13
+    rng.shuffle(rows)
+    log = spark.createDataFrame(rows, "model string, step long, acc_mean double")
+    for width in (3, 50, 1000, 10**6):
+        got = {r.model: r.delta for r in select.delta_schedule(log, width=width).collect()}
+        assert got.keys() == want.keys() and all(abs(got[m] - want[m]) < 1e-9 for m in want)
+
+
+def test_velocity_fit_minimises_the_fixed_delta_loss(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 2))
+    v = x @ np.array([[1.5, -0.5], [0.25, 2.0]]) + [3.0, -1.0] + rng.normal(scale=0.05, size=(400, 2))
+    v[:40] += 50  # outliers
+    w = rng.uniform(0.5, 1, 400)
+    rows = spark.createDataFrame([(float(a), float(b), float(c), float(d), float(u)) for (a, b), (c, d), u in zip(x, v, w, strict=True)] + [(None, 1.0, 1.0, 1.0, 1.0), (1.0, float("nan"), 1.0, 1.0, 1.0), (1.0, 1.0, 9e9, 1.0, 0.0)], "a double, b double, ve double, vn double, u double")
+    fit = denoise.fit_velocity(rows, ["a", "b"], 0.5, F.col("u"), 30).orderBy("axis").collect()
+    beta = np.array([[r.intercept, *r.coefficients] for r in fit]).T
+    assert np.allclose(beta, [[3, -1], [1.5, -0.5], [0.25, 2]], atol=0.05)
+
+    def loss(b):
+        e = w * np.sqrt(((v - np.c_[np.ones(400), x] @ b) ** 2).sum(axis=1))
+        return np.where(e <= 0.5, 0.5 * e * e, 0.5 * (e - 0.25)).mean()
+
+    assert abs(fit[0].loss - loss(beta)) < 1e-6
+    assert all(loss(beta) <= loss(beta + d) + 1e-9 for d in rng.normal(scale=1e-3, size=(50, 3, 2)))
+    none = denoise.fit_velocity(rows.where("false"), ["a"], 1.0).first()
+    assert (none.intercept, none.coefficients, none.loss) == (0.0, [0.0], None)
+
+
 def test_split_by_share_skips_no_shard(spark):
     shards = sampling.ranked_shards(spark.range(11).select(F.col("id").alias("shard")))
     split = {r.shard: r.split for r in sampling.split_by_share(shards).collect()}

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.functions.samples import position_weight
+from wayline.functions.samples import finite, huber, length
+from wayline.operators.sampling import cut
 
 Predictor = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -124,14 +125,34 @@ def predict(rows: DataFrame, keys: Sequence[str], predictor: Predictor) -> DataF
     return rows.select(*keys, "e", "n", "t").mapInPandas(run, schema)
 
 
-def fit_velocity(rows: DataFrame, features: Sequence[str], k: int, epsilon: float = 1.35) -> DataFrame:
-    """Robust linear models of ve and vn on ``features`` with position weights: (axis, intercept, scale, coefficients)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+def fit_velocity(rows: DataFrame, features: Sequence[str], delta: float, weight: Column | float = 1.0, rounds: int = 8) -> DataFrame:
+    """Linear models of (ve, vn) on ``features`` under the fixed-delta Huber loss: (axis, intercept, coefficients, loss, rounds).
 
-    data = VectorAssembler(inputCols=list(features), outputCol="x").transform(rows.withColumn("w", position_weight(F.col("j"), k)).where("w > 0"))
-    out = []
-    for axis in ("ve", "vn"):
-        model = LinearRegression(featuresCol="x", labelCol=axis, weightCol="w", loss="huber", epsilon=epsilon, maxIter=50).fit(data)
-        out.append((axis, float(model.intercept), float(model.scale), [float(c) for c in model.coefficients]))
-    return rows.sparkSession.createDataFrame(out, "axis string, intercept double, scale double, coefficients array<double>")
+    The loss of a point is Huber's of ``weight`` times the length of its residual over both axes. Iteratively reweighted least
+    squares: a round is one aggregate of the weighted normal equations, which both axes share, and a solve of their p x p
+    system on the driver; the first round weighs all points alike. ``loss`` is the mean at the start of the last round. Points
+    with a value that is missing or not finite, or without weight, take no part; without points, coefficients are zero.
+    """
+    spark, p = rows.sparkSession, len(features) + 1
+    w = weight if isinstance(weight, Column) else F.lit(float(weight))
+    held = rows.select(*[F.col(c).cast("double").alias(f"x{i + 1}") for i, c in enumerate(features)], F.col("ve").cast("double").alias("ve"), F.col("vn").cast("double").alias("vn"), w.alias("w"))
+    for c in held.columns:
+        held = held.where(finite(F.col(c)))
+    held = cut(held.where("w > 0").withColumn("x0", F.lit(1.0)))
+    beta, loss = np.zeros((p, 2)), None
+    for k in range(rounds):
+        fitted = [sum((F.lit(float(beta[i, a])) * F.col(f"x{i}") for i in range(p)), F.lit(0.0)) for a in (0, 1)]
+        e = F.col("w") * length(F.col("ve") - fitted[0], F.col("vn") - fitted[1])
+        u = F.col("w") * F.col("w") * (F.lit(1.0) if k == 0 else F.when(e <= delta, 1.0).otherwise(delta / e))
+        pairs = [(i, j) for i in range(p) for j in range(i, p)]
+        sums = [F.sum(u * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs] + [F.sum(u * F.col(f"x{i}") * F.col(v)) for v in ("ve", "vn") for i in range(p)]
+        found = held.agg(*sums, F.avg(huber(e, F.lit(float(delta))))).first()
+        if found[0] is None:
+            break
+        a = np.zeros((p, p))
+        for (i, j), v in zip(pairs, found, strict=False):
+            a[i, j] = a[j, i] = v
+        right, loss = np.array(found[len(pairs) : len(pairs) + 2 * p]).reshape(2, p).T, found[len(found) - 1]
+        beta = np.linalg.lstsq(a, right, rcond=None)[0]  # features that repeat each other share their weight
+    out = [(axis, float(beta[0, i]), [float(x) for x in beta[1:, i]], loss, rounds) for i, axis in enumerate(("ve", "vn"))]
+    return spark.createDataFrame(out, "axis string, intercept double, coefficients array<double>, loss double, rounds int")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,11 +19,7 @@ def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str) ->
     Rows are dealt by ranges and cut there; a place is the number of rows in earlier ranges, counted once per
     range, plus the place within the range. ``order`` has no ties.
     """
-    dealt = rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id())
-    sc = rows.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(scratch(rows.sparkSession, "checkpoints"))
-    dealt = dealt.checkpoint(eager=True)
+    dealt = cut(rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
     sizes = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_n_range"))  # one row per key and range
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n_range").over(earlier), F.lit(0))).drop("_n_range")
@@ -66,18 +65,54 @@ def first_by_fingerprint(samples: DataFrame, key: str, order: list[str]) -> Data
     return samples.withColumn("_r", F.row_number().over(own)).where(F.col("_r") == 1).drop("_r")
 
 
-def small_set(samples: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
+def stored_shards(packs: DataFrame, shard: str) -> list:
+    """The sorted values of ``shard``: from the names of the folders where ``packs`` is stored by it, without opening a file."""
+    names = [re.search(rf"/{re.escape(shard)}=([^/]*)/[^/]*$", f) for f in packs.inputFiles()]
+    if not names or not all(names):
+        return sorted(r[0] for r in packs.where(F.col(shard).isNotNull()).select(shard).distinct().collect())
+    whole = packs.schema[shard].dataType.typeName() in ("byte", "short", "integer", "long")
+    found = {unquote(m[1]) for m in names} - {"__HIVE_DEFAULT_PARTITION__"}
+    return sorted(map(int, found) if whole else found)
+
+
+def first_distinct(packs: DataFrame, shard: str, key: str, order: list[str], n: int, exclude: DataFrame | None = None) -> tuple[DataFrame, list]:
+    """The first ``n`` rows of distinct ``key`` in order (``shard`` first), and the shards that were read for them.
+
+    ``packs`` is stored by ``shard``. Slices of 1, 2, 4, ... shards are read until the rows suffice, each shard once; a slice's
+    rows of keys seen before, or in ``exclude`` (key), go; so do rows without a shard. What lies behind the n-th row is never read, and what is found is exact.
+    """
+    shards = stored_shards(packs, shard)
+    found, at, size, have = None, 0, 1, 0
+    while at < len(shards) and have < n:
+        own = first_by_fingerprint(packs.where(F.col(shard).isin(shards[at : at + size])), key, order)
+        for seen in (found, exclude):
+            own = own if seen is None else own.join(seen.select(key), key, "left_anti").select(own.columns)
+        own = cut(own.orderBy(*order).limit(n - have))
+        at, size, have = at + size, 2 * size, have + own.count()
+        found = own if found is None else found.unionByName(own)
+    return (packs.where("false") if found is None else found), shards[:at]
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the checkpoint folder and read from there."""
+    sc = rows.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(scratch(rows.sparkSession, "checkpoints"))
+    return rows.checkpoint(eager=True)
+
+
+def small_set(packs: DataFrame, shard: str, key: str, order: list[str], n: int) -> DataFrame:
     """The first ``n`` distinct samples in order."""
-    return first_by_fingerprint(samples, key, order).orderBy(*order).limit(n)
+    return first_distinct(packs, shard, key, order, n)[0]
 
 
-def big_set(samples: DataFrame, small: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
+def big_set(packs: DataFrame, small: DataFrame, shard: str, key: str, order: list[str], n: int) -> DataFrame:
     """The first ``n`` distinct samples that are not in the small set."""
-    return small_set(samples.join(small.select(key), key, "left_anti"), key, order, n)
+    return first_distinct(packs, shard, key, order, n, small)[0]
 
 
 def require(rows: DataFrame, n: int) -> DataFrame:
-    """``rows``, or an error if there are not ``n``."""
+    """``rows``, or an error if there are not ``n``; rows are counted, so they are best stored before."""
     found = rows.count()
     if found < n:
         raise ValueError(f"{found} samples, {n} wanted")

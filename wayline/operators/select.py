@@ -47,15 +47,45 @@ def running_means(log: DataFrame) -> DataFrame:
     return log.select("model", "epoch", "step", F.avg("avg_loss").over(own).alias("loss"), F.avg("acc_mean").over(own).alias("error"))
 
 
-def delta_schedule(log: DataFrame, first: float = 38.13, floor: float = 15.0, low: float = 20.0, high: float = 80.0, switch: int = 5000) -> DataFrame:
+#: Steps, or composed ranges of them, that meet in one row.
+FOLD_RANGE = 1000
+
+
+def _composed(pieces: Column, first: Column) -> Column:
+    """The maps x -> clamp(a x + b, lo, hi) of an ordered array, one after the other, as one such map; a is not negative."""
+    clamp = lambda v, p: F.least(p["hi"], F.greatest(p["lo"], v))
+
+    def after(f: Column, p: Column) -> Column:
+        return F.struct(
+            (p["a"] * f["a"]).alias("a"), (p["a"] * f["b"] + p["b"]).alias("b"),
+            clamp(p["a"] * f["lo"] + p["b"], p).alias("lo"), clamp(p["a"] * f["hi"] + p["b"], p).alias("hi"),
+        )
+
+    return F.aggregate(pieces, first, after)
+
+
+def delta_schedule(log: DataFrame, first: float = 38.13, floor: float = 15.0, low: float = 20.0, high: float = 80.0, switch: int = 5000, width: int = FOLD_RANGE) -> DataFrame:
     """Clamped exponential mean of the error in step order, fast before ``switch`` steps and slow after: final delta per run.
 
-    A run's (step, error) pairs meet in one row; they are checkpoints of a run, not samples.
+    A step maps x to clamp(a x + b, low, high). Such maps are closed under composition, so ranges of ``width`` steps are
+    composed apart, then ranges of ranges, until a run is one map: no row holds more than ``width`` of them. A step occurs once in a
+    run and is not negative; an error that is missing leaves delta as it is, and so does an empty run.
     """
-    pairs = F.array_sort(F.collect_list(F.struct("step", "acc_mean")))
-    alpha = lambda x: F.when(x["step"] < switch, 0.02).otherwise(0.005)
-    move = lambda d, x: F.least(F.lit(high), F.greatest(F.lit(low), (1 - alpha(x)) * d + alpha(x) * F.greatest(x["acc_mean"], F.lit(floor))))
-    return log.groupBy("model").agg(F.aggregate(pairs, F.lit(first), move).alias("delta"))
+    alpha = F.when(F.col("step") < switch, 0.02).otherwise(0.005)
+    number = lambda v: F.lit(float(v))
+    known = log.where(F.col("acc_mean").isNotNull() & ~F.isnan("acc_mean"))
+    piece = F.struct((1 - alpha).alias("a"), (alpha * F.greatest("acc_mean", number(floor))).alias("b"), number(low).alias("lo"), number(high).alias("hi"))
+    rows = known.select("model", F.col("step").alias("at"), piece.alias("f"))
+    same = F.struct(number(1).alias("a"), number(0).alias("b"), number("-inf").alias("lo"), number("inf").alias("hi"))
+    last = rows.agg(F.max("at")).first()[0] or 0
+    while True:
+        held = F.transform(F.array_sort(F.collect_list(F.struct("at", "f"))), lambda p: p["f"])
+        rows = rows.groupBy("model", F.floor(F.col("at") / width).alias("at")).agg(_composed(held, same).alias("f"))
+        last //= width
+        if not last:
+            break
+    delta = F.least(F.col("f.hi"), F.greatest(F.col("f.lo"), F.col("f.a") * first + F.col("f.b")))
+    return log.select("model").distinct().join(rows.select("model", delta.alias("delta")), "model", "left").select("model", F.coalesce("delta", F.lit(first)).alias("delta"))
 
 
 def next_user(users: DataFrame) -> DataFrame:

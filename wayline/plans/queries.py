@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from wayline.functions import geo
 from wayline.functions import samples as fn
 from wayline.operators import chunk, clean, denoise, metrics, sampling, select
-from wayline.plans.settings import DELTA, DRAWS, K, MODELS, Q, Q1, Q2, SPLIT
+from wayline.plans.settings import DELTA, DRAWS, FIT_DELTA, FIT_ROUNDS, K, MODELS, Q, Q1, Q2, SPLIT
 from wayline.sources import trajectories as src
 from wayline.sources import versions
 from wayline.streaming import dicing
@@ -86,13 +86,19 @@ def packed_samples(spark: SparkSession, sf: str) -> DataFrame:
     return packed.withColumn("split", split_of())
 
 
+#: Order of samples over packs, and the columns that name one.
+SET_ORDER = ["pack", *SAMPLE]
+
+
 def set_samples(spark: SparkSession, sf: str) -> DataFrame:
-    """Valid samples with a fingerprint; a fifth of the chunks share theirs with their draws and namesakes, so that sets have repeats to drop."""
+    """Valid samples with the fingerprint of their coordinates, stored by pack: a shard's own samples and, of a fifth of the
+    chunks, those of the shard before it, so that sets have repeats to drop."""
     rows = packed_samples(spark, sf).where(sampling.valid_sample(F.col("points"), F.col("t")))
-    shared = F.concat_ws("/", F.col("shard").cast("string"), F.col("i").cast("string"))
-    own = F.concat_ws("/", F.array_join(F.transform("points", lambda p: p["event_id"].cast("string")), ","), F.col("s").cast("string"))
-    key = F.when((F.col("agent") + F.col("i")) % 5 == 0, shared).otherwise(own)
-    return rows.select(*SAMPLE, F.md5(key).alias("fp"))
+    again = F.when((F.col("agent") + F.col("i")) % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = rows.select(*SAMPLE, fn.fingerprint(F.col("points"), "e", "n").alias("fp"), F.explode(again).alias("later"))
+    path = src.scratch(spark, "set-packs")
+    rows.withColumn("pack", (F.col("shard") + F.col("later")).cast("int")).drop("later").repartition("pack").write.partitionBy("pack").parquet(path)
+    return spark.read.parquet(path)
 
 
 def r(name: str, digits: int, alias: str | None = None):
@@ -316,7 +322,7 @@ def c3_state_merge(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def c4_not_in_small(spark: SparkSession, sf: str) -> DataFrame:
     rows = set_samples(spark, sf)
-    return rows.join(sampling.small_set(rows, "fp", SAMPLE, 200).select("fp"), "fp", "left_anti").select(*SAMPLE)
+    return rows.join(sampling.small_set(rows, "pack", "fp", SET_ORDER, 200).select("fp"), "fp", "left_anti").select(*SET_ORDER)
 
 
 @query
@@ -582,7 +588,7 @@ def e10_split_by_share(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def e11_first_by_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.first_by_fingerprint(set_samples(spark, sf), "fp", SAMPLE).select(*SAMPLE)
+    return sampling.first_by_fingerprint(set_samples(spark, sf), "fp", SET_ORDER).select(*SET_ORDER)
 
 
 @query
@@ -654,15 +660,15 @@ def f5_quick_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def f6_small_set(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.require(sampling.small_set(set_samples(spark, sf), "fp", SAMPLE, 200), 200).select(*SAMPLE)
+    return sampling.require(sampling.small_set(set_samples(spark, sf), "pack", "fp", SET_ORDER, 200), 200).select(*SET_ORDER)
 
 
 @query
 def f7_big_set(spark: SparkSession, sf: str) -> DataFrame:
     """Raises where the tables hold too few samples for a full set."""
     rows = set_samples(spark, sf)
-    big = sampling.big_set(rows, sampling.small_set(rows, "fp", SAMPLE, 200), "fp", SAMPLE, 1000)
-    return sampling.require(big, 1000).select(*SAMPLE)
+    big = sampling.big_set(rows, sampling.small_set(rows, "pack", "fp", SET_ORDER, 200), "pack", "fp", SET_ORDER, 1000)
+    return sampling.require(big, 1000).select(*SET_ORDER)
 
 
 def event_samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -721,8 +727,8 @@ def g5_replaced_record(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def g6_disjoint_sets(spark: SparkSession, sf: str) -> DataFrame:
     rows = set_samples(spark, sf)
-    small = sampling.small_set(rows, "fp", SAMPLE, 200)
-    big = sampling.big_set(rows, small, "fp", SAMPLE, 1000)
+    small = sampling.small_set(rows, "pack", "fp", SET_ORDER, 200)
+    big = sampling.big_set(rows, small, "pack", "fp", SET_ORDER, 1000)
     return small.select("fp").intersect(big.select("fp")).agg(F.count("*").alias("n_common"))
 
 
@@ -851,7 +857,11 @@ def i8_strided_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def i9_velocity_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return denoise.fit_velocity(noisy(spark, sf).where(F.col("shard") < SPLIT[0]), ["ex", "nx", "t"], K)
+    """Velocities of the training shards on the noisy coordinates, in kilometres, under the fixed-delta loss with position weights."""
+    rows = noisy(spark, sf).where(F.col("shard") < SPLIT[0]).withColumn("ke", F.col("ex") / 1000).withColumn("kn", F.col("nx") / 1000)
+    fit = denoise.fit_velocity(rows, ["ke", "kn"], FIT_DELTA, fn.position_weight(F.col("j"), K), FIT_ROUNDS)
+    digits = lambda c: F.round(c, 4) + 0.0
+    return fit.select("axis", digits(F.col("intercept")).alias("intercept"), *[digits(F.col("coefficients")[i]).alias(c) for i, c in enumerate(("ke", "kn"))], digits(F.col("loss")).alias("loss"))
 
 
 def audited(spark: SparkSession, sf: str) -> DataFrame:

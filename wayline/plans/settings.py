@@ -7,3 +7,5 @@ DRAWS = 5
 SPLIT = (26, 29)
 DELTA = 37.5
 MODELS = (0.1, 0.2, 0.3)
+#: Delta and rounds of the velocity fit; about half of the residuals lie beyond this delta.
+FIT_DELTA, FIT_ROUNDS = 5.0, 4

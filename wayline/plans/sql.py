@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayline.plans.settings import DELTA, K, MODELS, Q, Q1, Q2, SPLIT, DRAWS
+from wayline.plans.settings import DELTA, FIT_DELTA, FIT_ROUNDS, K, MODELS, Q, Q1, Q2, SPLIT, DRAWS
 
 S = K - Q
 SI = K - Q1 - Q2
@@ -101,9 +101,31 @@ _R = lambda c, d=2: f"round({c}, {d}) + 0.0 as {c}"
 _BACK = geodetic("e1", "n1", "lon_o", "lat_o")
 _SAMPLES = f"""samples as (select shard, agent, i, s, max(t) as t, bool_and({finite('ex', 'nx', 've', 'vn')}) as ok,
   string_agg(cast(event_id as varchar), ',' order by j) as key from noisy group by shard, agent, i, s)"""
-_SET = f"""valid_s as (select *, md5(case when (agent + i) % 5 = 0 then cast(shard as varchar) || '/' || cast(i as varchar) else key || '/' || cast(s as varchar) end) as fp from samples where ok),
-firsts as (select * from (select *, row_number() over (partition by fp order by shard, agent, i, s) as r from valid_s) where r = 1),
-small as (select * from firsts order by shard, agent, i, s limit 200)"""
+_SET = """valid_s as (select shard as pack, shard, agent, i, s from samples where ok union all select shard + 1, shard, agent, i, s from samples where ok and (agent + i) % 5 = 0),
+firsts as (select * from (select *, row_number() over (partition by shard, agent, i, s order by pack) as r from valid_s) where r = 1),
+small as (select * from firsts order by pack, shard, agent, i, s limit 200)"""
+_NOT_SMALL = "(shard, agent, i, s) not in (select (shard, agent, i, s) from small)"
+_NAMED = "cast(pack as integer) as pack, shard, agent, i, s"
+
+
+def _fit() -> str:
+    """The rounds of the velocity fit, one after the other: sums, Cramer's rule for three unknowns."""
+    parts = [f"""x as materialized (select 1.0::double as x0, ex / 1000 as x1, nx / 1000 as x2, ve, vn, {weight('j', K)} as w from noisy where shard < {SPLIT[0]} and {weight('j', K)} > 0
+  and {finite('ex', 'nx', 've', 'vn')})"""]
+    det = lambda m: f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+    a = [[f"s{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    for k in range(FIT_ROUNDS):
+        before = f"b{k - 1}" if k else "(select " + ", ".join(f"0.0::double as {v}{i}" for v in ("ve", "vn") for i in range(3)) + ")"
+        e = "w * sqrt(" + " + ".join(f"pow({v} - (b.{v}0 * x0 + b.{v}1 * x1 + b.{v}2 * x2), 2)" for v in ("ve", "vn")) + ")"
+        u = "w * w" if not k else f"w * w * case when e <= {FIT_DELTA} then 1 else {FIT_DELTA} / e end"
+        sums = ", ".join([f"sum({u} * x{i} * x{j}) as s{i}{j}" for i in range(3) for j in range(i, 3)] + [f"sum({u} * x{i} * {v}) as t{v}{i}" for v in ("ve", "vn") for i in range(3)])
+        solved = ", ".join(
+            f"{det([[f't{v}{r}' if c == i else a[r][c] for c in range(3)] for r in range(3)])} / {det(a)} as {v}{i}" for v in ("ve", "vn") for i in range(3)
+        )
+        parts.append(f"b{k} as materialized (select {solved}, loss from (select {sums}, avg({huber('e', FIT_DELTA)}) as loss from (select x.*, {e} as e from x, {before} b)))")
+    return ", ".join(parts)
+
+
 _BYTES = ", ".join(f"round(avg(err) filter (j // 8 = {g}), 6) as byte_{g}" for g in range(8))
 _FENCE = "quantile_cont(err, 0.25) as q1, quantile_cont(err, 0.75) as q3"
 
@@ -118,6 +140,8 @@ union all select 'shard=98', count(*), 0, 'no_chunks' from traj where event_id <
     "a6_write_state": f"with {CHUNKS} select 'shard_' || shard as ds_name, count(*) as n_agents, cast(sum(e) as bigint) as sum_end from (select shard, agent, max(row_end) as e from chunks group by all) group by all",
     "j1_stream_from_state": f"""with {CHUNKS} select c.shard, c.agent, row_start, row_end, case when n // 2 > {K} and row_end < n // 2 then 1 else 2 end as part
   from chunks c join sizes z on c.shard = z.shard and c.agent = z.agent""",
+    "i9_velocity_fit": f"with {POINTS}, {NOISY}, {_fit()} " + " union all ".join(
+        f"select '{v}' as axis, round({v}0, 4) + 0.0 as intercept, round({v}1, 4) + 0.0 as ke, round({v}2, 4) + 0.0 as kn, round(loss, 4) + 0.0 as loss from b{FIT_ROUNDS - 1}" for v in ("ve", "vn")),
     "a6_resumed_runs": f"""with {CHUNKS} select c.shard, c.agent, row_start, row_end, case when n // 2 > {K} and row_end < n // 2 then 1 else 2 end::bigint as version
   from chunks c join sizes z on c.shard = z.shard and c.agent = z.agent""",
     "a6_state_versions": f"""with {CHUNKS}, run as (select c.shard, c.agent, row_end, case when n // 2 > {K} and row_end < n // 2 then 1 else 2 end as v from chunks c join sizes z on c.shard = z.shard and c.agent = z.agent),
@@ -146,7 +170,7 @@ select split, shard, cast(dense_rank() over (partition by split order by shard)
     "c1_start_rows": f"with {BASE}, {STATE} select z.shard, z.agent, greatest(0, coalesce(end_row + 1 - {Q}, 0)) as start from sizes z left join state t using (shard, agent)",
     "c2_chunk_points": f"with {BASE}, {CP} select shard, agent, i, j, event_id from cp",
     "c3_state_merge": f"with {CHUNKS}, {STATE}, fresh as (select shard, agent, max(row_end) as end_row from chunks group by all) select coalesce(a.shard, b.shard) as shard, coalesce(a.agent, b.agent) as agent, greatest(coalesce(a.end_row, -1), coalesce(b.end_row, -1)) as end_row from state a full join fresh b on a.shard = b.shard and a.agent = b.agent",
-    "c4_not_in_small": f"with {POINTS}, {NOISY}, {_SAMPLES}, {_SET} select shard, agent, i, s from valid_s where fp not in (select fp from small)",
+    "c4_not_in_small": f"with {POINTS}, {NOISY}, {_SAMPLES}, {_SET} select {_NAMED} from valid_s where {_NOT_SMALL}",
     "c5_sampled_users": f"with {TRAJ}, picked as (select * from (select shard, agent, row_number() over (partition by shard order by md5('seed/' || agent), agent) as r from (select distinct shard, agent from traj)) where r <= 2) select event_id, agent from traj where (shard, agent) in (select (shard, agent) from picked)",
     "c6_best_checkpoint": f"with {LOG}, {ERR}, best as (select * from (select *, row_number() over (partition by model order by acc_mean, acc_median, acc_std, step) as r from ckpt_log) where r = 1), vec as (select sample, j // 8 as grp, avg(err) as err from err group by all) select model, ckpt_name, grp, round(err, 6) as err from best join vec on vec.sample = best.step % 500",
     "c7_models_by_samples": f"with {POINTS}, {NOISY}, m as (select unnest({list(MODELS)}::double[]) as a) select a, round(avg(sqrt((a * ex - ve) * (a * ex - ve) + (a * nx - vn) * (a * nx - vn))), 6) as err, count(*) as n from noisy cross join m group by a",
@@ -204,7 +228,7 @@ select shard, {_summary('err')} from x group by shard""",
     "e8_end_rows": f"with {CHUNKS} select shard, agent, max(row_end) as end_row from chunks group by all",
     "e9_split_by_rank": f"with {TRAJ}, {SHARDS} select shard, case when rank < 26 then 'train' when rank < 29 then 'val' else 'test' end as split from ranked",
     "e10_split_by_share": f"with {TRAJ}, {SHARDS} select shard, case when rank < ceil(n * 0.70) then 'train' when rank < ceil(n * 0.70) + ceil(n * 0.15) then 'val' else 'test' end as split from ranked",
-    "e11_first_by_fingerprint": f"with {POINTS}, {NOISY}, {_SAMPLES}, {_SET} select shard, agent, i, s from firsts",
+    "e11_first_by_fingerprint": f"with {POINTS}, {NOISY}, {_SAMPLES}, {_SET} select {_NAMED} from firsts",
     "e12_keep_set": f"with {LOG}, {{keep}} select * from keep",
     "e13_best_by_audit": f"with {LOG} select model, ckpt_name, step from (select *, row_number() over (partition by model order by acc_mean, acc_median, acc_std, step) as r from ckpt_log) where r = 1",
     "e14_best_by_training": f"with {LOG} select model, ckpt_name, step from (select *, row_number() over (partition by model order by acc_median, acc_mean, step desc) as r from ckpt_log) where r = 1",
@@ -221,8 +245,8 @@ select model, round(max_by(delta, r), 6) as delta from f group by model""",
     "f3_first_users": f"with {TRAJ} select shard, agent from (select shard, agent, dense_rank() over (partition by shard order by agent) as r from (select distinct shard, agent from traj)) where r <= 3",
     "f4_last_shards": f"with {TRAJ} select distinct shard from (select shard, dense_rank() over (order by shard desc) as r from traj) where r <= 3",
     "f5_quick_sample": f"with {TRAJ} select event_id from traj order by md5('quick/' || event_id), event_id limit 2000",
-    "f6_small_set": f"with {POINTS}, {NOISY}, {_SAMPLES}, {_SET} select shard, agent, i, s from small",
-    "f7_big_set": f"with {POINTS}, {NOISY}, {_SAMPLES}, {_SET} select shard, agent, i, s from firsts where fp not in (select fp from small) order by shard, agent, i, s limit 1000",
+    "f6_small_set": f"with {POINTS}, {NOISY}, {_SAMPLES}, {_SET} select {_NAMED} from small",
+    "f7_big_set": f"with {POINTS}, {NOISY}, {_SAMPLES}, {_SET} select {_NAMED} from firsts where {_NOT_SMALL} order by pack, shard, agent, i, s limit 1000",
     "f8_epoch_batches": f"""with s as (select event_id as sample, event_id % 4 as shard from events), k as (select *, row_number() over (partition by shard order by sample) as r, least(37000, count(*) over (partition by shard) - count(*) over (partition by shard) % 100) as n from s where shard = 2),
 b as (select sample, pass, n, (row_number() over (partition by pass order by md5('6/' || pass || '/' || sample), sample) - 1) // 64 as batch from (select *, unnest(range(0, 2)) as pass from k where r <= n))
 select sample, cast(pass as integer) as pass, batch from b where (batch + 1) * 64 <= n""",
@@ -234,7 +258,7 @@ d as (select unnest(range(0, 5000)) as draw) select draw, z.shard, sample from d
     "g3_union_of_keeps": f"with {LOG}, {{keep}} select model, count(*) as n from keep group by model",
     "g4_not_kept": f"with {LOG}, {{keep}} select model, ckpt_name from ckpt_log except select model, ckpt_name from keep",
     "g5_replaced_record": f"with {CHUNKS}, fresh as (select shard, agent, max(row_end) as end_row from chunks group by all) select shard, agent, case when shard = 3 then end_row + 1000 else end_row end as end_row from fresh",
-    "g6_disjoint_sets": f"with {POINTS}, {NOISY}, {_SAMPLES}, {_SET}, big as (select * from firsts where fp not in (select fp from small) order by shard, agent, i, s limit 1000) select count(*) as n_common from small join big using (fp)",
+    "g6_disjoint_sets": f"with {POINTS}, {NOISY}, {_SAMPLES}, {_SET}, big as (select * from firsts where {_NOT_SMALL} order by pack, shard, agent, i, s limit 1000) select count(*) as n_common from small join big using (shard, agent, i, s)",
     "h1_to_enu": f"with {POINTS} select shard, agent, i, j, {_R('e1')}, {_R('n1')}, {_R('e0')}, {_R('n0')} from enu",
     "h2_to_geodetic": f"with {POINTS} select shard, agent, i, j, round({_BACK[0]}, 6) as lon, round({_BACK[1]}, 6) as lat from enu",
     "h3_velocity": f"with {POINTS} select shard, agent, i, j, round(e1 - e0, 2) + 0.0 as ve, round(n1 - n0, 2) + 0.0 as vn from enu",
