@@ -27,8 +27,8 @@ MIN_DOCS, TOP_TERMS, UNIT = 10, 10, 1_000_000_000
 BLOCK_TERMS, LEAST_TERMS = 1024, 64
 #: Indicator columns of one side of a product, pairs of sources that a task adds up before it hands them on, and bytes of text counted at once.
 COLUMNS, HELD, BLOCK_BYTES = 2048, 1_000_000, 32_000_000
-#: (language, source) groups and kept terms that are broadcast; joined by shuffle beyond.
-MAX_BROADCAST_GROUPS, MAX_BROADCAST_TERMS = 100_000, 200_000
+#: (language, source) groups that are broadcast; joined by shuffle beyond.
+MAX_BROADCAST_GROUPS = 100_000
 #: Largest count whose product with UNIT fits a long.
 MOST = 9_000_000_000
 
@@ -65,8 +65,12 @@ def _counted(texts: pa.Array, group: np.ndarray) -> tuple[np.ndarray, pa.Array,
     return (key // size)[good], word.filter(pa.array(good)), n[good], docs[good]
 
 
-def count_terms(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents; a term '' counts the documents, with or without terms."""
+def count_terms(docs: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, term, total, held): terms in ``min_docs`` documents of a language or more, with their occurrences in it and in
+    each of its sources, an array of (source, n); a term '' holds all sources of the language, with or without terms.
+
+    One shuffle by language and term serves both sums; a task hands on one row for each term and source.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +87,9 @@ def count_terms(docs: DataFrame) -> DataFrame:
 
     text = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     counted = text.mapInArrow(run, "lang string, source string, term string, n long, docs long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    own = counted.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    held = own.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("held"))
+    return held.where((F.col("docs") >= min_docs) | (F.col("term") == "")).drop("docs")
 
 
 def prices(level: np.ndarray, total: int, kept: int) -> np.ndarray:
@@ -132,22 +138,18 @@ def priced_pairs(counts: np.ndarray, totals: np.ndarray, kept: int) -> tuple[np.
     return first, second, sums[first * m + second]
 
 
-def pair_values(counts: DataFrame, kept: DataFrame, groups: DataFrame) -> DataFrame:
+def pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, g, h, value): the divergence of every two sources, numbered within their language, g < h.
 
-    ``counts`` (lang, source, term, n), ``kept`` (lang, term, total) and ``groups`` (lang, source, g, total, kept).
+    ``kept`` (lang, term, total, held) and ``groups`` (lang, source, g, total, kept).
     """
     size = F.greatest(F.lit(LEAST_TERMS), F.floor(F.lit(BLOCK_TERMS) / F.pow(F.lit(2), F.greatest(F.lit(0), F.col("height") - 6)))).cast("long")
-    high = kept.select("lang", "term", F.floor(F.log2("total")).cast("int").alias("height"))
+    high = kept.withColumn("height", F.floor(F.log2("total")).cast("int"))
     # of one language and height as many blocks as its terms fill; a table of a few dozen rows a language
     parts = high.groupBy("lang", "height").agg(F.count("*").alias("_n")).select("lang", "height", F.ceil(F.col("_n") / size).alias("_parts"))
-    dealt = high.join(parts, ["lang", "height"]).withColumn("block", F.pmod(F.xxhash64("term"), "_parts")).drop("_parts")
-    dealt = F.broadcast(dealt) if fits_broadcast(dealt, MAX_BROADCAST_TERMS) else dealt
-    named = groups.select("lang", "source", "g")
-    named = F.broadcast(named) if fits_broadcast(named, MAX_BROADCAST_GROUPS) else named
-    rows = counts.join(dealt, ["lang", "term"]).join(named, ["lang", "source"])
-    blocks = rows.groupBy("lang", "height", "block").agg(F.collect_list(F.struct("term", "g", "n")).alias("held"))
-    by_lang = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("g", "total"))).alias("totals"), F.max("kept").alias("kept"))
+    dealt = high.join(parts, ["lang", "height"]).withColumn("block", F.pmod(F.xxhash64("term"), "_parts"))
+    blocks = dealt.groupBy("lang", "height", "block").agg(F.collect_list("held").alias("held"))
+    by_lang = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("g", "source", "total"))).alias("totals"), F.max("kept").alias("kept"))
     met = blocks.join(by_lang.where("size(totals) > 1"), "lang").select("lang", "held", "totals", "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,10 +164,11 @@ def pair_values(counts: DataFrame, kept: DataFrame, groups: DataFrame) -> DataFr
         for batch in batches:
             for i in range(batch.num_rows):
                 lang, kept = batch.column("lang")[i].as_py(), batch.column("kept")[i].as_py()
-                held, totals = batch.column("held").slice(i, 1).flatten(), batch.column("totals").slice(i, 1).flatten().field("total").to_numpy()
-                code = held.field("term").dictionary_encode()
-                table = np.zeros((len(code.dictionary), len(totals)), np.int64)
-                table[code.indices.to_numpy(), held.field("g").to_numpy()] = held.field("n").to_numpy()
+                rows, named = batch.column("held").slice(i, 1).flatten(), batch.column("totals").slice(i, 1).flatten()
+                held, totals = rows.flatten(), named.field("total").to_numpy()
+                table = np.zeros((len(rows), len(totals)), np.int64)
+                place = pc.index_in(held.field("source"), named.field("source")).to_numpy()
+                table[pc.list_parent_indices(rows).to_numpy(), place] = held.field("n").to_numpy()
                 g, h, value = priced_pairs(table, totals, kept)
                 if lang not in sums:
                     if sum(x.size for x in sums.values()) > HELD:
@@ -190,13 +193,11 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> Da
     language without kept terms has pairs of value 0 and no terms; one of a single source has no pairs. Ties go by item, by
     its bytes. Texts of any length are counted whole; ids and other columns are ignored; an empty table gives an empty result.
     """
-    counts = cut(count_terms(docs))
-    sources = counts.where("term = ''").select("lang", "source")
-    kept = cut(counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total")).where(F.col("docs") >= min_docs).drop("docs"))
+    counts = cut(count_terms(docs, min_docs))
+    sources = counts.where("term = ''").select("lang", F.explode("held.source").alias("source"))
+    kept = counts.where("term <> ''")
     of_lang = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("of_lang"))
-    listed = kept.withColumnRenamed("total", "of_term")
-    listed = F.broadcast(listed) if fits_broadcast(listed, MAX_BROADCAST_TERMS) else listed
-    held = counts.where("term <> ''").select("lang", "source", "term", "n").join(listed, ["lang", "term"])
+    held = kept.select("lang", "term", F.col("total").alias("of_term"), F.explode("held").alias("h")).select("lang", "term", "of_term", "h.source", "h.n")
     totals = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     # sources, not documents, are numbered and ranked from here on
     groups = sources.join(totals, ["lang", "source"], "left").join(of_lang, "lang", "left").select(
@@ -204,7 +205,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> Da
         (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long").alias("g"),
     )
     groups = cut(groups)
-    values = pair_values(held.select("lang", "source", "term", "n"), kept, groups)
+    values = pair_values(kept, groups)
     both = values.unionByName(values.select("lang", F.col("h").alias("g"), F.col("g").alias("h"), "value"))
     others = groups.select("lang", "source", "g").join(groups.select("lang", F.col("source").alias("item"), F.col("g").alias("h")), "lang").where("g <> h")
     pairs = others.join(cut(both), ["lang", "g", "h"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
