@@ -1,11 +1,10 @@
 """Near-duplicates by bottom-k sketches from one hash function.
 
-1. One pass over the texts writes, per document, the sorted hashes of its distinct five-word shingles; the KEPT smallest are
-   its sketch. Documents of one set collapse to a node, so that exact copies cost one row from here on.
+1. One pass over the texts hashes every document's distinct five-word shingles; the KEPT smallest hashes are its sketch. Documents of one set collapse to a node, so that exact copies cost one row from here on.
 2. Inverted lists hold the nodes under retained values, apart by size, as similar sets are of similar sizes. In a list,
    or a block of bounded size of it, overlaps are counted over all retained values, and where they allow for it the
    similarity is estimated from the bottom of the union of two sketches. What is far below the threshold goes.
-3. What is left is chained, and a chain's full sets are compared exactly, in blocks of bounded size (``similar_links``).
+3. What is left is chained, and the full sets of a chain's texts are compared exactly, in blocks of bounded size (``similar_links``).
 4. Connected components over these links; every document gets its node's.
 
 Values under which very many nodes stand (a passage that a large part of the corpus shares) are hot. A node is listed
@@ -21,7 +20,6 @@ What a pair at the threshold can be missed by: no common value among the first e
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm.common import connected_components, cut, read, shared_folder, split_join
+from wayline.llm.common import connected_components, cut, fits_broadcast, read, split_join
 from wayline.llm.simhash_dedup import shingles, similar_links
 
 PERCENT = 85
@@ -47,17 +45,21 @@ ESTIMATE = 50
 CLASS_WIDTH = 0.163
 #: Nodes of a side of a block.
 CELL_NODES = 512
+#: Nodes with a possible partner whose keys are broadcast to the texts; joined by shuffle beyond.
+MAX_BROADCAST_NODES = 500_000
 #: Fills up sketches of small sets.
 PAD = np.uint64(2**64 - 1)
 
 
 def sketched(texts: pd.Series) -> pd.DataFrame:
-    """Per text: its set as sorted signed hashes, a 128-bit digest of it (null for the empty set), and its size."""
-    sets = [shingles(t) for t in texts]
-    return pd.DataFrame({
-        "node": [xxhash.xxh3_128_hexdigest(h.tobytes()) if len(h) else None for h in sets], "n": [len(h) for h in sets],
-        "held": [h.view(np.int64) for h in sets],
-    })
+    """Per text: a 128-bit digest of its set (null for the empty one), the set's size, and its sketch as signed hashes."""
+    node, n, sketch = [], [], []
+    for t in texts:
+        h = shingles(t)
+        node.append(xxhash.xxh3_128_hexdigest(h.tobytes()) if len(h) else None)
+        n.append(len(h))
+        sketch.append(h[:KEPT].view(np.int64))
+    return pd.DataFrame({"digest": node, "n": n, "sketch": sketch})
 
 
 def bottom_estimates(one: np.ndarray, others: np.ndarray, kept: int = KEPT) -> np.ndarray:
@@ -142,7 +144,7 @@ def listed_values(nodes: DataFrame, hot: np.ndarray) -> DataFrame:
                 "n": batch.column("n").take(where), "core": pa.array(np.concatenate(core) if core else [], pa.bool_()),
             })
 
-    return nodes.select("node", "n", "sketch").mapInArrow(run, "key long, node string, n long, core boolean")
+    return nodes.select("node", "n", "sketch").mapInArrow(run, "key long, node long, n long, core boolean")
 
 
 def hot_values(nodes: DataFrame) -> np.ndarray:
@@ -159,8 +161,11 @@ def _labelled(links: DataFrame) -> DataFrame:
     return cut(found.select("node", F.col("root").alias("component")).unionByName(found.select(F.col("root").alias("node"), F.col("root").alias("component")).distinct()))
 
 
-def links_of(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links that connect what all pairs of nodes (node, n, sketch, held) of ``percent`` or more connect."""
+def links_of(nodes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): links that connect what all pairs of nodes (node, n, sketch, key) of ``percent`` or more connect.
+
+    ``texts`` (key, text) holds a node's text under its key, once or more.
+    """
     lists = cut(listed_values(nodes, hot_values(nodes)))
     sizes = lists.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("_low"), F.bit_xor(F.xxhash64("node", "core")).alias("_all")).where("m > 1")
     # lists of the same nodes say the same: one of them is enough
@@ -179,9 +184,11 @@ def links_of(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
         a, b = (node.take(pa.array([p[s] for p in found], pa.int64())) for s in (0, 1))
         return pa.table({"a": a, "b": b})
 
-    found = cells.groupBy("key", "i", "j").applyInArrow(run, "a string, b string")
+    found = cells.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
     near = cut(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    candidates = nodes.select(F.col("node").alias("doc_id"), "held").join(_labelled(near).select(F.col("node").alias("doc_id"), F.col("component").alias("root")), "doc_id")
+    chained = cut(nodes.select(F.col("node").alias("doc_id"), "key").join(_labelled(near).select(F.col("node").alias("doc_id"), F.col("component").alias("root")), "doc_id"))
+    wanted = F.broadcast(chained) if fits_broadcast(chained, MAX_BROADCAST_NODES) else chained
+    candidates = texts.join(wanted, "key").dropDuplicates(["doc_id"]).drop("key")
     return cut(similar_links(candidates, near.groupBy("a").agg(F.min("b").alias("leader")), percent))
 
 
@@ -193,28 +200,27 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own; a null doc_id stays null, is never the smallest one where there is another, and is kept if its component has no other.
     Texts of any length are taken whole; other columns are ignored; an empty table gives an empty result.
     """
-    folder = f"{shared_folder(docs.sparkSession)}/minhash-{uuid.uuid4().hex}"
-    schema = "node string, n long, held array<long>"
     doc_id = docs.schema["doc_id"].dataType.simpleString()
+    text = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("key"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = sketched(b["text"])
             out.insert(0, "doc_id", b["doc_id"].array)
+            out.insert(1, "key", b["key"].array)
             yield out
 
-    docs.select("doc_id", "text").mapInPandas(run, f"doc_id {doc_id}, {schema}").write.parquet(folder)
-    sets = docs.sparkSession.read.parquet(folder)
-    by_node = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"), F.max("n").alias("n"), F.first("held").alias("held"))
-    by_node.withColumn("sketch", F.slice("held", 1, KEPT)).write.parquet(f"{folder}-nodes")
-    nodes = docs.sparkSession.read.parquet(f"{folder}-nodes")
-    label = _labelled(links_of(nodes, percent))
-    members = nodes.select("node", "least", "times").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = cut(text.mapInPandas(run, f"doc_id {doc_id}, key string, digest string, n long, sketch array<long>"))
+    sets = rows.where("digest is not null")
+    nodes = sets.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"), F.max("n").alias("n"), F.min(F.struct("key", "sketch")).alias("one"))
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "times", "n", "one.key", "one.sketch"))
+    label = _labelled(links_of(nodes.select("node", "n", "sketch", "key"), text.select("key", "text"), percent))
+    members = nodes.select("node", "digest", "least", "times").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    answer = members.join(least, "component").select("node", "component_id", "times")
-    full = split_join(sets.where("node is not null").select("doc_id", "node", "n"), answer, ["node"], "times").select("doc_id", "n", "component_id")
-    rows = full.unionByName(sets.where("node is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    answer = members.join(least, "component").select("digest", "component_id", "times")
+    full = split_join(sets.select("doc_id", "digest", "n"), answer, ["digest"], "times").select("doc_id", "n", "component_id")
+    found = full.unionByName(rows.where("digest is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,6 @@ candidates come from bands of minimum hashes and are verified on the whole shing
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -335,24 +334,19 @@ def links_across(homes: list[np.ndarray], visitors: list[np.ndarray], label: np.
     return found
 
 
-def _sets(pdf: pd.DataFrame) -> list[np.ndarray]:
-    """The rows' shingle sets: from their texts, or as they come in ``held``."""
-    return [shingles(t) for t in pdf["text"]] if "text" in pdf else [np.asarray(h, np.int64).view(np.uint64) for h in pdf["held"]]
-
-
 def _solve_similar(pdf: pd.DataFrame, percent: int = STAGE_PERCENT) -> pd.DataFrame:
     ids = pdf["doc_id"].to_numpy()
-    label = similar_groups(_sets(pdf), percent)
+    label = similar_groups([shingles(t) for t in pdf["text"]], percent)
     at = np.flatnonzero(label != np.arange(len(ids)))
     return pd.DataFrame({"a": ids[at], "b": ids[label[at]]})
 
 
 def _solve_across(pdf: pd.DataFrame, percent: int = STAGE_PERCENT) -> pd.DataFrame:
     pdf = pdf.sort_values("home", kind="stable")
-    ids, sets, home = pdf["doc_id"].to_numpy(), _sets(pdf), pdf["home"].to_numpy(bool)
+    ids, sets, home = pdf["doc_id"].to_numpy(), [shingles(t) for t in pdf["text"]], pdf["home"].to_numpy(bool)
     n = int((~home).sum())
     found = links_across(sets[n:], sets[:n], pdf["label"].to_numpy(), percent)
-    return pd.DataFrame({"a": [ids[v] for v, _ in found], "b": [ids[h] for _, h in found]}, dtype=ids.dtype)
+    return pd.DataFrame({"a": [ids[v] for v, _ in found], "b": [ids[h] for _, h in found]}, dtype="int64")
 
 
 def _blocks(rows: str, chars: str):
@@ -360,28 +354,25 @@ def _blocks(rows: str, chars: str):
 
 
 def similar_links(candidates: DataFrame, star: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
-    """Links (a, b) that connect exactly what the similar pairs of documents with one ``root`` connect.
+    """Links (a, b) that connect exactly what the pairs of ``percent`` or more of documents with one ``root`` connect.
 
-    ``candidates`` holds doc_id, root and text, or ``held``, the sorted hashes of a set, instead; once each. ``star`` names for a document (a) the smallest (leader) that it
+    ``candidates`` holds doc_id, root and text, once each; ``star`` names for a document (a) the smallest (leader) that it
     shares a band with. A root's documents are dealt over blocks of bounded rows and characters. First every block is
     solved, with its documents' leaders in it, so that a large group of copies becomes one group by few comparisons. Then,
     under roots of several blocks, every document outside the root's largest group meets every block.
     """
-    payload, id_type = ("held" if "held" in candidates.columns else "text"), candidates.schema["doc_id"].dataType.simpleString()
-    # a hash weighs like the six characters or so of its word
-    texts = candidates.withColumn("chars", (6 * F.size("held") if payload == "held" else F.length(F.coalesce("text", F.lit("")))).cast("long"))
-    similar, across_ = (functools.partial(f, percent=percent) for f in (_solve_similar, _solve_across))
+    texts = candidates.withColumn("chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
     sizes = texts.groupBy("root").agg(F.count("*").alias("n"), F.sum("chars").alias("all_chars")).select("root", "n", _blocks("n", "all_chars").alias("parts"))
     held = cut(split_join(texts, sizes, ["root"], "n").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")))
     large = held.where("parts > 1")
     leaders = large.join(star, large["doc_id"] == star["a"]).select("root", "part", "leader").distinct()
-    guests = leaders.join(large.select(F.col("doc_id").alias("leader"), payload), "leader").select("root", "part", F.col("leader").alias("doc_id"), payload)
-    cells = held.select("root", "part", "doc_id", payload).unionByName(guests)
-    links = cut(cells.groupBy("root", "part").applyInPandas(lambda pdf: similar(pdf), f"a {id_type}, b {id_type}"))
+    guests = leaders.join(large.select(F.col("doc_id").alias("leader"), "text"), "leader").select("root", "part", F.col("leader").alias("doc_id"), "text")
+    cells = held.select("root", "part", "doc_id", "text").unionByName(guests)
+    links = cut(cells.groupBy("root", "part").applyInPandas(lambda pdf: _solve_similar(pdf, percent), "a long, b long"))
     if large.isEmpty():
         return links
     label = connected_components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("label"))
-    tagged = large.select("root", "part", "parts", "doc_id", payload, "chars").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    tagged = large.select("root", "part", "parts", "doc_id", "text", "chars").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     groups = tagged.groupBy("root", "label").agg(F.count("*").alias("m"), F.sum("chars").alias("c"))
     rest = groups.groupBy("root").agg(
         F.sum("m").alias("n"), F.max(F.struct("m", "label", "c")).alias("top"), F.sum("c").alias("all_chars")
@@ -389,12 +380,12 @@ def similar_links(candidates: DataFrame, star: DataFrame, percent: int = STAGE_P
     rest = rest.select("root", "n", F.col("top.label").alias("top"), _blocks("rest", "rest_chars").alias("rest_parts"))
     still = cut(split_join(tagged, rest, ["root"], "n"))
     up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    same = ["root", "doc_id", payload, "label"]
+    same = ["root", "doc_id", "text", "label"]
     homes = still.select(*same, F.col("part").alias("i"), up_to("rest_parts").alias("j"), F.lit(True).alias("home"))
     visits = still.where("label <> top").select(
         *same, up_to("parts").alias("i"), F.pmod(F.xxhash64("doc_id", F.lit(SEED)), "rest_parts").cast("int").alias("j"), F.lit(False).alias("home")
     )
-    across = homes.unionByName(visits).groupBy("root", "i", "j").applyInPandas(lambda pdf: across_(pdf), f"a {id_type}, b {id_type}")
+    across = homes.unionByName(visits).groupBy("root", "i", "j").applyInPandas(lambda pdf: _solve_across(pdf, percent), "a long, b long")
     return links.unionByName(across)
 
 
