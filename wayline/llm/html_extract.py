@@ -9,8 +9,11 @@ wherever they stand.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -54,21 +57,31 @@ SELF_CLOSING = {
 }
 P_SCOPE = frozenset("article aside blockquote body button div footer header html main nav section table td th ul ol li".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>", re.S
-)
+#: Elements that may stand before the body; any other one, or text, begins it.
+HEAD = frozenset("base head html link meta noscript script style template title".split())
+#: Blocks at which a stray inline end tag stops looking.
+BARRIERS = ("article", "body", "div", "section", "table", "td")
+#: Nesting beyond which an element's path is its parent's.
+MAX_DEPTH = 512
+
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_COMMENT_END = re.compile(r"--!?>")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "out", "soft", "comment", "mains", "held", "size", "weight")
+    __slots__ = ("tag", "parent", "own", "depth", "path", "out", "soft", "comment", "mains", "held", "size", "weight")
 
     def __init__(self, tag: str, parent: Node | None, attributes: dict[str, str]):
         self.tag, self.parent = tag, parent
+        self.depth = parent.depth + 1 if parent else 0
+        #: The innermost block, itself included.
+        self.own: Node = self if tag in BLOCKS or parent is None else parent.own
         classes = sorted({c for c in (re.sub(r"[\d_-]+$|\d+", "", x).strip("-_") for x in attributes.get("class", "").lower().split()) if c})
-        if tag in BLOCKS:
+        if tag in BLOCKS and self.depth <= MAX_DEPTH:
             key = ".".join([tag, *classes])
             self.path = f"{parent.path}/{key}" if parent and parent.path else key
         else:
@@ -95,6 +108,54 @@ class Node:
             self.weight = 1.2 if words & MAIN_WORDS else 1.0
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str, str | None, str]]:
+    """(start, end, slash, name, rest) of every tag, comment and declaration; name is None for the last two.
+
+    A tag ends at the first ``>`` outside quotes, or at the first one of all where a quote is left open. Every character is
+    looked at a bounded number of times: a tag or declaration that nothing closes leaves the rest as text, and once open quotes
+    have cost two passes over the page, they are no longer followed.
+    """
+    at, length, spent = 0, len(page), 0
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            m = _COMMENT_END.search(page, at + 4)
+            end = m.end() if m else length
+            yield at, end, "", None, ""
+            at = end
+            continue
+        m = None if page[at + 1 : at + 2] in ("!", "?") else _NAME.match(page, at)
+        if m is None and page[at + 1 : at + 2] not in ("!", "?"):
+            at += 1
+            continue
+        first = page.find(">", at)
+        if first < 0:  # nothing closes from here on but the end of an open comment
+            at = page.find("<!--", at)
+            if at >= 0:
+                yield at, length, "", None, ""
+            return
+        if m is None:
+            yield at, first + 1, "", None, ""
+            at = first + 1
+            continue
+        stop, end = m.end(), first
+        while spent <= 2 * length:
+            q = _STOP.search(page, stop)
+            if q and q[0] == ">":
+                end = q.start()
+                break
+            stop = page.find(q[0], q.end()) + 1 if q else 0
+            if not stop:
+                spent += length - at
+                break
+        end = end if end >= m.end() else first
+        yield at, end + 1, m[1], m[2].lower(), page[m.end() : end]
+        at = end + 1
+
+
+def _attributes(rest: str) -> dict[str, str]:
+    return {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(rest)} if rest.strip(" /") else {}
+
+
 def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
     """Blocks (innermost block element, text) in page order outside all that is left out, and all containers.
 
@@ -103,101 +164,115 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
     of that text and is no comment. Themes and server frameworks name and wrap whole pages so.
     """
     root = Node("html", None, {})
-    stack, blocks, containers = [root], [], []
+    stack, blocks, containers, nodes = [root], [], [], [root]
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each name in the stack
     mains: list[Node] = []
     remarks: list[Node] = []
     pending: list[tuple[str, bool]] = []
-    owner = root
+    body = False
 
     def flush() -> None:
         if pending:
             text = _SPACE.sub(" ", "".join(t for t, _ in pending)).strip()
             if text:
                 linked = sum(len(t) for t, link in pending if link)
+                owner = stack[-1].own
                 blocks.append((owner, text, max(0, len(text) - linked)))
-                node = owner
-                while node is not None:
-                    node.held += len(text)
-                    node = node.parent
+                owner.held += len(text)
             pending.clear()
 
     def close(index: int) -> None:
-        nonlocal owner
         if any(n.tag in BLOCKS for n in stack[index:]):
             flush()
+        for n in stack[index:]:
+            places[n.tag].pop()
         del stack[index:]
-        owner = next(n for n in reversed(stack) if n.tag in BLOCKS)
+
+    def open_(tag: str, attributes: dict[str, str]) -> None:
+        node = Node(tag, stack[-1], attributes)
+        places[tag].append(len(stack))
+        stack.append(node)
+        nodes.append(node)
+        if tag in ("article", "main") and not node.out and not node.soft and not node.comment:
+            mains.append(node)
+        if tag in CONTAINERS and not node.out:
+            containers.append(node)
+        if node.comment and not node.out and not (node.parent and node.parent.comment):
+            remarks.append(node)
+
+    def begin_body(attributes: dict[str, str]) -> None:
+        nonlocal body
+        body = True
+        if places["head"]:
+            close(places["head"][0])
+        flush()
+        open_("body", attributes)
 
     def text(raw: str) -> None:
-        node = stack[-1]
-        if raw and not node.out:
-            pending.append((entities.unescape(raw), any(n.tag == "a" for n in stack)))
+        if not body and raw.strip() and stack[-1].tag in ("html", "head"):
+            begin_body({})
+        if raw and not stack[-1].out:
+            pending.append((entities.unescape(raw), bool(places["a"])))
 
     at, length = 0, len(page)
-    while at < length:
-        m = _TOKEN.search(page, at)
-        if not m:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        end, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+    skip = 0
+    for start, stop, end, tag, rest in tokens(page):
+        if start < skip:
+            continue
+        text(page[at:start])
+        at = stop
         if tag is None:
             continue
-        tag = tag.lower()
         if end:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if tag not in BLOCKS and stack[i].tag in ("article", "body", "div", "section", "table", "td"):
-                    break  # a stray inline end tag closes nothing beyond its block
-            else:
-                if tag in BLOCKS:
-                    flush()
+            found = places[tag][-1] if places[tag] else 0
+            # a stray inline end tag closes nothing beyond its block
+            if found and (tag in BLOCKS or found >= max((places[b][-1] for b in BARRIERS if places[b]), default=0)):
+                close(found)
+            elif not found and tag in BLOCKS:
+                flush()
             continue
         if tag == "html":
             continue
+        if tag == "body" and not body:
+            begin_body(_attributes(rest))
+            continue
+        if tag == "body" and places["body"]:
+            continue
+        if not body and tag not in HEAD and stack[-1].tag in ("html", "head"):
+            begin_body({})
         if tag in RAW:
-            stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at) if not rest.rstrip().endswith("/") or tag != "iframe" else None
-            at = stop.end() if stop else length
+            if tag != "iframe" or not rest.rstrip().endswith("/"):
+                ended = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+                closed = page.find(">", ended.end()) if ended else -1
+                at = skip = closed + 1 if closed >= 0 else length
+            else:
+                at = skip = length
+            if skip == length:
+                break
             continue
         if tag == "br":
             text(" ")
             continue
-        if tag in P_CLOSED_BY:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    close(i)
-                    break
-                if stack[i].tag in P_SCOPE:
-                    break
+        if tag in P_CLOSED_BY and places["p"]:
+            if places["p"][-1] >= max((places[b][-1] for b in P_SCOPE if places[b]), default=0):
+                close(places["p"][-1])
         if tag in SELF_CLOSING:
             closes, scope = SELF_CLOSING[tag]
-            found = None
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in scope:
-                    break
-                if stack[i].tag in closes:
-                    found = i
-            if found is not None:
-                close(found)
+            barrier = max((places[b][-1] for b in scope if places[b]), default=0)
+            inside = [i for c in closes for i in places[c][bisect.bisect_right(places[c], barrier) :][:1]]
+            if inside:
+                close(min(inside))
         if tag in BLOCKS:
             flush()
         if tag in VOID:
             continue
-        attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(rest)} if rest.strip(" /") else {}
-        node = Node(tag, stack[-1], attributes)
-        stack.append(node)
-        if tag in BLOCKS:
-            owner = node
-        if tag in ("article", "main") and not node.out and not node.soft and not node.comment:
-            mains.append(node)
-        if tag in CONTAINERS and not node.out:
-            containers.append(node)
-        if node.comment and not node.out and not (node.parent and node.parent.comment):
-            remarks.append(node)
+        open_(tag, _attributes(rest))
+    if at < length:
+        text(page[at:])
     flush()
+    for node in reversed(nodes):  # parents stand before their children
+        if node.parent is not None:
+            node.parent.held += node.held
     said = root.held - sum(n.held for n in remarks)
     best = max((n.held for n in mains if n.tag == "article"), default=0)
     main = any(n.held for n in mains)
@@ -225,10 +300,10 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
     for node, block, clean in blocks:
         if not left_out(node):
             kept.append((node, block))
-            at_ = node
-            while at_ is not None:
-                at_.size += clean
-                at_ = at_.parent
+            node.size += clean
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.size += node.size
     return kept, [c for c in containers if not left_out(c)] or [root]
 
 
@@ -246,12 +321,16 @@ def extract(page: str, path: str | None) -> str:
 
     def under(target: str) -> list[str]:
         chosen = {id(n) for n in containers if n.path == target}
+        held: dict[int, bool] = {}
         out = []
         for node, text in blocks:
-            at: Node | None = node
-            while at is not None and id(at) not in chosen:
+            chain, at = [], node
+            while at is not None and id(at) not in held and id(at) not in chosen:
+                chain.append(id(at))
                 at = at.parent
-            if at is not None:
+            state = at is not None and (id(at) in chosen or held[id(at)])
+            held.update(dict.fromkeys(chain, state))
+            if state:
                 out.append(text)
         return out
 

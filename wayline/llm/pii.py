@@ -10,7 +10,9 @@ in the corpus it occurs.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -72,7 +74,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             done = m.end()
         at = text.find("@", max(at + 1, done))
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(v) <= 3 and int(v or "0") <= 255 for v in (p.lstrip("0") for p in m[0].split("."))):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14:
@@ -86,6 +88,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+class Spans:
+    """Spans (start, kind, end) sorted by start, asked for those that overlap a stretch without a look at the others."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.spans, self.starts = spans, [s for s, _, _ in spans]
+        self.reach = list(itertools.accumulate((e for _, _, e in spans), max))  # the furthest end up to each span
+
+    def near(self, start: int, end: int) -> list[tuple[int, int, int]]:
+        held = self.spans[bisect.bisect_right(self.reach, start) : bisect.bisect_left(self.starts, end)]
+        return [x for x in held if x[2] > start]
+
+
 def bits(value: str) -> float:
     """Information in a string's characters, by their own frequencies."""
     n = len(value)
@@ -96,8 +110,9 @@ def secret_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     """(start, kind number, end) of secrets that overlap no base match, sorted."""
     found = [(m.start(), m.end()) for m in _RUN.finditer(text) if _secret(m[0])] + [m.span(2) for m in _ASSIGNED.finditer(text)]
     out: list[tuple[int, int, int]] = []
+    known = Spans(base)
     for s, e in sorted(found):
-        if not any(a < e and s < b for a, _, b in base) and not (out and s < out[-1][2]):
+        if not known.near(s, e) and not (out and s < out[-1][2]):
             out.append((s, KINDS.index("secret"), e))
     return out
 
@@ -116,15 +131,14 @@ def entity(kind: int, value: str) -> str:
 def context(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """(entity, term) of the words near every span, outside all spans; entities are the value and its kind."""
     out: dict[tuple[str, str], dict] = {}
-    inside = lambda s, e: any(a < e and s < b for a, _, b in near)
+    known = Spans(spans)
     for start, kind, end in spans:
         name = entity(kind, text[start:end])
         low, high = max(0, start - WINDOW_CHARS), min(len(text), end + WINDOW_CHARS)
-        near = [x for x in spans if x[0] < high and x[2] > low]
         left = [m for m in _TERM.finditer(text, low, start) if m.start() > low or low == 0]
         right = [m for m in _TERM.finditer(text, end, high) if m.end() < high or high == len(text)]
         for m in (*left[-WINDOW_WORDS:], *right[:WINDOW_WORDS]):
-            if not inside(m.start(), m.end()):
+            if not known.near(m.start(), m.end()):
                 for e in (name, KINDS[kind]):
                     out[e, m[0].lower()] = {"entity": e, "term": m[0].lower()}
     return list(out.values())
@@ -192,8 +206,8 @@ def _term_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, terms, base in zip(b["text"], b["terms"], b["base"], strict=True):
             kinds = {t["term"]: t["kind"] for t in terms}
             spans = [(m.start(), m.end()) for m in _TERM.finditer(text) if m[0].lower() in kinds]
-            taken = [(s["start"], s["end"]) for s in base]
-            added.append([{"start": s, "kind": kinds[text[s:e].lower()], "end": e} for s, e in spans if not any(x < e and s < y for x, y in taken)])
+            taken = Spans([(s["start"], s["kind"], s["end"]) for s in base])
+            added.append([{"start": s, "kind": kinds[text[s:e].lower()], "end": e} for s, e in spans if not taken.near(s, e)])
         yield pd.DataFrame({"doc_id": b["doc_id"], "text_key": b["text_key"], "added": added})
 
 
