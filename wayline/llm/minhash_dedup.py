@@ -35,6 +35,8 @@ from wayline.llm.simhash_dedup import shingles, similar_links
 PERCENT = 85
 #: Values that a sketch retains; values of a node that are listed, without and with hot ones among the retained.
 KEPT, LISTED, LISTED_HOT = 64, 8, 24
+#: Hot values that a node is listed under from a share of MOSTLY_HOT: with what such a pair shares of them, 16 miss 1 in 10^7.
+LISTED_MOSTLY, MOSTLY_HOT = 16, 0.8
 #: Share of hot values from which a node is listed under hot ones, and beyond which it is compared with all there.
 GUEST_SHARE, CORE_SHARE = 0.25, 0.5
 #: A value of more nodes than this, and than a 100,000th of all retained ones, is hot: of such there are 100,000 at most.
@@ -44,7 +46,7 @@ ESTIMATE = 50
 #: Width of a class of sizes, as a natural logarithm: a little more than that of 1 / 0.85.
 CLASS_WIDTH = 0.163
 #: Nodes of a side of a block.
-CELL_NODES = 512
+CELL_NODES = 2048
 #: Nodes with a possible partner whose keys are broadcast to the texts; joined by shuffle beyond.
 MAX_BROADCAST_NODES = 500_000
 #: Fills up sketches of small sets.
@@ -132,7 +134,7 @@ def listed_values(nodes: DataFrame, hot: np.ndarray) -> DataFrame:
                 is_hot = np.isin(s, hot) if len(hot) else np.zeros(len(s), bool)
                 share = is_hot.mean() if len(s) else 0
                 plain = s[~is_hot][: LISTED_HOT if share else LISTED]
-                common = s[is_hot][: LISTED if share == 1 else LISTED_HOT] if share >= GUEST_SHARE else s[:0]
+                common = s[is_hot][: LISTED if share == 1 else LISTED_MOSTLY if share >= MOSTLY_HOT else LISTED_HOT] if share >= GUEST_SHARE else s[:0]
                 own = np.concatenate([plain, common]).view(np.uint64)
                 kind = math.floor(math.log(sizes[i]) / CLASS_WIDTH)
                 keys += [own ^ c for c in np.arange(kind + 1, kind + 3, dtype=np.uint64) * factor]
