@@ -77,3 +77,17 @@ def test_tags_end_at_the_first_bracket_outside_quotes():
     assert names("<a href='x>y' b=\"<\">t</A>") == [("a", " href='x>y' b=\"<\""), ("/a", "")]
     assert names("<a b='open>t<i>") == [("a", " b='open"), ("i", "")]
     assert names("1 < 2 <3 <!-- <b> --><u/><? x ><p") == [("u", "/")]
+
+
+def test_every_capture_of_a_page_is_judged(spark):
+    import datetime
+
+    from wayline.llm import url_filter
+
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    entries = spark.createDataFrame([("l", "a.org", 1, day(10), "block"), ("l", "b.org", 2, day(0), "allow")], "list string, key string, entry_id long, at timestamp, action string")
+    seen = [(1, "http://a.org/x", day(5)), (1, "http://a.org/x", day(15)), (1, "http://a.org/x", day(15)), (2, "http://a.org/y", day(20)), (2, "http://b.org/y", day(20)), (3, None, day(20)), (4, "http://a.org", None)]
+    captures = spark.createDataFrame(seen, "page_id long, url string, fetched_at timestamp")
+    for most in (10**6, 0):
+        found = sorted((r.page_id, r.verdict) for r in url_filter.judge(captures, entries, max_broadcast=most).collect())
+        assert found == [(1, "block"), (1, "none"), (2, "allow"), (2, "block"), (3, "none"), (4, "none")]

@@ -39,10 +39,10 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def judge(captures: DataFrame, entries: DataFrame, bucket_days: int = BUCKET_DAYS, max_broadcast: int = MAX_BROADCAST_INTERVALS) -> DataFrame:
-    """Per capture (page_id, url, fetched_at): page_id, verdict (allow, block or none), key, list and entry_id.
+    """Per capture (page_id, url, fetched_at): page_id, url, verdict (allow, block or none), key, list and entry_id.
 
-    Captures with a null or malformed URL or a null time get ``none``; repeated page_ids are judged as one
-    capture, the strictest verdict winning; an empty list leaves every capture at ``none``.
+    A page fetched at several times, or under several URLs, is judged once for each; rows that repeat a capture are one.
+    Captures with a null or malformed URL or a null time get ``none``; an empty list leaves every capture at ``none``.
     """
     day = lambda c: F.floor(F.unix_timestamp(c) / (86400 * bucket_days)).cast("long")
     spans = intervals(entries)
@@ -54,9 +54,9 @@ def judge(captures: DataFrame, entries: DataFrame, bucket_days: int = BUCKET_DAY
     )
     whole = F.array(F.struct(F.col("url").alias("key"), F.lit(1_000_000).alias("depth")))
     asked = captures.select(
-        "page_id", F.col("fetched_at").alias("t"), day(F.col("fetched_at")).alias("bucket"),
+        "page_id", "url", F.col("fetched_at").alias("t"), day(F.col("fetched_at")).alias("bucket"),
         F.explode_outer(F.when(F.col("url").isNotNull(), F.concat(suffixes, whole))).alias("k"),
-    ).select("page_id", "t", "bucket", "k.key", "k.depth")
+    ).select("page_id", "url", "t", "bucket", "k.key", "k.depth")
     reach = captures.agg(F.min(day(F.col("fetched_at"))).alias("low"), F.max(day(F.col("fetched_at"))).alias("high"))
     low, high = reach.first()
     low, high = (0, -1) if low is None else (low, high)
@@ -70,13 +70,13 @@ def judge(captures: DataFrame, entries: DataFrame, bucket_days: int = BUCKET_DAY
         keys.append("part")
     on = [asked[k] == dealt[k] for k in keys] + [asked["t"] >= dealt["at"], dealt["valid_to"].isNull() | (asked["t"] < dealt["valid_to"])]
     met = asked.join(dealt, on, "left").select(
-        asked["page_id"], asked["depth"], dealt["action"], asked["key"], dealt["list"], dealt["entry_id"]
+        asked["page_id"], asked["url"], asked["t"], asked["depth"], dealt["action"], asked["key"], dealt["list"], dealt["entry_id"]
     )
     # of one key, an allow beats a block, then the newest entry decides
     weight = F.when(F.col("action").isNotNull(), F.struct("depth", (F.col("action") == "allow").cast("int").alias("allow"), "entry_id", "list"))
     best = F.max_by(F.struct("action", "key", "list", "entry_id"), weight)
-    return met.groupBy("page_id").agg(best.alias("best")).select(
-        "page_id", F.coalesce("best.action", F.lit("none")).alias("verdict"), "best.key", "best.list", "best.entry_id"
+    return met.groupBy("page_id", "url", "t").agg(best.alias("best")).select(
+        "page_id", "url", F.coalesce("best.action", F.lit("none")).alias("verdict"), "best.key", "best.list", "best.entry_id"
     )
 
 
@@ -118,12 +118,13 @@ entries as (select 'list' || (n % 3) as list, key,
     ['block', 'allow', 'remove'][('0x' || substr(md5('do/' || key || '/' || n), 1, 8))::bigint % 3 + 1] as action from rows),
 spans as (select *, lead(since) over (partition by list, key order by since, entry_id) as valid_to from entries),
 open as (select * from spans where action <> 'remove' and (valid_to is null or valid_to > since)),
-asked as (select page_id, t, array_to_string(string_split(host, '.')[i:], '.') as key, len(string_split(host, '.')) - i + 1 as depth
+asked as (select page_id, url, t, array_to_string(string_split(host, '.')[i:], '.') as key, len(string_split(host, '.')) - i + 1 as depth
     from (select *, unnest(range(1, len(string_split(host, '.')) + 1)) as i from h where host <> '')
-  union all select page_id, t, url, 1000000 from h where url is not null),
-met as (select page_id, action, a.key, list, entry_id,
-    row_number() over (partition by page_id order by depth desc, (action = 'allow')::int desc, entry_id desc, list desc) as rn
+  union all select page_id, url, t, url, 1000000 from h where url is not null),
+met as (select page_id, url, t, action, a.key, list, entry_id,
+    row_number() over (partition by page_id, url, t order by depth desc, (action = 'allow')::int desc, entry_id desc, list desc) as rn
   from asked a join open o on a.key = o.key and a.t >= o.since and (o.valid_to is null or a.t < o.valid_to))
-select h.page_id, coalesce(action, 'none') as verdict, key, list, entry_id
-from (select distinct page_id from h) h left join (select * from met where rn = 1) m on h.page_id = m.page_id
+select h.page_id, h.url, coalesce(action, 'none') as verdict, key, list, entry_id
+from (select distinct page_id, url, t from h) h left join (select * from met where rn = 1) m
+  on h.page_id is not distinct from m.page_id and h.url is not distinct from m.url and h.t = m.t
 """
