@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql.window import Window
 
 from wayline.functions.geo import to_enu
 from wayline.functions.samples import huber, length
+from wayline.operators.sampling import cut
 
 
 def enu_pair(rows: DataFrame, keys: Sequence[str] = ("shard", "agent", "i")) -> DataFrame:
@@ -28,55 +30,57 @@ def displacement() -> Column:
     return length(F.col("e1") - F.col("e0"), F.col("n1") - F.col("n0"))
 
 
-def quantiles(rows: DataFrame, values: dict[str, Column], by: Sequence[str], probs: Sequence[float], lower: bool = False, accuracy: int = 10_000) -> DataFrame:
-    """Exact quantiles without a task that holds all values: ``by`` and, for each name of ``values``, an array.
+def with_quantiles(
+    rows: DataFrame, values: dict[str, Column], by: Sequence[str], probs: Sequence[float], lower: bool = False, accuracy: int = 10_000, stats: Sequence[Column] = (),
+) -> DataFrame:
+    """Exact quantiles without a task that holds all values: ``by``, ``stats`` and, for each name of ``values``, an array.
 
-    A first pass takes a sketch, whose error is bounded by 1 / accuracy of the rows, and from it an interval about
-    each wanted rank; a second one counts the values below each interval and those inside, equal ones together.
-    Only the inside, a few 10,000ths of the rows, is ranked in a window. Quantiles interpolate; with ``lower`` they
-    are the value at rank ceil(p n). Nulls are left out; keys without values have null quantiles.
+    ``rows`` are computed once: keys and values are cut and read twice. The first reading aggregates ``stats``, which are
+    aggregates over the names of ``values``, and a sketch, whose error is bounded by 1 / accuracy of the rows and which gives
+    an interval about each wanted rank; the second counts the values below each interval and those inside, equal ones
+    together. Only the inside, a few 10,000ths of the rows, is ranked in a window. Quantiles interpolate; with ``lower`` they
+    are the value at rank ceil(p n). Nulls are left out, NaN is the largest value, null keys are keys; keys without values
+    have null for the array. Without ``by`` there is one row, of empty tables too.
     """
-    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
-    names = [f"_k{i}" for i in range(len(by))]
-    flat = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("what"), c.cast("double").alias("v")) for n, c in values.items()])).alias("x")).select(*names, "x.what", "x.v")
-    group = [*names, "what"]
-    edges = [e for p in probs for e in (max(0.0, p - 2 / accuracy), min(1.0, p + 2 / accuracy))]
-    n = F.count("v")
-    sketch = flat.groupBy(*group).agg(n.alias("n"), F.percentile_approx("v", edges, accuracy).alias("edges"))
-    rank = [F.when(F.lit(lower), F.greatest(F.ceil(F.lit(p) * F.col("n")) - 1, F.lit(0)).cast("double")).otherwise(F.lit(p) * (F.col("n") - 1)) for p in probs]
-    # few values: the interval is everything, which also holds the ranks next to the wanted one
-    all_ = F.col("n") <= accuracy
-    wanted = [
-        F.struct(
-            F.lit(i).alias("i"), rank[i].alias("rank"), F.when(all_, float("-inf")).otherwise(F.col("edges")[2 * i]).alias("low"),
-            F.when(all_, float("inf")).otherwise(F.col("edges")[2 * i + 1]).alias("high"),
-        )
-        for i in range(len(probs))
-    ]
-    sketch = sketch.where("n > 0").select(*group, F.array(*wanted).alias("wanted"))
-    met = flat.where("v is not null").join(F.broadcast(sketch) if not by else sketch, group).select(*group, "v", F.explode("wanted").alias("w")).where(F.col("v") <= F.col("w.high"))
-    inside = F.when(F.col("v") >= F.col("w.low"), F.col("v"))
-    counted = met.groupBy(*group, F.col("w.i").alias("i"), F.col("w.rank").alias("rank"), inside.alias("v")).agg(F.count("*").alias("m"))
-    own = Window.partitionBy(*group, "i").orderBy(F.asc_nulls_first("v"))
+    held = cut(rows.select(*by, *[c.cast("double").alias(n) for n, c in values.items()]))
+    around = [e for p in probs for e in (max(0.0, p - 2 / accuracy), min(1.0, p + 2 / accuracy))]
+    sketched = [f for n in values for f in (F.count(n).alias(f"_n_{n}"), F.percentile_approx(n, around, accuracy).alias(f"_e_{n}"))]
+    sketch = cut(held.groupBy(*by).agg(*sketched, *stats))
+    kept = [c for c in sketch.columns if c not in by and not c.startswith(("_n_", "_e_"))]
+    if by:
+        right = sketch.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], *[c for c in sketch.columns if c.startswith(("_n_", "_e_"))])
+        on = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)])
+        met, known = held.join(right, on), F.col
+    else:  # a sketch of one row: its edges are literals
+        row = sketch.first().asDict()
+        types = {f.name: f.dataType for f in sketch.schema}
+        met, known = held, lambda c: F.lit(row[c]).cast(types[c])
+    slots = [(v, p) for v in values for p in range(len(probs))]
+
+    def slot(at: int, v: str, p: int) -> Column:
+        n, edges = known(f"_n_{v}"), known(f"_e_{v}")
+        rank = F.greatest(F.ceil(F.lit(probs[p]) * n) - 1, F.lit(0)).cast("double") if lower else F.lit(probs[p]) * (n - 1)
+        # few values: the interval is everything, which also holds the ranks next to the wanted one
+        low = F.when(n <= accuracy, float("-inf")).otherwise(F.get(edges, F.lit(2 * p)))
+        high = F.when(n <= accuracy, float("nan")).otherwise(F.get(edges, F.lit(2 * p + 1)))
+        return F.struct(F.lit(at).alias("slot"), rank.alias("rank"), F.when(F.col(v) <= high, F.col(v) >= low).alias("inside"), F.col(v).alias("v"))
+
+    met = met.select(*by, F.explode(F.array(*[slot(at, v, p) for at, (v, p) in enumerate(slots)])).alias("x")).where("x.inside is not null")
+    counted = met.groupBy(*by, "x.slot", "x.rank", F.when(F.col("x.inside"), F.col("x.v")).alias("v")).agg(F.count("*").alias("m"))
+    own = Window.partitionBy(*by, "slot").orderBy(F.asc_nulls_first("v"))
     placed = counted.withColumn("stop", F.sum("m").over(own)).where("v is not null").withColumn("start", F.col("stop") - F.col("m"))
     at = lambda r: F.max(F.when((F.col("start") <= r) & (r < F.col("stop")), F.col("v")))
-    found = placed.groupBy(*group, "i").agg(at(F.floor("rank")).alias("a"), at(F.ceil("rank")).alias("b"), F.max("rank").alias("rank"))
-    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))
-    arrays = found.select(*group, F.struct("i", value.alias("q")).alias("q")).groupBy(*group).agg(F.transform(F.sort_array(F.collect_list("q")), lambda q: q["q"]).alias("q"))
-    out = arrays.groupBy(*names).pivot("what", list(values)).agg(F.first("q")) if names else arrays.groupBy().pivot("what", list(values)).agg(F.first("q"))
-    return out.withColumnsRenamed(dict(zip(names, by, strict=True)))
+    found = placed.groupBy(*by, "slot").agg(at(F.floor("rank")).alias("a"), at(F.ceil("rank")).alias("b"), F.max("rank").alias("rank"))
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank")))
+    both = sketch.select(*by, *kept, *[f"_n_{v}" for v in values]).unionByName(found.select(*by, "slot", value.alias("q")), allowMissingColumns=True)
+    array = lambda v: F.array(*[F.max(F.when(F.col("slot") == at, F.col("q"))) for at, (w, _) in enumerate(slots) if w == v])
+    return both.groupBy(*by).agg(*[F.first(c, ignorenulls=True).alias(c) for c in kept], *[F.when(F.max(f"_n_{v}") > 0, array(v)).alias(v) for v in values])
 
 
-def _with_quantiles(stats: DataFrame, found: DataFrame, by: Sequence[str]) -> DataFrame:
-    """``stats`` beside the quantiles of its keys; null keys meet too."""
-    if not by:  # two tables of one row each
-        both = stats.unionByName(found, allowMissingColumns=True)
-        return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns])
-    right = found.withColumnsRenamed({c: f"_q{i}" for i, c in enumerate(by)})
-    on = F.lit(True)
-    for i, c in enumerate(by):
-        on = on & stats[c].eqNullSafe(right[f"_q{i}"])
-    return stats.join(right, on, "left").drop(*[f"_q{i}" for i in range(len(by))])
+def quantiles(rows: DataFrame, values: dict[str, Column], by: Sequence[str], probs: Sequence[float], lower: bool = False, accuracy: int = 10_000) -> DataFrame:
+    """``with_quantiles`` alone, of the keys that have a value."""
+    found = with_quantiles(rows, values, by, probs, lower, accuracy)
+    return found.where(F.coalesce(*values).isNotNull()) if by else found
 
 
 def fence(rows: DataFrame, value: str, by: Sequence[str] = (), exact: bool = True, accuracy: int = 100_000) -> DataFrame:
@@ -86,8 +90,7 @@ def fence(rows: DataFrame, value: str, by: Sequence[str] = (), exact: bool = Tru
     """
     v = F.when(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")), F.col(value))
     if exact:
-        all_ = rows.groupBy(*by).agg(F.count("*").alias("_n"))
-        out = _with_quantiles(all_, quantiles(rows, {"q": v}, by, (0.25, 0.75)), by)
+        out = with_quantiles(rows, {"q": v}, by, (0.25, 0.75))
     else:
         out = rows.groupBy(*by).agg(F.percentile_approx(v, [0.25, 0.75], accuracy).alias("q"))
     q1, q3 = F.coalesce(F.col("q")[0], F.lit(0.0)), F.coalesce(F.col("q")[1], F.lit(1.0))
@@ -97,10 +100,8 @@ def fence(rows: DataFrame, value: str, by: Sequence[str] = (), exact: bool = Tru
 
 def summary(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Sum, mean, averaging median, population deviation and count."""
-    stats = rows.groupBy(*by).agg(
-        F.sum(value).alias("total_err"), F.avg(value).alias("avg_err"), F.stddev_pop(value).alias("std_err"), F.count(value).alias("count"),
-    )
-    both = _with_quantiles(stats, quantiles(rows, {"_med": F.col(value)}, by, (0.5,)), by)
+    stats = [F.sum("_med").alias("total_err"), F.avg("_med").alias("avg_err"), F.stddev_pop("_med").alias("std_err"), F.count("_med").alias("count")]
+    both = with_quantiles(rows, {"_med": F.col(value)}, by, (0.5,), stats=stats)
     return both.select(*by, "total_err", "avg_err", F.get("_med", F.lit(0)).alias("med_err"), "std_err", "count")
 
 
@@ -110,8 +111,8 @@ def per_sample(errors: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def set_statistics(samples: DataFrame, by: Sequence[str], lower_median: bool = False) -> DataFrame:
     """Mean, median and population deviation of per-sample errors; the lower median of an even count on request."""
-    stats = samples.groupBy(*by).agg(F.avg("err").alias("mean"), F.stddev_pop("err").alias("std"))
-    both = _with_quantiles(stats, quantiles(samples, {"_med": F.col("err")}, by, (0.5,), lower_median), by)
+    stats = [F.avg("_med").alias("mean"), F.stddev_pop("_med").alias("std")]
+    both = with_quantiles(samples, {"_med": F.col("err")}, by, (0.5,), lower_median, stats=stats)
     return both.select(*by, "mean", F.get("_med", F.lit(0)).alias("median"), "std")
 
 
@@ -156,10 +157,8 @@ def detect_overlaps(groups: DataFrame, by: Sequence[str]) -> DataFrame:
 def full_and_middle(errors: DataFrame, by: Sequence[str], k: int, q1: int, q2: int) -> DataFrame:
     """Mean and median over all points and over those off the overlaps, pooled."""
     middle = F.when((F.col("j") >= q1) & (F.col("j") < k - q2), F.col("err"))
-    stats = errors.groupBy(*by).agg(
-        F.avg("err").alias("mean_full"), F.stddev_pop("err").alias("std_full"), F.avg(middle).alias("mean_mid"), F.stddev_pop(middle).alias("std_mid"),
-    )
-    both = _with_quantiles(stats, quantiles(errors, {"_full": F.col("err"), "_mid": middle}, by, (0.5,)), by)
+    stats = [f(v).alias(n + v) for v in ("_full", "_mid") for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    both = with_quantiles(errors, {"_full": F.col("err"), "_mid": middle}, by, (0.5,), stats=stats)
     median = lambda c: F.get(c, F.lit(0)).alias(f"median{c}")
     return both.select(*by, "mean_full", median("_full"), "std_full", "mean_mid", median("_mid"), "std_mid")
 

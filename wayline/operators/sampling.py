@@ -94,11 +94,11 @@ def first_distinct(packs: DataFrame, shard: str, key: str, order: list[str], n:
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """``rows`` written to the checkpoint folder and read from there."""
-    sc = rows.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(scratch(rows.sparkSession, "checkpoints"))
-    return rows.checkpoint(eager=True)
+    """``rows`` as a table written to the checkpoint folder: computed once, where a checkpoint computes its last stage twice, and
+    read by column."""
+    path = scratch(rows.sparkSession, "cut")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def small_set(packs: DataFrame, shard: str, key: str, order: list[str], n: int) -> DataFrame:
