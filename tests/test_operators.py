@@ -275,6 +275,25 @@ def test_breadth_first_equals_a_plain_loop(spark):
         assert np.allclose(got[["e", "n"]].to_numpy(), breadth_first([tuple(p) for p in x.tolist()], k, q1, q2, 0.3, 4)), (n, k, q1, q2)
 
 
+def test_breadth_first_blocks_equal_a_plain_loop(spark):
+    rng = np.random.default_rng(1)
+    long = {agent: rng.normal(size=(n, 2)) for agent, n in enumerate((1, 5, 6, 7, 12, 13, 40, 57))}
+    rows = spark.createDataFrame([(0, agent, i, float(a), float(b)) for agent, x in long.items() for i, (a, b) in enumerate(x)], "shard long, agent long, p long, e double, n double")
+    for k, q1, q2, block in ((8, 2, 2, 1), (8, 2, 2, 2), (8, 2, 2, 5), (8, 0, 3, 2), (9, 3, 0, 3), (8, 1, 5, 2), (9, 2, 5, 4)):
+        got = denoise.denoise_breadth_first(rows, ["shard", "agent"], k, q1, q2, denoise.linear_predictor(0.3), 0.25, block).orderBy("agent", "p").toPandas()
+        for agent, x in long.items():
+            own = got[got["agent"] == agent]
+            assert own["p"].tolist() == list(range(len(x)))
+            assert np.allclose(own[["e", "n"]].to_numpy(), breadth_first([tuple(p) for p in x.tolist()], k, q1, q2, 0.3, 4)), (agent, k, q1, q2, block)
+    assert denoise.denoise_breadth_first(rows.where("false"), ["shard", "agent"], 8, 2, 2, denoise.linear_predictor(0.3), 0.25).count() == 0
+
+
+def test_statistics_of_null_keys_and_unordered_values(spark):
+    rows = spark.createDataFrame([(None, 1.0), (None, 3.0), (1, None), (2, float("nan")), (2, 1.0)], "k long, v double")
+    found = {r["k"]: (r["count"], r["med_err"]) for r in metrics.summary(rows, "v", ["k"]).collect()}
+    assert found[None] == (2, 2.0) and found[1] == (0, None) and found[2][0] == 2 and np.isnan(found[2][1])
+
+
 def test_chunk_denoising_equals_the_closed_form(spark):
     rows = spark.createDataFrame([(c, j, float(c + j), float(-j)) for c in range(5) for j in range(8)], "c long, j long, e double, n double")
     got = denoise.denoise_chunks(rows, ["c"], 8, denoise.linear_predictor(0.1), 0.2).orderBy("c", "j").toPandas()

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.functions.samples import finite, huber, length
-from wayline.operators.sampling import cut
+from wayline.operators.sampling import cut, stored_shards
+from wayline.sources.trajectories import scratch
 
 Predictor = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -55,39 +56,82 @@ def denoise_chunks(rows: DataFrame, keys: Sequence[str], k: int, predictor: Pred
     return done.select(*keys, F.posexplode(F.arrays_zip("e", "n")).alias("j", "p")).select(*keys, F.col("j").cast("long").alias("j"), "p.e", "p.n")
 
 
-def denoise_breadth_first(rows: DataFrame, keys: Sequence[str], k: int, q1: int, q2: int, predictor: Predictor, dt: float) -> DataFrame:
+def denoise_breadth_first(rows: DataFrame, keys: Sequence[str], k: int, q1: int, q2: int, predictor: Predictor, dt: float, block: int = 4096) -> DataFrame:
     """All chunks of a trajectory move one level at a time; a chunk's head is the tail that its forerunner has just reached.
 
-    Rows (keys, p, e, n) of points in, (keys, p, e, n) out, as many; the predictor sees metres from a chunk's first point. A trajectory is one task's work; the last
-    chunk is kept to its real end.
+    Rows (keys, p, e, n) of points in, places p from 0 on without gaps, (keys, p, e, n) out, as many; the predictor sees metres from a chunk's first
+    point. The last chunk is kept to its real end.
+
+    A task holds ``block`` chunks, not a trajectory. Blocks lean: with each level a block begins and ends some chunks earlier, so that it
+    needs nothing of the block behind it, and takes every point through all levels at once. What it hands on is, for each level, the
+    last tail and the points that the next level of the next block begins with. The n-th blocks of all trajectories are one job, which reads
+    and writes only their own points; there are as many jobs as blocks in the longest trajectory.
     """
-    m, s = steps_of(dt), k - q1 - q2
+    if k <= q1 + q2 or block < 1:
+        raise ValueError("overlaps leave no room for new points" if block >= 1 else "a block holds a chunk or more")
+    m, s, spark = steps_of(dt), k - q1 - q2, rows.sparkSession
+    lean = max(1, -(-q2 // s))  # chunks that a level's last chunk looks ahead
     types = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", p long, e double, n double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("p")
-        x = pdf[["e", "n"]].to_numpy(float)
-        n = len(x)
-        chunks = 1 + int(np.ceil(max(0, n - (k - q1)) / s))
-        at = np.clip(np.arange(chunks)[:, None] * s - q1 + np.arange(k), 0, n - 1)
-        for step in range(m):
-            t = np.full((1, 1), 1 - step / m)
-            new = x.copy()
-            tail: np.ndarray | None = None
-            for i in range(chunks):
-                chunk = x[at[i]][None]
-                if tail is not None:
-                    chunk[0, : q1 + q2] = tail
-                chunk = chunk - predictor(chunk - chunk[:, :1], t) / m
-                tail = chunk[0, k - q1 - q2 :].copy()
-                stop = k - q2 if i < chunks - 1 else n - i * s + q1
-                own = np.arange(q1, stop)
-                new[i * s - q1 + own] = chunk[0, own]
-            x = new
-        return pd.DataFrame({**{c: pdf[c].to_numpy() for c in keys}, "p": pdf["p"].to_numpy(), "e": x[:, 0], "n": x[:, 1]})
-
-    return rows.select(*keys, "p", "e", "n").groupBy(*keys).applyInPandas(run, schema)
+    # lvl: 0 given points; 1 to m points at that level, m the result; -1 to -m tails; m + 1 one row with a trajectory's length
+    schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", lvl int, p long, e double, n double"
+    of = lambda at: F.greatest(F.lit(0), F.floor((at - q2) / (block * s))).cast("int")
+    path = scratch(spark, "blocks")
+    given = rows.select(*keys, F.lit(0).alias("lvl"), F.col("p").cast("long").alias("p"), F.col("e").cast("double").alias("e"), F.col("n").cast("double").alias("n"))
+    given.withColumn("_block", of(F.col("p"))).write.partitionBy("_block").parquet(path)
+    stored_points = spark.read.schema(f"{schema}, _block int").parquet(path)
+    nothing = F.lit(None).cast("double")
+    ends = stored_points.groupBy(*keys).agg((F.max("p") + 1).alias("p")).select(*keys, F.lit(m + 1).alias("lvl"), "p", nothing.alias("e"), nothing.alias("n"), of(F.col("p") - 1).alias("_block"))
+    stored = stored_points.unionByName(ends)
+
+    def moved(number: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            held = {lvl: part.sort_values("p") for lvl, part in pdf.groupby("lvl")}
+            length_ = int(held[m + 1]["p"].iloc[0]) if m + 1 in held else None
+            chunks = None if length_ is None else 1 + -(-max(0, length_ - (k - q1)) // s)
+            xy = lambda lvl: held[lvl][["e", "n"]].to_numpy(float) if lvl in held else np.zeros((0, 2))
+            out: list[tuple[int, int, np.ndarray]] = []  # level, first place, points
+            before, base = xy(0), int(held[0]["p"].iloc[0])
+            for level in range(1, m + 1):
+                first = max(0, number * block - lean * (level - 1))
+                stop = max(0, (number + 1) * block - lean * (level - 1)) if chunks is None else chunks
+                t = np.full((1, 1), 1 - (level - 1) / m)
+                tail = xy(-level) if first else None
+                new = [xy(level)]
+                base_next = int(held[level]["p"].iloc[0]) if level in held else first * s
+                for i in range(first, stop):
+                    at = np.clip(i * s - q1 + np.arange(k), 0, None if length_ is None else length_ - 1) - base
+                    chunk = before[at][None] if tail is None else np.concatenate([tail, before[at[q1 + q2 :]]])[None]
+                    chunk = chunk - predictor(chunk - chunk[:, :1], t) / m
+                    tail = chunk[0, s:].copy()
+                    new.append(chunk[0, q1 : k - q2 if chunks is None or i < chunks - 1 else length_ - i * s + q1])
+                points = np.concatenate(new)
+                if chunks is None and tail is not None:
+                    out.append((-level, 0, tail))
+                if level == m:
+                    out.append((m, base_next, points))
+                elif chunks is None:
+                    begin = max(0, (number + 1) * block - lean * level)
+                    at = begin * s + q2 if begin else 0
+                    out.append((level, at, points[at - base_next :]))
+                before, base = points, base_next
+            sizes = [len(x) for _, _, x in out]
+            values = np.concatenate([x for _, _, x in out])
+            return pd.DataFrame({
+                **{c: [pdf[c].iloc[0]] * len(values) for c in keys}, "lvl": np.repeat([lvl for lvl, _, _ in out], sizes),
+                "p": np.concatenate([at + np.arange(n) for (_, at, _), n in zip(out, sizes, strict=True)]), "e": values[:, 0], "n": values[:, 1],
+            })
+
+        return run
+
+    done, handed = None, None
+    for number in stored_shards(stored_points, "_block"):
+        own = stored.where(F.col("_block") == number).drop("_block")
+        own = own if handed is None else own.unionByName(handed)
+        own = cut(own.groupBy(*keys).applyInPandas(moved(number), schema))
+        handed = own.where(F.col("lvl") != m)
+        reached = own.where(F.col("lvl") == m).select(*keys, "p", "e", "n")
+        done = reached if done is None else done.unionByName(reached)
+    return done if done is not None else given.drop("lvl").where("false")
 
 
 class LoadOnce:

@@ -826,14 +826,19 @@ def i4_depth_first(spark: SparkSession, sf: str) -> DataFrame:
     return denoised(spark, sf).select(*USER, "p", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
-@query
-def i5_breadth_first(spark: SparkSession, sf: str) -> DataFrame:
-    rows = placed(spark, sf)
+def denoised_by_levels(rows: DataFrame) -> DataFrame:
+    """Breadth-first denoising of placed points, in metres from a trajectory's noisy first point."""
     own = Window.partitionBy(*USER).orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("lon_o", F.first("longitude_n").over(own)).withColumn("lat_o", F.first("latitude_n").over(own))
     e, n = geo.to_enu(F.col("longitude_n"), F.col("latitude_n"), F.col("lon_o"), F.col("lat_o"))
     metres = rows.select(*USER, "p", e.alias("e"), n.alias("n"))
-    return rounded(denoise.denoise_breadth_first(metres, USER, K, Q1, Q2, denoise.linear_predictor(0.1), 0.2), 2)
+    return denoise.denoise_breadth_first(metres, USER, K, Q1, Q2, denoise.linear_predictor(0.1), 0.2)
+
+
+@query
+def i5_breadth_first(spark: SparkSession, sf: str) -> DataFrame:
+    done = denoised_by_levels(placed(spark, sf))
+    return done.select(*USER, "p", r("e", 4), r("n", 4))
 
 
 @query
@@ -881,7 +886,8 @@ def i10_audit(spark: SparkSession, sf: str) -> DataFrame:
 def i5_error_codes(spark: SparkSession, sf: str) -> DataFrame:
     """Every trajectory of the input with its denoised points and a code, -1 where the filter left none."""
     spoiled = points(spark, sf).withColumn("longitude_n", F.when(F.col("agent") % 50 != 0, F.col("longitude_n")))
-    left = clean.valid_fixes(spoiled).groupBy(*USER).agg(F.count("*").alias("n_points"))
+    done = denoised_by_levels(chunk.positions(clean.valid_fixes(spoiled)))
+    left = done.where(fn.finite(F.col("e")) & fn.finite(F.col("n"))).groupBy(*USER).agg(F.count("*").alias("n_points"))
     return denoise.with_error_code(spoiled.select(*USER).distinct(), left, USER, "n_points")
 
 

@@ -276,6 +276,17 @@ d as (select unnest(range(0, 5000)) as draw) select draw, z.shard, sample from d
     "i4_depth_first": f"""with {BASE}, {INFER}, io as (select *, first_value(longitude_n) over w as lon_o, first_value(latitude_n) over w as lat_o from infer window w as (partition by shard, agent, i order by j)),
 ie as (select *, {_E1[0]} * power(1 - 0.2::double * 0.1, 5) as e1, {_E1[1]} * power(1 - 0.2::double * 0.1, 5) as n1 from io)
 select shard, agent, p, round({_BACK[0]}, 6) as lon, round({_BACK[1]}, 6) as lat from ie where i = least(p // {SI}, m - 1) and j = p + {Q1} - i * {SI}""",
+    "i5_breadth_first": f"""with recursive {BASE}, io as (select *, first_value(longitude_n) over w as lon_o, first_value(latitude_n) over w as lat_o from pts window w as (partition by shard, agent order by p)),
+iv as (select shard, agent, p, n, unnest([{{'axis': 'e', 'v': {_E1[0]}}}, {{'axis': 'n', 'v': {_E1[1]}}}], recursive := true) from io),
+it as (select shard, agent, axis, max(n) as n, cast(1 + ceil(greatest(0, max(n) - {K - Q1}) / {SI}) as bigint) as m, list(v order by p) as x from iv group by all),
+walk as (select shard, agent, axis, n, m, x, 0::bigint as step, []::double[] as tail, []::double[] as done from it
+  union all select shard, agent, axis, n, m, case when step % m = m - 1 then done || own else x end, step + 1, case when step % m = m - 1 then [] else c[{SI + 1}:] end, case when step % m = m - 1 then [] else done || own end
+  from (select *, list_slice(c, {Q1 + 1}, case when step % m < m - 1 then {K - Q2} else n - (step % m) * {SI} + {Q1} end) as own
+    from (select * exclude (raw), list_transform(raw, lambda v: v - 0.1::double / 5 * (v - raw[1])) as c
+      from (select *, list_transform(range({K}), lambda j: case when step % m > 0 and j < {Q1 + Q2} then tail[j + 1] else x[least(greatest((step % m) * {SI} - {Q1} + j, 0), n - 1) + 1] end) as raw from walk where step < 5 * m))))
+select a.shard, a.agent, a.p, round(a.v, 4) + 0.0 as e, round(b.v, 4) + 0.0 as n
+from (select shard, agent, unnest(range(0, n)) as p, unnest(x) as v from walk where step = 5 * m and axis = 'e') a
+join (select shard, agent, unnest(range(0, n)) as p, unnest(x) as v from walk where step = 5 * m and axis = 'n') b using (shard, agent, p)""",
     "i5_error_codes": f"""with {TRAJ}, v as (select shard, agent, count(*) filter (agent % 50 <> 0 and {finite(*FOUR)}) as n_points from traj group by all)
 select shard, agent, n_points, case when n_points > 0 then 0 else -1 end as error_code from v""",
     "i6_euler": f"with {POINTS}, {NOISY} select shard, agent, i, s, round(avg(ex * power(1 - t / 30 * 0.1::double, 30)), 4) + 0.0 as e, round(avg(nx * power(1 - t / 30 * 0.1::double, 30)), 4) + 0.0 as n from noisy group by all",
