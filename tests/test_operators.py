@@ -294,6 +294,31 @@ def test_statistics_of_null_keys_and_unordered_values(spark):
     assert found[None] == (2, 2.0) and found[1] == (0, None) and found[2][0] == 2 and np.isnan(found[2][1])
 
 
+def test_three_coordinates_come_back_from_a_thousand_kilometres(spark):
+    rows = [(lon0 + d, lat0 + f, h, lon0, lat0, h0) for lon0, lat0 in ((0.0, 0.0), (-118.2, 34.0), (179.9, -60.0), (10.0, 89.0)) for d, f, h, h0 in ((0.0, 0.0, 0.0, 0.0), (8.9, 0.3, 8848.0, 12.5), (0.01, -8.9, -400.0, 46.0), (-3.0, -7.0, 46.0, 0.0))]
+    got = spark.createDataFrame(rows, "lon double, lat double, h double, lon0 double, lat0 double, h0 double")
+    e, n, u = geo.to_local(*[F.col(c) for c in ("lon", "lat", "h", "lon0", "lat0", "h0")])
+    got = got.withColumns({"e": e, "n": n, "u": u})
+    lon, lat, h = geo.from_local(*[F.col(c) for c in ("e", "n", "u", "lon0", "lat0", "h0")])
+    got = got.select("*", lon.alias("lon_b"), lat.alias("lat_b"), h.alias("h_b"), F.hypot("e", "n").alias("far")).collect()
+    assert max(r.far for r in got) > 900_000
+    for r in got:
+        turn = (r.lon_b - r.lon + 180) % 360 - 180
+        assert abs(turn) * 111_320 * np.cos(np.radians(r.lat)) < 1e-6 and abs(r.lat_b - r.lat) * 111_320 < 1e-6 and abs(r.h_b - r.h) < 1e-6, r
+
+
+def test_shuffled_places_are_a_permutation(spark):
+    sizes = [1, 2, 3, 5, 64, 1000, 4999, 5000]
+    rows = spark.createDataFrame([(n, i) for n in sizes for i in range(n)], "n long, i long")
+    got = rows.select("n", "i", *[fn.shuffled_place(F.col("i"), F.col("n"), F.lit(k)).alias(f"at{k}") for k in (0, 1)]).toPandas()
+    for n, own in got.groupby("n"):
+        for k in (0, 1):
+            assert sorted(own[f"at{k}"]) == list(range(n))
+        if n >= 1000:
+            assert (own["at0"] == own["i"]).sum() < 10 and (own["at0"] == own["at1"]).sum() < 10
+            assert abs(np.corrcoef(own["i"], own["at0"])[0, 1]) < 0.1
+
+
 def test_chunk_denoising_equals_the_closed_form(spark):
     rows = spark.createDataFrame([(c, j, float(c + j), float(-j)) for c in range(5) for j in range(8)], "c long, j long, e double, n double")
     got = denoise.denoise_chunks(rows, ["c"], 8, denoise.linear_predictor(0.1), 0.2).orderBy("c", "j").toPandas()

@@ -15,6 +15,20 @@ def uniform(*key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("/", *[k.cast("string") for k in key])), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+def shuffled_place(i: Column, n: Column, *key: Column, rounds: int = 40) -> Column:
+    """The place of row ``i`` of ``n`` in the permutation of [0, n) that ``key`` names: no sort, no state, one to one for every ``n``.
+
+    Swap or not: a round draws a number c for all rows, pairs i with (c - i) mod n and lets both change places or neither, by a
+    draw that the larger of the two names. About 6 log2(n) rounds mix well.
+    """
+
+    def turn(at: Column, number: Column) -> Column:
+        other = (F.floor(uniform(*key, number) * n).cast("long") + n - at) % n
+        return F.when(uniform(*key, number, F.greatest(at, other)) < 0.5, other).otherwise(at)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), i.cast("long"), turn)
+
+
 def length(de: Column, dn: Column, eps: float = 0.0) -> Column:
     return F.sqrt(de * de + dn * dn + eps) if eps else F.sqrt(de * de + dn * dn)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayline.functions.samples import finite, uniform
+from wayline.functions.samples import finite, shuffled_place, uniform
 from wayline.sources.trajectories import scratch
 
 
@@ -132,6 +132,18 @@ def epoch_batches(samples: DataFrame, epoch: int, shards: int, step: int, most:
     return out.where((F.col("batch") + 1) * batch <= F.col("_n")).drop("_n", "_r", "_place")
 
 
+def keyed_batches(samples: DataFrame, epoch: int, shards: int, step: int, most: int, batch: int, passes: int = 1) -> DataFrame:
+    """As ``epoch_batches``, with the permutation that (epoch, pass) names instead of a sort for each pass: rows are numbered
+    once, and each computes its place in every pass by itself."""
+    own = samples.where(F.col("shard") == epoch % shards)
+    n = F.count("*")
+    sizes = own.groupBy("shard").agg(F.least(F.lit(most), n - n % step).cast("long").alias("_n"))
+    kept = numbered(own, ["shard"], [F.col("sample")], "_r").join(F.broadcast(sizes), "shard")  # one shard
+    kept = kept.where(F.col("_r") < F.col("_n")).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
+    out = kept.withColumn("batch", F.floor(shuffled_place(F.col("_r"), F.col("_n"), F.lit(epoch), F.col("pass")) / batch).cast("long"))
+    return out.where((F.col("batch") + 1) * batch <= F.col("_n")).drop("_n", "_r")
+
+
 def draws(samples: DataFrame, shards: int, m: int, seed: str) -> DataFrame:
     """``m`` draws with replacement, shards by turns: (draw, shard, sample)."""
     spark = samples.sparkSession

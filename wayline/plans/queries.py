@@ -680,6 +680,11 @@ def f8_epoch_batches(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.epoch_batches(event_samples(spark, sf), 6, 4, 100, 37_000, 64, passes=2).select("sample", "pass", "batch")
 
 
+@query
+def f8_keyed_batches(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.keyed_batches(event_samples(spark, sf), 6, 4, 100, 37_000, 64, passes=2).select("sample", "pass", "batch")
+
+
 @query
 def f9_draws(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.draws(event_samples(spark, sf), 4, 5000, "draws")
@@ -747,6 +752,27 @@ def h2_to_geodetic(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(*CHUNK, "j", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
+def with_up(spark: SparkSession, sf: str) -> DataFrame:
+    """Noisy chunk points at heights of 0 to 499 m as east, north and up from their chunk's first point on the ground."""
+    rows = filled(spark, sf).withColumn("height", (F.col("event_id") % 500).cast("double"))
+    own = Window.partitionBy(*CHUNK).orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("lon_o", F.first("longitude_n").over(own)).withColumn("lat_o", F.first("latitude_n").over(own))
+    e, n, u = geo.to_local(F.col("longitude_n"), F.col("latitude_n"), F.col("height"), F.col("lon_o"), F.col("lat_o"))
+    return rows.withColumns({"e": e, "north": n, "up": u})
+
+
+@query
+def h1_with_up(spark: SparkSession, sf: str) -> DataFrame:
+    return with_up(spark, sf).select(*CHUNK, "j", r("e", 2), r("north", 2), r("up", 2))
+
+
+@query
+def h2_true_height(spark: SparkSession, sf: str) -> DataFrame:
+    """There and back: the points that went in, with their heights."""
+    lon, lat, height = geo.from_local(F.col("e"), F.col("north"), F.col("up"), F.col("lon_o"), F.col("lat_o"))
+    return with_up(spark, sf).select(*CHUNK, "j", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"), (F.round(height, 4) + 0.0).alias("height"))
+
+
 @query
 def h3_velocity(spark: SparkSession, sf: str) -> DataFrame:
     rows = enu(spark, sf).withColumn("ve", F.col("e1") - F.col("e0")).withColumn("vn", F.col("n1") - F.col("n0"))

@@ -17,7 +17,7 @@ def uniform(key: str) -> str:
     return f"(('0x' || substr(md5({key}), 1, 8))::bigint / 4294967296.0::double)"
 
 
-def ecef(lon: str, lat: str, h: float) -> tuple[str, str, str]:
+def ecef(lon: str, lat: str, h: str | float) -> tuple[str, str, str]:
     n = f"(6378137.0::double / sqrt(1 - E2() * sin(radians({lat})) * sin(radians({lat}))))".replace("E2()", "0.0066943799901413165::double")
     return (
         f"(({n} + {h}) * cos(radians({lat})) * cos(radians({lon})))", f"(({n} + {h}) * cos(radians({lat})) * sin(radians({lon})))",
@@ -25,10 +25,17 @@ def ecef(lon: str, lat: str, h: float) -> tuple[str, str, str]:
     )
 
 
-def enu(lon: str, lat: str, lon0: str, lat0: str) -> tuple[str, str]:
-    x, y, z = (f"({a} - {b})" for a, b in zip(ecef(lon, lat, 46.0), ecef(lon0, lat0, 0.0), strict=True))
+def local(lon: str, lat: str, height: str | float, lon0: str, lat0: str) -> tuple[str, str, str]:
+    x, y, z = (f"({a} - {b})" for a, b in zip(ecef(lon, lat, height), ecef(lon0, lat0, 0.0), strict=True))
     la, ph = f"radians({lon0})", f"radians({lat0})"
-    return f"(-sin({la}) * {x} + cos({la}) * {y})", f"(-sin({ph}) * cos({la}) * {x} - sin({ph}) * sin({la}) * {y} + cos({ph}) * {z})"
+    return (
+        f"(-sin({la}) * {x} + cos({la}) * {y})", f"(-sin({ph}) * cos({la}) * {x} - sin({ph}) * sin({la}) * {y} + cos({ph}) * {z})",
+        f"(cos({ph}) * cos({la}) * {x} + cos({ph}) * sin({la}) * {y} + sin({ph}) * {z})",
+    )
+
+
+def enu(lon: str, lat: str, lon0: str, lat0: str) -> tuple[str, str]:
+    return local(lon, lat, 46.0, lon0, lat0)[:2]
 
 
 def geodetic(e: str, n: str, lon0: str, lat0: str) -> tuple[str, str]:
@@ -98,6 +105,7 @@ def _summary(v: str) -> str:
 
 
 _R = lambda c, d=2: f"round({c}, {d}) + 0.0 as {c}"
+_UP = local("longitude_n", "latitude_n", "(event_id % 500)", "lon_o", "lat_o")
 _BACK = geodetic("e1", "n1", "lon_o", "lat_o")
 _SAMPLES = f"""samples as (select shard, agent, i, s, max(t) as t, bool_and({finite('ex', 'nx', 've', 'vn')}) as ok,
   string_agg(cast(event_id as varchar), ',' order by j) as key from noisy group by shard, agent, i, s)"""
@@ -250,6 +258,11 @@ select model, round(max_by(delta, r), 6) as delta from f group by model""",
     "f8_epoch_batches": f"""with s as (select event_id as sample, event_id % 4 as shard from events), k as (select *, row_number() over (partition by shard order by sample) as r, least(37000, count(*) over (partition by shard) - count(*) over (partition by shard) % 100) as n from s where shard = 2),
 b as (select sample, pass, n, (row_number() over (partition by pass order by md5('6/' || pass || '/' || sample), sample) - 1) // 64 as batch from (select *, unnest(range(0, 2)) as pass from k where r <= n))
 select sample, cast(pass as integer) as pass, batch from b where (batch + 1) * 64 <= n""",
+    "f8_keyed_batches": f"""with recursive s as (select event_id as sample, event_id % 4 as shard from events), k as (select sample, row_number() over (order by sample) - 1 as r, least(37000, count(*) over () - count(*) over () % 100) as n from s where shard = 2),
+turns as (select sample, pass, n, r as at_, 0 as t from (select *, unnest(range(0, 2)) as pass from k where r < n)
+  union all select sample, pass, n, case when {uniform("'6/' || pass || '/' || (t + 1) || '/' || greatest(at_, other)")} < 0.5 then other else at_ end, t + 1
+  from (select *, (cast(floor({uniform("'6/' || pass || '/' || (t + 1)")} * n) as bigint) + n - at_) % n as other from turns where t < 40))
+select sample, cast(pass as integer) as pass, at_ // 64 as batch from turns where t = 40 and (at_ // 64 + 1) * 64 <= n""",
     "f9_draws": f"""with s as (select event_id as sample, event_id % 4 as shard from events), z as (select *, row_number() over (partition by shard order by sample) - 1 as at_, count(*) over (partition by shard) as n from s),
 d as (select unnest(range(0, 5000)) as draw) select draw, z.shard, sample from d join z on z.shard = draw % 4 and z.at_ = cast(floor({uniform("'draws/' || draw")} * z.n) as bigint)""",
     "f10_capped_error": f"with {ERR}, s as (select sample, avg(err) as err from err group by sample order by sample limit 300) select round(avg(err), 6) as mean, count(*) as n from s",
@@ -260,6 +273,8 @@ d as (select unnest(range(0, 5000)) as draw) select draw, z.shard, sample from d
     "g5_replaced_record": f"with {CHUNKS}, fresh as (select shard, agent, max(row_end) as end_row from chunks group by all) select shard, agent, case when shard = 3 then end_row + 1000 else end_row end as end_row from fresh",
     "g6_disjoint_sets": f"with {POINTS}, {NOISY}, {_SAMPLES}, {_SET}, big as (select * from firsts where {_NOT_SMALL} order by pack, shard, agent, i, s limit 1000) select count(*) as n_common from small join big using (shard, agent, i, s)",
     "h1_to_enu": f"with {POINTS} select shard, agent, i, j, {_R('e1')}, {_R('n1')}, {_R('e0')}, {_R('n0')} from enu",
+    "h1_with_up": f"with {POINTS} select shard, agent, i, j, round({_UP[0]}, 2) + 0.0 as e, round({_UP[1]}, 2) + 0.0 as north, round({_UP[2]}, 2) + 0.0 as up from origin",
+    "h2_true_height": f"with {POINTS} select shard, agent, i, j, round(longitude_n, 6) as lon, round(latitude_n, 6) as lat, (event_id % 500)::double as height from origin",
     "h2_to_geodetic": f"with {POINTS} select shard, agent, i, j, round({_BACK[0]}, 6) as lon, round({_BACK[1]}, 6) as lat from enu",
     "h3_velocity": f"with {POINTS} select shard, agent, i, j, round(e1 - e0, 2) + 0.0 as ve, round(n1 - n0, 2) + 0.0 as vn from enu",
     "h4_noise_levels": f"with {POINTS}, {NOISY} select shard, agent, i, s, j, t, round(ex, 2) + 0.0 as ex, round(nx, 2) + 0.0 as nx from noisy",
