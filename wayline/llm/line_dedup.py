@@ -164,7 +164,8 @@ def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, e
     Earlier means a smaller (doc_id, line_no); a line goes if any line of another place that is equal or
     within ``tau`` edits stands earlier, kept itself or not. Lines under ``min_chars`` characters only go
     where they have ``equal_chars`` or more (none have where it is None) and an equal one stands earlier.
-    Rows with a null doc_id never take part.
+    Rows with a null doc_id never take part. Null and empty texts have no lines, an empty table gives no rows, and
+    lines of any length are compared whole. doc_id holds whole numbers, of any type; other ids raise ``CAST_INVALID_INPUT``.
     """
     if min_chars < shortest(tau):
         raise ValueError(f"lines of under {shortest(tau)} characters are too short for {tau} edits")
@@ -257,6 +258,7 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, equ
 
     A document that had text and loses all of its lines goes. Null and empty texts stay as they are, as do
     documents without a repeated line; repeated rows are equal lines of one doc_id and are treated alike.
+    doc_id holds whole numbers, of any type; other ids raise ``CAST_INVALID_INPUT``.
     """
     name = free_name(docs, "gone")
     cut_lines = F.col(name)

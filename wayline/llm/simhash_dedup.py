@@ -416,7 +416,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of similar documents: the one with the smallest doc_id; rows with a null doc_id stay.
 
-    Repeated rows of one doc_id are one document and collapse to a single row.
+    Repeated rows of one doc_id are one document and collapse to a single row. doc_id holds whole numbers, of any type; other ids raise ``CAST_INVALID_INPUT``.
     """
     gone = similar_documents(docs).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")

@@ -354,7 +354,8 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
 
 def dedup_passages(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text`` and their original spans in ``removed_spans`` (an existing
-    column of that name is replaced). Null texts stay null; the other cases are those of ``removed_spans``."""
+    column of that name is replaced). Null texts stay null; the other cases are those of ``removed_spans``.
+    doc_id holds whole numbers, of any type; other ids raise ``CAST_INVALID_INPUT``."""
     docs = docs.drop("removed_spans")
     names = tuple(free_name(docs, n) for n in ("r_id", "r_key", "r_lines", "r_runs"))
     rows = _joined(docs, names)
