@@ -464,7 +464,7 @@ def test_perplexity_and_verdict_equal_plain_python(spark):
     texts += [("x", "".join(rng.choice("qzw#$%") for _ in range(200))), ("x", " ".join("".join(rng.sample("миродя", 5)) for _ in range(60)))]
     rows = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
     whole = {r.doc_id: r for r in quality_rules.quality_rules(rows).collect()}
-    parts = {r.doc_id: r for r in quality_rules.quality_rules(rows.unionByName(rows), part_rows=700).dropDuplicates(["doc_id"]).collect()}
+    parts = {r.doc_id: r for r in quality_rules.quality_rules(rows.unionByName(rows), model_rows=700, block_chars=900).dropDuplicates(["doc_id"]).collect()}
     for lang in ("x", None):
         own = [(i, t) for i, (x, t) in enumerate(texts) if x == lang]
         for found, times in ((whole, 1), (parts, 2)):

@@ -1,11 +1,11 @@
 """Quality rules with an n-gram perplexity from a Spark-counted modified Kneser-Ney model.
 
-The model is over characters as they are (lower case, white space as one blank), four at a time, with a model
-and a band for every language; its tables grow with what the corpus holds. Four 12-bit character hashes make a
-gram's 48-bit hash: characters up to U+07FF keep codes of their own, those beyond share 2,048. Counts,
-continuation counts, discounts and back-offs are grouped and joined in Spark. The logarithm of a probability is
-split into one addend for each gram and each context that occurs, so that a table is a sorted array of hashes
-beside values, is read by binary search, and can be read part by part where it is too large to send as a whole.
+The model is over characters as they are (lower case, white space as one blank), five at a time, with a model
+and a band for every language; it grows with what the corpus holds. Five 12-bit character hashes make a
+gram's 60-bit hash: characters up to U+07FF keep codes of their own, those beyond share 2,048. Counts,
+continuation counts, discounts and back-offs are grouped and joined in Spark, which gives the log probability of
+every gram of the corpus. Tasks read it by binary search from an array of sorted hashes beside one of values: of
+the whole model while that has a bounded size, else of the grams that a block of texts holds.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from wayline.llm.common import cut, fits_broadcast, read
 from wayline.llm.vectext import Block, blocks, mix, per_doc, repeated
 
-ORDER, BITS = 4, 12
+ORDER, BITS = 5, 12
 #: Width of the accepted band in interquartile ranges on either side of the quartiles of log perplexity.
 BAND = 2.0
 #: The mean over n characters strays as 1 / sqrt(n): a band is wider by sqrt(1 + SHORT / n) for a short text.
@@ -28,12 +28,13 @@ SHORT = 1500
 #: Rules of the base verdict.
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
-#: Entries of the model that pass the driver and are sent to the tasks at once (20 bytes each); a larger model goes in
-#: parts, one after the other.
-PART_ROWS = 2_000_000
+#: Grams of the model that pass the driver and are sent to every task (20 bytes each); a larger model meets the texts in blocks.
+MODEL_ROWS = 2_000_000
+#: Characters of a block of texts, give or take chance and a text's own length; it is held in a task with the part of the model it needs.
+TEXT_BLOCK = 16_000_000
 #: Languages whose discounts and bands are broadcast; joined by shuffle beyond.
 MAX_BROADCAST_LANGUAGES = 100_000
-#: Distinct grams of a language that a task holds before it hands them on.
+#: Distinct grams, of all languages, that a task holds before it hands them on.
 HELD_GRAMS = 2_000_000
 
 _A, _OWN = 1 << BITS, 0x800
@@ -79,41 +80,40 @@ def count_grams(docs: DataFrame) -> DataFrame:
             distinct, which = np.unique(codes, return_inverse=True)
             return distinct, np.bincount(which, weights=n).astype(np.int64)
 
-        def frame(lang: str) -> pd.DataFrame:
-            code, n = merged(lang)
-            return pd.DataFrame({"lang": lang, "code": code, "n": n})
+        def frames() -> Iterator[pd.DataFrame]:
+            for lang in held:
+                code, n = merged(lang)
+                yield pd.DataFrame({"lang": lang, "code": code, "n": n})
 
+        size = lambda: sum(len(code) for x in held.values() for code, _ in x)
         for b in batches:
             for lang, part in b.groupby("lang"):
                 for _, texts in blocks(part["text"].tolist()):
                     held.setdefault(lang, []).append(np.unique(gram_codes(Block(texts)), return_counts=True))
-                if sum(len(x[0]) for x in held.get(lang, [])) > HELD_GRAMS:
-                    held[lang] = [merged(lang)]
-                    if len(held[lang][0][0]) > HELD_GRAMS // 2:
-                        yield frame(lang)
-                        del held[lang]
-        for lang in held:
-            yield frame(lang)
+                if size() > HELD_GRAMS:
+                    held.update({x: [merged(x)] for x in held})
+                    if size() > HELD_GRAMS // 2:
+                        yield from frames()
+                        held.clear()
+        yield from frames()
 
     rows = docs.mapInPandas(count, "lang string, code long, n long")
     return rows.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def estimate(counts: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """Addends (lang, k, context, code, value) of log probabilities, and (lang, unseen) of a character never seen.
+def estimate(counts: DataFrame) -> tuple[DataFrame, bool]:
+    """(lang, code, value): the log probability of each counted gram's last character after the others.
 
-    The log probability of a character after others is ``unseen`` plus, for each length k, the value of the gram
-    of k characters that ends there and that of the context before its last one, where they are listed: a gram's
-    value is what its own count adds to back-off, a context's the weight of backing off. ``counts`` is that of
-    ``count_grams``; modified Kneser-Ney with three discounts for each language and length. The last result tells
-    whether tables of one row per language may be broadcast. Tables of grams are merged, never sent through the driver.
+    ``counts`` is that of ``count_grams``; interpolated modified Kneser-Ney with three discounts for each language and
+    length. The last result tells whether tables of one row per language may be broadcast. Tables of grams are merged,
+    never sent through the driver.
     """
     tables = {ORDER: cut(counts)}
     for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct grams one longer that end so
         shorter = F.col("code").bitwiseAND(F.lit(_mask(k)))
         tables[k] = cut(tables[k + 1].groupBy("lang", shorter.alias("code")).agg(F.count("*").alias("n")))
     few = fits_broadcast(tables[1].select("lang").distinct(), MAX_BROADCAST_LANGUAGES)
-    parts, lower, unseen = [], None, None
+    lower = None
     for k in range(1, ORDER + 1):
         t = [F.count_if(F.col("n") == i).cast("double") for i in range(1, 5)]
         of = tables[k].groupBy("lang").agg(*[x.alias(f"t{i}") for i, x in enumerate(t, 1)])
@@ -130,47 +130,29 @@ def estimate(counts: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
         weights = weights.select("lang", "ctx", "total", F.greatest(F.col("off") / F.col("total"), F.lit(1e-12)).alias("lam"))
         rows = rows.withColumn("ctx", before).join(F.broadcast(weights) if k == 1 and few else weights.hint("merge"), ["lang", "ctx"])
         if k == 1:
-            unseen = weights.select("lang", F.log(F.col("lam") / _A).alias("unseen"))
             rows = rows.withColumn("below", F.lit(1.0 / _A))
         else:
             rows = rows.withColumn("low", F.col("code").bitwiseAND(F.lit(_mask(k - 1)))).join(lower.hint("merge"), ["lang", "low"])
-            parts.append(weights.select("lang", F.lit(k).alias("k"), F.lit(True).alias("context"), F.col("ctx").alias("code"), F.log("lam").alias("value")))
         p = F.greatest(F.col("n") - F.col("taken"), F.lit(0.0)) / F.col("total") + F.col("lam") * F.col("below")
-        rows = cut(rows.select("lang", "code", p.alias("p"), (F.col("lam") * F.col("below")).alias("backed")))
-        parts.append(rows.select("lang", F.lit(k).alias("k"), F.lit(False).alias("context"), "code", F.log(F.col("p") / F.col("backed")).alias("value")))
-        lower = rows.select("lang", F.col("code").alias("low"), F.col("p").alias("below"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out, unseen, few
+        lower = cut(rows.select("lang", F.col("code").alias("low"), p.alias("below")))
+    return lower.select("lang", F.col("low").alias("code"), F.log("below").alias("value")), few
 
 
 class Tables:
-    """Sorted hashes and values of a model or a part of it, by language, length and kind."""
+    """Sorted hashes and values of a model or a part of it, by language."""
 
     def __init__(self, rows: pd.DataFrame):
-        """``rows``: lang (a long), slot (2 k, plus one for contexts), code, value."""
-        self.held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for (lang, slot), part in rows.groupby(["lang", "slot"]):
+        """``rows``: number (of the language), code, value."""
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for number, part in rows.groupby("number"):
             code = part["code"].to_numpy(np.int64)
             order = np.argsort(code)
-            self.held[int(lang), int(slot)] = code[order], part["value"].to_numpy(np.float32)[order]
-
-    def _value(self, lang: int, k: int, context: bool, code: np.ndarray) -> np.ndarray:
-        table = self.held.get((lang, 2 * k + context))
-        if table is None:
-            return np.zeros(len(code))
-        h, value = table
-        at = np.minimum(np.searchsorted(h, code), len(h) - 1)
-        return np.where(h[at] == code, value[at], 0.0)
-
-    def addends(self, lang: int, code: np.ndarray, k: int = ORDER) -> np.ndarray:
-        """Sum of the values that apply to each of the sorted codes of length ``k``, in all lengths up to it."""
-        out = self._value(lang, k, False, code)
-        if k == 1:
-            return out
-        shorter, which = np.unique(code & _mask(k - 1), return_inverse=True)
-        return out + self._value(lang, k, True, code >> BITS) + self.addends(lang, shorter, k - 1)[which]
+            self.held[int(number)] = code[order], part["value"].to_numpy(np.float32)[order]
+
+    def values(self, number: int, code: np.ndarray) -> np.ndarray:
+        """Log probabilities of codes, all of which the model holds."""
+        h, value = self.held.get(number, (np.zeros(0, np.int64), np.zeros(0, np.float32)))
+        return value[np.searchsorted(h, code)]
 
 
 def rule_counts(texts: list[str]) -> dict[str, np.ndarray]:
@@ -209,61 +191,77 @@ def rule_counts(texts: list[str]) -> dict[str, np.ndarray]:
     }
 
 
-def quality_rules(docs: DataFrame, band: float = BAND, part_rows: int = PART_ROWS) -> DataFrame:
+def _scored(part: pd.DataFrame, tables: Tables) -> Iterator[pd.DataFrame]:
+    """Rule counts and summed log probabilities of rows (doc_id, lang, number, text)."""
+    for (lang, number), same in part.groupby(["lang", "number"]):
+        for first, texts in blocks(same["text"].tolist()):
+            block = Block(texts)
+            out = pd.DataFrame(rule_counts(texts)).astype(np.int64)
+            out["doc_id"], out["lang"] = same["doc_id"].to_numpy()[first : first + len(texts)], lang
+            code, which = np.unique(gram_codes(block), return_inverse=True)
+            out["total"], out["n_chars"] = per_doc(tables.values(int(number), code)[which], block.doc, block.n), block.size
+            yield out
+
+
+_SCORED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, doc_id string, lang string, total double, n_chars long"
+
+
+def _with_sent_model(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """Scores of ``rows`` with the whole model in every task."""
+    sent = rows.sparkSession.sparkContext.broadcast(Tables(model.toArrow().to_pandas()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield from _scored(b, sent.value)
+
+    return rows.mapInPandas(run, _SCORED)
+
+
+def _with_met_model(rows: DataFrame, model: DataFrame, block_chars: int) -> DataFrame:
+    """Scores of ``rows`` where no task can hold the model: blocks of texts meet the values of their own grams.
+
+    The texts are written once and dealt over blocks, each block's distinct grams are joined with the model, and what
+    is found meets the block's texts. That reads the texts twice and shuffles them once, whatever the model's size;
+    a task holds a block and its grams. A gram that all texts hold has one row for each block.
+    """
+    held = cut(rows.withColumn("place", F.monotonically_increasing_id()))
+    n_blocks = max(1, -(-(held.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
+    held = held.withColumn("block", F.pmod(F.xxhash64("place"), F.lit(n_blocks))).drop("place")
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for (block, number), part in b.groupby(["block", "number"]):
+                for _, texts in blocks(part["text"].tolist()):
+                    yield pd.DataFrame({"block": block, "number": number, "code": np.unique(gram_codes(Block(texts)))})
+
+    asked = held.select("block", "number", "text").mapInPandas(grams, "block long, number long, code long").distinct()
+    known = asked.join(model.hint("merge"), ["number", "code"])
+
+    def run(texts: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat(_scored(texts, Tables(values)), ignore_index=True)
+
+    # without texts a block has nothing to score; without characters it has no values
+    return held.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(run, _SCORED)
+
+
+def quality_rules(docs: DataFrame, band: float = BAND, model_rows: int = MODEL_ROWS, block_chars: int = TEXT_BLOCK) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, lang): the rule counts, perplexity, base_failed and kept.
 
     Null and empty texts have no words, a null perplexity and fail the base rules; a null lang is a
     language of its own, and every language has its own model and band; repeated rows are judged alike and
     count in the model each time; ties at a band's edge are kept; texts of any length are read whole; extra
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result. A model of over ``model_rows`` grams is not
+    sent whole but meets the texts in blocks of ``block_chars`` characters, with the same result.
     """
-    spark = docs.sparkSession
     # ids pass through pandas as text: a column with nulls would turn to floating point there
     text = F.coalesce("text", F.lit(""))
     lang = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(text).alias("text_key"), lang.alias("lang"), text.alias("text"))
-    addends, unseen, few = estimate(count_grams(rows.select("lang", "text")))
-    slot = (F.col("k") * 2 + F.col("context").cast("int")).cast("byte")
-    addends = cut(addends.select(F.xxhash64("lang").alias("lang"), slot.alias("slot"), "code", F.col("value").cast("float").alias("value")))
-    n_parts = max(1, -(-addends.count() // part_rows))
-
-    def part(i: int):
-        held = addends if n_parts == 1 else addends.where(F.pmod(F.xxhash64("lang", "slot", "code"), F.lit(n_parts)) == i)
-        return spark.sparkContext.broadcast(Tables(held.toArrow().to_pandas()))
-
-    def total(tables: Tables, lang: int, block: Block) -> np.ndarray:
-        code, which = np.unique(gram_codes(block), return_inverse=True)
-        return per_doc(tables.addends(lang, code)[which], block.doc, block.n)
-
-    def score(model, rules: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for (lang, number), same in b.groupby(["lang", "number"]):
-                    for first, texts in blocks(same["text"].tolist()):
-                        block = Block(texts)
-                        out = pd.DataFrame(rule_counts(texts)).astype(np.int64) if rules else pd.DataFrame(index=range(len(texts)))
-                        own = slice(first, first + len(texts))
-                        out["doc_id"], out["text_key"], out["lang"] = same["doc_id"].to_numpy()[own], same["text_key"].to_numpy()[own], lang
-                        out["total"], out["n_chars"] = total(model.value, int(number), block), block.size
-                        yield out
-
-        return run
-
-    key = "doc_id string, text_key long, lang string, total double, n_chars long"
-    counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-    rows = rows.withColumn("number", F.xxhash64("lang"))
-    scored = cut(rows.mapInPandas(score(part(0), True), f"{counts}, {key}"))
-    if n_parts > 1:
-        more = [cut(rows.mapInPandas(score(part(i), False), key)) for i in range(1, n_parts)]
-        sums = scored.select("doc_id", "text_key", "lang", "total")
-        for other in more:
-            sums = sums.unionByName(other.drop("n_chars"))
-        # rows that repeat are in every part as often as in the table
-        sums = sums.groupBy("doc_id", "text_key", "lang").agg((F.sum("total") * n_parts / F.count("*")).alias("sum")).withColumnsRenamed({"doc_id": "_id", "text_key": "_key", "lang": "_lang"})
-        on = scored["doc_id"].eqNullSafe(sums["_id"]) & (scored["text_key"] == sums["_key"]) & (scored["lang"] == sums["_lang"])
-        scored = cut(scored.join(sums, on).withColumn("total", F.col("sum")).drop("sum", "_id", "_key", "_lang"))
-    scored = scored.join(F.broadcast(unseen) if few else unseen, "lang", "left")
-    surprise = F.when(F.col("n_chars") > 0, -F.col("total") / F.col("n_chars") - F.col("unseen"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), lang.alias("lang"), F.xxhash64(lang).alias("number"), text.alias("text"))
+    model, few = estimate(count_grams(rows.select("lang", "text")))
+    model = cut(model.select(F.xxhash64("lang").alias("number"), "code", F.col("value").cast("float").alias("value")))
+    fits = fits_broadcast(model, model_rows)
+    scored = cut(_with_sent_model(rows, model) if fits else _with_met_model(rows, model, block_chars))
+    surprise = F.when(F.col("n_chars") > 0, -F.col("total") / F.col("n_chars"))
     scored = scored.withColumn("surprise", surprise)
     quartiles = scored.groupBy("lang").agg(F.percentile_approx("surprise", [0.25, 0.75], 10000).alias("q")).select(
         "lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")
