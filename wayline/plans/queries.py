@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from wayline.functions import geo
 from wayline.functions import samples as fn
-from wayline.operators import chunk, clean, denoise, metrics, sampling, select
+from wayline.operators import chunk, clean, denoise, fences, metrics, sampling, select
 from wayline.plans.settings import DELTA, DRAWS, FIT_DELTA, FIT_ROUNDS, K, MODELS, Q, Q1, Q2, SPLIT
 from wayline.sources import trajectories as src
 from wayline.sources import versions
@@ -400,6 +400,29 @@ def d4_outlier_fence(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.fence(enu(spark, sf).where(F.col("shard") < SPLIT[0]), "err"), 4)
 
 
+@query
+def d4_sketched_fence(spark: SparkSession, sf: str) -> DataFrame:
+    """The fence from sketches of shards, after half of the training shards and after the rest has come: shards read by each run, and
+    whether the quartiles' ranks are within the stated error (twice, so that chance has no say) among the exact values."""
+    samples, path, runs = src.scratch(spark, "fence-samples"), src.scratch(spark, "fence-sketches"), []
+    rows = sampling.cut(enu(spark, sf).where(F.col("shard") < SPLIT[0]).select("shard", "err"))
+    half = SPLIT[0] // 2
+    for run, (first, last) in enumerate(((0, half), (half, SPLIT[0])), 1):
+        new = rows.where((F.col("shard") >= first) & (F.col("shard") < last))
+        new.repartition("shard").write.mode("append").partitionBy("shard").parquet(samples)
+        n_read = fences.append_sketches(spark, samples, path, F.col("err"))
+        found = fences.sketched_fence(spark, path).first()
+        seen, slack = rows.where((F.col("shard") < last) & (F.abs("err") < float("inf"))), 2 * fences.RANK_ERROR
+        share = lambda held: F.coalesce(F.avg(held.cast("double")), F.lit(0.0))
+        within = [
+            ((share(F.col("err") < q) <= p + slack) & (share(F.col("err") <= q) >= p - slack)).alias(f"{name}_within")
+            for name, q, p in (("q1", found.q1, 0.25), ("q3", found.q3, 0.75))
+        ]
+        edges = [F.round(F.lit(v).cast("double"), 4).alias(name) for name, v in (("low", found.low), ("high", found.high))]
+        runs.append(seen.agg(*within).select(F.lit(run).alias("run"), F.lit(n_read).alias("n_read"), F.lit(found.n).cast("long").alias("n"), *edges, "q1_within", "q3_within"))
+    return runs[0].unionByName(runs[1])
+
+
 @query
 def d5_displacement_range(spark: SparkSession, sf: str) -> DataFrame:
     rows = enu(spark, sf).where(F.col("shard") < SPLIT[0])

@@ -190,6 +190,9 @@ select a.shard, a.agent, count(*) as n_pairs, cast(min(a.p) as bigint) as first_
     "d1_distinct_users": f"with {TRAJ} select shard, count(distinct agent) as n_agents from traj group by shard",
     "d2_modalities": f"with {TRAJ} select distinct modality from (select modality, row_number() over (partition by shard order by ts, event_id) as r from traj) where r <= 1000",
     "d3_displacements": f"with {POINTS} select shard, agent, i, j, round(err, 2) as eps from eps where isfinite(err) and shard < {SPLIT[0]}",
+    "d4_sketched_fence": f"with {POINTS} select cast(run as integer) as run, cast(count(distinct shard) filter (shard >= first) as integer) as n_read, count(*) filter (isfinite(err)) as n, "
+    f"round(min(err) filter (isfinite(err)), 4) as low, round(max(err) filter (isfinite(err)), 4) as high, true as q1_within, true as q3_within "
+    f"from eps join (values (1, 0, {SPLIT[0] // 2}), (2, {SPLIT[0] // 2}, {SPLIT[0]})) as runs(run, first, last) on shard < last group by run",
     "d4_outlier_fence": f"with {POINTS} select round(q3 + 1.5 * (q3 - q1), 4) as delta, round(q1, 4) as q1, round(q3, 4) as q3, round(q3 - q1, 4) as iqr from (select {_FENCE} from eps where isfinite(err) and shard < {SPLIT[0]})",
     "d5_displacement_range": f"with {POINTS} select round(min(err), 4) as low, round(max(err), 4) as high, round(avg(err), 4) as mean from eps where shard < {SPLIT[0]}",
     "d6_error_summary": f"with {ERR} select model, {_summary('err')} from err group by model",
