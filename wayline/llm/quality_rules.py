@@ -30,7 +30,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
 #: Grams of the model that pass the driver and are sent to every task (20 bytes each); a larger model meets the texts in blocks.
 MODEL_ROWS = 2_000_000
-#: Characters of a block of texts, give or take chance and a text's own length; it is held in a task with the part of the model it needs.
+#: Characters of a block of texts, unless one text has more; it is held in a task with the part of the model it needs.
 TEXT_BLOCK = 16_000_000
 #: Languages whose discounts and bands are broadcast; joined by shuffle beyond.
 MAX_BROADCAST_LANGUAGES = 100_000
@@ -220,19 +220,31 @@ def _with_sent_model(rows: DataFrame, model: DataFrame) -> DataFrame:
 def _with_met_model(rows: DataFrame, model: DataFrame, block_chars: int) -> DataFrame:
     """Scores of ``rows`` where no task can hold the model: blocks of texts meet the values of their own grams.
 
-    The texts are written once and dealt over blocks, each block's distinct grams are joined with the model, and what
+    The texts are written once, neighbours in blocks, each block's distinct grams are joined with the model, and what
     is found meets the block's texts. That reads the texts twice and shuffles them once, whatever the model's size;
     a task holds a block and its grams. A gram that all texts hold has one row for each block.
     """
-    held = cut(rows.withColumn("place", F.monotonically_increasing_id()))
-    n_blocks = max(1, -(-(held.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
-    held = held.withColumn("block", F.pmod(F.xxhash64("place"), F.lit(n_blocks))).drop("place")
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, size = 0, 0
+        for b in batches:
+            of = []
+            for n in map(len, b["text"]):
+                if size and size + n > block_chars:
+                    block, size = block + 1, 0
+                size += n
+                of.append(block)
+            # a task's blocks are its own: its number stands above theirs
+            yield b.assign(block=b["block"] + np.array(of, np.int64))
+
+    place = F.shiftleft(F.spark_partition_id().cast("long"), 33).alias("block")
+    held = cut(rows.select("*", place).mapInPandas(number, "doc_id string, lang string, number long, text string, block long"))
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for (block, number), part in b.groupby(["block", "number"]):
+            for (block, lang), part in b.groupby(["block", "number"]):
                 for _, texts in blocks(part["text"].tolist()):
-                    yield pd.DataFrame({"block": block, "number": number, "code": np.unique(gram_codes(Block(texts)))})
+                    yield pd.DataFrame({"block": block, "number": lang, "code": np.unique(gram_codes(Block(texts)))})
 
     asked = held.select("block", "number", "text").mapInPandas(grams, "block long, number long, code long").distinct()
     known = asked.join(model.hint("merge"), ["number", "code"])
