@@ -10,6 +10,7 @@ the whole model while that has a bounded size, else of the grams that a block of
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm.common import cut, fits_broadcast, read
+from wayline.llm.common import cut, fits_broadcast, read, shared_folder
 from wayline.llm.vectext import Block, blocks, mix, per_doc, repeated
 
 ORDER, BITS = 5, 12
@@ -238,7 +239,11 @@ def _with_met_model(rows: DataFrame, model: DataFrame, block_chars: int) -> Data
             yield b.assign(block=b["block"] + np.array(of, np.int64))
 
     place = F.shiftleft(F.spark_partition_id().cast("long"), 33).alias("block")
-    held = cut(rows.select("*", place).mapInPandas(number, "doc_id string, lang string, number long, text string, block long"))
+    numbered = rows.select("*", place).mapInPandas(number, "doc_id string, lang string, number long, text string, block long")
+    # a compressed table rather than a checkpoint: it holds whole texts
+    path = f"{shared_folder(rows.sparkSession)}/op6-texts-{uuid.uuid4().hex}"
+    numbered.write.option("compression", "zstd").parquet(path)
+    held = rows.sparkSession.read.parquet(path)
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
