@@ -91,3 +91,14 @@ def test_state_goes_after_rest_and_the_watermark_counts_what_it_cuts(spark):
 def test_an_empty_stream_gives_nothing(spark):
     sink, _ = dicing.run_once(spark, events(spark, []), 10, 2)
     assert dicing.emitted(spark, sink).count() == 0
+
+
+def test_an_arrival_of_many_files_loses_no_point(spark, monkeypatch):
+    day = 24 * 3600
+    whole = events(spark, [(i, i % 100 * day // 4 + i // 100, i // 100) for i in range(2000)])
+    arrivals = dicing.arrivals
+    monkeypatch.setattr(dicing, "arrivals", lambda rows, parts: (part.repartition(4, "user_id") for part in arrivals(rows, parts)))
+    sink, checkpoint = dicing.run_once(spark, whole, 10, 2)
+    assert chunks(spark, sink) == batch_chunks(whole)
+    assert dicing.emitted(spark, sink, "late").count() == 0
+    assert sum(r.n for r in dicing.held_state(spark, checkpoint).collect()) == clean.valid_fixes(points_from_events(whole)).count()

@@ -132,24 +132,31 @@ def held_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     return rows.select("key.shard", "key.agent", "value.n", "value.last_us", "value.last_id", "value.next_start")
 
 
-def write_arrivals(events: DataFrame, source: str, parts: int) -> bool:
-    """Events as ``parts`` arrivals by time, one after the other; False if there are none. Within one a user's events share a file."""
+def arrivals(events: DataFrame, parts: int) -> Iterator[DataFrame]:
+    """Events as ``parts`` arrivals by time, one after the other; none if there are no events. Within one a user's events share a file."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     low, high = events.agg(F.min(us), F.max(us)).first()
     if low is None:
-        return False
+        return
     for part in range(parts):
         a, b = low + (high + 1 - low) * part // parts, low + (high + 1 - low) * (part + 1) // parts
-        events.where((us >= a) & (us < b)).repartition("user_id").write.mode("append").parquet(source)
-    return True
+        yield events.where((us >= a) & (us < b)).repartition("user_id")
 
 
-def run_once(spark: SparkSession, events: DataFrame, k: int, q: int, parts: int = 4, files_per_trigger: int = 1, initial: DataFrame | None = None) -> tuple[str, str]:
-    """Streams ``events``, written as arrivals, file by file; returns the folders of the sink and of the checkpoint."""
+def run_once(spark: SparkSession, events: DataFrame, k: int, q: int, parts: int = 4, initial: DataFrame | None = None) -> tuple[str, str]:
+    """Streams ``events``, written as arrivals; returns the folders of the sink and of the checkpoint.
+
+    An arrival is one batch, of however many files: the watermark moves on behind it and cuts none of its points off.
+    """
     source, sink, checkpoint = (scratch(spark, f"stream-{x}") for x in ("in", "out", "state"))
-    if write_arrivals(events, source, parts):
-        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
-        run_available(dice_stream(valid_fixes(points_from_events(stream)), k, q, initial=initial), sink, checkpoint)
-    else:
+    came = False
+    for arrival in arrivals(events, parts):
+        arrival.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        cut_off = run_available(dice_stream(valid_fixes(points_from_events(stream)), k, q, initial=initial), sink, checkpoint)
+        if cut_off:
+            raise RuntimeError(f"the watermark has cut off {cut_off} points of arrivals in order of time")
+        came = True
+    if not came:
         spark.createDataFrame([], OUTPUT).write.parquet(f"{sink}/batch=0")
     return sink, checkpoint
