@@ -221,6 +221,44 @@ def test_vantage_point_shards_lose_no_link(spark, shard_nodes):
     assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
 
 
+@pytest.mark.parametrize("shard_nodes, visits", [(60, 100), (100_000, 200_000)])
+def test_wide_trees_lose_no_link(spark, monkeypatch, shard_nodes, visits):
+    monkeypatch.setattr(simhash_dedup, "CELL_VISITS", visits)
+    monkeypatch.setattr(simhash_dedup, "STAGE_LEAF", 20)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**64, (150, simhash_dedup.LANES), dtype=np.uint64)
+    bits = np.unpackbits(base.view(np.uint8), axis=1)
+    near = [np.packbits(bits ^ (rng.random(bits.shape) < share), axis=1).view(np.uint64) for share in (0.15, 0.25)]
+    x = np.concatenate([base, *near])
+    n = np.concatenate([rng.integers(4, 400, 150)] * 3) * rng.choice([10, 11, 12, 13], 450) // 10
+    rows = [(i, int(n[i]), *v) for i, v in enumerate(x.view(np.int64).tolist())]
+    nodes = spark.createDataFrame(rows, "id long, n long, f0 long, f1 long, f2 long, f3 long")
+    found = common.connected_components(simhash_dedup.wide_links(nodes, shard_nodes=shard_nodes)).collect()
+    distance = np.bitwise_count(x[:, None] ^ x[None]).sum(axis=2, dtype=int)
+    linked = (distance <= simhash_dedup.STAGE_RADIUS) & (100 * np.minimum(n[:, None], n) >= 80 * np.maximum(n[:, None], n))
+    label = np.arange(len(x))
+    while (low := np.array([label[row].min() for row in linked]))[:].tolist() != label.tolist():
+        label = low
+    assert {r.node: r.root for r in found} == {i: r for i, r in enumerate(label.tolist()) if i != r} and 50 < len(found) < 300
+
+
+def test_sets_at_the_threshold_lie_within_the_stage_radius():
+    rng = np.random.default_rng(7)
+    for common_, one, two in ((4, 1, 0), (8, 1, 1), (8, 2, 0), (40, 10, 0), (40, 5, 5), (400, 50, 50)):
+        h = rng.integers(0, 2**64, (200, common_ + one + two), dtype=np.uint64)
+        a = [simhash_dedup.wide_fingerprint(x[: common_ + one]) for x in h]
+        b = [simhash_dedup.wide_fingerprint(np.concatenate((x[:common_], x[common_ + one :]))) for x in h]
+        assert max(int(np.bitwise_count(u ^ v).sum()) for u, v in zip(a, b, strict=True)) <= simhash_dedup.STAGE_RADIUS
+
+
+def test_near_dedup_candidates_come_from_the_tree(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(reversed(words))]
+    assert sorted(r.doc_id for r in simhash_dedup.keep_one(docs(spark, texts)).collect()) == [0, 2]
+    monkeypatch.setattr(simhash_dedup, "wide_links", lambda nodes: nodes.sparkSession.createDataFrame([], "a long, b long"))
+    assert sorted(r.doc_id for r in simhash_dedup.keep_one(docs(spark, texts)).collect()) == [0, 1, 2]
+
+
 def plain_kept(texts, at_least=0.8):
     """Smallest index of each group over all pairs of five-word shingle sets."""
     sets = []

@@ -12,9 +12,10 @@
 A distance between unrelated 64-bit fingerprints is near 32 with deviation 4, so a ball's boundary at
 radius 2 overlaps about two fifths of the queries: work grows as about n^1.5, memory of a task does not.
 
-``keep_one`` has no such radius: it links documents whose five-word shingles have a Jaccard similarity of 0.8.
-Their fingerprints lie about ten bits apart, where a vantage point would rule next to nothing out, so its
-candidates come from bands of minimum hashes and are verified on the whole shingle sets.
+``keep_one`` takes the same way with fingerprints of 256 bits over distinct five-word shingles and a radius that holds all
+but a few millionths of the documents with a Jaccard similarity of 0.8. At this radius the triangle inequality rules out little beside
+clusters, so there is a tree for each class of set sizes, as similar sets are of similar sizes, and a leaf's visitors are dealt
+over cells of bounded size. What the tree links is verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -41,16 +42,18 @@ SAMPLE_NODES, SAMPLE_PER_SHARD = 262_144, 16
 LEAF = 256
 #: The pipeline's stage: words of a shingle, and the Jaccard similarity (in percent) from which documents are linked.
 STAGE_WORDS, STAGE_PERCENT = 5, 80
-#: Minimum hashes of the stage: at a similarity of 0.8 all bands differ with (1 - 0.8^4)^20, 2 in 100,000 pairs.
-BANDS, BAND_ROWS = 20, 4
+#: Words of 64 bits of the stage's fingerprint, and its radius. Bits of sets of similarity 0.8 differ with a probability of 0.15 where sets are
+#: large and 0.19 at most (four shingles of five): the radius is 6.5 and 4.5 deviations above the mean.
+LANES, STAGE_RADIUS = 4, 76
+#: Fewest shingles of a set that can be similar to another one without being equal to it.
+STAGE_LEAST = 4
+#: Width of a class of set sizes, as a natural logarithm: a little more than that of 1 / 0.8.
+CLASS_WIDTH = 0.224
+#: Visits of a cell of the stage, and the nodes below which its shards are not split further.
+CELL_VISITS, STAGE_LEAF = 200_000, 4096
 #: Bounds of a block of the stage's candidates; a task holds two blocks, and one text more at most where that is longer.
 BLOCK_ROWS, BLOCK_CHARS = 1000, 4_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
-_RNG = np.random.default_rng(SEED)
-PERMUTATIONS = (
-    _RNG.integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64),
-    _RNG.integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1),
-)
 
 
 def fingerprint(text: str | None, words_per_shingle: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -76,8 +79,23 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
 
-def _distance(x: np.ndarray, v: np.uint64) -> np.ndarray:
-    return np.bitwise_count(x ^ v).astype(np.int64)
+def _distance(x: np.ndarray, v: np.ndarray | np.uint64) -> np.ndarray:
+    """Differing bits of fingerprints, of one word each or of several in a row."""
+    bits = np.bitwise_count(x ^ v)
+    return bits.sum(axis=1, dtype=np.int64) if x.ndim > 1 else bits.astype(np.int64)
+
+
+def _close(x: np.ndarray, rows: np.ndarray, columns: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within ``radius``, as places in ``rows`` and ``columns``. Of wide fingerprints the last word is only met where the others allow it."""
+    lanes = x[:, None] if x.ndim == 1 else x
+    bits = np.bitwise_count(lanes[rows, 0][:, None] ^ lanes[columns, 0][None])
+    for w in range(1, max(1, lanes.shape[1] - 1)):
+        bits += np.bitwise_count(lanes[rows, w][:, None] ^ lanes[columns, w][None])
+    r, c = np.nonzero(bits <= radius)
+    if lanes.shape[1] > 1:
+        near = _distance(lanes[rows[r]], lanes[columns[c]]) <= radius
+        r, c = r[near], c[near]
+    return r, c
 
 
 def build_tree(sample: np.ndarray, depth: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +104,7 @@ def build_tree(sample: np.ndarray, depth: int, seed: int = SEED) -> tuple[np.nda
     Where the sample has run out, a node takes its vantage point and radius from the whole of it.
     """
     rng = np.random.default_rng(seed)
-    vantage, radius = np.zeros(2**depth - 1, np.uint64), np.zeros(2**depth - 1, np.int64)
+    vantage, radius = np.zeros((2**depth - 1, *sample.shape[1:]), np.uint64), np.zeros(2**depth - 1, np.int64)
     parts = [sample]
     for level in range(depth):
         deeper = []
@@ -100,12 +118,14 @@ def build_tree(sample: np.ndarray, depth: int, seed: int = SEED) -> tuple[np.nda
     return vantage, radius
 
 
-def route(x: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shard, index into ``x`` and whether it is the home shard, for every visit that the bounds demand."""
-    shard, at, home = np.zeros(len(x), np.int64), np.arange(len(x)), np.ones(len(x), bool)
+def route(
+    x: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int, radius: int, home: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shard, index into ``x`` and whether it is the home shard, for every visit that the bounds demand; points not at ``home`` only visit."""
+    shard, at, home = np.zeros(len(x), np.int64), np.arange(len(x)), np.ones(len(x), bool) if home is None else home
     for level in range(depth):
         node = shard + 2**level - 1
-        d = np.bitwise_count(x[at] ^ tree[0][node]).astype(np.int64)
+        d = _distance(x[at], tree[0][node])
         mu = tree[1][node]
         inside = d <= mu
         # a home goes to its own side; from inside it also asks across, which covers pairs that straddle
@@ -134,8 +154,13 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def shard_links(x: np.ndarray, home: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, seed: int = SEED) -> np.ndarray:
-    """Smallest linked index for each point, over all home-home and query-home pairs within ``radius``."""
+def shard_links(
+    x: np.ndarray, home: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, seed: int = SEED, sizes: np.ndarray | None = None, percent: int = STAGE_PERCENT
+) -> np.ndarray:
+    """Smallest linked index for each point, over all home-home and query-home pairs within ``radius``.
+
+    With ``sizes``, the smaller of a pair has ``percent`` of the larger at least.
+    """
     rng = np.random.default_rng(seed)
     n = len(x)
     label = np.arange(n)
@@ -167,10 +192,12 @@ def shard_links(x: np.ndarray, home: np.ndarray, radius: int = RADIUS, leaf: int
             continue
         every = np.concatenate((h, q))
         for i in range(0, len(every), 512):  # a tight ball that no vantage point splits is compared in blocks
-            for j in range(0, len(h), 4096):
-                r, c = np.nonzero(np.bitwise_count(x[every[i : i + 512], None] ^ x[None, h[j : j + 4096]]) <= radius)
+            for j in range(0, len(h), 1024):
+                r, c = _close(x, every[i : i + 512], h[j : j + 1024], radius)
                 a, b = every[i + r], h[j + c]
                 keep = a != b
+                if sizes is not None:
+                    keep &= 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
                 left.append(a[keep])
                 right.append(b[keep])
                 held += int(keep.sum())
@@ -243,27 +270,73 @@ def shingles(text: str | None, words_per_shingle: int = STAGE_WORDS, seed: int =
     return np.unique(h)
 
 
-def band_keys(h: np.ndarray) -> np.ndarray:
-    """BANDS keys of a shingle set, each of BAND_ROWS minimum hashes; two sets share a key with 1 - (1 - J^rows)^bands."""
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), 4096):
-        block = h[at : at + 4096]
-        for i, (x, m) in enumerate(zip(*PERMUTATIONS, strict=True)):
-            least[i] = min(least[i], ((block ^ x) * m).min())
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, BAND_ROWS).T:
-        keys = (keys ^ row) * MIX
-        keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64)
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """SimHash of LANES words of a set of hashes: a bit is set if over half of them, stirred anew for every word, set it."""
+    votes = np.zeros(64 * LANES, np.int64)
+    for at in range(0, len(h), 255 * 16):
+        block = h[at : at + 255 * 16, None] ^ (MIX * np.arange(1, LANES + 1, dtype=np.uint64))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            block = (block ^ (block >> np.uint64(shift))) * np.uint64(factor)
+        block ^= block >> np.uint64(31)
+        bits = np.unpackbits(block.view(np.uint8), axis=1, bitorder="little")
+        for i in range(0, len(bits), 255):  # as many as a byte can count
+            votes += np.add.reduce(bits[i : i + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * votes > len(h), bitorder="little").view(np.uint64)
 
 
 def _node(h: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED)], np.uint64).view(np.int64)[0])
 
 
-def _banded(texts: pd.Series) -> pd.DataFrame:
+def _printed(texts: pd.Series) -> pd.DataFrame:
     sets = [shingles(t) for t in texts]
-    return pd.DataFrame({"node": [_node(h) for h in sets], "bands": [band_keys(h) if len(h) else [] for h in sets]})
+    prints = np.array([wide_fingerprint(h) for h in sets], np.uint64).reshape(-1, LANES).view(np.int64)
+    return pd.DataFrame({"node": [_node(h) for h in sets], "n": [len(h) for h in sets], **{f"f{w}": prints[:, w] for w in range(LANES)}})
+
+
+def wide_links(nodes: DataFrame, radius: int = STAGE_RADIUS, shard_nodes: int = SHARD_NODES, percent: int = STAGE_PERCENT) -> DataFrame:
+    """Edges (a, b) that connect what pairs of nodes (id, n, f0 to f3) within ``radius`` connect whose sizes ``n`` are similar.
+
+    A node lives in the tree of its class of sizes and visits that of the next one. A tree's shard is compared in cells: its
+    own nodes stand in each, its visitors are dealt over them.
+    """
+    lanes = [f"f{w}" for w in range(LANES)]
+    classed = nodes.withColumn("kind", F.floor(F.log("n") / CLASS_WIDTH).cast("int"))
+    counts = {r.kind: r.m for r in classed.groupBy("kind").agg(F.count("*").alias("m")).collect()}  # a row for each class, some dozens
+    depths = {k: max(0, int(np.ceil(np.log2(m / shard_nodes)))) for k, m in counts.items()}
+    deep = [k for k, d in depths.items() if d]
+    trees = {}
+    if deep:
+        wanted = min(SAMPLE_NODES, max(4096, SAMPLE_PER_SHARD * sum(2 ** depths[k] for k in deep)))
+        rows = classed.where(F.col("kind").isin(deep)).select("kind", *lanes).orderBy(F.xxhash64(*lanes), *lanes).limit(wanted).collect()
+        for k in deep:
+            own = np.array([r[1:] for r in rows if r.kind == k], np.int64).reshape(-1, LANES).view(np.uint64)
+            depths[k] = depths[k] if len(own) else 0
+            trees[k] = build_tree(own, depths[k])
+    cells = {k: -(-(m + counts.get(k - 1, 0)) // CELL_VISITS) for k, m in counts.items()}
+    held = nodes.sparkSession.sparkContext.broadcast((trees, depths, cells))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees, depths, cells = held.value
+        for b in batches:
+            x, kind = np.ascontiguousarray(b[lanes].to_numpy(np.int64)).view(np.uint64), b["kind"].to_numpy()
+            for k in sorted({*kind, *(kind + 1)} & set(depths)):
+                own = np.flatnonzero((kind == k) | (kind == k - 1))
+                shard, at, home = route(x[own], trees.get(k), depths[k], radius, kind[own] == k)
+                rows = b.iloc[own[at]][["id", "n", *lanes]].assign(kind=k, shard=shard, home=home)
+                cell = (x[own[at], 0] % np.uint64(cells[k])).astype(np.int64)
+                for c in range(cells[k]):
+                    yield rows[home | (cell == c)].assign(cell=c)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, ids = np.ascontiguousarray(pdf[lanes].to_numpy(np.int64)).view(np.uint64), pdf["id"].to_numpy()
+        label = shard_links(x, pdf["home"].to_numpy(bool), radius, STAGE_LEAF, sizes=pdf["n"].to_numpy(), percent=percent)
+        at = np.flatnonzero(label != np.arange(len(x)))
+        return pd.DataFrame({"a": ids[at], "b": ids[label[at]]})
+
+    columns = ["id", "n", *lanes]
+    dealt = classed.select(*columns, "kind").mapInPandas(deal, ", ".join(f"{c} long" for c in columns) + ", kind int, shard long, home boolean, cell long")
+    return dealt.groupBy("kind", "shard", "cell").applyInPandas(solve, "a long, b long")
 
 
 def similar_groups(sets: list[np.ndarray], percent: int = STAGE_PERCENT) -> np.ndarray:
@@ -356,8 +429,8 @@ def _blocks(rows: str, chars: str):
 def similar_links(candidates: DataFrame, star: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """Links (a, b) that connect exactly what the pairs of ``percent`` or more of documents with one ``root`` connect.
 
-    ``candidates`` holds doc_id, root and text, once each; ``star`` names for a document (a) the smallest (leader) that it
-    shares a band with. A root's documents are dealt over blocks of bounded rows and characters. First every block is
+    ``candidates`` holds doc_id, root and text, once each; ``star`` names for a document (a) a smaller one (leader) that the
+    candidates' search has linked it with. A root's documents are dealt over blocks of bounded rows and characters. First every block is
     solved, with its documents' leaders in it, so that a large group of copies becomes one group by few comparisons. Then,
     under roots of several blocks, every document outside the root's largest group meets every block.
     """
@@ -392,17 +465,17 @@ def similar_links(candidates: DataFrame, star: DataFrame, percent: int = STAGE_P
 def similar_documents(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, component_id) of documents that are not the smallest doc_id of their group.
 
-    Documents are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Equal sets
-    collapse first; documents that share a band, chained, are candidates, and ``similar_links`` works out their
-    similarities exactly. Rows with a null doc_id take no part; texts without a word are equal.
+    Documents are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Equal sets collapse
+    first; documents that the vantage-point trees of their fingerprints link, chained, are candidates, and ``similar_links``
+    works out their similarities exactly. Rows with a null doc_id take no part; texts without a word are equal.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    banded = pandas_udf(_banded, "node long, bands array<long>")(F.col("text"))
-    prints = cut(rows.select("doc_id", banded.alias("p")).select("doc_id", "p.node", "p.bands"))
-    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.count("*").alias("times")))
-    keys = nodes.select("least_id", F.explode("bands").alias("key"))
-    met = keys.groupBy("key").agg(F.min("least_id").alias("low"), F.count("*").alias("n")).where("n > 1")
-    edges = cut(split_join(keys, met, ["key"], "n").where("low < least_id").select(F.col("least_id").alias("a"), F.col("low").alias("b")).distinct())
+    lanes = [f"f{w}" for w in range(LANES)]
+    printed = pandas_udf(_printed, f"node long, n long, {', '.join(f'{c} long' for c in lanes)}")(F.col("text"))
+    prints = cut(rows.select("doc_id", printed.alias("p")).select("doc_id", "p.*"))
+    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("n", *lanes)]))
+    found = wide_links(nodes.where(F.col("n") >= STAGE_LEAST).select(F.col("least_id").alias("id"), "n", *lanes))
+    edges = cut(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     chained = connected_components(edges)
     chained = cut(chained.unionByName(chained.select(F.col("root").alias("node"), "root").distinct()))
     candidates = rows.join(chained.withColumnRenamed("node", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
