@@ -767,6 +767,14 @@ def test_twin(spark, module):
     same(module.query(spark, DATA), module.SQL, DATA)
 
 
+def test_repeated_chunks_are_looked_up_once():
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.load_pieces())
+    chunks, place, size = codec._chunks(["one two one two", "", "two \U0001f600 é"])
+    assert len(chunks) == len(set(chunks)) < len(place) == size.sum() and size[1] == 0
+    whole = ["".join(chunks[i] for i in part) for part in np.split(place, np.cumsum(size)[:-1])]
+    assert whole == ["▁one▁two▁one▁two", "", "▁two▁\U0001f600▁é"]
+
+
 def test_pipeline_stages_take_effect(spark):
     out = pipeline.run(spark, DATA).collect()
     assert out and all(r.round_trip and r.n_tokens == len(r.ids) for r in out)

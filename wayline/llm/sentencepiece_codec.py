@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -214,6 +215,10 @@ class Codec:
             low[row, : len(p)] = self.symbol[[ord(c) for c in p]]
         high = np.where(np.arange(low.shape[1]) < length[:, None], low, (1 << _BITS) - 1)
         self.low, self.high = self._keys(low), self._keys(high)
+        order = np.lexsort(self.low[::-1])  # neighbours in the search are neighbours in memory
+        self.search_ids = self.search_ids[order]
+        self.low, self.high = [k[order] for k in self.low], [k[order] for k in self.high]
+        self.long = length[order] > _PER_KEY
 
     def _keys(self, symbols: np.ndarray) -> list[np.ndarray]:
         shifts = _BITS * np.arange(_PER_KEY - 1, -1, -1)
@@ -222,13 +227,17 @@ class Codec:
     def _ranges(self, suffix_keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """First and past-last place of each piece in the sorted suffixes."""
 
+        first, last = np.searchsorted(suffix_keys[0], self.low[0], "left"), np.searchsorted(suffix_keys[0], self.high[0], "right")
+        longer = np.flatnonzero(self.long & (first < last))  # only these ask for more than their first key
+
         def bound(keys: list[np.ndarray], after: bool) -> np.ndarray:
-            low, high = np.zeros(len(keys[0]), np.int64), np.full(len(keys[0]), len(suffix_keys[0]), np.int64)
+            low, high = first[longer], last[longer]
+            keys = [k[longer] for k in keys]
             while (open_ := low < high).any():
                 at = np.flatnonzero(open_)
                 mid = (low[at] + high[at]) >> 1
                 less, equal = np.zeros(len(at), bool), np.ones(len(at), bool)
-                for s, k in zip(suffix_keys, keys, strict=True):
+                for s, k in zip(suffix_keys[1:], keys[1:], strict=True):
                     less |= equal & (s[mid] < k[at])
                     equal &= s[mid] == k[at]
                 up = less | equal if after else less
@@ -236,7 +245,9 @@ class Codec:
                 high[at[~up]] = mid[~up]
             return low
 
-        return bound(self.low, False), bound(self.high, True)
+        starts, stops = bound(self.low, False), bound(self.high, True)
+        first[longer], last[longer] = starts, stops
+        return first, last
 
     def _suffixes(self, key: np.ndarray) -> np.ndarray:
         """The suffix array to the length of the longest piece, by doubling from keys of the first characters."""
@@ -349,32 +360,34 @@ class Codec:
         self.flat = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n - first, n)]
         self.offset, self.hits = np.concatenate(([0], ends)), self.hits[often] // 2
 
-    def _chunks(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Chunks of all texts one after the other, and how many each text has."""
+    def _chunks(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct chunks of all texts, the chunks one after the other as places among these, and how many each text has."""
         full = "".join(BLANK + t.replace(" ", BLANK) if t else "" for t in texts)
         if not full:
-            return [], np.zeros(len(texts), np.int64)
+            return [], np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         size = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
-        sym = self.symbol[np.frombuffer(full.encode("utf-32-le"), "<u4")].astype(np.int64)
+        points = np.frombuffer(full.encode("utf-32-le"), "<u4")
+        sym = self.symbol[points].astype(np.int64)
         cut = np.ones(len(full) + 1, bool)
         cut[1:-1] = ~self.together[sym[:-1] * self.n_symbols + sym[1:]]
         ends = np.cumsum(size)
         cut[ends] = True
         at = np.flatnonzero(cut)
-        number = np.searchsorted(at, ends)
-        places = at.tolist()
-        return [full[i:j] for i, j in zip(places, places[1:], strict=False)], np.diff(number, prepend=0)
+        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        offset = np.concatenate(([0], np.cumsum(width)))[at]
+        held = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(offset), pa.py_buffer(full.encode())).dictionary_encode()
+        return held.dictionary.to_pylist(), held.indices.to_numpy().astype(np.int64), np.diff(np.searchsorted(at, ends), prepend=0)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the model's own encoder gives them; an empty text has none."""
         if len(self.kept) > MAX_KEPT:
             self._forget()
-        chunks, size = self._chunks(texts)
+        chunks, place, size = self._chunks(texts)
         index = list(map(self.kept.get, chunks))
         if None in index:
-            self._learn(list(dict.fromkeys(c for c, i in zip(chunks, index, strict=True) if i is None)))
+            self._learn([c for c, i in zip(chunks, index, strict=True) if i is None])
             index = list(map(self.kept.__getitem__, chunks))
-        at = np.array(index, np.int64)
+        at = np.array(index, np.int64)[place]
         seen = np.bincount(at, minlength=len(self.kept))
         seen[: len(self.hits)] += self.hits
         self.hits = seen
