@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.compare import DATA, same
 from tests.llm.test_llm import ODD, docs
-from wayline.llm import divergence, hard_negatives, minhash_dedup, registry, simhash_dedup
+from wayline.llm import common, divergence, hard_negatives, minhash_dedup, registry, simhash_dedup
 
 NEW = ["op11_hard_negatives", "op12_source_divergence", "op13_minhash"]
 
@@ -207,3 +207,40 @@ def test_estimates_are_exact_for_small_unions_and_close_for_large_ones():
             true = common / (2 * size - common)
             got = minhash_dedup.bottom_estimates(rows[0], rows[1:], kept)[0]
             assert got == true if 2 * size - common <= kept else abs(got - true) < 0.25
+
+
+@pytest.mark.parametrize("few", [0, 30, 10**6])
+def test_components_by_shuffle_and_by_broadcast_equal_a_loop(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_ROWS", few)
+    rng = random.Random(6)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(20)]
+    label = {x: x for p in pairs for x in p}
+    for a, b in pairs:
+        low, high = sorted((label[a], label[b]))
+        label = {x: low if r == high else r for x, r in label.items()}
+    edges = spark.createDataFrame([*pairs, *pairs[:9], (7, 7), (None, 8)], "a long, b long")
+    found = {r.node: r.root for r in common.connected_components(edges).collect()}
+    assert found == {x: r for x, r in label.items() if x != r}
+    assert common.connected_components(edges.where("false")).count() == 0
+
+
+def test_near_duplicates_of_few_nodes_run_few_empty_tasks(spark):
+    """op13 on many shuffle partitions: what is small is broadcast, rather than written by every partition again and again."""
+    rng = random.Random(8)
+    texts = [t for _ in range(20) for t in copies(rng, [f"w{rng.randrange(4000)}" for _ in range(80)], 3, 2)]
+    partitions, conf = 64, {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    sc = spark.sparkContext
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few nodes", "")
+        assert minhash_dedup.near_duplicates(docs(spark, texts)).count() == len(texts)
+        tracker = sc.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("few nodes") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert 0 < tasks < 75 * partitions

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word definition shared by the operators: space and U+0009 to U+000D.
@@ -19,6 +19,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 #: A key with more rows than this, and than a 100,000th of all rows, is hot: of such keys there are 100,000 at most.
 HOT_ROWS, MOST_HOT = 1000, 100_000
+#: Rows of a few numbers, counted first, that are broadcast; beyond them the same join is shuffled.
+FEW_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,16 +44,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def split_join(rows: DataFrame, groups: DataFrame, keys: list[str], times: str) -> DataFrame:
+def gathered(df: DataFrame) -> DataFrame:
+    """``df``, of few rows or wanted for totals only, in as many partitions as there are cores rather than shuffle partitions."""
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def totals(df: DataFrame, *aggregates: Column) -> Row:
+    """The aggregates of a table that has been cut."""
+    return gathered(df).agg(*aggregates).first()
+
+
+def held(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, known to have ``rows`` narrow rows at most, broadcast where they are few."""
+    return F.broadcast(df) if rows <= FEW_ROWS else df
+
+
+def split_join(rows: DataFrame, groups: DataFrame, keys: list[str], times: str, narrow: bool = False) -> DataFrame:
     """Inner join of ``rows`` with ``groups``, one row per key with its number of rows in ``times``; hot keys are split.
 
+    Where ``groups`` is ``narrow``, which is to say rows of a few numbers, and has few rows, it is broadcast and ``rows`` stay where they are.
+
     A hot key's group is repeated once for each part, and its rows are dealt over the parts by their own
     content, so that no task gets more of a key than ``HOT_ROWS`` rows or a 100,000th of all, give or take
     chance. The hot keys are at most ``MOST_HOT`` by that rule and are broadcast. ``groups`` is cut here.
     """
     groups = cut(groups)
-    total = groups.agg(F.sum(times)).first()[0] or 0
-    size = max(HOT_ROWS, total // MOST_HOT)
+    n, total = totals(groups, F.count("*"), F.sum(times))
+    if narrow and n <= FEW_ROWS:
+        return rows.join(F.broadcast(groups), keys)
+    size = max(HOT_ROWS, (total or 0) // MOST_HOT)
     parts = F.ceil(F.col(times) / size).cast("int")
     part, n_parts = free_name(rows, "_part"), free_name(rows, "_parts")
     hot = F.broadcast(groups.where(F.col(times) > size).select(*keys, parts.alias(n_parts)))
@@ -94,26 +115,24 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: every step re-hangs neighbours on the smallest known
     node with one grouped minimum and one equi-join, so that a round shuffles a multiple of the edges
-    and no neighbourhood is ever collected. The root is the smallest node of the component. Loops,
-    repeated edges and nulls are ignored; no edges give an empty result.
+    and no neighbourhood is ever collected. Once the edges are few, the minima are broadcast and the edges
+    lie in few partitions, as a round is otherwise made of empty tasks. The root is the smallest node of
+    the component. Loops, repeated edges and nulls are ignored; no edges give an empty result.
     """
-    e = edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
-    e = cut(e)
+    e = edges.where("a is not null and b is not null and a <> b")
+    e = cut(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        e = (
-            small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(low.select("a", F.col("m").alias("b")))
-            .where("a <> b").distinct()
-        )
-        e = cut(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.max("a")).first())
+        now = tuple(totals(e, F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.max("a")))
+        e = gathered(e) if now[0] <= FEW_ROWS else e
         if now == seen:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now
+        # every edge leads down, so the smallest neighbour of b is that of its edges (b, ...), or b itself
+        low = e.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+        large = e.join(held(low, now[0]), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        hung = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = large.join(held(low, now[0]), "a").select(F.explode(hung).alias("e")).select("e.a", "e.b")
+        e = cut(small.where("a <> b").distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

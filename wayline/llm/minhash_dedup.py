@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm.common import connected_components, cut, fits_broadcast, read, split_join
+from wayline.llm.common import connected_components, cut, held, read, split_join, totals
 from wayline.llm.simhash_dedup import shingles, similar_links
 
 PERCENT = 85
@@ -152,15 +152,16 @@ def listed_values(nodes: DataFrame, hot: np.ndarray) -> DataFrame:
 def hot_values(nodes: DataFrame) -> np.ndarray:
     """Retained values of very many nodes; by the rule they are MOST_HOT at most."""
     counts = nodes.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("m"))
-    total = nodes.agg(F.sum(F.size("sketch"))).first()[0] or 0
+    total = totals(nodes, F.sum(F.size("sketch")))[0] or 0
     found = counts.where(F.col("m") > max(HOT_NODES, total // MOST_HOT)).select("value").toArrow()
     return np.sort(found.column("value").to_numpy())
 
 
-def _labelled(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that links reach; nodes without links are left out."""
-    found = connected_components(links)
-    return cut(found.select("node", F.col("root").alias("component")).unionByName(found.select(F.col("root").alias("node"), F.col("root").alias("component")).distinct()))
+def _labelled(links: DataFrame) -> tuple[DataFrame, int]:
+    """(node, component), the smallest node that links reach, and the number of rows; nodes without links are left out."""
+    both = F.array(F.struct("node", F.col("root").alias("component")), F.struct(F.col("root").alias("node"), F.col("root").alias("component")))
+    label = cut(connected_components(links).select(F.explode(both).alias("e")).select("e.node", "e.component").distinct())
+    return label, totals(label, F.count("*"))[0]
 
 
 def links_of(nodes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -172,24 +173,24 @@ def links_of(nodes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
     sizes = lists.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("_low"), F.bit_xor(F.xxhash64("node", "core")).alias("_all")).where("m > 1")
     # lists of the same nodes say the same: one of them is enough
     sizes = sizes.groupBy("m", "_low", "_all").agg(F.min("key").alias("key")).select("key", "m", F.ceil(F.col("m") / CELL_NODES).cast("int").alias("parts"))
-    met = cut(split_join(lists, sizes, ["key"], "m").select("key", "node", "n", "core", "parts"))
-    entries = met.groupBy("node").agg(F.count("*").alias("_times")).join(nodes.select("node", "sketch"), "node")
-    rows = split_join(met, entries, ["node"], "_times")
+    met = split_join(lists, sizes, ["key"], "m", narrow=True).select("key", "node", "n", "core", "parts")
+    rows = met.join(nodes.select("node", "sketch"), "node")  # a node stands in some dozens of lists at most
     part = F.pmod(F.xxhash64("node"), "parts").cast("int")
     # a node stands in every cell (i, j), i <= j, of its list that its part is a side of
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, part).alias("i"), F.greatest(o, part).alias("j")))
     cells = rows.select("key", "node", "n", "core", "sketch", F.explode(others).alias("at")).select("key", "node", "n", "core", "sketch", "at.i", "at.j")
 
     def run(table: pa.Table) -> pa.Table:
-        node, held = table.column("node").combine_chunks(), table.column("sketch").combine_chunks()
-        found = forest(_filled(held), table.column("n").to_numpy(), table.column("core").to_numpy(), percent)
+        node, sketch = table.column("node").combine_chunks(), table.column("sketch").combine_chunks()
+        found = forest(_filled(sketch), table.column("n").to_numpy(), table.column("core").to_numpy(), percent)
         a, b = (node.take(pa.array([p[s] for p in found], pa.int64())) for s in (0, 1))
         return pa.table({"a": a, "b": b})
 
     found = cells.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
     near = cut(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    chained = cut(nodes.select(F.col("node").alias("doc_id"), "key").join(_labelled(near).select(F.col("node").alias("doc_id"), F.col("component").alias("root")), "doc_id"))
-    wanted = F.broadcast(chained) if fits_broadcast(chained, MAX_BROADCAST_NODES) else chained
+    label, n = _labelled(near)
+    chained = cut(nodes.select("node", "key").join(held(label, n), "node").select(F.col("node").alias("doc_id"), "key", F.col("component").alias("root")))
+    wanted = F.broadcast(chained) if n <= MAX_BROADCAST_NODES else chained
     candidates = texts.join(wanted, "key").dropDuplicates(["doc_id"]).drop("key")
     return cut(similar_links(candidates, near.groupBy("a").agg(F.min("b").alias("leader")), percent))
 
@@ -216,10 +217,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = rows.where("digest is not null")
     nodes = sets.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"), F.max("n").alias("n"), F.min(F.struct("key", "sketch")).alias("one"))
     nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "times", "n", "one.key", "one.sketch"))
-    label = _labelled(links_of(nodes.select("node", "n", "sketch", "key"), text.select("key", "text"), percent))
-    members = nodes.select("node", "digest", "least", "times").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    answer = members.join(least, "component").select("digest", "component_id", "times")
+    label, n = _labelled(links_of(nodes.select("node", "n", "sketch", "key"), text.select("key", "text"), percent))
+    ids = nodes.select("node", "least").join(held(label, n), "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = label.join(held(ids, n), "component").select("node", "component_id")
+    # only linked nodes need their component's smallest id; all others answer for themselves
+    answer = nodes.select("node", "digest", "least", "times").join(held(linked, n), "node", "left").select("digest", F.coalesce("component_id", "least").alias("component_id"), "times")
     full = split_join(sets.select("doc_id", "digest", "n"), answer, ["digest"], "times").select("doc_id", "n", "component_id")
     found = full.unionByName(rows.where("digest is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

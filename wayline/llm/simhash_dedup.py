@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from wayline.llm.common import connected_components, cut, read, split_join
+from wayline.llm import common
+from wayline.llm.common import connected_components, cut, read, split_join, totals
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -436,22 +437,26 @@ def similar_links(candidates: DataFrame, star: DataFrame, percent: int = STAGE_P
     """
     texts = candidates.withColumn("chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
     sizes = texts.groupBy("root").agg(F.count("*").alias("n"), F.sum("chars").alias("all_chars")).select("root", "n", _blocks("n", "all_chars").alias("parts"))
-    held = cut(split_join(texts, sizes, ["root"], "n").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")))
-    large = held.where("parts > 1")
-    leaders = large.join(star, large["doc_id"] == star["a"]).select("root", "part", "leader").distinct()
-    guests = leaders.join(large.select(F.col("doc_id").alias("leader"), "text"), "leader").select("root", "part", F.col("leader").alias("doc_id"), "text")
-    cells = held.select("root", "part", "doc_id", "text").unionByName(guests)
+    held = cut(split_join(texts, sizes, ["root"], "n", narrow=True).withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")))
+    large, cells = held.where("parts > 1"), held.select("root", "part", "doc_id", "text")
+    n_large = totals(large, F.count("*"))[0]
+    if n_large:
+        dealt = common.held(large.select("root", "part", F.col("doc_id").alias("a")), n_large)
+        leaders = common.held(star.join(dealt, "a").select("root", "part", F.col("leader").alias("doc_id")).distinct(), n_large)
+        guests = large.select("doc_id", "text").join(leaders, "doc_id").select("root", "part", "doc_id", "text")
+        cells = cells.unionByName(guests)
     links = cut(cells.groupBy("root", "part").applyInPandas(lambda pdf: _solve_similar(pdf, percent), "a long, b long"))
-    if large.isEmpty():
+    if not n_large:
         return links
     label = connected_components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("label"))
+    label = common.held(label, totals(label, F.count("*"))[0])
     tagged = large.select("root", "part", "parts", "doc_id", "text", "chars").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     groups = tagged.groupBy("root", "label").agg(F.count("*").alias("m"), F.sum("chars").alias("c"))
     rest = groups.groupBy("root").agg(
         F.sum("m").alias("n"), F.max(F.struct("m", "label", "c")).alias("top"), F.sum("c").alias("all_chars")
     ).where("n > top.m").withColumn("rest", F.col("n") - F.col("top.m")).withColumn("rest_chars", F.col("all_chars") - F.col("top.c"))
     rest = rest.select("root", "n", F.col("top.label").alias("top"), _blocks("rest", "rest_chars").alias("rest_parts"))
-    still = cut(split_join(tagged, rest, ["root"], "n"))
+    still = cut(split_join(tagged, rest, ["root"], "n", narrow=True))
     up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     same = ["root", "doc_id", "text", "label"]
     homes = still.select(*same, F.col("part").alias("i"), up_to("rest_parts").alias("j"), F.lit(True).alias("home"))
