@@ -244,3 +244,14 @@ def test_near_duplicates_of_few_nodes_run_few_empty_tasks(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert 0 < tasks < 75 * partitions
+
+
+def test_near_duplicates_beyond_all_broadcasts_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
+    monkeypatch.setattr(minhash_dedup, "MAX_BROADCAST_NODES", 0)
+    monkeypatch.setattr(simhash_dedup, "BLOCK_ROWS", 7)
+    rng = random.Random(9)
+    texts = [t for n in (1, 2, 5, 25) for t in copies(rng, [f"w{rng.randrange(4000)}" for _ in range(100)], n, 5)] + ["a b", "A  b", None]
+    sets = plain_sets(texts)
+    rows = minhash_dedup.near_duplicates(docs(spark, texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, plain_components(sets), strict=True))}
