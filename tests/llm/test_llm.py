@@ -740,6 +740,47 @@ def test_hot_lines_and_segments_lose_no_pair(spark, monkeypatch, broadcast_ids):
     assert 0 < len({i for i, line in found if line == 0}) < len(texts) - 1
 
 
+@pytest.mark.parametrize("column", ["key", "place"])
+def test_sifted_rows_are_few_and_hold_every_match(spark, column):
+    kind = "bigint" if column == "key" else "decimal(31,0)"
+    rows = spark.range(20_000).select((F.col("id") * 7919 - 5000).cast(kind).alias(column), F.col("id").alias("_bits"), F.col("id").alias("_Block"))
+    wanted = rows.where("_bits % 40 = 3").select(column)
+    left = common.sifted(rows, wanted, column)
+    assert left.schema == rows.schema and wanted.join(left, column, "left_anti").count() == 0
+    assert wanted.count() <= left.count() < 2 * wanted.count()
+    assert common.sifted(rows, wanted.limit(0), column).count() == 0 and left.subtract(rows).count() == 0
+
+
+def test_keys_and_texts_beyond_broadcasts_are_sifted_before_they_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MAX_BROADCAST_IDS", 0)
+    shuffled = {}
+    split_join = line_dedup.split_join
+
+    def counted(rows, groups, keys, times):
+        shuffled[tuple(keys)] = rows.count()
+        return split_join(rows, groups, keys, times)
+
+    monkeypatch.setattr(line_dedup, "split_join", counted)
+    rng = random.Random(12)
+    lines = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(60)) for _ in range(300)]
+    texts = ["\n".join(lines[i : i + 3]) for i in range(0, 300, 3)] + [lines[0] + "!", lines[7][1:], "own line of this text only\n" + lines[9]]
+    found = {(r.doc_id, r.line_no) for r in line_dedup.removed_lines(docs(spark, texts), 2, 20).collect()}
+    assert found == {(100, 0), (101, 0), (102, 1)}
+    # of fifteen keys for each of 303 distinct lines, only those of the two pairs are dealt out
+    assert shuffled[("key",)] < 100
+
+
+def test_texts_beyond_broadcasts_are_sifted_before_they_are_joined(spark, monkeypatch):
+    rows = line_dedup._keyed(line_dedup.line_rows(docs(spark, [f"line {i} of many\nline {i % 7} of few" for i in range(500)])))
+    ids = rows.where("doc_id % 50 = 3 and line_no = 0").select("id", "id2", "place").distinct()
+    want = {(r.doc_id, r.line) for r in line_dedup._first_rows(rows, ids).collect()}
+    monkeypatch.setattr(line_dedup, "MAX_BROADCAST_IDS", 0)
+    found = line_dedup._first_rows(rows, ids)
+    assert {(r.doc_id, r.line) for r in found.collect()} == want == {(i, f"line {i} of many") for i in range(3, 500, 50)}
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert "place" in joins[0] and "_word" in joins[1]
+
+
 def test_short_lines_go_in_query_and_stage(spark, tmp_path):
     texts = ["own first line of this text\nReleased under the MIT License.\nOK\n\nend a", "Released under the MIT License!\nsome own words stand here\nOK\n\nno", "OK\nOk\nReleased under the MIT License."]
     docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")

@@ -21,6 +21,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 HOT_ROWS, MOST_HOT = 1000, 100_000
 #: Rows of a few numbers, counted first, that are broadcast; beyond them the same join is shuffled.
 FEW_ROWS = 200_000
+#: Blocks of the Bloom filter that ``sifted`` broadcasts (rows of two numbers, 32 MB).
+SIFT_BLOCKS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -110,6 +112,23 @@ def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def sifted(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """``rows`` without most of those whose column ``on`` stands nowhere in ``keys``; every other row stays.
+
+    A blocked Bloom filter of plain columns: a key sets two bits of the 64 of its block. The blocks are broadcast, so that
+    ``rows`` stay where they are, and a join with more keys than can be broadcast shuffles little more than it returns.
+    With k keys to a block, about (1 - exp(-k / 32))^2 of the rows without a key pass, and the caller's join drops those.
+    That has to be an inner join: Spark moves a left semi join below this one, where it would shuffle all rows.
+    """
+    bits, block, word = (free_name(rows, name) for name in ("_bits", "_block", "_word"))
+    digest = F.xxhash64(F.lit(3), on)
+    bit = lambda low: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(digest, low).bitwiseAND(F.lit(63)).cast("int"))
+    marks = F.pmod(digest, F.lit(SIFT_BLOCKS)).alias(block), bit(58).bitwiseOR(bit(52)).alias(bits)
+    table = keys.select(*marks).groupBy(block).agg(F.bit_or(bits).alias(word))
+    met = rows.select("*", *marks).join(F.broadcast(table), block)
+    return met.where(F.col(word).bitwiseAND(F.col(bits)) == F.col(bits)).select(*rows.columns)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Roots of undirected ``edges`` (a, b): rows (node, root) for every node but the roots themselves.
 

@@ -12,16 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm.common import HOT_ROWS, MOST_HOT, cut, fits_broadcast, free_name, read, split_join
+from wayline.llm.common import HOT_ROWS, MOST_HOT, cut, fits_broadcast, free_name, read, sifted, split_join
 
 #: Edits between two lines that count as the same, and the fewest characters of a line that takes part.
 TAU, MIN_CHARS = 2, 40
 #: The query and the pipeline's stage: the fewest characters of a line that is compared with its near ones (``shortest``
 #: of the edits) and of one that goes where an equal one stands earlier.
 NEAR_CHARS, EQUAL_CHARS = 11, 1
-#: Keys of more than one line, and lines whose text is fetched: up to so many (32 MB) are broadcast, else joined.
+#: Keys of more than one line, and lines whose text is fetched: up to so many (32 MB) are broadcast; of more, a
+#: Bloom filter is, and the rows that pass it are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
-# Characters whose counts are compared before two lines are paired.
+# Characters, of one byte each, whose counts are compared before two lines are paired.
 LETTERS = "abcdefghijklmnopqrstuvwxyz .,0123456789"
 
 
@@ -188,7 +189,15 @@ def _shared_keys(distinct: DataFrame, tau: int) -> DataFrame:
     keys = cut(keys.select("key", "times"))
     if fits_broadcast(keys, MAX_BROADCAST_IDS):
         return cut(either.join(F.broadcast(keys.select("key")), "key", "left_semi"))
-    return cut(split_join(either, keys, ["key"], "times").drop("times"))
+    return cut(split_join(sifted(either, keys, "key"), keys, ["key"], "times").drop("times"))
+
+
+def _first_rows(keyed: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` at the places of ``ids`` (id, id2, place; a line once)."""
+    at = ["id", "id2", "place"]
+    if fits_broadcast(ids, MAX_BROADCAST_IDS):
+        return keyed.join(F.broadcast(ids), at)
+    return sifted(keyed, ids, "place").join(ids, at)  # a left semi join would be moved below the filter
 
 
 def _met(found: DataFrame, asked: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -219,9 +228,8 @@ def _near_lines(rows: DataFrame, tau: int) -> DataFrame:
     # the text of a line is read where it stands first, so that a line that is everywhere is fetched once
     ids = shared.select("id").distinct()
     ids = cut(distinct.select(*both, F.col("first").alias("place")).join(ids, "id", "left_semi"))
-    wanted = keyed.join(F.broadcast(ids) if fits_broadcast(ids, MAX_BROADCAST_IDS) else ids, [*both, "place"], "left_semi")
-    texts = wanted.groupBy(*both).agg(F.first("line").alias("line"), F.min("place").alias("first"))
-    counts = F.array(*[(F.char_length("line") - F.char_length(F.translate("line", c, ""))).cast("int") for c in LETTERS])
+    texts = _first_rows(keyed, ids).groupBy(*both).agg(F.first("line").alias("line"), F.min("place").alias("first"))
+    counts = F.array(*[(F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c), F.lit("")))).cast("int") for c in LETTERS])
     texts = cut(texts.withColumn("letters", counts).withColumn("n", F.char_length("line")))
     # A substitution moves two counts by one, an insertion or deletion one: lines of one key are only paired where
     # their counts allow for tau edits, and lines of one length only one way round.
